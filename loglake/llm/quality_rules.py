@@ -18,7 +18,7 @@ WINDOW = 8
 LEAST_GROUP = 200
 #: The fence is q90 + FENCE * (q90 - q50) + the slack of the ratio.
 FENCE = 4.0
-RATIOS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.20, "repeat_ratio": 0.10, "word_length": 2.0}
+RATIOS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.34, "repeat_ratio": 0.20, "word_length": 2.0}
 
 
 def rule_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:
