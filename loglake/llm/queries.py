@@ -5,19 +5,36 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loglake.llm.common import documents
+from loglake.llm.bpe import bpe_digest
 from loglake.llm.exact_dedup import exact_dedup
+from loglake.llm.language_id import language_id
+from loglake.llm.packing import pack
 from loglake.llm.quality_rules import quality_rules
 
 
+def op2_language_id(spark, sf_dir):
+    return language_id(documents(spark, sf_dir))
+
+
+def op4_packing(spark, sf_dir):
+    return pack(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op7_bpe(spark, sf_dir):
+    import public_tokenizers as P
+
+    return bpe_digest(documents(spark, sf_dir), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_packing, op5_exact_dedup, op7_bpe, op8_quality_rules)}
 
 ORACLE = {
     "op5_exact_dedup": """
