@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglake.session import prepare
+
 #: Words are runs of characters other than space, \t, \n, \x0b, \f and \r.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -38,7 +40,7 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def words_of(text):
