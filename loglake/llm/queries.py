@@ -8,6 +8,7 @@ from loglake.llm.common import documents
 from loglake.llm.bpe import bpe_digest
 from loglake.llm.exact_dedup import exact_dedup
 from loglake.llm.language_id import language_id
+from loglake.llm.minhash import CONTRACT, near_dedup
 from loglake.llm.packing import pack
 from loglake.llm.quality_rules import quality_rules
 
@@ -24,6 +25,10 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op6_minhash(spark, sf_dir):
+    return near_dedup(documents(spark, sf_dir), CONTRACT)
+
+
 def op7_bpe(spark, sf_dir):
     import public_tokenizers as P
 
@@ -34,7 +39,7 @@ def op8_quality_rules(spark, sf_dir):
     return quality_rules(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_packing, op5_exact_dedup, op7_bpe, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_packing, op5_exact_dedup, op6_minhash, op7_bpe, op8_quality_rules)}
 
 ORACLE = {
     "op5_exact_dedup": """
