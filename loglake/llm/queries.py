@@ -10,6 +10,7 @@ from loglake.llm.exact_dedup import exact_dedup
 from loglake.llm.language_id import language_id
 from loglake.llm.minhash import CONTRACT, near_dedup
 from loglake.llm.packing import pack
+from loglake.llm.quality_classifier import quality_classifier
 from loglake.llm.quality_rules import quality_rules
 
 
@@ -39,7 +40,11 @@ def op8_quality_rules(spark, sf_dir):
     return quality_rules(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_packing, op5_exact_dedup, op6_minhash, op7_bpe, op8_quality_rules)}
+def op9_quality_classifier(spark, sf_dir):
+    return quality_classifier(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_packing, op5_exact_dedup, op6_minhash, op7_bpe, op8_quality_rules, op9_quality_classifier)}
 
 ORACLE = {
     "op5_exact_dedup": """
