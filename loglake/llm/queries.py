@@ -10,10 +10,15 @@ from loglake.llm.exact_dedup import exact_dedup
 from loglake.llm.language_id import language_id
 from loglake.llm.minhash import CONTRACT, near_dedup
 from loglake.llm.packing import pack
+from loglake.llm.pii import pii_digest
 from loglake.llm.quality_classifier import quality_classifier
 from loglake.llm.quality_rules import quality_rules
 
 
+def op1_pii(spark, sf_dir):
+    return pii_digest(documents(spark, sf_dir))
+
+
 def op2_language_id(spark, sf_dir):
     return language_id(documents(spark, sf_dir))
 
@@ -44,7 +49,7 @@ def op9_quality_classifier(spark, sf_dir):
     return quality_classifier(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_packing, op5_exact_dedup, op6_minhash, op7_bpe, op8_quality_rules, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op4_packing, op5_exact_dedup, op6_minhash, op7_bpe, op8_quality_rules, op9_quality_classifier)}
 
 ORACLE = {
     "op5_exact_dedup": """
