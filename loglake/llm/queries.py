@@ -8,6 +8,7 @@ from loglake.llm.common import documents
 from loglake.llm.bpe import bpe_digest
 from loglake.llm.exact_dedup import exact_dedup
 from loglake.llm.language_id import language_id
+from loglake.llm.line_dedup import line_classes
 from loglake.llm.minhash import CONTRACT, near_dedup
 from loglake.llm.packing import pack
 from loglake.llm.pii import pii_digest
@@ -23,6 +24,10 @@ def op2_language_id(spark, sf_dir):
     return language_id(documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark, sf_dir):
+    return line_classes(documents(spark, sf_dir))
+
+
 def op4_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir))
 
@@ -49,9 +54,29 @@ def op9_quality_classifier(spark, sf_dir):
     return quality_classifier(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op4_packing, op5_exact_dedup, op6_minhash, op7_bpe, op8_quality_rules, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_line_dedup, op4_packing, op5_exact_dedup, op6_minhash, op7_bpe, op8_quality_rules, op9_quality_classifier)}
 
 ORACLE = {
+    "op3_line_dedup": """
+        WITH RECURSIVE
+        l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents),
+        c AS (SELECT *, length(l) >= 40 AND trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' AS counted FROM l),
+        d AS (SELECT l, length(l) AS n, min((doc_id, line_no)) AS f, count(*) AS size FROM c WHERE counted GROUP BY 1, 2),
+        -- within one edit the first or the second half of the shorter line stays as it is
+        h AS (SELECT l, n, n AS m, f FROM d UNION ALL SELECT l, n, n - 1, f FROM d),
+        p AS (SELECT a.l AS a, b.l AS b FROM h a JOIN h b ON a.m = b.m AND left(a.l, (a.m // 2)::INT) = left(b.l, (b.m // 2)::INT) AND a.l < b.l
+              UNION SELECT a.l, b.l FROM h a JOIN h b ON a.m = b.m AND right(a.l, (a.m - a.m // 2)::INT) = right(b.l, (b.m - b.m // 2)::INT) AND a.l < b.l),
+        e AS (SELECT a, b FROM p WHERE levenshtein(a, b) <= 1),
+        e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r AS (SELECT a AS s, a AS t FROM e2 UNION SELECT r.s, e2.b FROM r JOIN e2 ON r.t = e2.a),
+        g AS (SELECT s AS l, min(d.f) AS f, sum(d.size) AS size FROM (SELECT DISTINCT s, t FROM r) x JOIN d ON d.l = x.t GROUP BY 1)
+        SELECT c.doc_id, c.line_no::INT AS line_no,
+            CASE WHEN counted THEN coalesce(g.f, d.f)[1] ELSE c.doc_id END AS class_id,
+            CASE WHEN counted THEN coalesce(g.f, d.f)[2] ELSE c.line_no END::INT AS class_line_no,
+            CASE WHEN counted THEN coalesce(g.size, d.size) ELSE 1 END::BIGINT AS class_size,
+            NOT counted OR coalesce(g.f, d.f) = (c.doc_id, c.line_no) AS kept
+        FROM c LEFT JOIN d ON c.counted AND c.l = d.l LEFT JOIN g ON c.counted AND c.l = g.l
+    """,
     "op5_exact_dedup": """
         WITH g AS (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
