@@ -1,11 +1,61 @@
-"""The corpus pipeline: documents through the stages, each written and read again."""
+"""The corpus pipeline: documents through five stages, each written and read again.
+
+Order: quality classifier, line dedup, near-dedup, personal data, packing. All stages but
+the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from loglake.llm.common import documents, materialize
+from pyspark.sql import functions as F
+
+from loglake.llm.common import SPACES, documents, materialize
+from loglake.llm.line_dedup import drop_repeated_lines
+from loglake.llm.minhash import near_dedup
+from loglake.llm.packing import pack
+from loglake.llm.pii import redact
+from loglake.llm.quality_classifier import quality_classifier
+from loglake.session import prepare
+
+
+def classify(spark, docs, sf_dir):
+    """Rejected documents go."""
+    labels = prepare(spark).read.parquet(f"{sf_dir}/labels.parquet")
+    verdict = quality_classifier(docs, labels).filter("kept").select(F.col("doc_id").alias("_id"))
+    return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["_id"]), "left_semi")
+
+
+def dedup_lines(spark, docs, sf_dir):
+    """Lines that repeat an earlier one go, and documents of which nothing is left."""
+    words = F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES)) != ""
+    out = drop_repeated_lines(docs.filter(words)).filter(words)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def dedup_near(spark, docs, sf_dir):
+    """One document of each near-duplicate group stays."""
+    kept = near_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+
+
+def redact_pii(spark, docs, sf_dir):
+    """Personal data and secrets are replaced by their kinds."""
+    return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack_sequences(spark, docs, sf_dir):
+    """The pieces of all documents in sequences."""
+    return pack(docs)
+
 
-STAGES = []
+STAGES = [
+    ("quality_classifier", classify),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_near),
+    ("pii", redact_pii),
+    ("packing", pack_sequences),
+]
 
+#: The classifier and the boosted trees are fitted models: not SQL.
 ORACLE_SQL = None
 
 

@@ -9,6 +9,7 @@ from loglake.llm.bpe import bpe_digest
 from loglake.llm.exact_dedup import exact_dedup
 from loglake.llm.language_id import language_id
 from loglake.llm.line_dedup import line_classes
+from loglake.llm.lm_score import lm_score
 from loglake.llm.minhash import CONTRACT, near_dedup
 from loglake.llm.packing import pack
 from loglake.llm.pii import pii_digest
@@ -54,7 +55,11 @@ def op9_quality_classifier(spark, sf_dir):
     return quality_classifier(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_line_dedup, op4_packing, op5_exact_dedup, op6_minhash, op7_bpe, op8_quality_rules, op9_quality_classifier)}
+def op10_lm_score(spark, sf_dir):
+    return lm_score(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_language_id, op3_line_dedup, op4_packing, op5_exact_dedup, op6_minhash, op7_bpe, op8_quality_rules, op9_quality_classifier, op10_lm_score)}
 
 ORACLE = {
     "op3_line_dedup": """
