@@ -2,10 +2,12 @@
 shingle sets, and connected components by alternating large-star and small-star.
 
 Documents with one shingle set form a class, and only its smallest id goes on. A band's
-bucket never emits its pairs: first every member is linked with two centers of the
-bucket; once these links are verified and joined into components, only the members
-outside a bucket's largest component are compared with its other members. Before texts
-are moved, a pair must agree in a sketch of two bits of every minimum.
+bucket never emits its pairs: first its members are tested against centers of their
+buckets, the closest ones only; once these links are verified and joined into
+components, only the members outside a bucket's largest component are compared with its
+other members. Before texts are moved, a pair must pass two sketches: two bits of every
+minimum, and a bit array that every shingle flips, in which two sets differ in no more
+bits than they differ in shingles.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from math import sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglake.llm.common import join_hot, materialize
@@ -46,6 +48,10 @@ class Shape:
 
 CONTRACT = Shape(3, 85, 36, 7)
 _U = np.uint64
+#: Bits of the array that shingles flip.
+ODD = 1024
+#: Centers that a member is compared with by sketch, and those it is verified against.
+CENTERS, CLOSEST = 8, 3
 
 
 class _Words(dict):
@@ -101,6 +107,10 @@ class Shingler:
         two[: len(m)] = mixed
         return np.bitwise_or.reduce(two.reshape(-1, 32) << np.arange(0, 64, 2, dtype=np.uint64), axis=1).view(np.int64)
 
+    def odd(self, s: np.ndarray) -> np.ndarray:
+        bits = (np.bincount((s & _U(ODD - 1)).astype(np.int64), minlength=ODD) & 1).astype(np.uint8)
+        return np.packbits(bits).view(np.int64)
+
 
 def _prepare(shape: Shape):
     def run(batches):
@@ -115,7 +125,7 @@ def _prepare(shape: Shape):
                     key.append(hashlib.blake2b(x.tobytes(), digest_size=12).hexdigest() if len(x) else None)
                     m = s.minima(x) if len(x) else None
                     bands.append(s.keys(m) if len(x) else None)
-                    sketch.append(s.sketch(m) if len(x) else None)
+                    sketch.append(np.concatenate([s.sketch(m), s.odd(x)]) if len(x) else None)
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.string()), pa.array(bands, longs), pa.array(sketch, longs)], names=["id", "n", "k", "bands", "sketch"])
 
@@ -150,19 +160,23 @@ def _verify(shape: Shape):
     return run
 
 
+def _apart(x: str, y: str, shape: Shape) -> str:
+    """SQL: bits in which the flipped arrays of two sets differ; at most |x - y| + |y - x|."""
+    first = -(-shape.bands * shape.rows // 32)
+    return "(" + " + ".join(f"bit_count({x}.sketch[{i}] ^ {y}.sketch[{i}])" for i in range(first, first + ODD // 64)) + ")"
+
+
 def _close(x: str, y: str, shape: Shape) -> str:
     """SQL condition: sizes and sketches of ``x`` and ``y`` allow the threshold."""
     words = -(-shape.bands * shape.rows // 32)
-    diff = " + ".join(f"bit_count(((({x}.sketch[{i}] ^ {y}.sketch[{i}]) | shiftrightunsigned({x}.sketch[{i}] ^ {y}.sketch[{i}], 1)) & 6148914691236517205L))" for i in range(words))
-    return f"100 * least({x}.n, {y}.n) >= {shape.percent} * greatest({x}.n, {y}.n) AND {diff} <= {shape.most_different()}"
+    diff = " + ".join(f"bit_count((({x}.sketch[{i}] ^ {y}.sketch[{i}]) | shiftrightunsigned({x}.sketch[{i}] ^ {y}.sketch[{i}], 1)) & 6148914691236517205L)" for i in range(words))
+    sizes = f"100 * least({x}.n, {y}.n) >= {shape.percent} * greatest({x}.n, {y}.n)"
+    return f"{sizes} AND {_apart(x, y, shape)} * {100 + shape.percent} <= ({x}.n + {y}.n) * {100 - shape.percent} AND {diff} <= {shape.most_different()}"
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shape: Shape) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold. docs: id, text."""
-    kind = dict(docs.dtypes)["id"]
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.mapInArrow(_compress, f"id {kind}, z binary").join(ids, "id", "left_semi")
-    texts = materialize(texts, "texts")
+def verified(pairs: DataFrame, texts: DataFrame, shape: Shape) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the threshold. texts: id, z."""
+    kind = dict(texts.dtypes)["id"]
     j = pairs.join(texts.select(F.col("id").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
     return materialize(j.select("a", "b", "za", "zb").mapInArrow(_verify(shape), f"a {kind}, b {kind}"), "links")
 
@@ -185,19 +199,21 @@ def near_dedup(df: DataFrame, shape: Shape = Shape(), id_col: str = "doc_id", te
     reps = materialize(named.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "reps")
 
     entries = reps.select("id", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("c1"), F.max("id").alias("c2")).filter("size > 1")
-    members = materialize(join_hot(entries, buckets, "key", "size", total * shape.bands).select("key", "id", "c1", "c2"), "members")
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("c1"), F.min_by("id", F.xxhash64("id", "key")).alias("c2")).filter("size > 1")
+    members = join_hot(entries, buckets.hint("merge"), "key", "size", total * shape.bands)
+    members = materialize(members.select("key", "id", "c1", "c2"), "members")
     light = reps.select("id", "n", "sketch")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(light.select(F.col("id").alias("a"), F.struct("n", "sketch").alias("x")), "a")
-        p = p.join(light.select(F.col("id").alias("b"), F.struct("n", "sketch").alias("y")), "b")
-        return p.filter(_close("x", "y", shape)).select("a", "b")
-
-    star = members.select("id", F.explode(F.array("c1", "c2")).alias("c")).filter("id <> c")
-    star = star.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-    tested = materialize(near(star), "star")
-    links = verified(tested, docs, shape)
+    texts = docs.mapInArrow(_compress, f"id {kind}, z binary").join(members.select("id").distinct().hint("merge"), "id", "left_semi")
+    texts = materialize(texts.dropDuplicates(["id"]), "texts")
+
+    # the centers with which a member shares most bands; of these the closest by sketch
+    star = members.select("id", F.explode(F.array("c1", "c2")).alias("c")).filter("id <> c").groupBy("id", "c").count()
+    star = star.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("count"), "c"))).filter(F.col("r") <= CENTERS)
+    star = star.join(light.select("id", F.struct("n", "sketch").alias("x")), "id").join(light.select(F.col("id").alias("c"), F.struct("n", "sketch").alias("y")), "c")
+    star = star.filter(_close("x", "y", shape)).select("id", "c", F.expr(_apart("x", "y", shape)).alias("d"))
+    star = star.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "c"))).filter(F.col("r") <= CLOSEST)
+    tested = materialize(star.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct(), "star")
+    links = verified(tested, texts, shape)
     comp = components(links)
 
     # buckets that still hold two or more components: what is outside the largest one
@@ -205,14 +221,15 @@ def near_dedup(df: DataFrame, shape: Shape = Shape(), id_col: str = "doc_id", te
     m = materialize(m, "bucket-components")
     per = m.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size")).filter("parts > 1")
-    m = join_hot(m, mixed, "key", "size", total * shape.bands).join(light, "id")
-    m = materialize(m.select("key", "id", "n", "sketch", "component", "main"), "mixed")
+    m = join_hot(m, mixed, "key", "size", total * shape.bands).join(reps.select("id", "n", "sketch", "bands"), "id")
+    m = materialize(m.select("key", "id", "n", "sketch", "bands", "component", "main"), "mixed")
     rest, x, y = m.filter("component <> main"), "x", "y"
     once = "(y.component = y.main OR x.id < y.id)"  # two outsiders meet once
-    cross = rest.alias(x).join(m.alias(y), F.expr(f"x.key = y.key AND x.component <> y.component AND {once} AND {_close(x, y, shape)}"))
+    first = "element_at(filter(zip_with(x.bands, y.bands, (p, q) -> if(p = q, p, null)), p -> p is not null), 1) = x.key"  # in the first band they share
+    cross = rest.alias(x).join(m.alias(y), F.expr(f"x.key = y.key AND x.component <> y.component AND {once} AND {_close(x, y, shape)} AND {first}"))
     cross = cross.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
     cross = materialize(cross.join(tested, ["a", "b"], "left_anti"), "cross")
-    more = verified(cross, docs, shape)
+    more = verified(cross, texts, shape)
     if more.isEmpty():
         final = comp
     else:
