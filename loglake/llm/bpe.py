@@ -42,17 +42,28 @@ def merges(piece: bytes, ranks: dict[bytes, int]):
 
 
 class Transducer:
-    """A state is a tuple of nodes (parent, token, suffix): the live tree in the order of
+    """A state is a tuple of nodes (parent, token, place): the live tree in the order of
     the prefixes. Node 0 is the root, whose tokens are all emitted; ``token`` is the last
-    token of that prefix (-1: none) and ``suffix`` the bytes read since, or None where no
-    entry goes on from there."""
+    token of that prefix (-1: none) and ``place`` where the bytes read since have led to in
+    the trie of the vocabulary, or -1 where no entry goes on from there."""
 
-    START = ((-1, -1, b""),)
+    START = ((-1, -1, 0),)
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 100_000):
         self.ranks, self.most_states = ranks, most_states
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.goes_on = {b[:k] for b in ranks for k in range(1, len(b))}
+        # the trie: (place << 8 | byte) -> place; the entry at a place, and whether one goes on
+        self.next, self.entry, self.more = {}, [-1], [True]
+        for b, t in ranks.items():
+            at = 0
+            for x in b:
+                self.more[at] = True
+                if (to := self.next.get(at << 8 | x)) is None:
+                    to = self.next[at << 8 | x] = len(self.entry)
+                    self.entry.append(-1)
+                    self.more.append(False)
+                at = to
+            self.entry[at] = t
         self.edge: dict[int, tuple[list[bytes], list[bytes]] | None] = {}
         self.clear()
 
@@ -77,13 +88,14 @@ class Transducer:
         return self.edge[t]
 
     def _follows(self, a: int, b: int) -> bool:
-        """Whether ``b`` can stand after ``a``: while both are merged from bytes, no pair
-        that meets at the seam comes before the next merge on its left and right."""
-        if (got := self.seams.get((a, b))) is None:
-            got = self.seams[a, b] = self._meet(a, b)
-        return got
+        seam = (a + 1) << 20 | b
+        if seam not in self.seams:
+            self.seams[seam] = self._meet(a, b)
+        return self.seams[seam]
 
     def _meet(self, a: int, b: int) -> bool:
+        """Whether ``b`` can stand after ``a``: while both are merged from bytes, no pair
+        that meets at the seam comes before the next merge on its left and right."""
         two = self._edges(b)
         if two is None or a < 0:
             return two is not None
@@ -101,16 +113,16 @@ class Transducer:
             else:
                 j += 1
 
-    def _step(self, state: int, byte: bytes) -> tuple[int, tuple[int, ...]]:
+    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         nodes = self.states[state]
         live, parent, token = {}, -1, -1
-        for k, (_, last, suffix) in enumerate(nodes):
-            if suffix is not None:
-                grown = suffix + byte
-                if parent < 0 and (t := self.ranks.get(grown)) is not None and self._follows(last, t):
+        for k, (_, last, place) in enumerate(nodes):
+            to = self.next.get(place << 8 | byte) if place >= 0 else None
+            if to is not None:
+                if parent < 0 and (t := self.entry[to]) >= 0 and self._follows(last, t):
                     parent, token = k, t
-                if grown in self.goes_on:
-                    live[k] = grown
+                if self.more[to]:
+                    live[k] = to
         # the nearest node above all that is live: what leads to it is final
         new = len(nodes)
         above = [n[0] for n in nodes]
@@ -133,9 +145,9 @@ class Transducer:
                 kept.add(k)
                 k = above[k]
         order = sorted(kept)
-        key = [(-1, token if root == new else nodes[root][1], live.get(root, b"" if root == new else None))]
+        key = [(-1, token if root == new else nodes[root][1], 0 if root == new else live.get(root, -1))]
         for k in order[1:]:
-            key.append((order.index(above[k]), token, b"") if k == new else (order.index(above[k]), nodes[k][1], live.get(k)))
+            key.append((order.index(above[k]), token, 0) if k == new else (order.index(above[k]), nodes[k][1], live.get(k, -1)))
         key, out = tuple(key), out[::-1]
         if (number := self.numbers.get(key)) is None:
             number = self.numbers[key] = len(self.states)
@@ -153,21 +165,24 @@ class Transducer:
 
     def _run(self, state: int, piece: bytes, at: int) -> list[int]:
         """The tokens from ``state`` to the end of the piece, with no states made on the way."""
-        above, token, live, ranks = [], [], [], self.ranks
-        for k, (up, t, suffix) in enumerate(self.states[state]):
-            above.append(up)
-            token.append(t)
-            if suffix is not None:
-                live.append((k, suffix))
-        for i in range(at, len(piece)):
-            byte, parent, found, go = piece[i : i + 1], -1, -1, []
-            for k, suffix in live:
-                grown = suffix + byte
-                if parent < 0 and (t := ranks.get(grown)) is not None and self._follows(token[k], t):
-                    parent, found = k, t
-                if grown in self.goes_on:
-                    go.append((k, grown))
-            go.append((len(token), b""))
+        nodes = self.states[state]
+        above, token = [n[0] for n in nodes], [n[1] for n in nodes]
+        live = [(k, n[2]) for k, n in enumerate(nodes) if n[2] >= 0]
+        follow, entry, more, seams = self.next.get, self.entry, self.more, self.seams
+        for byte in piece[at:]:
+            parent, found, go = -1, -1, []
+            for k, place in live:
+                to = follow(place << 8 | byte)
+                if to is not None:
+                    if parent < 0 and (t := entry[to]) >= 0:
+                        seam = (token[k] + 1) << 20 | t
+                        if seam not in seams:
+                            seams[seam] = self._meet(token[k], t)
+                        if seams[seam]:
+                            parent, found = k, t
+                    if more[to]:
+                        go.append((k, to))
+            go.append((len(token), 0))
             above.append(parent)
             token.append(found)
             live = go
@@ -189,7 +204,7 @@ class Transducer:
                 if (state, b) not in self.once:  # most transitions are taken once only: not kept yet
                     self.once.add((state, b))
                     return out + self._run(state, piece, at)
-                step = steps[state, b] = self._step(state, bytes((b,)))
+                step = steps[state, b] = self._step(state, b)
             state, tokens = step
             if tokens:
                 out += tokens
@@ -234,14 +249,28 @@ class _Memo(dict):
         return got
 
 
+#: A pattern whose classes ``re`` has too, in characters where its letters, digits and
+#: spaces are those of the original: a test compares both for every character.
+COMMON_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+COMMON_FAST = r""" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
+COMMON_OTHER = r"[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027]"
+
+
 class Codec:
     """Encodes texts by pieces of ``pattern`` and decodes ids, with a bounded memo of
     pieces: words repeat, so most pieces are looked up."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 800_000):
+        import re
+
         import regex
 
-        self.split = regex.compile(pattern).findall
+        full = regex.compile(pattern).findall
+        if pattern == COMMON_PATTERN:
+            fast, other = re.compile(COMMON_FAST).findall, re.compile(COMMON_OTHER).search
+            self.split = lambda text: full(text) if other(text) else fast(text)
+        else:
+            self.split = full
         self.fst = Transducer(ranks)
         self.table = [b""] * (max(ranks.values()) + 1)
         for b, i in ranks.items():
