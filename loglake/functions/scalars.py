@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Layouts of timestamps that are tried in turn, after ISO 8601.
@@ -27,6 +28,14 @@ IPV6 = (
 )
 
 
+def once(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """Adds columns that are evaluated once a row. The optimizer merges projections and then
+    copies an expression into each of its uses; a generator of one row stands between."""
+    kept = [c for c in df.columns if c not in cols]
+    one = F.explode(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))).alias("_once")
+    return df.select(*kept, one).select(*kept, *[F.col(f"_once.{k}").alias(k) for k in cols])
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
 
@@ -48,8 +57,6 @@ def parse_ts(c: Column) -> Column:
 
 def parse_ts_residue(c: Column) -> Column:
     """The same for free-form text, by an Arrow batch function; for rows that parse_ts leaves null."""
-    import pandas as pd
-
     @F.pandas_udf("timestamp")
     def free(values: pd.Series) -> pd.Series:
         from dateutil import parser

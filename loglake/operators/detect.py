@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loglake.functions.scalars import once
+
 # The marks of the built-in formats, in order of precedence.
 ASA = r"%ASA-\d-\d+"
 CEF = r"(?:^|\s)CEF:\d"
@@ -89,11 +91,11 @@ def detect_format(df: DataFrame, overrides: list[tuple[str, str]] | DataFrame |
         rules = F.broadcast(overrides.select("prefix", "format", "rule_order"))
         tags = df.select("source_tag").distinct()
         best = tags.join(rules, F.col("source_tag").startswith(F.col("prefix"))).groupBy("source_tag").agg(F.min_by("format", "rule_order").alias("_o"))
-        return df.join(best, "source_tag", "left").withColumn("format_id", F.coalesce("_o", found)).drop("_o")
+        return df.join(best, "source_tag", "left").transform(lambda d: once(d, {"format_id": F.coalesce("_o", found)})).drop("_o")
     chain = F.when(F.lit(False), F.lit(""))
     for prefix, fmt in overrides or []:
         chain = chain.when(F.col("source_tag").startswith(prefix), fmt)
-    return df.withColumn("format_id", F.coalesce(chain, found))
+    return once(df, {"format_id": F.coalesce(chain, found)})
 
 
 def format_profile(df: DataFrame) -> DataFrame:

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglake.functions.scalars import azure_resource, blank_to_null, bsd_ts, parse_ts, safe_int, safe_port, valid_ip, win_basename
+from loglake.functions.scalars import azure_resource, blank_to_null, bsd_ts, once, parse_ts, safe_int, safe_port, valid_ip, win_basename
 from loglake.operators.detect import REGISTERED
 from loglake.schema import FIELDS
 
@@ -51,7 +52,9 @@ def lookup(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*flat), key)
 
 
-NULL_TS = F.lit(None).cast("timestamp")
+def null_ts() -> Column:
+    return F.lit(None).cast("timestamp")
+
 
 # Severities of the input formats on the 0 to 10 scale.
 SYSLOG_SEVERITY = {0: 10, 1: 9, 2: 8, 3: 7, 4: 6, 5: 5, 6: 3, 7: 1}
@@ -565,8 +568,6 @@ def windows_xml(s: Column) -> Parsed:
 def generic_xml(c: Column) -> Column:
     """Dotted keys of any XML document, by an Arrow batch function: its shape is not known.
     Null where it does not parse or has a DOCTYPE."""
-    import pandas as pd
-
     @F.pandas_udf("map<string,string>")
     def flat(texts: pd.Series) -> pd.Series:
         import re
@@ -598,7 +599,7 @@ def generic_xml(c: Column) -> Column:
 def extract_generic_xml(df: DataFrame, line: str = "line") -> DataFrame:
     m = generic_xml(F.col(line))
     df = df.withColumn("_m", m)
-    return df.withColumn("extracted", strings(F.col("_m"))).withColumn("event_ts", NULL_TS).withColumn("parse_error", F.when(F.col("_m").isNull(), "not XML")).drop("_m")
+    return df.withColumn("extracted", strings(F.col("_m"))).withColumn("event_ts", null_ts()).withColumn("parse_error", F.when(F.col("_m").isNull(), "not XML")).drop("_m")
 
 
 FORMATS = {
@@ -626,11 +627,11 @@ def extract(df: DataFrame, reference_year: int = 2026, formats: list[str] | None
     for rule in declarative or []:
         chosen[rule.name] = rule.parsed(s)
     for name, _, fn in REGISTERED:
-        chosen[name] = Parsed(strings(fn(F.col("line"))), NULL_TS, F.lit(True))
+        chosen[name] = Parsed(strings(fn(F.col("line"))), null_ts(), F.lit(True))
     fid = F.col("format_id")
-    fields, ts, ok = F.lit(None).cast(FIELDS), NULL_TS, F.lit(False)
+    fields, ts, ok = F.lit(None).cast(FIELDS), null_ts(), F.lit(False)
     for k, p in chosen.items():
         fields, ts, ok = F.when(fid == k, p.fields.cast(FIELDS)).otherwise(fields), F.when(fid == k, p.ts).otherwise(ts), F.when(fid == k, F.coalesce(p.ok, F.lit(False))).otherwise(ok)
     cause = F.when(~fid.isin(list(chosen)), F.concat(F.lit("no parser for format: "), fid)).when(~ok, F.concat(F.lit("not a valid line of format: "), fid))
-    df = df.withColumn("parse_error", cause)
-    return df.withColumn("extracted", F.when(F.col("parse_error").isNull(), fields)).withColumn("event_ts", F.when(F.col("parse_error").isNull(), ts))
+    good = cause.isNull()
+    return once(df, {"extracted": F.when(good, fields), "event_ts": F.when(good, ts), "parse_error": cause})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,8 +97,6 @@ def _octet_messages(text: str) -> list[tuple[str, bool]]:
 
 
 def _by_function(df: DataFrame, text_col: str, cut, max_bytes: int) -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf("array<struct<line:string,whole:boolean>>")
     def records(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"line": a, "whole": b} for a, b in cut(t or "")])

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loglake.functions.scalars import once
 from loglake.operators.extract import LOG_FORMAT, lookup
 from loglake.schema import CATEGORIES, DIRECTIONS, FIELDS, SCHEMA_VERSION
 
@@ -201,12 +202,16 @@ def _blocks(mappings: dict[str, dict]) -> dict[str, dict[str, Column]]:
     }
 
 
+def _unmapped(used: list[str]):
+    return lambda k, v: ~k.isin(used) & ~k.startswith("_")
+
+
 def vendor_attributes(mappings: dict[str, dict]) -> Column:
     """Fields that no rule names directly, by format; keys with an underscore in front stay out."""
     out = F.lit(None).cast(FIELDS)
     for fmt, m in mappings.items():
         used = ["timestamp_raw", "timestamp_dt", *{v for v in m.values() if v and not v.startswith("_")}]
-        out = F.when(F.col("format_id") == fmt, F.map_filter("extracted", lambda k, v, u=used: ~k.isin(u) & ~k.startswith("_"))).otherwise(out)
+        out = F.when(F.col("format_id") == fmt, F.map_filter("extracted", _unmapped(used))).otherwise(out)
     return F.when(F.size(out) > 0, out)
 
 
@@ -221,15 +226,15 @@ def normalize(df: DataFrame, mappings: dict[str, dict] | None = None, declarativ
     for rule in declarative or []:
         own = rule.normalized()
         out = {k: F.when(F.col("format_id") == rule.name, own[k]).otherwise(c) for k, c in out.items()}
-    return df.withColumns(out)
+    return once(df, out)
 
 
 def to_ues(df: DataFrame) -> DataFrame:
     """The event envelope with its lineage, from a normalised table with ids and hashes."""
     from loglake.functions.scalars import iso
-    from loglake.schema import EVENT_SCHEMA
+    from loglake.schema import event_schema
 
-    empty = {f.name: F.lit(None).cast(f.dataType) for f in EVENT_SCHEMA if f.name in ("enrichment", "analytics")}
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in event_schema() if f.name in ("enrichment", "analytics")}
     cols = {
         "schema_version": F.lit(SCHEMA_VERSION),
         "tenant_id": F.col("tenant_id"),
@@ -241,6 +246,6 @@ def to_ues(df: DataFrame) -> DataFrame:
         **empty,
         "lineage": F.struct(F.col("format_id").alias("parser_name"), F.lit("1.0.0").alias("parser_version"), F.lit(RULESET).alias("normalization_ruleset_version")),
     }
-    order = [f.name for f in EVENT_SCHEMA]
+    order = [f.name for f in event_schema()]
     extra = [c for c in ("source_tag", "seq", "ingest_ts", "event_ts") if c in df.columns]
     return df.select(*[cols[k].alias(k) for k in order], *extra)

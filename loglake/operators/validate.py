@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglake.functions.scalars import iso
-from loglake.schema import CATEGORIES, DEAD_LETTER_SCHEMA, DIRECTIONS, OUTCOMES, SCHEMA_VERSION
+from loglake.schema import CATEGORIES, DIRECTIONS, OUTCOMES, SCHEMA_VERSION, dead_letter_schema
 
 
 def _rules() -> list[tuple[Column, str]]:
@@ -74,7 +74,7 @@ def dead_letters(df: DataFrame, stage: str, error_type: str, message: Column, er
         "failed_sink": F.lit(failed_sink).cast("string"),
         "timestamp": when,
     }
-    return df.select(*[have[f.name].cast(f.dataType).alias(f.name) for f in DEAD_LETTER_SCHEMA])
+    return df.select(*[have[f.name].cast(f.dataType).alias(f.name) for f in dead_letter_schema()])
 
 
 def dead_letter_union(*dlqs: DataFrame) -> DataFrame:

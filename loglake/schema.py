@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import types as T
 
 SCHEMA_VERSION = "1.2.0"
@@ -24,14 +26,24 @@ EVENT_DDL = f"""
     analytics struct<anomaly_score:double,anomaly_reasons:array<string>,is_anomalous:boolean,risk_score:double>,
     lineage struct<parser_name:string,parser_version:string,normalization_ruleset_version:string>
 """
-EVENT_SCHEMA = T.StructType.fromDDL(EVENT_DDL)
 
 DEAD_LETTER_DDL = """
     schema_version string, tenant_id string, event_id string, ingest_timestamp string, raw_payload string, raw_hash string,
     raw_format string, stage string, error_type string, error_message string, validation_errors array<string>,
     source_tag string, parser string, failed_sink string, timestamp string
 """
-DEAD_LETTER_SCHEMA = T.StructType.fromDDL(DEAD_LETTER_DDL)
+
+
+@lru_cache
+def event_schema() -> T.StructType:
+    """Needs a session: Spark parses the types."""
+    return T.StructType.fromDDL(EVENT_DDL)
+
+
+@lru_cache
+def dead_letter_schema() -> T.StructType:
+    return T.StructType.fromDDL(DEAD_LETTER_DDL)
+
 
 # The closed sets of the event schema.
 CATEGORIES = ["network", "authentication", "threat", "system", "policy", "api", "database", "unknown"]

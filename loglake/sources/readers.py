@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.schema import DEAD_LETTER_SCHEMA, EVENT_SCHEMA
+from loglake.schema import DEAD_LETTER_DDL, EVENT_DDL
 
 
 def _options(reader, recursive: bool, extensions: list[str] | None):
@@ -30,11 +30,11 @@ def read_raw(spark: SparkSession, path: str, recursive: bool = False, extensions
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Normalised events from NDJSON; malformed lines are dropped."""
-    return spark.read.schema(EVENT_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    return spark.read.schema(EVENT_DDL).option("mode", "DROPMALFORMED").json(path)
 
 
 def read_dead_letter(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(DEAD_LETTER_SCHEMA).json(path)
+    return spark.read.schema(DEAD_LETTER_DDL).json(path)
 
 
 def read_lake(spark: SparkSession, path: str, tenant_id: str | None = None, dt_from: str | None = None, dt_to: str | None = None) -> DataFrame:
@@ -66,7 +66,7 @@ def stream_raw(spark: SparkSession, path: str, tenant_id: str = "default", max_f
 
 
 def stream_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(EVENT_SCHEMA)
+    r = spark.readStream.schema(EVENT_DDL)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     return r.json(path)
