@@ -36,6 +36,11 @@ def once(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     return df.select(*kept, one).select(*kept, *[F.col(f"_once.{k}").alias(k) for k in cols])
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
 
@@ -43,16 +48,19 @@ def blank_to_null(c: Column) -> Column:
 def parse_ts(c: Column) -> Column:
     """A timestamp from text: whole numbers by magnitude (seconds, milli- or microseconds;
     beyond 1e17 null), else a calendar time. Without an offset it is UTC."""
-    s = F.trim(c)
-    n = s.try_cast("decimal(38,0)")
+    return let(F.trim(c), _parse_ts)
+
+
+def _parse_ts(s: Column) -> Column:
+    n = s.try_cast("bigint")
     size = F.abs(n)
-    long = n.try_cast("bigint")
-    number = F.when(size >= F.lit("100000000000000000").cast("decimal(38,0)"), F.lit(None).cast("timestamp"))
-    number = number.when(size >= F.lit(10**14), F.timestamp_micros(long)).when(size >= F.lit(10**11), F.timestamp_millis(long)).when(size >= F.lit(10**8), F.timestamp_seconds(long))
+    number = F.when(size >= F.lit(10**17), F.lit(None).cast("timestamp"))
+    number = number.when(size >= F.lit(10**14), F.timestamp_micros(n)).when(size >= F.lit(10**11), F.timestamp_millis(n)).otherwise(F.timestamp_seconds(n))
+    iso = s.try_cast("timestamp")
     one_space = F.regexp_replace(s, r"\s+", " ")
-    calendar = F.coalesce(s.try_cast("timestamp"), *[F.try_to_timestamp(one_space, F.lit(p)) for p in TIME_LAYOUTS])
-    whole = s.rlike(r"^-?\d+$")
-    return F.when(s == "", F.lit(None).cast("timestamp")).when(whole & (size >= F.lit(10**8)), number).otherwise(calendar)
+    calendar = F.when(s.rlike(r"^\d{4}-"), iso).otherwise(F.coalesce(*[F.try_to_timestamp(one_space, F.lit(p)) for p in TIME_LAYOUTS], iso))
+    whole = s.rlike(r"^-?\d{9,}$")
+    return F.when(s.isNull() | (s == ""), F.lit(None).cast("timestamp")).when(whole & (n.isNull() | (size >= F.lit(10**8))), number).otherwise(calendar)
 
 
 def parse_ts_residue(c: Column) -> Column:

@@ -10,7 +10,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglake.functions.scalars import parse_ts, safe_double, safe_int, safe_port, strip_quotes, valid_ip
+from loglake.functions.scalars import let, once, parse_ts, safe_double, safe_int, safe_port, strip_quotes, valid_ip
 from loglake.operators.detect import valid_json
 from loglake.operators.extract import Parsed, json_fields, lookup, strings, value
 from loglake.schema import CATEGORIES, FIELDS
@@ -168,7 +168,7 @@ class SourceRule:
             out = out & c
         return F.coalesce(out, F.lit(False)) if self.enabled else F.lit(False)
 
-    def parsed(self, s: Column) -> Parsed:
+    def parsed(self, s: Column) -> Column:
         p, kind = self.parser, self.parser.get("type", "key_value")
         cols = p.get("columns", [])
         if kind == "key_value":
@@ -181,10 +181,12 @@ class SourceRule:
             m = strings(extract_regex(s, p["pattern"], p.get("flags")))
         else:
             m = strings(extract_delimited(s, cols, p.get("delimiter", "|")))
-        m = convert_types(m, self.fields.get("types") or {})
+        ok = valid_json(s) if kind == "json" else F.lit(True)
+        return let(convert_types(m, self.fields.get("types") or {}), lambda m: self._parsed(m, ok))
+
+    def _parsed(self, m: Column, ok: Column) -> Column:
         m = F.transform_values(m, lambda k, v: F.when(k.isin(IP_FIELDS) & (v["t"] == "string"), F.struct(F.coalesce(valid_ip(v["v"]), v["v"]).alias("v"), v["t"].alias("t"))).otherwise(v))
-        ok = m.isNotNull() & (valid_json(s) if kind == "json" else F.lit(True))
-        return Parsed(m, resolve_event_time(m, self.fields.get("timestamp")), ok)
+        return Parsed(m, resolve_event_time(m, self.fields.get("timestamp")), m.isNotNull() & ok)
 
     def _ref(self, expr) -> Column:
         """A field where one has this name, else the text itself."""
@@ -236,8 +238,9 @@ def normalize_declarative(df: DataFrame, rule: SourceRule) -> DataFrame:
 
 
 def extract_declarative(df: DataFrame, rule: SourceRule) -> DataFrame:
-    p = rule.parsed(F.btrim(F.col("line"), F.lit(" \t\r\n")))
-    return df.withColumn("extracted", p.fields).withColumn("event_ts", p.ts).withColumn("parse_error", F.when(~F.coalesce(p.ok, F.lit(False)), F.lit("not a valid line of " + rule.name)))
+    df = once(df, {"_p": rule.parsed(F.btrim(F.col("line"), F.lit(" \t\r\n")))})
+    cols = {"extracted": F.col("_p.fields"), "event_ts": F.col("_p.ts"), "parse_error": F.when(~F.col("_p.ok"), F.lit("not a valid line of " + rule.name))}
+    return df.withColumns(cols).drop("_p")
 
 
 def dry_run(sample: DataFrame, rule: SourceRule) -> DataFrame:

@@ -1,27 +1,24 @@
 """Field extraction: one pass that adds ``extracted``, ``event_ts`` and ``parse_error``.
 
-Each format is a function of the line's column that returns the map of fields, the event
-time and a condition for a good line. Values carry a tag of their JSON type. No expression
+Each format is a function of the line's column that returns a struct of the fields, the
+event time and whether the line is valid. Values carry a tag of their JSON type. No expression
 raises; a line that its format refuses gets a parse_error.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglake.functions.scalars import azure_resource, blank_to_null, bsd_ts, once, parse_ts, safe_int, safe_port, valid_ip, win_basename
+from loglake.functions.scalars import azure_resource, blank_to_null, bsd_ts, let, once, parse_ts, safe_int, safe_port, valid_ip, win_basename
 from loglake.operators.detect import REGISTERED
 from loglake.schema import FIELDS
 
 
-class Parsed(NamedTuple):
-    fields: Column
-    ts: Column
-    ok: Column
+def Parsed(fields: Column, ts: Column, ok: Column) -> Column:  # noqa: N802
+    """What a format makes of a line: its fields, event time, and whether the line is valid."""
+    return F.struct(fields.cast(FIELDS).alias("fields"), ts.alias("ts"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
 def value(c: Column, kind: str = "string") -> Column:
@@ -74,7 +71,7 @@ def _first_ts(m: Column, keys: list[str]) -> Column:
     return F.coalesce(*[parse_ts(F.try_element_at(m, F.lit(k))) for k in keys])
 
 
-def cef(s: Column, unescape: bool = False) -> Parsed:
+def cef(s: Column, unescape: bool = False) -> Column:
     head = CEF_HEAD_ESCAPED if unescape else CEF_HEAD
     g = lambda i: F.trim(F.regexp_extract(s, head, i))
     h = (lambda i: F.regexp_replace(g(i), r"\\([\\|])", "$1")) if unescape else g
@@ -82,7 +79,7 @@ def cef(s: Column, unescape: bool = False) -> Parsed:
     vals = F.transform(F.regexp_extract_all(tail, F.lit(CEF_PAIR), F.lit(2)), lambda v: F.trim(v))
     if unescape:
         vals = F.transform(vals, lambda v: F.regexp_replace(F.regexp_replace(v, r"\\n", "\n"), r"\\([\\=|])", "$1"))
-    ext = F.map_from_arrays(F.regexp_extract_all(tail, F.lit(CEF_PAIR), F.lit(1)), vals)
+    pairs = F.map_from_arrays(F.regexp_extract_all(tail, F.lit(CEF_PAIR), F.lit(1)), vals)
     sev = safe_int(g(7))
     ues = F.when(sev == 0, 1).when(sev.between(1, 10), sev).otherwise(5)
     base = fields_of(
@@ -97,7 +94,7 @@ def cef(s: Column, unescape: bool = False) -> Parsed:
             "severity_ues": (ues, "long"),
         }
     )
-    return Parsed(F.map_concat(base, strings(ext)), _first_ts(ext, CEF_TIMES), s.rlike(head))
+    return let(pairs, lambda ext: Parsed(F.map_concat(base, strings(ext)), _first_ts(ext, CEF_TIMES), s.rlike(head)))
 
 
 # Names that LEEF attributes get.
@@ -108,7 +105,7 @@ LEEF_NAMES = {
 LEEF_HEAD = r"(?s)^(?:<\d+>.*?\s)?LEEF:([12]\.0)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)(?:\|([^|a-zA-Z0-9\s]|x[0-9A-Fa-f]{2}))?\|(.*)$"
 
 
-def leef(s: Column) -> Parsed:
+def leef(s: Column) -> Column:
     g = lambda i: F.regexp_extract(s, LEEF_HEAD, i)
     given = g(6)
     hexed = F.char(F.conv(F.substring(given, 2, 2), 16, 10).try_cast("int"))
@@ -117,7 +114,10 @@ def leef(s: Column) -> Parsed:
     keys = F.transform(pairs, lambda p: F.trim(F.substring_index(p, "=", 1)))
     vals = F.transform(pairs, lambda p: F.trim(F.substr(p, F.instr(p, "=") + 1)))
     keys = F.transform(keys, lambda k: F.coalesce(lookup(LEEF_NAMES, k), k))
-    a = F.map_from_arrays(keys, vals)
+    return let(F.map_from_arrays(keys, vals), lambda a: _leef(s, g, a))
+
+
+def _leef(s: Column, g, a: Column) -> Column:
     at = lambda k: F.try_element_at(a, F.lit(k))
     raw = F.lower(F.trim(F.coalesce(at("severity_raw"), F.lit("5"))))
     n = safe_int(raw)
@@ -149,7 +149,7 @@ def _when_map(cond: Column, m: Column) -> Column:
     return F.when(cond, m).otherwise(F.create_map().cast(FIELDS))
 
 
-def cisco_asa(s: Column, reference_year: int) -> Parsed:
+def cisco_asa(s: Column, reference_year: int) -> Column:
     g = lambda i: F.regexp_extract(s, ASA_HEAD, i)
     pri, sev, msg = safe_int(g(1)), safe_int(g(4)), F.trim(g(6))
     c = lambda i: group(msg, ASA_CONN, i)
@@ -183,8 +183,11 @@ PAN_COLUMNS = [
 PAN_ACTION = {"drop": "deny", "reset-both": "deny", "reset-client": "deny", "reset-server": "deny"}
 
 
-def paloalto(s: Column) -> Parsed:
-    row = F.from_csv(s, ", ".join(f"`{c}` string" for c in PAN_COLUMNS), {"mode": "PERMISSIVE"})
+def paloalto(s: Column) -> Column:
+    return let(F.from_csv(s, ", ".join(f"`{c}` string" for c in PAN_COLUMNS), {"mode": "PERMISSIVE"}), _paloalto)
+
+
+def _paloalto(row: Column) -> Column:
     c = lambda k: F.trim(row[k])
     n = lambda k: F.nullif(c(k), F.lit(""))
     action = F.coalesce(F.lower(c("action")), F.lit(""))
@@ -229,13 +232,13 @@ def _priority(pri: Column) -> dict:
     }
 
 
-def rfc3164(s: Column, reference_year: int) -> Parsed:
+def rfc3164(s: Column, reference_year: int) -> Column:
     g = lambda i: F.regexp_extract(s, RFC3164_HEAD, i)
     base = {"timestamp_raw": g(2), "hostname": g(3), "tag": g(4), "pid": F.nullif(g(5), F.lit("")), "message": F.trim(F.nullif(g(6), F.lit("")))}
     return Parsed(fields_of(_priority(safe_int(g(1))) | base), bsd_ts(g(2), reference_year), s.rlike(RFC3164_HEAD))
 
 
-def rfc5424(s: Column) -> Parsed:
+def rfc5424(s: Column) -> Column:
     g = lambda i: F.regexp_extract(s, RFC5424_HEAD, i)
     n = lambda i: F.when(g(i) != "-", g(i))
     ids = F.regexp_extract_all(g(8), F.lit(SD_ELEMENT), F.lit(1))
@@ -256,22 +259,26 @@ def rfc5424(s: Column) -> Parsed:
 
 def json_fields(s: Column) -> Column:
     """Top-level keys with the JSON type of each value; of repeated keys the last."""
-    kinds = F.from_json(s, "map<string,variant>")
 
-    def one(k: Column, text: Column) -> Column:
-        kind = F.schema_of_variant(F.try_element_at(kinds, k))
+    def one(kinds: Column, k: Column, text: Column) -> Column:
+        return F.struct(text.alias("v"), let(F.schema_of_variant(F.try_element_at(kinds, k)), lambda kind: tag_of(kind, text)).alias("t"))
+
+    def tag_of(kind: Column, text: Column) -> Column:
         tag = F.when(kind == "STRING", "string").when(kind == "BIGINT", "long").when(kind == "BOOLEAN", "boolean").when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "VOID", "null")
-        return F.struct(text.alias("v"), F.when(text.isNull(), "null").otherwise(F.coalesce(tag, F.lit("double"))).alias("t"))
+        return F.when(text.isNull(), "null").otherwise(F.coalesce(tag, F.lit("double")))
 
-    return F.transform_values(F.from_json(s, "map<string,string>"), one)
+    return let(F.from_json(s, "map<string,variant>"), lambda kinds: F.transform_values(F.from_json(s, "map<string,string>"), lambda k, text: one(kinds, k, text)))
 
 
 JSON_TIMES = ["ts", "timestamp", "time", "@timestamp", "event_time", "datetime"]
 JSON_IPS = ["src", "dst", "src_ip", "dst_ip", "source_ip", "dest_ip"]
 
 
-def json_any(s: Column) -> Parsed:
-    m = json_fields(s)
+def json_any(s: Column) -> Column:
+    return let(json_fields(s), lambda m: _json_any(s, m))
+
+
+def _json_any(s: Column, m: Column) -> Column:
     at = lambda k: F.try_element_at(m, F.lit(k))
     sev = F.coalesce(at("severity"), at("level"), at("priority"))
     ues = F.when(sev["t"].isin("long", "boolean"), F.greatest(F.lit(0), F.least(F.lit(10), F.when(sev["t"] == "boolean", (sev["v"] == "true").cast("bigint")).otherwise(sev["v"].try_cast("bigint"))))).otherwise(5)
@@ -297,8 +304,11 @@ TRAIL_TYPE = """eventVersion string, eventSource string, eventName string, event
     userIdentity struct<type:string,userName:string,userId:string,arn:string,accountId:string,sessionContext:struct<sessionIssuer:struct<userName:string>>>"""
 
 
-def cloudtrail(s: Column) -> Parsed:
-    o = F.from_json(s, TRAIL_TYPE)
+def cloudtrail(s: Column) -> Column:
+    return let(F.from_json(s, TRAIL_TYPE), _cloudtrail)
+
+
+def _cloudtrail(o: Column) -> Column:
     name, source = F.coalesce(o["eventName"], F.lit("")), F.coalesce(o["eventSource"], F.lit(""))
     error, user = F.nullif(o["errorCode"], F.lit("")), o["userIdentity"]
     category = F.lit("network")
@@ -350,8 +360,11 @@ AZURE_TYPE = """operationName string, resourceId string, resultType string, cate
     identity struct<caller:string,claims:struct<name:string,upn:string,unique_name:string,tid:string>>"""
 
 
-def azure(s: Column) -> Parsed:
-    o = F.from_json(s, AZURE_TYPE)
+def azure(s: Column) -> Column:
+    return let(F.from_json(s, AZURE_TYPE), _azure)
+
+
+def _azure(o: Column) -> Column:
     op, result = F.coalesce(o["operationName"], F.lit("")), F.coalesce(o["resultType"], F.lit(""))
     claims, res = o["identity"]["claims"], azure_resource(o["resourceId"])
     verbs = F.lit(4)
@@ -397,8 +410,11 @@ GCP_TYPE = """logName string, severity string, insertId string, `timestamp` stri
     status:struct<code:int,message:string>,authorizationInfo:array<struct<granted:boolean>>>"""
 
 
-def gcp(s: Column) -> Parsed:
-    o = F.from_json(s, GCP_TYPE)
+def gcp(s: Column) -> Column:
+    return let(F.from_json(s, GCP_TYPE), _gcp)
+
+
+def _gcp(o: Column) -> Column:
     p = o["protoPayload"]
     method, log = F.coalesce(p["methodName"], F.lit("")), F.coalesce(o["logName"], F.lit(""))
     low, code = F.lower(method), p["status"]["code"]
@@ -504,14 +520,21 @@ def _dim_value(i: int, key: Column, kind: str) -> Column:
     return lookup({e[0]: e[i] for e in WINDOWS_EVENTS}, key.try_cast("int")).cast(kind)
 
 
-def windows_xml(s: Column) -> Parsed:
+def windows_xml(s: Column) -> Column:
     """A Windows event; a DOCTYPE is refused before parsing."""
     safe = F.when(~s.rlike(r"(?i)<!DOCTYPE"), F.regexp_replace(s, r"\sxmlns(?::\w+)?=(?:'[^']*'|\"[^\"]*\")", ""))
     x = F.from_xml(safe, WINDOWS_TYPE, {"attributePrefix": "_", "valueTag": "_VALUE", "rowTag": "Event"})
+    return let(x, _windows)
+
+
+def _windows(x: Column) -> Column:
     sys, data = x["System"], x["EventData"]["Data"]
     named = F.filter(data, lambda d: d["_Name"].isNotNull())
     d = F.map_from_entries(F.transform(named, lambda e: F.struct(e["_Name"].alias("k"), F.trim(F.coalesce(e["_VALUE"], F.lit(""))).alias("v"))))
-    d = F.coalesce(d, F.create_map().cast("map<string,string>"))
+    return let(F.coalesce(d, F.create_map().cast("map<string,string>")), lambda m: _windows_fields(sys, m))
+
+
+def _windows_fields(sys: Column, d: Column) -> Column:
     first = lambda *ks: F.coalesce(*[F.nullif(F.try_element_at(d, F.lit(k)), F.lit("")) for k in ks])
     eid = safe_int(sys["EventID"])
     process = first("NewProcessName", "ProcessName")
@@ -629,9 +652,10 @@ def extract(df: DataFrame, reference_year: int = 2026, formats: list[str] | None
     for name, _, fn in REGISTERED:
         chosen[name] = Parsed(strings(fn(F.col("line"))), null_ts(), F.lit(True))
     fid = F.col("format_id")
-    fields, ts, ok = F.lit(None).cast(FIELDS), null_ts(), F.lit(False)
+    parsed = F.lit(None)
     for k, p in chosen.items():
-        fields, ts, ok = F.when(fid == k, p.fields.cast(FIELDS)).otherwise(fields), F.when(fid == k, p.ts).otherwise(ts), F.when(fid == k, F.coalesce(p.ok, F.lit(False))).otherwise(ok)
+        parsed = F.when(fid == k, p).otherwise(parsed)
+    df = once(df, {"_p": parsed})
+    ok = F.col("_p.ok")
     cause = F.when(~fid.isin(list(chosen)), F.concat(F.lit("no parser for format: "), fid)).when(~ok, F.concat(F.lit("not a valid line of format: "), fid))
-    good = cause.isNull()
-    return once(df, {"extracted": F.when(good, fields), "event_ts": F.when(good, ts), "parse_error": cause})
+    return df.withColumns({"extracted": F.when(ok, F.col("_p.fields")), "event_ts": F.when(ok, F.col("_p.ts")), "parse_error": cause}).drop("_p")

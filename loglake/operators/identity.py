@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loglake.functions.scalars import let, once
+
 #: The URL namespace of name-based UUIDs (RFC 4122).
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 SEED = "loglake"
@@ -13,11 +15,14 @@ UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F
 
 def with_raw_hash(df: DataFrame) -> DataFrame:
     """Adds raw_hash: SHA-256 of the exact bytes."""
-    return df.withColumn("raw_hash", F.sha2(F.col("raw_bytes"), 256))
+    return once(df, {"raw_hash": F.sha2(F.col("raw_bytes"), 256)})
 
 
 def uuid5_url(name: Column) -> Column:
-    h = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE_URL)), F.encode(name, "UTF-8")))
+    return let(F.sha1(F.concat(F.unhex(F.lit(NAMESPACE_URL)), F.encode(name, "UTF-8"))), _uuid5)
+
+
+def _uuid5(h: Column) -> Column:
     variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
     return F.concat(
         F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"),
@@ -27,7 +32,7 @@ def uuid5_url(name: Column) -> Column:
 
 def with_event_id(df: DataFrame) -> DataFrame:
     """Adds event_id: a name-based UUID of tenant, source and hash; a re-ingest gives the same id."""
-    return df.withColumn("event_id", uuid5_url(F.concat_ws(":", F.lit(SEED), "tenant_id", "source_tag", "raw_hash")))
+    return once(df, {"event_id": uuid5_url(F.concat_ws(":", F.lit(SEED), "tenant_id", "source_tag", "raw_hash"))})
 
 
 def dedup_latest(df: DataFrame, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
