@@ -70,21 +70,20 @@ def _features(batches):
             i, v = h(t.as_py())
             at.append(i.astype(np.int32))
             value.append(v.astype(np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32())), b.column(1)], names=["at", "value", "grade"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32())), b.column(1), b.column(2)], names=["at", "value", "grade", "o"])
 
 
 def fit(labelled: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` rows with a grade in 0 .. grades-1; others are not used.
 
-    Features are computed on the executors; what comes to the driver is bounded by
-    ``sample``. AdaGrad over the rows in the order of their hashed ids, so a fit on the
-    same rows gives the same model.
-    Without rows, the weights are 0 and the thresholds even.
+    ``labelled`` should be bounded already, as what ``graded`` gives. Features are computed
+    on the executors; the driver gets them. AdaGrad over the rows from a shuffle of the
+    order of their hashed ids, so a fit on the same rows gives the same model. Without
+    rows, the weights are 0 and the thresholds even.
     """
     ok = labelled.filter(F.col(grade_col).between(0, grades - 1) & F.col(id_col).isNotNull())
-    rows = ok.select(F.col(text_col).alias("text"), F.col(grade_col).cast("int").alias("grade"), F.xxhash64(F.col(id_col).cast("string")).alias("o"))
-    rows = rows.orderBy("o", F.xxhash64("text")).limit(sample).select("text", "grade")
-    got = rows.mapInArrow(_features, "at array<int>, value array<float>, grade int").toArrow()
+    rows = ok.select(F.col(text_col).alias("text"), F.col(grade_col).cast("int").alias("grade"), _order(id_col).alias("o"))
+    got = rows.mapInArrow(_features, "at array<int>, value array<float>, grade int, o long").toArrow().sort_by([("o", "ascending"), ("grade", "ascending")])[:sample]
     grade = got.column("grade").to_numpy()
     at = [x.values.to_numpy() for x in got.column("at")]
     value = [x.values.to_numpy().astype(np.float64) for x in got.column("value")]
@@ -134,12 +133,21 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, expected_grade double, tails array<double>").withColumnRenamed("id", id_col)
 
 
-def graded(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents with a grade: 0 toxic, 1 of low quality, 2 fine. A toxic document
-    is the worst whatever its quality; a null label makes no grade."""
+def _order(id_col: str):
+    return F.xxhash64(F.col(id_col).cast("string"))
+
+
+def graded(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Labelled documents with a grade, ``sample`` at most: 0 toxic, 1 of low quality, 2 fine.
+
+    A toxic document is the worst whatever its quality; a null label makes no grade. The
+    sample is taken from ids alone, so that only its texts are moved.
+    """
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, F.when(F.col("toxic") == 0, 1)).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
-    known = labels.select(F.col("doc_id").alias("_label_id"), grade.alias("_grade")).filter("_grade IS NOT NULL").dropDuplicates(["_label_id"])
-    return documents.join(known, F.col("doc_id") == F.col("_label_id")).select("doc_id", "text", F.col("_grade").alias("grade"))
+    known = labels.select(F.col("doc_id").alias("_label_id"), grade.alias("_grade")).filter("_grade IS NOT NULL AND _label_id IS NOT NULL").dropDuplicates(["_label_id"])
+    there = known.join(documents.select(F.col("doc_id").alias("_label_id")), "_label_id", "left_semi")
+    chosen = there.orderBy(_order("_label_id"), "_label_id").limit(sample)
+    return documents.join(F.broadcast(chosen), F.col("doc_id") == F.col("_label_id")).select("doc_id", "text", F.col("_grade").alias("grade"))
 
 
 #: A document is rejected where fine is less likely than this.
