@@ -202,13 +202,13 @@ def fit_trees(cells: list[tuple[dict, float, float]]) -> tuple[float, list[tuple
 
 def train(df: DataFrame) -> Trees:
     """Trees from the cells of all candidates; three quarters of the documents fit them,
-    the others set the threshold. Without positives or negatives nothing is selected."""
+    the others set the threshold. Without positives nothing is selected."""
     x = df.select((F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 4 == 2).alias("held"), F.explode("cand").alias("c"))
     cells = x.groupBy("held", *[F.col(f"c.f.{n}").alias(n) for n in FEATURES]).agg(F.count_if("c.label").alias("pos"), F.count_if(~F.col("c.label")).alias("neg"))
     fit, held = [], []
     for r in sorted(cells.limit(2 * CELLS).collect(), key=tuple):
         (held if r["held"] else fit).append(({n: r[n] for n in FEATURES}, float(r["pos"]), float(r["neg"])))
-    if not sum(c[1] for c in fit) or not sum(c[2] for c in fit) or not held:
+    if not sum(c[1] for c in fit) or not held:
         return Trees(0.0, [], math.inf)
     model = Trees(*fit_trees(fit), math.inf)
     right = picked = 0.0
