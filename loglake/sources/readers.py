@@ -17,7 +17,7 @@ def _options(reader, recursive: bool, extensions: list[str] | None):
 
 def _raw(lines: DataFrame, tenant_id: str, ingest_ts) -> DataFrame:
     path = F.regexp_replace("_metadata.file_path", "^file:/*", "/")
-    df = lines.select(path.alias("source_tag"), F.regexp_replace("value", "\r+$", "").alias("line"), F.monotonically_increasing_id().alias("seq"))
+    df = lines.select(path.alias("source_tag"), F.rtrim("value", F.lit("\r")).alias("line"), F.monotonically_increasing_id().alias("seq"))
     df = df.filter(F.trim("line") != "")
     return df.select(F.lit(tenant_id).alias("tenant_id"), "source_tag", "seq", F.col("line").cast("binary").alias("raw_bytes"), "line", ingest_ts.alias("ingest_ts"))
 
