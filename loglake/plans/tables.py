@@ -48,6 +48,12 @@ def view(spark: SparkSession, sf_dir: str, sql: str, table: str = "events") -> D
     return spark.sql(sql.replace(f"from {table}", f"from {name}"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer splits than there are cores is dealt out; a large one is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def raw(spark: SparkSession, sf_dir: str, sql: str = SEC_LINES) -> DataFrame:
     """Raw records of the lines, with the columns they were made of beside them."""
-    return view(spark, sf_dir, sql).selectExpr("*", "'edge' as source_tag", "cast(line as binary) as raw_bytes", "cast(ts as timestamp) as ingest_ts", "unix_timestamp(cast(ts as timestamp)) as unix_ts", "sev as severity", "cast(0 as bigint) as bytes_out")
+    return spread(view(spark, sf_dir, sql)).selectExpr("*", "'edge' as source_tag", "cast(line as binary) as raw_bytes", "cast(ts as timestamp) as ingest_ts", "unix_timestamp(cast(ts as timestamp)) as unix_ts", "sev as severity", "cast(0 as bigint) as bytes_out")

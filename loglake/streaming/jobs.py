@@ -55,10 +55,11 @@ def stream_burst(events: DataFrame, rates: DataFrame, window: str = "60 seconds"
 _ORDER = "seq"
 
 
-def _keyed(stream: DataFrame, schema: str, state: str, step: Callable, timeout: str) -> DataFrame:
+def _keyed(stream: DataFrame, schema: str, state: str, step: Callable, timeout: str | None) -> DataFrame:
     """Rows of each address in order of seq through ``step(row, state) -> (out, state)``; the
-    state of an address that stays away for ``timeout`` is dropped."""
-    millis = int(timeout.split()[0]) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[timeout.split()[1].rstrip("s")] * 1000
+    state of an address that stays away for ``timeout`` is dropped. With a timeout the query
+    goes on by itself to watch the clock, so a run to the end of its input takes None."""
+    millis = timeout and int(timeout.split()[0]) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[timeout.split()[1].rstrip("s")] * 1000
 
     def run(key, batches: Iterator, group) -> Iterator:
         import pandas as pd
@@ -73,13 +74,14 @@ def _keyed(stream: DataFrame, schema: str, state: str, step: Callable, timeout:
             o, s = step(row, s)
             out.append(o)
         group.update(s)
-        group.setTimeoutDuration(millis)
+        if millis:
+            group.setTimeoutDuration(millis)
         yield pd.DataFrame(out)
 
-    return stream.withColumn("src_ip", source_key()).groupBy("src_ip").applyInPandasWithState(run, schema, state, "append", "ProcessingTimeTimeout")
+    return stream.withColumn("src_ip", source_key()).groupBy("src_ip").applyInPandasWithState(run, schema, state, "append", "ProcessingTimeTimeout" if millis else "NoTimeout")
 
 
-def stream_auth_chain(events: DataFrame, threshold: int = 5, timeout: str = "24 hours") -> DataFrame:
+def stream_auth_chain(events: DataFrame, threshold: int = 5, timeout: str | None = "24 hours") -> DataFrame:
     """(src_ip, seq, chain, fires): failures since the last success, over all batches."""
 
     def step(row, state):
@@ -96,7 +98,7 @@ def stream_auth_chain(events: DataFrame, threshold: int = 5, timeout: str = "24
     return _keyed(cols, "src_ip string, seq long, chain int, fires boolean", "n int", step, timeout)
 
 
-def stream_score(events: DataFrame, window: int = WINDOW, timeout: str = "24 hours") -> DataFrame:
+def stream_score(events: DataFrame, window: int = WINDOW, timeout: str | None = "24 hours") -> DataFrame:
     """(src_ip, seq, z): severity against the last ``window`` events before each one. The
     state is an array of at most ``window`` numbers an address."""
 

@@ -98,9 +98,9 @@ def test_streams_equal_batch(spark, tmp_path):
     rows = [(i, f"ip{i % 3}", "authentication" if i % 4 else "network", ["failure", "failure", "success", "unknown", "failure"][i % 5], float(i % 6)) for i in range(120)]
     d = spark.createDataFrame(rows, "seq long, src_ip string, category string, outcome string, severity double")
     s = _stream(spark, tmp_path, d, "in")
-    got = {(r["seq"], r["chain"]) for r in _run(jobs.stream_auth_chain(s), "chains").collect()}
+    got = {(r["seq"], r["chain"]) for r in _run(jobs.stream_auth_chain(s, timeout=None), "chains").collect()}
     assert got == {(r["seq"], r["chain"]) for r in analytics.auth_failure_chain(d).collect()}
-    z = {r["seq"]: round(r["z"], 6) for r in _run(jobs.stream_score(s, 20), "scores").collect()}
+    z = {r["seq"]: round(r["z"], 6) for r in _run(jobs.stream_score(s, 20, timeout=None), "scores").collect()}
     o = analytics.online_baseline(d, 20)
     o = o.withColumn("z", analytics.z_of(F.col("severity"), F.col("sev_n"), F.col("sev_mean"), F.col("sev_std")))
     assert z == {r["seq"]: round(r["z"], 6) for r in o.collect()}
