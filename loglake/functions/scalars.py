@@ -122,7 +122,7 @@ def cef_header(c: Column) -> Column:
 
 
 def _newlines(c: Column) -> Column:
-    return F.regexp_replace(c, "\r\n|\n|\r", r"\\\\n")
+    return F.regexp_replace(c, "\r\n|\n|\r", r"\\n")
 
 
 def cef_value(c: Column) -> Column:

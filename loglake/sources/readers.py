@@ -15,9 +15,9 @@ def _options(reader, recursive: bool, extensions: list[str] | None):
     return reader
 
 
-def _raw(lines: DataFrame, tenant_id: str, ingest_ts) -> DataFrame:
+def _raw(lines: DataFrame, tenant_id: str, ingest_ts, seq=None) -> DataFrame:
     path = F.regexp_replace("_metadata.file_path", "^file:/*", "/")
-    df = lines.select(path.alias("source_tag"), F.rtrim("value", F.lit("\r")).alias("line"), F.monotonically_increasing_id().alias("seq"))
+    df = lines.select(path.alias("source_tag"), F.rtrim("value", F.lit("\r")).alias("line"), (F.monotonically_increasing_id() if seq is None else seq).alias("seq"))
     df = df.filter(F.trim("line") != "")
     return df.select(F.lit(tenant_id).alias("tenant_id"), "source_tag", "seq", F.col("line").cast("binary").alias("raw_bytes"), "line", ingest_ts.alias("ingest_ts"))
 
@@ -58,11 +58,12 @@ def raw_from_lines(lines: DataFrame, source_tag: str, tenant_id: str = "default"
 
 
 def stream_raw(spark: SparkSession, path: str, tenant_id: str = "default", max_files: int | None = None) -> DataFrame:
-    """New files of a folder as they come; ``max_files`` caps one batch."""
+    """New files of a folder as they come; ``max_files`` caps one batch. A stream cannot
+    number lines: seq is the file's time in microseconds, the same for all its lines."""
     r = _options(spark.readStream, False, None)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return _raw(r.text(path).select("value", "_metadata"), tenant_id, F.current_timestamp())
+    return _raw(r.text(path).select("value", "_metadata"), tenant_id, F.current_timestamp(), F.unix_micros("_metadata.file_modification_time"))
 
 
 def stream_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -81,4 +82,4 @@ def stream_kafka_raw(spark: SparkSession, options: dict[str, str], tenant_id: st
 def stream_socket_raw(spark: SparkSession, host: str, port: int, tenant_id: str = "default") -> DataFrame:
     """Lines of a socket, for tests."""
     s = spark.readStream.format("socket").option("host", host).option("port", port).option("includeTimestamp", "true").load()
-    return s.select(F.lit(tenant_id).alias("tenant_id"), F.lit(f"syslog:{host}").alias("source_tag"), F.monotonically_increasing_id().alias("seq"), F.col("value").cast("binary").alias("raw_bytes"), F.col("value").alias("line"), F.col("timestamp").alias("ingest_ts"))
+    return s.select(F.lit(tenant_id).alias("tenant_id"), F.lit(f"syslog:{host}").alias("source_tag"), F.unix_micros("timestamp").alias("seq"), F.col("value").cast("binary").alias("raw_bytes"), F.col("value").alias("line"), F.col("timestamp").alias("ingest_ts"))
