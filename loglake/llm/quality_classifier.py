@@ -84,14 +84,18 @@ def fit(labelled: DataFrame, grades: int, id_col: str = "doc_id", text_col: str
     ok = labelled.filter(F.col(grade_col).between(0, grades - 1) & F.col(id_col).isNotNull())
     rows = ok.select(F.col(text_col).alias("text"), F.col(grade_col).cast("int").alias("grade"), _order(id_col).alias("o"))
     got = rows.mapInArrow(_features, "at array<int>, value array<float>, grade int, o long").toArrow().sort_by([("o", "ascending"), ("grade", "ascending")])[:sample]
-    grade = got.column("grade").to_numpy()
-    at = [x.values.to_numpy() for x in got.column("at")]
-    value = [x.values.to_numpy().astype(np.float64) for x in got.column("value")]
-    texts = np.bincount(np.concatenate(at), minlength=BUCKETS) if at else np.zeros(BUCKETS)
-    counts = texts >= max(5, LEAST_SHARE * len(at))
+    grade = got.column("grade").to_numpy().copy()
+    flat = got.column("at").combine_chunks().flatten().to_numpy()
+    counts = np.bincount(flat, minlength=BUCKETS) >= max(5, LEAST_SHARE * len(grade))
     counts[:FORM] = True
-    value = [v[counts[i]] for i, v in zip(at, value)]
-    at = [i[counts[i]] for i in at]
+    at, value = [], []
+    for i, v in zip(got.column("at"), got.column("value")):
+        i = i.values.to_numpy()
+        keep = counts[i]
+        at.append(i[keep])
+        value.append(v.values.to_numpy()[keep].astype(np.float64))
+    del got, flat  # the driver holds the kept features only
+    pa.default_memory_pool().release_unused()
     w, theta = np.zeros(BUCKETS), np.linspace(-1.0, 1.0, grades - 1)
     g_w, g_t = np.full(BUCKETS, 1e-2), np.full(grades - 1, 1e-2)
     order = np.random.default_rng(7)
