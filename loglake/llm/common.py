@@ -60,10 +60,12 @@ def fold(id_col, k: int):
 
 def join_hot(rows: DataFrame, groups: DataFrame, key: str | list[str], size_col: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with one row of ``groups`` per key, where a key may hold any share
-    of the rows. Keys with over a thousandth of ``total`` rows number less than 1000,
-    so they are broadcast; all other keys are small and meet in a shuffled join."""
+    of the rows. Keys with over a thousandth of ``total`` rows are broadcast; all other keys
+    are small and meet in a shuffled join. ``size_col`` counts the key's own rows, so that the
+    sizes sum to ``total`` at most and the broadcast ones number less than 1000; a wrong
+    ``total`` makes the broadcast larger, but loses no row."""
     bound = max(1, total // 1000)
-    hot = F.broadcast(groups.filter(F.col(size_col) > bound).limit(1000))
+    hot = F.broadcast(groups.filter(F.col(size_col) > bound))
     cold = groups.filter(F.col(size_col) <= bound)
-    left = rows.join(F.broadcast(groups.filter(F.col(size_col) > bound).limit(1000).select(*([key] if isinstance(key, str) else key))), key, "left_anti")
+    left = rows.join(F.broadcast(groups.filter(F.col(size_col) > bound).select(*([key] if isinstance(key, str) else key))), key, "left_anti")
     return rows.join(hot, key).unionByName(left.join(cold, key, how), allowMissingColumns=True)

@@ -103,9 +103,10 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comp = components(links).withColumnRenamed("node", "h")
     named = copies.join(comp, "h", "left").withColumn("component", F.coalesce("component", "h"))
     merged = named.groupBy("component").agg(F.min("first").alias("class"), F.sum("size").alias("class_size"))
-    table = named.select("h", "n", "component").join(merged, "component").select("h", "n", "class", "class_size")
+    table = named.select("h", "n", "size", "component").join(merged, "component").select("h", "n", "size", "class", "class_size")
     table = materialize(table, "line-classes")
-    out = join_hot(known.filter("h IS NOT NULL"), table, ["h", "n"], "class_size", total).select("id", "pos", "class", "class_size")
+    # hot by its own copies: a class may have any number of distinct lines
+    out = join_hot(known.filter("h IS NOT NULL"), table, ["h", "n"], "size", total).select("id", "pos", "class", "class_size")
     alone = known.filter("h IS NULL").select("id", "pos", F.struct("id", "pos").alias("class"), F.lit(1).cast("long").alias("class_size"))
     out = out.unionByName(alone)
     kept = F.col("id").eqNullSafe(F.col("class.id")) & (F.col("pos") == F.col("class.pos"))

@@ -275,6 +275,13 @@ def test_line_dedup(spark, threshold):
         assert left[i] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if want[i, k] == (i, k)))
 
 
+def test_line_dedup_keeps_every_row_of_a_large_class(spark):
+    lines = [f"Page {i:04d} of the handbook for the operators of the plant" for i in range(3000)]
+    got = line_dedup.line_classes(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")).collect()
+    assert sorted(x["doc_id"] for x in got) == list(range(3000))
+    assert {(x["class_id"], x["class_size"]) for x in got} == {(0, 3000)} and [x["doc_id"] for x in got if x["kept"]] == [0]
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
