@@ -85,7 +85,8 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("role").alias("role"), F.count(F.lit(1)).alias("size")).filter("a <> b AND role = 0")
     shared = materialize(shared.select("key", "size"), "shared-keys")
     total = known.count()
-    wanted = join_hot(keys.select("h", "key"), shared, "key", "size", total).select("h").distinct()
+    key_rows = shared.agg(F.sum("size")).first()[0] or 0  # a line has several keys
+    wanted = join_hot(keys.select("h", "key"), shared, "key", "size", key_rows).select("h").distinct()
 
     # their text, from the first line of each
     first = copies.join(wanted, "h", "left_semi").select(F.col("first.id").alias("id"), F.col("first.pos").alias("pos"), "h", "n")

@@ -282,6 +282,19 @@ def test_line_dedup_keeps_every_row_of_a_large_class(spark):
     assert {(x["class_id"], x["class_size"]) for x in got} == {(0, 3000)} and [x["doc_id"] for x in got if x["kept"]] == [0]
 
 
+def test_line_dedup_follows_every_shared_key(spark):
+    import random
+
+    r = random.Random(5)
+    rows = []
+    for i in range(640):  # two shared keys each, in a table of fewer than 2000 lines
+        x = "".join(r.choices("abcdefgh", k=48))
+        rows += [(3 * i, x), (3 * i + 1, x[:5] + "z" + x[6:]), (3 * i + 2, x[:40] + "z" + x[41:])]
+    got = line_dedup.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert all((x["class_id"], x["class_size"]) == (x["doc_id"] // 3 * 3, 3) for x in got)
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
