@@ -16,8 +16,9 @@ from loglake.llm.common import SPACES, materialize, words_of
 WINDOW = 8
 #: Groups with fewer documents take the thresholds of the level above.
 LEAST_GROUP = 200
-#: The fence is q90 + FENCE * (q90 - q50) + the slack of the ratio.
-FENCE = 4.0
+#: The fence is q75 + FENCE * (q75 - q50) + the slack of the ratio. Junk in less than a
+#: quarter of a group cannot lift it; on a normal distribution it is q90 + 4 * (q90 - q50).
+FENCE = 8.5
 RATIOS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.34, "repeat_ratio": 0.20, "word_length": 2.0}
 
 
@@ -60,7 +61,7 @@ def rule_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 def _fences(sketched: DataFrame, keys: list[str], level: str) -> DataFrame:
     q = lambda r, p: F.kll_sketch_get_quantile_double(F.col(r), F.lit(p))
-    fence = lambda r: q(r, 0.9) + FENCE * (q(r, 0.9) - q(r, 0.5)) + F.lit(RATIOS[r])
+    fence = lambda r: q(r, 0.75) + FENCE * (q(r, 0.75) - q(r, 0.5)) + F.lit(RATIOS[r])
     ok = F.col("n") >= (LEAST_GROUP if keys else 0)
     return sketched.filter(ok).select(*keys, *[fence(r).alias(f"{level}_{r}") for r in RATIOS])
 

@@ -86,6 +86,23 @@ def test_quality_rules(docs):
         assert r["base_failed"] == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r["kept"] and r["base_failed"])
 
 
+@pytest.mark.parametrize("junk", [45, 60])
+def test_quality_fence_is_not_lifted_by_junk(spark, junk):
+    rows = []
+    for i in range(300):  # 15 or 20 in a hundred are junk
+        words = [f"word{i}x{k}" for k in range(40)]
+        if i < junk:
+            words = [w + "#" * (1 + i % 4) for w in words]
+        rows.append((i, " ".join(words), "en", "s"))
+    for i in range(junk):  # and another source with as many of repeated lines
+        rows.append((1000 + i, "\n".join(f"foot {i}\nline {k} of text {i}" for k in range(20)), "en", "t"))
+    for i in range(junk, 300):
+        rows.append((1000 + i, "\n".join(f"line {k} of text {i}" for k in range(20)), "en", "t"))
+    got = by_id(quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    assert not any(r["base_failed"] for r in got.values())
+    assert {i for i, r in got.items() if not r["kept"]} == {i + d for i in range(junk) for d in (0, 1000)}
+
+
 def test_language_id(docs):
     got = by_id(language_id.language_id(docs))
     assert len(got) == len(TEXTS) + 1
