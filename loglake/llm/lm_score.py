@@ -4,7 +4,7 @@ The levels are files in the shared folder, cut into shards whose number follows
 input, and are mapped into memory by the tasks that read them:
 
 * words: sorted 64-bit hashes with their counts; a word's number is its place.
-* successors: for every context the words seen after it twice or more. Contexts, the
+* successors: for every context all words seen after it. Contexts, the
   monotone pointers to their ranges, and the words of a range (relative to the context,
   made monotone by the context's place) are Elias-Fano sequences; the discounted
   probabilities are quantised to 16 bits of their logarithm.
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from loglake.llm.common import fold, materialize, shared_path
 
-#: Successors seen less often are left to the back-off.
-LEAST_COUNT = 2
+#: Successors seen less often are left to the back-off: 1 keeps all.
+LEAST_COUNT = 1
 DISCOUNT = 0.75
 #: A context's successors are dealt to shards in blocks of this many word numbers (a power of 2).
 BLOCK_BITS = 20

@@ -387,6 +387,14 @@ def test_lm_score(docs):
         assert abs(r["base_score"] - sum(uni)) < 1e-6 and abs(r["score"] - sum(full)) < 1e-3 * len(w)
 
 
+def test_lm_score_keeps_pairs_seen_once(spark):
+    model = lm_score.train(spark.createDataFrame([("a b c",), ("c a",)], "text string"))
+    got = lm_score.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model).first()
+    # 7 tokens of 4 words; (end, a) and (a, b) are seen once of two times, (b, end) never
+    want = [0.25 / 2 + 0.75 * 3 / 12, 0.25 / 2 + 0.75 * 2 / 12, 0.75 * 3 / 12]
+    assert abs(got["score"] - sum(map(math.log10, want))) < 3e-3
+
+
 def test_pipeline_runs(spark, tmp_path):
     import corpus_pipeline
 
