@@ -1,12 +1,14 @@
 """Line deduplication by a segment-partition edit join.
 
-Lines within edit distance t are linked. A line is split into t + 1 even segments; one of
-them must occur unchanged in a line within t edits, near its own place. So each line is
-indexed by (its length, segment number, segment), and probes the lengths it may link to
-with the substrings around each segment's place. Where a key is shared, what is left and
-right of the match is compared by an edit distance in a band of the edits that the
-segment's number leaves to each side. Linked lines and exact copies form classes, of
-which the first line stays.
+Lines within edit distance t are linked; t follows the length of the shorter line
+(``BANDS``). A line is split into t + 1 even segments; one of them must occur unchanged in
+a line within t edits, near its own place. So each line is indexed by (its length, segment
+number, segment), and probes the lengths it may link to with the substrings around each
+segment's place. Where very many lines share a key, the same split is done again on the
+side of the match that may hold the most edits, as often as it takes: lines then meet only
+if they share that piece too. Pairs that meet are verified by a bit-parallel edit distance
+in a band of 2t + 2 rows. Linked lines and exact copies form classes, of which the first
+line stays.
 
 Everything is DataFrame expressions. Keys are 64-bit hashes; a line is identified by its
 hash and length.
@@ -14,16 +16,20 @@ hash and length.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loglake.llm.common import SPACES, join_hot, materialize
 from loglake.llm.components import components
 
-#: Largest edit distance of a link.
-THRESHOLD = 1
-#: Shorter lines are left alone.
-LEAST_CHARS = 40
+#: (least characters of the shorter line, edits of a link); 0: exact copies only.
+BANDS = ((0, 0), (16, 1), (128, 2))
+#: Keys of more lines than this are split further.
+CROWD = 64
+#: Places of the filter that is broadcast before texts are moved.
+PLACES = 1 << 18
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -40,66 +46,141 @@ def _segment(n: str, i: int, t: int) -> tuple[str, str]:
     return f"({i - 1} * {base} + {first} + 1)", f"({base} + if({i} > {k} - {extra}, 1, 0))"
 
 
-def _keys(t: int, with_rest: bool) -> str:
-    """SQL: the array of (key, role, left, right) of a line ``l`` of ``n`` characters. Roles: 0
-    index, 1 probe. A probe of its own length and place is also what the index holds."""
-    out = []
-    rest = "substr(l, 1, {p} - 1) as left, substr(l, {p} + {m}) as right" if with_rest else None
-
-    def add(length: str, i: int, p: str, m: str, role: int) -> None:
-        key = f"xxhash64({length}, {i}, substr(l, {p}, {m})) as key, {role} as role, {i} as i"
-        out.append(f"struct({key}{', ' + rest.format(p=p, m=m) if rest else ''})")
-
-    for i in range(1, t + 2):
-        add("n", i, *_segment("n", i, t), 0)
+def _probes(t: int):
+    """(d, i, o, role): a line's segment i, moved by o, is looked for in lines shorter by d.
+    Role 0 is the index, which lines of the same length share as probes."""
     for d in range(t + 1):
         for i in range(1, t + 2):
-            p, m = _segment(f"(n - {d})", i, t)
-            low, high = max(-(i - 1), d - (t + 1 - i)), min(i - 1, d + (t + 1 - i))
-            for o in range(low, high + 1):
-                if d or o:
-                    add(f"n - {d}", i, f"({p} + {o})", m, 1)
-    return f"array({', '.join(out)})"
+            for o in range(max(-(i - 1), d - (t + 1 - i)), min(i - 1, d + (t + 1 - i)) + 1):
+                yield d, i, o, int(bool(d or o))
+
+
+def _arrays(bands, item) -> str:
+    """SQL: for every length that a line ``l`` of ``n`` characters may link to, the array of
+    ``item(length, i, start, segment length, start in the other line, role, t)``."""
+    parts = []
+    for d in range(max(t for _, t in bands) + 1):
+        cases = []
+        for least, t in sorted(bands, reverse=True):
+            items = [(i, o, role) for d_, i, o, role in _probes(t) if d_ == d and t]
+            m = f"(n - {d})"
+            made = [item(m, i, f"({_segment(m, i, t)[0]} + {o})", _segment(m, i, t)[1], _segment(m, i, t)[0], role, t) for i, o, role in items]
+            cases.append(f"when {m} >= {least} then " + (f"array({', '.join(made)})" if made else "null"))
+        parts.append(f"coalesce(case {' '.join(cases)} end, array())")
+    return f"concat({', '.join(parts)})"
+
+
+def _key(m, i, p, w, q, role, t) -> str:
+    return f"((xxhash64({m}, {i}, substr(l, {p}, {w})) & -2L) | {role}L)"
+
 
+def _part(m, i, p, w, q, role, t) -> str:
+    """A key with the side that may hold the most edits, its length in the other line, and edits."""
+    right = t + 1 - i >= i - 1
+    s, yl, e = (f"substr(l, {p} + {w})", f"({m} - {q} - {w} + 1)", t + 1 - i) if right else (f"substr(l, 1, {p} - 1)", f"({q} - 1)", i - 1)
+    return f"struct({_key(m, i, p, w, q, role, t)} as key, {s} as s, int({yl}) as yl, {e} as e)"
 
-def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
+
+def _finer(e: int) -> str:
+    """SQL: the keys of the next split of ``s``, for ``e`` edits."""
+    out = []
+    for j in range(1, e + 2):
+        q, w = _segment("yl", j, e)
+        right = e + 1 - j >= j - 1
+        for o in range(-(j - 1), j):
+            fits = f"abs(length(s) - yl - {o}) <= {e + 1 - j} AND {q} + {o} >= 1"
+            s, yl, e2 = (f"substr(s, {q} + {o} + {w})", f"(yl - {q} - {w} + 1)", e + 1 - j) if right else (f"substr(s, 1, {q} + {o} - 1)", f"({q} - 1)", j - 1)
+            key = f"((xxhash64(key, {j}, substr(s, {q} + {o}, {w})) & -2L) | {'key & 1' if o == 0 else '1L'})"
+            out.append(f"if({fits}, struct({key} as key, {s} as s, int({yl}) as yl, {e2} as e), null)")
+    return f"filter(array({', '.join(out)}), x -> x is not null)"
+
+
+def within(x: str, y: str, t: int) -> str:
+    """SQL condition: the edit distance of ``x`` and ``y``, of ``t`` characters or more, is
+    ``t`` at most. ``t`` is at least 1.
+
+    Bit-parallel in a band: column j holds the vertical differences of rows j + t - 2t - 1
+    to j + t of the table in the bits of two numbers, and a step moves the band down by
+    one. The value on the band's lowest diagonal is counted; from the last row on, that row.
+    """
+    width = 2 * t + 2
+    full, top = (1 << width) - 1, 1 << (width - 1)
+    start = ((1 << (t + 1)) - 1) << (width - t - 1)
+    match = " | ".join(f"if(get(a.x, j + {t - width + k}) = c, {1 << k}L, 0L)" for k in range(width))
+    # one column: the matches m; then d0; then the horizontal differences hp and hn
+    d0 = "((((m & a.vp) + a.vp) ^ a.vp) | m | a.vn)"
+    row = f"shiftleft(1L, int({width - 1} - (j - size(a.x) + {t})))"
+    step = f"""
+      transform(transform(transform(array({match.replace(' = c', ' = get(a.y, j - 1)')}),
+        m -> struct({d0} & {full}L as d0)),
+        u -> struct(u.d0 as d0, (a.vn | ~(u.d0 | a.vp)) & {full}L as hp, u.d0 & a.vp as hn)),
+        u -> struct(a.x as x, a.y as y,
+          (u.hn | ~(shiftright(u.d0, 1) | u.hp)) & {full}L as vp, shiftright(u.d0, 1) & u.hp as vn,
+          a.d + if(j <= size(a.x) - {t}, if((u.d0 & {top}L) = 0, 1, 0), if((u.hp & {row}) != 0, 1, 0) - if((u.hn & {row}) != 0, 1, 0)) as d))[0]"""
+    return f"""(abs(length({x}) - length({y})) <= {t} AND aggregate(sequence(1, length({y})),
+      struct(split({x}, '') as x, split({y}, '') as y, {start}L as vp, 0L as vn, {t} as d), (a, j) -> {step}, a -> a.d) <= {t})"""
+
+
+def _pairs(parts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines that share a key. Rows: key with the role as its last bit, h, s,
+    yl, e. Crowded keys are split until they are small or nothing is left to split."""
+    out = []
+    while True:
+        parts = materialize(parts.withColumn("role", F.col("key").bitwiseAND(1)).withColumn("key", F.col("key").bitwiseAND(-2)), "line-parts")
+        sizes = parts.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("role").alias("least"), F.min("h").alias("a"), F.max("h").alias("b"))
+        met = join_hot(parts, sizes.filter("a <> b AND least = 0").select("key", "size"), "key", "size", parts.count())
+        met = materialize(met, "line-met")
+        few = met.filter(f"size <= {CROWD} OR yl <= e")
+        x, y = few.select("key", "h", "role").alias("x"), few.filter("role = 0").select("key", "h").alias("y")
+        join = x.join(y, F.expr("x.key = y.key AND x.h <> y.h AND (x.role = 1 OR x.h < y.h)"))
+        out.append(materialize(join.select(F.expr("least(x.h, y.h) as a"), F.expr("greatest(x.h, y.h) as b")).distinct(), "line-pairs"))
+        many = met.filter(f"NOT (size <= {CROWD} OR yl <= e)")
+        if many.isEmpty():
+            return reduce(DataFrame.union, out).distinct()
+        most = many.agg(F.max("e")).first()[0]
+        many = many.select("h", F.col("key").bitwiseOR(F.col("role")).alias("key"), "s", "yl", "e")
+        cases = " ".join(f"when e = {e} then {_finer(e)}" for e in range(1, most + 1))
+        parts = many.select("h", F.explode(F.expr(f"case {cases} end")).alias("p")).select("h", "p.*")
+
+
+def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands=BANDS) -> DataFrame:
     """One row per line: id, line_no (from 0), class_id, class_line_no, class_size, kept.
 
-    A class is a connected set of lines, equal or within ``threshold`` edits, and is named
-    by its first line in the order of (id, line_no), which is kept. Lines of fewer than
-    ``least_chars`` characters or without a word are kept, each a class of its own. A null
-    or empty text is one empty line. A null id goes before all others. Rows that share an
-    id and line number are kept if one of them is the first. Other columns are not read;
-    an empty table gives no rows.
+    A class is a connected set of lines, equal or within the edits that ``bands`` allow for
+    the shorter of two, and is named by its first line in the order of (id, line_no), which
+    is kept. Lines without a word are kept, each a class of its own. A null or empty text
+    is one empty line. A null id goes before all others. Rows that share an id and line
+    number are kept if one of them is the first. Other columns, whatever their names, are
+    not read; an empty table gives no rows.
     """
     lines = _lines(df, id_col, text_col)
     n = F.length("l")
-    counted = (n >= least_chars) & (F.btrim("l", F.lit(SPACES)) != "")
+    counted = F.btrim("l", F.lit(SPACES)) != ""
     known = materialize(lines.select("id", "pos", n.alias("n"), F.when(counted, F.xxhash64("l")).alias("h")), "lines")
     copies = known.filter("h IS NOT NULL").groupBy("h", "n").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("size"))
     copies = materialize(copies, "copies")
+    total = known.count()
 
     # keys that two different lines share, one of them by its index
-    counted_lines = lines.filter(counted).select(F.xxhash64("l").alias("h"), n.alias("n"), "l")
-    keys = counted_lines.select("h", F.explode(F.expr(_keys(threshold, False))).alias("k")).select("h", "k.key", "k.role")
+    least = min([b for b, t in bands if t], default=1 << 30)
+    joined = lines.filter(counted & (n >= least)).select(F.xxhash64("l").alias("h"), n.alias("n"), "l")
+    keys = joined.select("h", F.explode(F.expr(_arrays(bands, _key))).alias("k")).select("h", F.col("k").bitwiseAND(-2).alias("key"), F.col("k").bitwiseAND(1).alias("role"))
     shared = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("role").alias("role"), F.count(F.lit(1)).alias("size")).filter("a <> b AND role = 0")
     shared = materialize(shared.select("key", "size"), "shared-keys")
-    total = known.count()
-    key_rows = shared.agg(F.sum("size")).first()[0] or 0  # a line has several keys
-    wanted = join_hot(keys.select("h", "key"), shared, "key", "size", key_rows).select("h").distinct()
-
-    # their text, from the first line of each
-    first = copies.join(wanted, "h", "left_semi").select(F.col("first.id").alias("id"), F.col("first.pos").alias("pos"), "h", "n")
-    named = first.select(F.col("id").alias("i"), F.col("pos").alias("p"), "h", "n")
-    texts = lines.filter(counted).join(named, F.col("id").eqNullSafe(F.col("i")) & (F.col("pos") == F.col("p")) & (F.xxhash64("l") == F.col("h"))).select("h", "n", "l").dropDuplicates(["h"])
+    key_rows = shared.agg(F.sum("size")).first()[0] or 0
+    wanted = materialize(join_hot(keys.select("h", "key"), shared, "key", "size", key_rows).select("h").distinct(), "wanted-lines")
+
+    # their text, from the first line of each; a filter of bounded size goes ahead of the join
+    first = copies.join(wanted, "h", "left_semi").select(F.col("first.id").alias("i"), F.col("first.pos").alias("p"), F.col("h").alias("g"))
+    places = wanted.select(F.pmod("h", F.lit(PLACES)).alias("place")).distinct()
+    near = lines.filter(counted & (n >= least)).withColumn("h", F.xxhash64("l")).join(F.broadcast(places), F.pmod("h", F.lit(PLACES)) == F.col("place"), "left_semi")
+    texts = near.join(first, F.col("id").eqNullSafe(F.col("i")) & (F.col("pos") == F.col("p")) & (F.col("h") == F.col("g"))).select("h", n.alias("n"), "l").dropDuplicates(["h"])
     texts = materialize(texts, "line-texts")
-    parts = texts.select("h", F.explode(F.expr(_keys(threshold, True))).alias("k")).select("h", "k.*").join(shared.select("key"), "key", "left_semi")
-    x, y = parts.alias("x"), parts.filter("role = 0").alias("y")
-    near = " AND ".join(
-        f"(levenshtein(x.{side}, y.{side}, {threshold}) BETWEEN 0 AND {edits})" for side, edits in (("left", "x.i - 1"), ("right", f"{threshold + 1} - x.i"))
-    )
-    links = x.join(y, F.expr(f"x.key = y.key AND x.i = y.i AND (x.role = 1 OR x.h < y.h) AND x.h <> y.h AND {near}"))
-    links = materialize(links.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct(), "line-links")
+    parts = texts.select("h", F.explode(F.expr(_arrays(bands, _part))).alias("k")).select("h", "k.*")
+    pairs = _pairs(parts) if least < 1 << 30 else texts.select(F.col("h").alias("a"), F.col("h").alias("b")).limit(0)
+    j = pairs.join(texts.select(F.col("h").alias("a"), F.col("l").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("l").alias("y")), "b")
+    fits = " ".join(f"when least(length(x), length(y)) >= {b} then {within('x', 'y', t) if t else 'false'}" for b, t in sorted(bands, reverse=True))
+    links = materialize(j.filter(F.expr(f"case {fits} end")).select("a", "b"), "line-links")
 
     comp = components(links).withColumnRenamed("node", "h")
     named = copies.join(comp, "h", "left").withColumn("component", F.coalesce("component", "h"))
@@ -116,9 +197,14 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """All columns of ``df``, with the lines left out that are not the first of their class.
-    Documents without a repeated line, null texts and null ids are not changed."""
+
+    Documents without a repeated line, null texts and null ids are not changed; an empty
+    table stays empty. Rows that share an id lose the lines of all of them. Further columns
+    may have any names.
+    """
     lines = line_classes(df, id_col, text_col, **how)
-    gone = lines.filter(f"NOT kept AND `{id_col}` IS NOT NULL").groupBy(id_col).agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed(id_col, "_gone_id")
-    j = df.join(gone, F.col(id_col) == F.col("_gone_id"), "left")
-    stay = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (x, i) -> not array_contains(_gone, i)), '\\n')")
-    return j.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(stay)).select(*df.columns)
+    gone = lines.filter(F.col("kept") == F.lit(False)).filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.collect_set("line_no").alias("gone"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("all"))
+    stay = F.expr("array_join(filter(split(t, '\\n'), (x, i) -> not array_contains(gone, i)), '\\n')")
+    j = rows.join(gone, "id", "left").withColumn("t", F.when(F.col("gone").isNull(), F.col("t")).otherwise(stay))
+    return j.select(*[F.col("t").alias(c) if c == text_col else F.col("all")[c].alias(c) for c in df.columns])

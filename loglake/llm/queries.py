@@ -65,14 +65,13 @@ ORACLE = {
     "op3_line_dedup": """
         WITH RECURSIVE
         l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents),
-        c AS (SELECT *, length(l) >= 40 AND trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' AS counted FROM l),
+        c AS (SELECT *, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' AS counted FROM l),
         d AS (SELECT l, length(l) AS n, min((doc_id, line_no)) AS f, count(*) AS size FROM c WHERE counted GROUP BY 1, 2),
-        -- within one edit the first or the second half of the shorter line stays as it is
-        h AS (SELECT l, n, n AS m, f FROM d UNION ALL SELECT l, n, n - 1, f FROM d),
-        p AS (SELECT a.l AS a, b.l AS b FROM h a JOIN h b ON a.m = b.m AND left(a.l, (a.m // 2)::INT) = left(b.l, (b.m // 2)::INT) AND a.l < b.l
-              UNION SELECT a.l, b.l FROM h a JOIN h b ON a.m = b.m AND right(a.l, (a.m - a.m // 2)::INT) = right(b.l, (b.m - b.m // 2)::INT) AND a.l < b.l),
-        e AS (SELECT a, b FROM p WHERE levenshtein(a, b) <= 1),
-        e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        -- within two edits a third of the shorter line stays as it is, at most two places away
+        s AS MATERIALIZED (SELECT l, n, CASE WHEN n >= 128 THEN 2 ELSE 1 END AS t, left(l, (n // 3)::INT) AS a, right(l, (n // 3)::INT) AS z, substr(l, (n // 3 + 1)::INT, (n // 3)::INT) AS m FROM d WHERE n >= 16),
+        p AS MATERIALIZED (SELECT x.l AS a, y.l AS b, x.t FROM s x JOIN d y ON y.n BETWEEN x.n AND x.n + 2 AND x.l <> y.l AND (starts_with(y.l, x.a) OR ends_with(y.l, x.z) OR contains(y.l, x.m))),
+        e AS (SELECT a, b FROM p WHERE levenshtein(a, b) <= t),
+        e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
         r AS (SELECT a AS s, a AS t FROM e2 UNION SELECT r.s, e2.b FROM r JOIN e2 ON r.t = e2.a),
         g AS (SELECT s AS l, min(d.f) AS f, sum(d.size) AS size FROM (SELECT DISTINCT s, t FROM r) x JOIN d ON d.l = x.t GROUP BY 1)
         SELECT c.doc_id, c.line_no::INT AS line_no,
