@@ -1,17 +1,22 @@
 """Language-model scoring with a trie of n-grams in Elias-Fano levels.
 
-The levels are files in the shared folder, cut into shards whose number follows the
-input, and are mapped into memory by the tasks that read them:
-
-* words: sorted 64-bit hashes with their counts; a word's number is its place.
-* successors: for every context all words seen after it. Contexts, the
-  monotone pointers to their ranges, and the words of a range (relative to the context,
-  made monotone by the context's place) are Elias-Fano sequences; the discounted
-  probabilities are quantised to 16 bits of their logarithm.
-* back-off: the mass that each context leaves to all words.
-
-p(w | c) = kept(c, w) + backoff(c) * (count(w) + 1) / (N + V + 1), which sums to one over
-the vocabulary and one unknown word.
+Texts are cut into chunks of whole rows. For each order of the model, a chunk sends its
+distinct n-grams, with their counts in training rows, to the shards of that level; a shard
+adds them up, writes its part of the trie, looks every n-gram up in it, and answers the
+chunk. So a task reads its own shard only, whatever the size of the model, and what moves
+is added up before.
+
+Levels are files in the shared folder, mapped into memory where it is mounted:
+
+* words: Elias-Fano sequence of 64-bit hashes, and their counts. A word's number is its
+  place in the shard, then the shard.
+* pairs and triples: the contexts (numbers of a word, of a pair), the monotone pointers to
+  their successors, and the successors (relative to the context, made monotone by the
+  context's place) are Elias-Fano sequences; probabilities are 16-bit codes of logarithms.
+
+p(w | c) = kept(c, w) + (1 - kept mass) * p(w | shorter c), with kept(c, w) = n(c w) / (n(c) + m)
+and mass m / (n(c) + m) for the shorter context; p(w) = (n(w) + 1) / (N + V + 1). It sums to
+one over the vocabulary and one unknown word. Nothing is pruned.
 """
 
 from __future__ import annotations
@@ -21,24 +26,26 @@ import os
 import posixpath
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglake.llm.common import fold, materialize, shared_path
 
-#: Successors seen less often are left to the back-off: 1 keeps all.
-LEAST_COUNT = 1
-DISCOUNT = 0.75
+#: Weight of the shorter context, as a count: for pairs, for triples.
+WEIGHTS = (8.0, 3.0)
+#: Tokens of a chunk, and tokens for each shard.
+CHUNK, SHARD = 2_000_000, 1_000_000
 #: A context's successors are dealt to shards in blocks of this many word numbers (a power of 2).
-BLOCK_BITS = 20
-#: Words that a task handles at once.
-AT_ONCE = 1_000_000
+BLOCK_BITS = 8
 #: Quantised probabilities: code q stands for 2 ** (-q / STEPS).
-STEPS = 2048
+STEPS = 1024
+ABSENT = 65535
 _U = np.uint64
 
 
@@ -85,6 +92,11 @@ def read_arrays(uri: str) -> dict[str, np.ndarray]:
     return {k: raw[start + at : start + at + np.dtype(t).itemsize * m].view(t) for k, (t, m, at) in head.items()}
 
 
+def _exists(uri: str) -> bool:
+    fs, path = _fs(uri)
+    return bool(fs.get_file_info(path).is_file)
+
+
 # --- Elias-Fano ----------------------------------------------------------------------------
 
 
@@ -104,7 +116,7 @@ class EliasFano:
     @staticmethod
     def build(values: np.ndarray, universe: int, name: str) -> dict[str, np.ndarray]:
         n = len(values)
-        low_bits = max(1, (universe // max(1, n)).bit_length() - 1)
+        low_bits = min(63, max(1, (universe // max(1, n)).bit_length() - 1))
         kind = next(k for b, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if low_bits <= b)
         high = (values >> _U(low_bits)).astype(np.int64)
         size = n + (universe >> low_bits) + 2
@@ -165,6 +177,48 @@ class EliasFano:
         return out
 
 
+# --- what moves ----------------------------------------------------------------------------
+
+
+def pack(arrays: dict[str, np.ndarray]) -> bytes:
+    """Arrays of whole numbers as compressed bytes: first bytes together, then second ones."""
+    head, body = [], []
+    for k, a in arrays.items():
+        a = np.ascontiguousarray(a)
+        head.append([k, a.dtype.str, len(a)])
+        body.append(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
+    raw = json.dumps(head).encode()
+    return zstandard.ZstdCompressor(level=1).compress(len(raw).to_bytes(8, "little") + raw + b"".join(body))
+
+
+def unpack(blob: bytes) -> dict[str, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:8], "little")
+    out, at = {}, 8 + n
+    for k, kind, size in json.loads(raw[8 : 8 + n]):
+        width = np.dtype(kind).itemsize
+        part = np.frombuffer(raw, np.uint8, width * size, at).reshape(width, size)
+        out[k] = np.ascontiguousarray(part.T).view(kind).ravel()
+        at += width * size
+    return out
+
+
+def _write(uri: str, data: bytes) -> None:
+    """A file that takes its name when it is complete."""
+    fs, path = _fs(uri)
+    fs.create_dir(posixpath.dirname(path), recursive=True)
+    spare = f"{path}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(spare) as f:
+        f.write(data)
+    fs.move(spare, path)
+
+
+def _read(uri: str) -> bytes:
+    fs, path = _fs(uri)
+    with fs.open_input_file(path) as f:
+        return f.read()
+
+
 # --- words ---------------------------------------------------------------------------------
 
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word has this form
@@ -178,318 +232,403 @@ class _Hashes(dict):
         return got
 
 
-def _tokens(batches) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """Groups of whole rows: other columns of each row, hashes of their tokens with an end
-    after each text, and the row of every token."""
+def _chunks(batches) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks of whole rows (id, train, text): ids, training marks, lengths, hashes of the
+    tokens, of which the last one of each text is the end."""
     hashes = _Hashes()
-    rows, parts, size = [], [], 0
+    ids, train, parts, size = [], [], [], 0
+
+    def chunk():
+        return pa.chunked_array(ids).combine_chunks(), np.array(train, np.uint8), np.array([len(p) for p in parts], np.int64), np.concatenate(parts)
+
     for b in batches:
-        for *other, text in zip(*[b.column(i) for i in range(b.num_columns)]):
+        start = 0
+        marks = b.column(1).to_pylist()
+        for r, text in enumerate(b.column(2)):
             words = (text.as_py() or "").encode().lower().split()  # bytes: A-Z and ASCII spaces only
             h = np.empty(len(words) + 1, np.uint64)
             h[:-1] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
             h[-1] = END
-            rows.append([x.as_py() for x in other])
             parts.append(h)
+            train.append(marks[r])
             size += len(h)
-            if size >= AT_ONCE:
-                yield rows, np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-                rows, parts, size = [], [], 0
-    if rows:
-        yield rows, np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-
-
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    return k[start], np.add.reduceat(c, start)
-
-
-def _sums(groups, most: int = 4_000_000):
-    """Batches of (keys, counts), added up as far as ``most`` keys fit."""
-    keys, counts, size = [], [], 0
-    for k, c in groups:
-        keys.append(k)
-        counts.append(c)
-        size += len(k)
-        if size > most:
-            k, c = _merged(keys, counts)
-            if len(k) > most // 2:
-                yield k, c
-                keys, counts, size = [], [], 0
-            else:
-                keys, counts, size = [k], [c], len(k)
-    if size:
-        yield _merged(keys, counts)
+            if size >= CHUNK:
+                ids.append(b.column(0).slice(start, r + 1 - start))
+                yield chunk()
+                ids, train, parts, size, start = [], [], [], 0, r + 1
+        if start < b.num_rows:
+            ids.append(b.column(0).slice(start))
+    if parts:
+        yield chunk()
 
 
-def _rows(shard: np.ndarray, k: np.ndarray, c: np.ndarray):
-    for at in range(0, len(k), 100_000):
-        s = slice(at, at + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(shard[s].astype(np.int32)), pa.array(k[s].view(np.int64)), pa.array(c[s])], names=["shard", "k", "c"])
+# --- shards --------------------------------------------------------------------------------
 
 
-def _by_shard(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The shards of one partition, merged; their rows are bounded by the dealing."""
-    shard, k, c = ([] for _ in range(3))
-    for b in batches:
-        for col, to in zip(range(3), (shard, k, c)):
-            to.append(b.column(col).to_numpy(zero_copy_only=False))
-    if shard:
-        shard, k, c = np.concatenate(shard), np.concatenate(k).view(np.uint64), np.concatenate(c)
-        for s in np.unique(shard):
-            own = shard == s
-            yield int(s), *_merged([k[own]], [c[own]])
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[start], np.add.reduceat(counts, start) if len(keys) else counts
 
 
-# --- building ------------------------------------------------------------------------------
+def _mix(c: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The hash by which a context's block of successors is dealt."""
+    x = (c * _U(0x9E3779B97F4A7C15)) ^ (w >> _U(BLOCK_BITS))
+    x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
+    return x ^ (x >> _U(33))
 
 
 class Words:
-    """Numbers and counts of words, over the shards of the first level."""
-
-    def __init__(self, uri: str, sizes: list[int]):
-        self.uri, self.shards = uri, len(sizes)
-        self.offsets = np.r_[0, np.cumsum(sizes)].astype(np.int64)
-        self.open: dict[int, dict] = {}
-
-    def _shard(self, s: int) -> dict:
-        if s not in self.open:
-            self.open[s] = read_arrays(f"{self.uri}/words-{s}")
-        return self.open[s]
-
-    def number(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers (-1: unknown) and counts of sorted hashes."""
-        out, count = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        width = (1 << 64) // self.shards + 1
-        cuts = np.searchsorted(h, np.array([min(s * width, (1 << 64) - 1) for s in range(self.shards)], np.uint64))
-        for s, (a, z) in enumerate(zip(cuts, [*cuts[1:], len(h)])):
-            if a < z and self.offsets[s + 1] > self.offsets[s]:
-                level = self._shard(s)
-                at = np.minimum(np.searchsorted(level["hash"], h[a:z]), len(level["hash"]) - 1)
-                hit = level["hash"][at] == h[a:z]
-                out[a:z] = np.where(hit, at + self.offsets[s], -1)
-                count[a:z] = np.where(hit, level["count"][at], 0)
-        return out, count
-
-    def counts(self, numbers: np.ndarray) -> np.ndarray:
-        """Counts of ascending numbers."""
-        out = np.zeros(len(numbers), np.int64)
-        cuts = np.searchsorted(numbers, self.offsets)
-        for s in range(self.shards):
-            if cuts[s] < cuts[s + 1]:
-                out[cuts[s] : cuts[s + 1]] = self._shard(s)["count"][numbers[cuts[s] : cuts[s + 1]] - self.offsets[s]]
-        return out
+    """The first level of a shard."""
 
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.hashes, self.counts = EliasFano(arrays, "hash"), arrays["count"]
 
-def _mix(c: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The hash by which a context's block of successors is dealt."""
-    x = (c << _U(12)) ^ (w >> _U(BLOCK_BITS))
-    x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
-    return x ^ (x >> _U(33))
+    @staticmethod
+    def build(parts: list[dict], low: int, width: int) -> dict[str, np.ndarray]:
+        h, n = (np.concatenate([p[k] for p in parts]) for k in ("hash", "n"))
+        h, n = _added(h[n > 0], n[n > 0].astype(np.int64))
+        kind = np.min_scalar_type(int(n.max())) if len(n) else np.uint8
+        return EliasFano.build(h - _U(low), width, "hash") | {"count": n.astype(kind)}
+
+    def answer(self, part: dict, low: int) -> dict[str, np.ndarray]:
+        at = self.hashes.find(part["hash"] - _U(low))
+        known = at >= 0
+        count = np.zeros(len(at), np.uint64)
+        count[known] = self.counts[at[known]]
+        return {"number": np.where(known, at, 0).astype(np.uint64), "count": count}
 
 
 class Successors:
-    """Discounted probabilities of (context, word), over the shards of the second level."""
+    """A later level of a shard: probabilities of (context, word)."""
 
-    def __init__(self, uri: str, filled: set[int], shards: int):
-        self.uri, self.filled, self.shards, self.open = uri, filled, shards, {}
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.contexts, self.pointers, self.words = (EliasFano(arrays, k) for k in ("contexts", "pointers", "words"))
+        self.code, self.bits = arrays["code"], _U(arrays["bits"][0])
 
     @staticmethod
-    def build(c: np.ndarray, w: np.ndarray, p: np.ndarray) -> dict[str, np.ndarray]:
-        """Of (context, word) pairs in ascending order."""
-        block = (c << _U(12)) | (w >> _U(BLOCK_BITS))
-        start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        place = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(c)])).astype(np.uint64)
-        relative = (place << _U(BLOCK_BITS)) | (w & _U((1 << BLOCK_BITS) - 1))
-        code = np.clip(np.rint(-np.log2(p) * STEPS), 0, 65535).astype(np.uint16)
+    def build(parts: list[dict], weight: float) -> dict[str, np.ndarray]:
+        contexts, totals = (np.concatenate([p[k] for p in parts]) for k in ("context", "total"))
+        order = np.unique(contexts, return_index=True)
+        contexts, totals = order[0], totals[order[1]]
+        # a pair is its context's place among the contexts, and the word
+        bits = _U(max(1, int(max((p["word"].max() for p in parts if len(p["word"])), default=0)).bit_length()))
+        keys = [(np.repeat(np.searchsorted(contexts, p["context"]), p["runs"]).astype(np.uint64) << bits) | p["word"] for p in parts]
+        n = np.concatenate([p["n"] for p in parts]).astype(np.int64)
+        keys, n = _added(np.concatenate(keys)[n > 0], n[n > 0])
+        place = (keys >> bits).astype(np.int64)
+        start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        kept = place[start]
+        relative = (np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(keys)])).astype(np.uint64) << bits) | (keys & ((_U(1) << bits) - _U(1)))
+        p = n / (totals[place] + weight)
         return (
-            EliasFano.build(block[start], int(block[-1]) + 1, "contexts")
-            | EliasFano.build(np.r_[start, len(c)].astype(np.uint64), len(c) + 1, "pointers")
-            | EliasFano.build(relative, len(start) << BLOCK_BITS, "words")
-            | {"code": code}
+            EliasFano.build(contexts[kept], int(contexts[kept][-1]) + 1 if len(kept) else 1, "contexts")
+            | EliasFano.build(np.r_[start, len(keys)].astype(np.uint64), len(keys) + 1, "pointers")
+            | EliasFano.build(relative, max(1, len(start)) << int(bits), "words")
+            | {"code": np.clip(np.rint(-np.log2(p) * STEPS), 0, ABSENT - 1).astype(np.uint16), "bits": np.array([bits], np.int64)}
         )
 
-    def kept(self, c: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Probabilities of pairs of known words; 0 where nothing is kept."""
-        out = np.zeros(len(c))
-        shard = (_mix(c, w) % _U(self.shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s in self.filled:
-            own = order[cuts[s] : cuts[s + 1]]
-            if not len(own):
-                continue
-            if s not in self.open:
-                a = read_arrays(f"{self.uri}/successors-{s}")
-                self.open[s] = (*[EliasFano(a, k) for k in ("contexts", "pointers", "words")], a["code"])
-            contexts, pointers, words, code = self.open[s]
-            block, of = np.unique((c[own] << _U(12)) | (w[own] >> _U(BLOCK_BITS)), return_inverse=True)
-            found = contexts.find(block)
-            range_of = np.maximum(found, 0)
-            place = found[of]
-            own, of, place = own[place >= 0], of[place >= 0], place[place >= 0]
-            if not len(own):
-                continue
-            first, last = (pointers.access(range_of + i).astype(np.int64)[of] for i in (0, 1))
-            x = (place.astype(np.uint64) << _U(BLOCK_BITS)) | (w[own] & _U((1 << BLOCK_BITS) - 1))
-            at = words.find(x, first, last)
-            out[own[at >= 0]] = 2.0 ** (-code[at[at >= 0]].astype(np.float64) / STEPS)
-        return out
+    def answer(self, part: dict) -> dict[str, np.ndarray]:
+        """Places and codes of the pairs of a part, in their order."""
+        number, code = np.zeros(len(part["word"]), np.uint64), np.full(len(part["word"]), ABSENT, np.uint16)
+        found = self.contexts.find(part["context"])
+        place = np.repeat(found, part["runs"])
+        ok = np.flatnonzero((place >= 0) & (part["word"] >> self.bits == 0))
+        if len(ok):
+            near = np.maximum(found, 0)
+            first, last = (np.repeat(self.pointers.access(near + i).astype(np.int64), part["runs"])[ok] for i in (0, 1))
+            at = self.words.find((place[ok].astype(np.uint64) << self.bits) | part["word"][ok], first, last)
+            ok, at = ok[at >= 0], at[at >= 0]
+            number[ok], code[ok] = at, self.code[at]
+        return {"number": number, "code": code}
+
+
+@dataclass
+class Model:
+    """Where the levels are, in how many shards; training tokens and distinct ones."""
 
+    uri: str
+    shards: int
+    tokens: int = 0
+    vocabulary: int = 0
 
-class Backoff:
-    def __init__(self, uri: str, filled: set[int], width: int):
-        self.uri, self.filled, self.width, self.open = uri, filled, width, {}
-
-    def mass(self, numbers: np.ndarray) -> np.ndarray:
-        """What contexts (ascending; -1: unknown) leave to all words."""
-        out = np.ones(len(numbers))
-        shard = numbers // self.width
-        for s in np.unique(shard[numbers >= 0]):
-            if int(s) in self.filled:
-                if int(s) not in self.open:
-                    self.open[int(s)] = read_arrays(f"{self.uri}/backoff-{s}")
-                own = np.flatnonzero(shard == s)
-                level = self.open[int(s)]
-                at = np.minimum(np.searchsorted(level["context"], numbers[own]), len(level["context"]) - 1)
-                out[own] = np.where(level["context"][at] == numbers[own], level["mass"][at], 1.0)
-        return out
 
+MOVED = "shard int, chunk string, blob binary, tokens long, words long"
 
-def _pairs(h: np.ndarray, row: np.ndarray, words: Words):
-    """Numbers and counts of the tokens, and the number of what stands before each one; a
-    text begins after an end."""
-    kinds, which = np.unique(h, return_inverse=True)
-    number, count = words.number(kinds)
-    end = int(number[np.searchsorted(kinds, _U(END))])
-    now = number[which]
-    before = np.r_[end, now[:-1]]
-    before[np.r_[True, row[1:] != row[:-1]]] = end
-    return kinds, number, count, which, before, now
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in MOVED.split(", ")])
 
-class Model:
-    def __init__(self, uri, sizes, tokens, shards=0, filled=(), back_filled=(), width=1):
-        self.words_of = (uri, sizes)
-        self.tokens, self.vocabulary = tokens, sum(sizes)
-        self.successors_of = (uri, set(filled), shards)
-        self.backoff_of = (uri, set(back_filled), width)
 
+def _groups(batches, key: int) -> Iterator[tuple]:
+    """Rows that come sorted by a column, group by group: (key, [rows])."""
+    now, held = None, []
+    for b in batches:
+        for row in zip(*[b.column(i) for i in range(b.num_columns)]):
+            row = tuple(x.as_py() for x in row)
+            if row[key] != now and held:
+                yield now, held
+                held = []
+            now = row[key]
+            held.append(row)
+    if held:
+        yield now, held
 
-def train(df: DataFrame, text_col: str = "text") -> Model:
-    """Counts all texts and writes the levels to the shared folder.
 
-    The numbers of shards follow the partitions of the input, so what one task merges
-    does not grow. The driver gets a size for each shard.
-    """
-    spark = df.sparkSession
-    uri = shared_path(spark, "lm")
-    if "://" not in uri:
-        uri = "file://" + uri if uri.startswith("/") else uri.replace("file:/", "file:///")
-    texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = max(1, texts.rdd.getNumPartitions())
-    shards = parts
-    width = (1 << 64) // shards + 1
-
-    def count_words(batches):
-        for k, c in _sums(np.unique(h, return_counts=True) for _, h, _ in _tokens(batches)):
-            cuts = np.searchsorted(k, np.array([min(s * width, (1 << 64) - 1) for s in range(1, shards)], np.uint64))
-            yield from _rows(np.repeat(np.arange(shards), np.diff(np.r_[0, cuts, len(k)])), k, c.astype(np.int64))
-
-    def write_words(batches):
-        for s, k, c in _by_shard(batches):
-            write_arrays(f"{uri}/words-{s}", {"hash": k, "count": c})
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(k)], pa.int64()), pa.array([int(c.sum())], pa.int64())], names=["shard", "k", "c"])
-
-    row = "shard int, k long, c long"
-    sizes, tokens = [0] * shards, 0
-    for r in texts.mapInArrow(count_words, row).repartition(shards, "shard").mapInArrow(write_words, row).collect():
-        sizes[r["shard"]] = r["k"]
-        tokens += r["c"]
-    if not tokens:
-        return Model(uri, sizes, 0)
-    pair_shards = 2 * parts
-
-    def count_pairs(batches):
-        words = Words(uri, sizes)
-
-        def groups():
-            for _, h, at in _tokens(batches):
-                *_, before, now = _pairs(h, at, words)
-                yield np.unique((before.astype(np.uint64) << _U(32)) | now.astype(np.uint64), return_counts=True)
-
-        for k, c in _sums(groups()):
-            yield from _rows(_mix(k >> _U(32), k & _U(0xFFFFFFFF)) % _U(pair_shards), k, c.astype(np.int64))
-
-    def write_pairs(batches):
-        words = Words(uri, sizes)
-        for s, k, n in _by_shard(batches):
-            k, n = k[n >= LEAST_COUNT], n[n >= LEAST_COUNT]
-            if not len(k):
-                continue
-            c, w = k >> _U(32), k & _U(0xFFFFFFFF)
-            kinds, which = np.unique(c, return_inverse=True)
-            total = words.counts(kinds.astype(np.int64))
-            arrays = Successors.build(c, w, (n - DISCOUNT) / total[which])
-            write_arrays(f"{uri}/successors-{s}", arrays)
-            mass = np.bincount(which, weights=2.0 ** (-arrays["code"].astype(np.float64) / STEPS), minlength=len(kinds))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), s, np.int32)), pa.array(kinds.astype(np.int64)), pa.array(mass)], names=["shard", "context", "mass"])
-
-    kept = materialize(texts.mapInArrow(count_pairs, row).repartition(pair_shards, "shard").mapInArrow(write_pairs, "shard int, context long, mass double"), "lm-mass")
-    filled = [r["shard"] for r in kept.select("shard").distinct().collect()]
-    span = max(1, -(-sum(sizes) // shards))
-
-    def write_backoff(batches):
-        held: dict[int, list] = {}
-        for b in batches:
-            for s, c, m in zip(*[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]):
-                held.setdefault(int(s), []).append((int(c), float(m)))
-        for s, pairs in held.items():
-            pairs.sort()
-            write_arrays(f"{uri}/backoff-{s}", {"context": np.array([p[0] for p in pairs], np.int64), "mass": np.maximum(0.0, 1.0 - np.array([p[1] for p in pairs]))})
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32())], names=["shard"])
+def _level(model: Model, order: int, build: bool):
+    """The task of one shard of a level: builds it or opens it, and answers every chunk."""
+    width = (1 << 64) // model.shards + 1
+
+    def run(batches):
+        for s, rows in _groups(batches, 0):
+            parts = [unpack(r[2]) for r in rows]
+            uri, low = f"{model.uri}/level{order}-{s}", s * width
+            if build or not _exists(uri):  # a shard without training rows has no file
+                seen = parts if build else [{k: v[:0] for k, v in p.items()} for p in parts]
+                arrays = Words.build(seen, low, width) if order == 1 else Successors.build(seen, WEIGHTS[order - 2])
+                if build:
+                    write_arrays(uri, arrays)
+            else:
+                arrays = read_arrays(uri)
+            level = Words(arrays) if order == 1 else Successors(arrays)
+            if order == 1:
+                yield _rows([(s, None, None, int(arrays["count"].sum(dtype=np.int64)), len(arrays["count"]))])
+            for part, r in zip(parts, rows):
+                got = level.answer(part, low) if order == 1 else level.answer(part)
+                got["number"] = got["number"] * _U(model.shards) + _U(s)
+                if order == 3:
+                    del got["number"]
+                yield _rows([(s, r[1], pack(got), 0, 0)])
 
-    sums = kept.groupBy("context").agg(F.sum("mass").alias("mass")).select(F.floor(F.col("context") / span).cast("int").alias("shard"), "context", "mass")
-    back = [r["shard"] for r in sums.repartition(shards, "shard").mapInArrow(write_backoff, "shard int").collect()]
-    return Model(uri, sizes, tokens, pair_shards, filled, back, span)
+    return run
 
 
-def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, n_known, train_tokens, base_score, score: a row for every row. A null
-    or empty text is one end. Without training texts all probabilities are one."""
+# --- chunks --------------------------------------------------------------------------------
+
+
+def _send(chunk: str, context, total, word, n, shards: int) -> tuple[np.ndarray, list[tuple]]:
+    """The distinct (context, word) pairs of a chunk for the shards; which one each token is."""
+    bits = _U(max(1, int(word.max(initial=0)).bit_length()))
+    if int(context.max(initial=0)).bit_length() + int(bits) <= 64:
+        places = None
+        key = (context << bits) | word
+    else:
+        places, dense = np.unique(context, return_inverse=True)
+        key = (dense.astype(np.uint64) << bits) | word
+    keys, first, which = np.unique(key, return_index=True, return_inverse=True)
+    count = np.bincount(which, weights=n, minlength=len(keys)).astype(np.uint32)
+    c, w, t = context[first], word[first], total[first]
+    shard = (_mix(c, w) % _U(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    c, w, t, count = c[order], w[order], t[order], count[order]
+    rows = []
+    for s in range(shards):
+        own = slice(cuts[s], cuts[s + 1])
+        if cuts[s] < cuts[s + 1]:
+            start = np.flatnonzero(np.r_[True, c[own][1:] != c[own][:-1]])
+            runs = np.diff(np.r_[start, cuts[s + 1] - cuts[s]]).astype(np.uint32)
+            rows.append((s, chunk, pack({"context": c[own][start], "total": t[own][start], "runs": runs, "word": w[own], "n": count[own]}), 0, 0))
+    back = np.empty(len(order), np.int32)
+    back[order] = np.arange(len(order), dtype=np.int32)
+    return back[which], rows
+
+
+def _joined(rows: list[tuple], key: str) -> np.ndarray:
+    return np.concatenate([a[key] for a in rows]) if rows else np.zeros(0, np.uint16)
+
+
+def _answers(rows: list[tuple]) -> list[dict]:
+    """The answers to a chunk in the order in which it asked; a chunk's own row has none."""
+    return [unpack(r[2]) for r in sorted((r for r in rows if r[2] is not None), key=lambda r: r[0])]
+
+
+class Chunk:
+    """One chunk's files in the shared folder: what it has sent and been told."""
+
+    def __init__(self, uri: str, name: str):
+        self.at = f"{uri}/chunk-{name}"
+
+    def save(self, part: str, **arrays) -> None:
+        _write(f"{self.at}-{part}", pack(arrays))
+
+    def load(self, part: str) -> dict[str, np.ndarray]:
+        return unpack(_read(f"{self.at}-{part}"))
+
+
+def _tokenise(uri: str):
+    def run(batches):
+        for ids, train, sizes, h in _chunks(batches):
+            name = uuid.uuid4().hex
+            kinds, which = np.unique(h, return_inverse=True)
+            n = np.bincount(which, weights=np.repeat(train, sizes), minlength=len(kinds)).astype(np.uint32)
+            Chunk(uri, name).save("text", train=train, sizes=sizes, kinds=kinds, n=n, which=which.astype(np.int32))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as f:
+                f.write_batch(pa.RecordBatch.from_arrays([ids], names=["id"]))
+            _write(f"{uri}/chunk-{name}-ids", sink.getvalue().to_pybytes())
+            yield _rows([(None, name, None, len(h), len(sizes))])
+
+    return run
+
+
+def _send_words(model: Model):
+    def run(batches):
+        width = (1 << 64) // model.shards + 1
+        for b in batches:
+            for name in b.column(1).to_pylist():
+                text = Chunk(model.uri, name).load("text")
+                cuts = np.searchsorted(text["kinds"], np.array([min(s * width, (1 << 64) - 1) for s in range(model.shards)], np.uint64))
+                rows = [(s, name, pack({"hash": text["kinds"][a:z], "n": text["n"][a:z]}), 0, 0) for s, (a, z) in enumerate(zip(cuts, [*cuts[1:], len(text["kinds"])])) if a < z]
+                yield _rows(rows)
+
+    return run
+
 
+def _send_pairs(model: Model):
     def run(batches):
-        words, successors, backoff = Words(*model.words_of), Successors(*model.successors_of), Backoff(*model.backoff_of)
-        below = model.tokens + model.vocabulary + 1
-        for rows, h, at in _tokens(batches):
-            kinds, number, count, which, before, now = _pairs(h, at, words)
-            single = (count + 1) / below
-            pair, back = np.unique(((before + 1).astype(np.uint64) << _U(32)) | (now + 1).astype(np.uint64), return_inverse=True)
-            c, w = (pair >> _U(32)).astype(np.int64) - 1, (pair & _U(0xFFFFFFFF)).astype(np.int64) - 1
-            kept, known = np.zeros(len(pair)), np.flatnonzero((c >= 0) & (w >= 0))
-            kept[known] = successors.kept(c[known].astype(np.uint64), w[known].astype(np.uint64))
-            contexts, of = np.unique(c, return_inverse=True)
-            mass = backoff.mass(contexts)[of][back]
-            n = len(rows)
-            base = np.log10(single)[which]
-            full = np.log10(kept[back] + mass * single[which])
-            total = lambda x: np.bincount(at, weights=x, minlength=n)
+        for name, rows in _groups(batches, 1):
+            chunk, got = Chunk(model.uri, name), _answers(rows)
+            text = chunk.load("text")
+            number, count = _joined(got, "number"), _joined(got, "count")
+            chunk.save("words", number=number, count=count)
+            which, first = text["which"], np.cumsum(text["sizes"]) - text["sizes"]
+            end = int(np.searchsorted(text["kinds"], _U(END)))
+            before = np.r_[end, which[:-1]]
+            before[first] = end
+            ok = np.flatnonzero((count[which] > 0) & (count[before] > 0))
+            pair = np.full(len(which), -1, np.int32)
+            train = np.repeat(text["train"], text["sizes"])
+            pair[ok], out = _send(name, number[before[ok]], count[before[ok]], number[which[ok]], train[ok], model.shards)
+            chunk.save("pairs", pair=pair)
+            yield from (_rows([r]) for r in out)
+
+    return run
+
+
+def _pair_counts(text, words, pair, code) -> np.ndarray:
+    """How often the pair of each token was seen in training, from the level's code."""
+    which, first = text["which"], np.cumsum(text["sizes"]) - text["sizes"]
+    end = int(np.searchsorted(text["kinds"], _U(END)))
+    before = np.r_[end, which[:-1]]
+    before[first] = end
+    q = np.where(pair >= 0, code[np.maximum(pair, 0)] if len(code) else ABSENT, ABSENT)
+    n = 2.0 ** (-q.astype(np.float64) / STEPS) * (words["count"][before] + WEIGHTS[0])
+    return np.where(q < ABSENT, np.maximum(1, np.rint(n)), 0).astype(np.uint64)
+
+
+def _context_counts(text, counts) -> np.ndarray:
+    """For each token, the count of the pair before it; 0 for the first one of a text."""
+    out = np.r_[_U(0), counts[:-1]]
+    out[np.cumsum(text["sizes"]) - text["sizes"]] = 0
+    return out
+
+
+def _send_triples(model: Model):
+    def run(batches):
+        for name, rows in _groups(batches, 1):
+            chunk, got = Chunk(model.uri, name), _answers(rows)
+            text, words, pair = chunk.load("text"), chunk.load("words"), chunk.load("pairs")["pair"]
+            number, code = _joined(got, "number"), _joined(got, "code")
+            chunk.save("codes", code=code)
+            total = _context_counts(text, _pair_counts(text, words, pair, code))
+            before = np.r_[np.int32(-1), pair[:-1]]
+            ok = np.flatnonzero((total > 0) & (words["count"][text["which"]] > 0))
+            triple = np.full(len(pair), -1, np.int32)
+            train = np.repeat(text["train"], text["sizes"])
+            if len(ok):
+                triple[ok], out = _send(name, number[before[ok]], total[ok], words["number"][text["which"][ok]], train[ok], model.shards)
+                yield from (_rows([r]) for r in out)
+            chunk.save("triples", triple=triple)
+
+    return run
+
+
+def _kept(index: np.ndarray, code: np.ndarray) -> np.ndarray:
+    q = np.where(index >= 0, code[np.maximum(index, 0)] if len(code) else ABSENT, ABSENT)
+    return np.where(q < ABSENT, 2.0 ** (-q.astype(np.float64) / STEPS), 0.0)
+
+
+def _score(model: Model):
+    def run(batches):
+        for name, rows in _groups(batches, 1):
+            chunk, got = Chunk(model.uri, name), _answers(rows)
+            text, words, pair, code = chunk.load("text"), chunk.load("words"), chunk.load("pairs")["pair"], chunk.load("codes")["code"]
+            triple, code3 = chunk.load("triples")["triple"], _joined(got, "code")
+            which, sizes = text["which"], text["sizes"]
+            single = ((words["count"] + 1) / (model.tokens + model.vocabulary + 1))[which]
+            first = np.cumsum(sizes) - sizes
+            end = int(np.searchsorted(text["kinds"], _U(END)))
+            before = np.r_[end, which[:-1]]
+            before[first] = end
+            p = _kept(pair, code) + WEIGHTS[0] / (words["count"][before] + WEIGHTS[0]) * single
+            total = _context_counts(text, _pair_counts(text, words, pair, code))
+            p = _kept(triple, code3) + WEIGHTS[1] / (total + WEIGHTS[1]) * p
+            sums = lambda x: np.add.reduceat(x, first)
+            with pa.ipc.open_stream(_read(f"{chunk.at}-ids")) as f:
+                ids = f.read_all().column(0).combine_chunks()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows]), *[pa.array(total(x).astype(np.int64)) for x in (np.ones(len(h)), (count > 0)[which])], pa.array(np.full(n, model.tokens, np.int64)), pa.array(total(base)), pa.array(total(full))],
+                [ids, pa.array(sizes), pa.array(sums((words["count"][which] > 0).astype(np.int64))), pa.array(np.full(len(sizes), model.tokens, np.int64)), pa.array(sums(np.log10(single))), pa.array(sums(np.log10(p)))],
                 names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return run
+
+
+# --- jobs ----------------------------------------------------------------------------------
+
+
+def _level_job(moved: DataFrame, model: Model, order: int, build: bool) -> DataFrame:
+    by_shard = moved.repartition(model.shards, "shard").sortWithinPartitions("shard")
+    return materialize(by_shard.mapInArrow(_level(model, order, build), MOVED), f"lm-answers{order}")
+
+
+def _run(docs: DataFrame, model: Model | None) -> tuple[Model, DataFrame]:
+    """Rows (id, train, text) through all levels, built from them or, with a model, opened."""
+    spark, build = docs.sparkSession, model is None
+    uri = shared_path(spark, "lm")
+    if "://" not in uri:
+        uri = "file://" + uri if uri.startswith("/") else uri.replace("file:/", "file:///")
+    chunks = materialize(docs.mapInArrow(_tokenise(uri), MOVED), "lm-chunks")
+    tokens, n = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count(F.lit(1))).first()
+    at = Model(uri, max(1, -(-tokens // SHARD))) if build else Model(uri, model.shards, model.tokens, model.vocabulary)
+    levels = at if build else model
+    parts = max(1, n)
+    by_chunk = lambda df: df.filter("chunk IS NOT NULL").repartition(parts, "chunk").sortWithinPartitions("chunk")
+    # the levels' own places are those of the model; chunks' files are this run's
+    answers = _level_job(chunks.repartition(parts, "chunk").mapInArrow(_send_words(at), MOVED), levels, 1, build)
+    if build:
+        at.tokens, at.vocabulary = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    answers = _level_job(by_chunk(answers).mapInArrow(_send_pairs(at), MOVED), levels, 2, build)
+    answers = _level_job(by_chunk(answers.union(chunks)).mapInArrow(_send_triples(at), MOVED), levels, 3, build)
     kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
+    return at, by_chunk(answers.union(chunks)).mapInArrow(_score(at), f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def train(df: DataFrame, text_col: str = "text") -> Model:
+    """Counts all texts of ``df`` and writes the levels to the shared folder; null texts are
+    empty, repeated rows count each. The driver gets sums only."""
+    model, scores = _run(df.select(F.lit(0).alias("id"), F.lit(1).cast("byte").alias("train"), F.col(text_col).alias("text")), None)
+    return model
+
+
+def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_tokens, n_known, train_tokens, base_score, score: a row for every row. A null
+    or empty text is one end. Without training texts all probabilities are one."""
+    docs = df.select(F.col(id_col).alias("id"), F.lit(0).cast("byte").alias("train"), F.col(text_col).alias("text"))
+    return _run(docs, model)[1].withColumnRenamed("id", id_col)
 
 
 def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score. Learns from rows
-    whose fold of 7 is not 2; a null id is in no fold and teaches nothing."""
-    model = train(df.filter(fold(F.col(id_col), 7) != 2), text_col)
-    out = score(df, model, id_col, text_col)
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for every row.
+
+    Learns from rows whose fold of 7 is not 2; a null id is in no fold and teaches nothing,
+    but is scored. Null and empty texts are one end; rows that share an id or a text count
+    each; an empty table gives no rows; other columns are not read.
+    """
+    train_row = F.coalesce(fold(F.col(id_col), 7) != 2, F.lit(False)).cast("byte")
+    docs = df.select(F.col(id_col).alias("id"), train_row.alias("train"), F.col(text_col).alias("text"))
+    out = _run(docs, None)[1].withColumnRenamed("id", id_col)
     return out.select(id_col, (fold(F.col(id_col), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -364,35 +364,68 @@ def test_elias_fano():
         assert e.find(x).tolist() == [place.get(i, -1) for i in x.tolist()]
 
 
-def test_lm_score(docs):
-    rows = rows_of()
-    got = by_id(lm_score.lm_score(docs))
-    tok = lambda t: (t or "").encode().lower().split() + [b"\n"]
+def tokens_of(t):
+    return (t or "").encode().lower().split() + [b"\n"]
+
+
+def trigram_scores(train, texts):
+    """Brute force: (base, full) log10 probabilities by counts of words, pairs and triples."""
+    c, b, t3 = collections.Counter(), collections.Counter(), collections.Counter()
+    for t in train:
+        w = [b"\n", *tokens_of(t)]
+        c.update(w[1:])
+        b.update(zip(w, w[1:]))
+        t3.update(zip(w, w[1:], w[2:]))
+    n, v, (m2, m3) = sum(c.values()), len(c), lm_score.WEIGHTS
+    out = []
+    for t in texts:
+        w, base, full = [b"\n", *tokens_of(t)], 0.0, 0.0
+        for i in range(1, len(w)):
+            one = (c[w[i]] + 1) / (n + v + 1)
+            two = (b[w[i - 1], w[i]] + m2 * one) / (c[w[i - 1]] + m2)
+            pair = b[w[i - 2], w[i - 1]] if i > 1 else 0
+            base += math.log10(one)
+            full += math.log10(((t3[w[i - 2], w[i - 1], w[i]] if pair else 0) + m3 * two) / (pair + m3))
+        out.append((base, full))
+    return out
+
+
+def test_lm_score(docs, monkeypatch):
+    rows = rows_of()[:-2]
     out_of = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    c, b = collections.Counter(), collections.Counter()
-    for i, t, *_ in rows:
-        if i is not None and not out_of(i):
-            c.update(tok(t))
-            b.update(zip([b"\n", *tok(t)], tok(t)))
-    n, v = sum(c.values()), len(c)
-    kept = collections.defaultdict(float)
-    for (x, _), k in b.items():
-        kept[x] += (k - lm_score.DISCOUNT) / c[x] if k >= lm_score.LEAST_COUNT else 0
-    for i, t, *_ in rows[:-2]:
-        w = tok(t)
-        uni = [math.log10((c[x] + 1) / (n + v + 1)) for x in w]
-        full = [math.log10(((b[x, y] - lm_score.DISCOUNT) / c[x] if b[x, y] >= lm_score.LEAST_COUNT else 0) + (1 - kept[x]) * (c[y] + 1) / (n + v + 1)) for x, y in zip([b"\n", *w], w)]
-        r = got[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out_of(i), len(w), sum(c[x] > 0 for x in w), n)
-        assert abs(r["base_score"] - sum(uni)) < 1e-6 and abs(r["score"] - sum(full)) < 1e-3 * len(w)
+    train = [t for i, t, *_ in rows if not out_of(i)]
+    want = trigram_scores(train, [t for _, t, *_ in rows])
+    known = {x for t in train for x in tokens_of(t)}
+    got = by_id(lm_score.lm_score(docs))
+    assert len(got) == len(rows) + 1  # two rows without id
+    for (i, t, *_), (base, full) in zip(rows, want):
+        w, r = tokens_of(t), got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out_of(i), len(w), sum(x in known for x in w), sum(len(tokens_of(t)) for t in train))
+        assert abs(r["base_score"] - base) < 1e-6 and abs(r["score"] - full) < 1e-3 * len(w)
+
 
+def test_lm_model_is_used_again(spark):
+    train = ["a b c", "c a", "a b c d", None, ""]
+    model = lm_score.train(spark.createDataFrame([(t,) for t in train], "text string"))
+    texts = ["a b", "b c d", "x y", None, "c a a b c"]
+    got = by_id(lm_score.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model))
+    for i, (base, full) in enumerate(trigram_scores(train, texts)):
+        assert abs(got[i]["base_score"] - base) < 1e-9 and abs(got[i]["score"] - full) < 5e-3
+
+
+def test_lm_in_many_chunks_and_shards(spark, monkeypatch):
+    """Small chunks and shards, inside the tasks too, give the same scores."""
+    import random
 
-def test_lm_score_keeps_pairs_seen_once(spark):
-    model = lm_score.train(spark.createDataFrame([("a b c",), ("c a",)], "text string"))
-    got = lm_score.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model).first()
-    # 7 tokens of 4 words; (end, a) and (a, b) are seen once of two times, (b, end) never
-    want = [0.25 / 2 + 0.75 * 3 / 12, 0.25 / 2 + 0.75 * 2 / 12, 0.75 * 3 / 12]
-    assert abs(got["score"] - sum(map(math.log10, want))) < 3e-3
+    r = random.Random(4)
+    texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 2) for _ in range(r.randint(0, 60))) for _ in range(200)]
+    want = trigram_scores([t for i, t in enumerate(texts) if i % 2], texts)
+    docs = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(texts)], "id long, train byte, text string").repartition(7)
+    monkeypatch.setattr(lm_score, "SHARD", 500)
+    model, out = lm_score._run(docs, None)
+    assert model.shards > 5
+    for x in out.collect():
+        assert abs(x["score"] - want[x["id"]][1]) < 5e-2
 
 
 def test_pipeline_runs(spark, tmp_path):
