@@ -69,3 +69,18 @@ def join_hot(rows: DataFrame, groups: DataFrame, key: str | list[str], size_col:
     cold = groups.filter(F.col(size_col) <= bound)
     left = rows.join(F.broadcast(groups.filter(F.col(size_col) > bound).select(*([key] if isinstance(key, str) else key))), key, "left_anti")
     return rows.join(hot, key).unionByName(left.join(cold, key, how), allowMissingColumns=True)
+
+
+#: Parts into which ``join_salted`` deals the rows of a hot key.
+SALTS = 16
+
+
+def join_salted(rows: DataFrame, groups: DataFrame, key: list[str], size_col: str, total: int) -> DataFrame:
+    """As ``join_hot``, for rows that are dear to compute: they are evaluated once. Rows of
+    keys with over a thousandth of ``total`` rows are dealt by their input partition to
+    ``SALTS`` parts, for each of which there is a copy of the key's group."""
+    bound = max(1, total // 1000)
+    hot = groups.filter(F.col(size_col) > bound).select(*key, F.lit(SALTS).alias("_salts"))
+    rows = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.spark_partition_id() % SALTS)).drop("_salts")
+    salts = F.when(F.col(size_col) > bound, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(groups.withColumn("_salt", F.explode(salts)), [*key, "_salt"]).drop("_salt")

@@ -6,8 +6,8 @@ a line within t edits, near its own place. So each line is indexed by (its lengt
 number, segment), and probes the lengths it may link to with the substrings around each
 segment's place. Where very many lines share a key, the same split is done again on the
 side of the match that may hold the most edits, as often as it takes: lines then meet only
-if they share that piece too. Pairs that meet are verified by a bit-parallel edit distance
-in a band of 2t + 2 rows. Linked lines and exact copies form classes, of which the first
+if they share that piece too. Pairs that meet are compared by the parities of
+their characters and verified by a bit-parallel edit distance in a band of 2t + 2 rows. Linked lines and exact copies form classes, of which the first
 line stays.
 
 Everything is DataFrame expressions. Keys are 64-bit hashes; a line is identified by its
@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglake.llm.common import SPACES, join_hot, materialize
+from loglake.llm.common import SPACES, join_salted, materialize
 from loglake.llm.components import components
 
 #: (least characters of the shorter line, edits of a link); 0: exact copies only.
@@ -71,7 +71,9 @@ def _arrays(bands, item) -> str:
 
 
 def _key(m, i, p, w, q, role, t) -> str:
-    return f"((xxhash64({m}, {i}, substr(l, {p}, {w})) & -2L) | {role}L)"
+    """A key with its role as the last bit. ``b`` is the line in UTF-32, where a substring
+    is found without counting characters."""
+    return f"((xxhash64({m}, {i}, substr(b, 4 * {p} - 3, 4 * {w})) & -2L) | {role}L)"
 
 
 def _part(m, i, p, w, q, role, t) -> str:
@@ -106,19 +108,19 @@ def within(x: str, y: str, t: int) -> str:
     width = 2 * t + 2
     full, top = (1 << width) - 1, 1 << (width - 1)
     start = ((1 << (t + 1)) - 1) << (width - t - 1)
-    match = " | ".join(f"if(get(a.x, j + {t - width + k}) = c, {1 << k}L, 0L)" for k in range(width))
+    match = " | ".join(f"if(get(s.x, j + {t - width + k}) = get(s.y, j - 1), {1 << k}L, 0L)" for k in range(width))
     # one column: the matches m; then d0; then the horizontal differences hp and hn
     d0 = "((((m & a.vp) + a.vp) ^ a.vp) | m | a.vn)"
-    row = f"shiftleft(1L, int({width - 1} - (j - size(a.x) + {t})))"
+    row = f"shiftleft(1L, int({width - 1} - (j - s.n + {t})))"
     step = f"""
-      transform(transform(transform(array({match.replace(' = c', ' = get(a.y, j - 1)')}),
+      transform(transform(transform(array({match}),
         m -> struct({d0} & {full}L as d0)),
         u -> struct(u.d0 as d0, (a.vn | ~(u.d0 | a.vp)) & {full}L as hp, u.d0 & a.vp as hn)),
-        u -> struct(a.x as x, a.y as y,
-          (u.hn | ~(shiftright(u.d0, 1) | u.hp)) & {full}L as vp, shiftright(u.d0, 1) & u.hp as vn,
-          a.d + if(j <= size(a.x) - {t}, if((u.d0 & {top}L) = 0, 1, 0), if((u.hp & {row}) != 0, 1, 0) - if((u.hn & {row}) != 0, 1, 0)) as d))[0]"""
-    return f"""(abs(length({x}) - length({y})) <= {t} AND aggregate(sequence(1, length({y})),
-      struct(split({x}, '') as x, split({y}, '') as y, {start}L as vp, 0L as vn, {t} as d), (a, j) -> {step}, a -> a.d) <= {t})"""
+        u -> struct((u.hn | ~(shiftright(u.d0, 1) | u.hp)) & {full}L as vp, shiftright(u.d0, 1) & u.hp as vn,
+          a.d + if(j <= s.n - {t}, if((u.d0 & {top}L) = 0, 1, 0), if((u.hp & {row}) != 0, 1, 0) - if((u.hn & {row}) != 0, 1, 0)) as d))[0]"""
+    # the characters stay outside the state, which is copied in each step
+    return f"""(abs(length({x}) - length({y})) <= {t} AND transform(array(struct(split({x}, '') as x, split({y}, '') as y, length({x}) as n)), s ->
+      aggregate(sequence(1, size(s.y)), struct({start}L as vp, 0L as vn, {t} as d), (a, j) -> {step}, a -> a.d))[0] <= {t})"""
 
 
 def _pairs(parts: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ def _pairs(parts: DataFrame) -> DataFrame:
     while True:
         parts = materialize(parts.withColumn("role", F.col("key").bitwiseAND(1)).withColumn("key", F.col("key").bitwiseAND(-2)), "line-parts")
         sizes = parts.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("role").alias("least"), F.min("h").alias("a"), F.max("h").alias("b"))
-        met = join_hot(parts, sizes.filter("a <> b AND least = 0").select("key", "size"), "key", "size", parts.count())
+        met = join_salted(parts, sizes.filter("a <> b AND least = 0").select("key", "size"), ["key"], "size", parts.count())
         met = materialize(met, "line-met")
         few = met.filter(f"size <= {CROWD} OR yl <= e")
         x, y = few.select("key", "h", "role").alias("x"), few.filter("role = 0").select("key", "h").alias("y")
@@ -163,22 +165,27 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # keys that two different lines share, one of them by its index
     least = min([b for b, t in bands if t], default=1 << 30)
-    joined = lines.filter(counted & (n >= least)).select(F.xxhash64("l").alias("h"), n.alias("n"), "l")
+    joined = lines.filter(counted & (n >= least)).select(F.xxhash64("l").alias("h"), n.alias("n"), F.encode("l", "UTF-32").alias("b"))
     keys = joined.select("h", F.explode(F.expr(_arrays(bands, _key))).alias("k")).select("h", F.col("k").bitwiseAND(-2).alias("key"), F.col("k").bitwiseAND(1).alias("role"))
     shared = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("role").alias("role"), F.count(F.lit(1)).alias("size")).filter("a <> b AND role = 0")
     shared = materialize(shared.select("key", "size"), "shared-keys")
     key_rows = shared.agg(F.sum("size")).first()[0] or 0
-    wanted = materialize(join_hot(keys.select("h", "key"), shared, "key", "size", key_rows).select("h").distinct(), "wanted-lines")
+    wanted = materialize(join_salted(keys.select("h", "key"), shared, ["key"], "size", key_rows).select("h").distinct(), "wanted-lines")
 
     # their text, from the first line of each; a filter of bounded size goes ahead of the join
     first = copies.join(wanted, "h", "left_semi").select(F.col("first.id").alias("i"), F.col("first.pos").alias("p"), F.col("h").alias("g"))
     places = wanted.select(F.pmod("h", F.lit(PLACES)).alias("place")).distinct()
     near = lines.filter(counted & (n >= least)).withColumn("h", F.xxhash64("l")).join(F.broadcast(places), F.pmod("h", F.lit(PLACES)) == F.col("place"), "left_semi")
     texts = near.join(first, F.col("id").eqNullSafe(F.col("i")) & (F.col("pos") == F.col("p")) & (F.col("h") == F.col("g"))).select("h", n.alias("n"), "l").dropDuplicates(["h"])
+    # the characters that occur an odd number of times: an edit changes two of them at most
+    texts = texts.withColumn("odd", F.expr("aggregate(split(l, ''), 0L, (a, c) -> a ^ shiftleft(1L, ascii(c) % 64))"))
     texts = materialize(texts, "line-texts")
-    parts = texts.select("h", F.explode(F.expr(_arrays(bands, _part))).alias("k")).select("h", "k.*")
+    parts = texts.withColumn("b", F.encode("l", "UTF-32")).select("h", F.explode(F.expr(_arrays(bands, _part))).alias("k")).select("h", "k.*")
     pairs = _pairs(parts) if least < 1 << 30 else texts.select(F.col("h").alias("a"), F.col("h").alias("b")).limit(0)
-    j = pairs.join(texts.select(F.col("h").alias("a"), F.col("l").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("l").alias("y")), "b")
+    most = max(t for _, t in bands)
+    j = pairs.join(texts.select(F.col("h").alias("a"), F.col("odd").alias("p")), "a").join(texts.select(F.col("h").alias("b"), F.col("odd").alias("q")), "b")
+    j = j.filter(F.expr(f"bit_count(p ^ q) <= {2 * most}")).select("a", "b")
+    j = j.join(texts.select(F.col("h").alias("a"), F.col("l").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("l").alias("y")), "b")
     fits = " ".join(f"when least(length(x), length(y)) >= {b} then {within('x', 'y', t) if t else 'false'}" for b, t in sorted(bands, reverse=True))
     links = materialize(j.filter(F.expr(f"case {fits} end")).select("a", "b"), "line-links")
 
@@ -188,7 +195,7 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = named.select("h", "n", "size", "component").join(merged, "component").select("h", "n", "size", "class", "class_size")
     table = materialize(table, "line-classes")
     # hot by its own copies: a class may have any number of distinct lines
-    out = join_hot(known.filter("h IS NOT NULL"), table, ["h", "n"], "size", total).select("id", "pos", "class", "class_size")
+    out = join_salted(known.filter("h IS NOT NULL"), table, ["h", "n"], "size", total).select("id", "pos", "class", "class_size")
     alone = known.filter("h IS NULL").select("id", "pos", F.struct("id", "pos").alias("class"), F.lit(1).cast("long").alias("class_size"))
     out = out.unionByName(alone)
     kept = F.col("id").eqNullSafe(F.col("class.id")) & (F.col("pos") == F.col("class.pos"))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from loglake.llm.common import fold, materialize, shared_path
 
 #: Weight of the shorter context, as a count: for pairs, for triples.
-WEIGHTS = (8.0, 3.0)
+WEIGHTS = (300.0, 3.0)
 #: Tokens of a chunk, and tokens for each shard.
 CHUNK, SHARD = 2_000_000, 1_000_000
 #: A context's successors are dealt to shards in blocks of this many word numbers (a power of 2).
