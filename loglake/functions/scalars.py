@@ -164,3 +164,14 @@ def ip_num(c: Column) -> Column:
     for i in range(4):
         n = n * 256 + F.try_element_at(p, F.lit(i + 1)).try_cast("bigint")
     return F.when(c.rlike(IPV4), n)
+
+
+def ip_hex(c: Column) -> Column:
+    """IPv6 text as 32 hexadecimal digits, which sort as the addresses do; null for all else."""
+    digits = lambda part: F.filter(F.split(F.coalesce(part, F.lit("")), ":"), lambda g: g != "")
+    halves = F.split(F.lower(c), "::")
+    whole = let(
+        F.struct(digits(F.get(halves, F.lit(0))).alias("a"), digits(F.get(halves, F.lit(1))).alias("z")),
+        lambda p: F.array_join(F.transform(F.concat(p["a"], F.array_repeat(F.lit("0"), 8 - F.size(p["a"]) - F.size(p["z"])), p["z"]), lambda g: F.lpad(g, 4, "0")), ""),
+    )
+    return F.when(c.rlike(IPV6), whole)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.functions.scalars import IPV6, ip_num, valid_ip
+from loglake.functions.scalars import IPV6, ip_hex, ip_num, let, once, valid_ip
 
 Enricher = Callable[[DataFrame], DataFrame]
 
@@ -50,16 +50,20 @@ CLOUD_NETWORKS = [
 ]
 PRIVATE_NETWORKS = ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "224.0.0.0/4", "240.0.0.0/4", "100.64.0.0/10"]
 
-NETWORK_DDL = "cidr string, service string, vendor string, lo bigint, hi bigint, prefix_len int, rank int"
+NETWORK_DDL = "cidr string, service string, vendor string, lo bigint, hi bigint, prefix_len int, rank int, lo6 string, hi6 string"
+#: Lists of so many networks at most are probed in place, row by row.
+IN_PLACE = 64
 
 
 def network_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """(cidr, label[, vendor]) as a table with numeric ends; rank is the order of the list."""
+    """(cidr, label[, vendor]) as a table; rank is the order of the list. IPv4 networks have
+    their ends as numbers, IPv6 ones as 32 hexadecimal digits."""
     out = []
     for i, (cidr, service, *vendor) in enumerate(rows):
         n = ipaddress.ip_network(cidr)
-        if n.version == 4:
-            out.append((cidr, service, vendor[0] if vendor else None, int(n.network_address), int(n.broadcast_address), n.prefixlen, i))
+        lo, hi = int(n.network_address), int(n.broadcast_address)
+        ends = (lo, hi, n.prefixlen, i, None, None) if n.version == 4 else (None, None, n.prefixlen, i, f"{lo:032x}", f"{hi:032x}")
+        out.append((cidr, service, vendor[0] if vendor else None, *ends))
     return spark.createDataFrame(out, NETWORK_DDL)
 
 
@@ -90,55 +94,88 @@ def ip_class(c: Column) -> Column:
     )
 
 
+def _inside(n: Column, h: Column, x) -> Column:
+    return F.coalesce(n.between(x["lo"], x["hi"]), h.between(x["lo6"], x["hi6"]), F.lit(False))
+
+
 def match_cidr(ips: DataFrame, networks: DataFrame, mode: str = "all", small: bool | None = None, ip_col: str = "ip") -> DataFrame:
     """(ip, matches): an array of (rank, cidr, service, vendor), all of them or the first.
 
     A small list is broadcast with a range condition; its size is counted first. A large
-    feed is met by equality of (prefix length, prefix), one probe for each length in use.
+    feed is met by equality of (prefix length, prefix), one probe for each length in use;
+    IPv6 prefixes are met by whole hexadecimal digits, and then by their range.
     """
-    a = ips.select(F.col(ip_col).alias("ip")).distinct().withColumn("n", ip_num(F.col("ip"))).filter("n IS NOT NULL")
+    ip = F.col("ip")
+    a = ips.select(F.col(ip_col).alias("ip")).distinct().withColumn("n", ip_num(ip)).withColumn("h", ip_hex(ip)).filter("n IS NOT NULL OR h IS NOT NULL")
     if small is None:
         small = networks.limit(2001).count() <= 2000
     if small:
-        j = a.join(F.broadcast(networks), F.col("n").between(F.col("lo"), F.col("hi")))
+        near = F.broadcast(networks)
+        j = a.join(near, _inside(F.col("n"), F.col("h"), {k: F.col(k) for k in ("lo", "hi", "lo6", "hi6")}))
     else:
-        lengths = networks.select("prefix_len").distinct()  # 33 at most
-        probes = a.join(F.broadcast(lengths)).withColumn("p", F.expr("shiftright(n, 32 - prefix_len)"))
-        j = probes.join(networks.withColumn("p", F.expr("shiftright(lo, 32 - prefix_len)")), ["prefix_len", "p"])
+        lengths = networks.select("prefix_len", F.col("lo6").isNotNull().alias("six")).distinct()  # 33 and 129 at most
+        prefix = lambda n, h: F.coalesce(F.expr(f"string(shiftright({n}, 32 - prefix_len))"), F.expr(f"left({h}, prefix_len div 4)"))
+        probes = a.join(F.broadcast(lengths), F.col("six") == F.col("n").isNull()).withColumn("p", prefix("n", "h"))
+        j = probes.join(networks.withColumn("p", prefix("lo", "lo6")).withColumn("six", F.col("lo6").isNotNull()), ["six", "prefix_len", "p"])
+        j = j.filter(F.col("n").isNotNull() | F.col("h").between(F.col("lo6"), F.col("hi6")))
     hit = F.struct("rank", "cidr", "service", "vendor")
     if mode == "first":
         return j.groupBy("ip").agg(F.array(F.min(hit)).alias("matches"))
     return j.groupBy("ip").agg(F.array_sort(F.collect_list(hit)).alias("matches"))
 
 
+def matches_in(ip: Column, networks: list) -> Column:
+    """The same for one address and a short list of rows, as a column: no join."""
+    if not networks:
+        return F.array().cast("array<struct<rank: int, cidr: string, service: string, vendor: string>>")
+    rows = sorted(networks, key=lambda r: r["rank"])
+    cast = {"rank": "int", "lo": "bigint", "hi": "bigint"}
+    table = F.array(*[F.struct(*[F.lit(r[k]).cast(cast.get(k, "string")).alias(k) for k in ("rank", "cidr", "service", "vendor", "lo", "hi", "lo6", "hi6")]) for r in rows])
+    hits = let(F.struct(ip_num(ip).alias("n"), ip_hex(ip).alias("h")), lambda a: F.filter(table, lambda x: _inside(a["n"], a["h"], x)))
+    return F.transform(hits, lambda x: F.struct(*[x[k].alias(k) for k in ("rank", "cidr", "service", "vendor")]))
+
+
+def _context(ip: Column, kind: Column, threats: Column, cloud: Column) -> Column:
+    """The context of an address of a kind, with its matches (an empty or null array: none)."""
+    public = kind == "public"
+    return F.struct(
+        ip.alias("ip"),
+        kind.alias("ip_type"),
+        F.when(kind.isin("loopback", "link_local", "private"), True).when(kind.isin("multicast", "public"), False).alias("is_internal"),
+        F.when(public, True).when(kind == "private", False).alias("is_public"),
+        F.when(public, F.coalesce(F.size(threats) > 0, F.lit(False))).when(kind == "private", False).alias("is_threat"),
+        F.when(public & (F.size(threats) > 0), F.transform(threats, lambda x: x["service"])).alias("threat_intel"),
+        F.when(public, F.get(cloud, F.lit(0))["vendor"]).alias("cloud_provider"),
+        F.when(public, F.get(cloud, F.lit(0))["service"]).alias("cloud_service"),
+    )
+
+
 def ip_context(ips: DataFrame, threat: DataFrame, cloud: DataFrame, ip_col: str = "ip") -> DataFrame:
     """(ip, context) for distinct addresses."""
     base = ips.select(F.col(ip_col).alias("ip")).filter("ip IS NOT NULL AND ip <> ''").distinct().withColumn("ip_type", ip_class(F.col("ip")))
     t = match_cidr(base, threat).withColumnRenamed("matches", "t")
     c = match_cidr(base, cloud, "first").withColumnRenamed("matches", "c")
     j = base.join(t, "ip", "left").join(c, "ip", "left")
-    public, kind = F.col("ip_type") == "public", F.col("ip_type")
-    context = F.struct(
-        F.col("ip"),
-        kind.alias("ip_type"),
-        F.when(kind.isin("loopback", "link_local", "private"), True).when(kind.isin("multicast", "public"), False).alias("is_internal"),
-        F.when(public, True).when(kind == "private", False).alias("is_public"),
-        F.when(public, F.col("t").isNotNull()).when(kind == "private", False).alias("is_threat"),
-        F.when(public, F.transform("t", lambda x: x["service"])).alias("threat_intel"),
-        F.when(public, F.get("c", F.lit(0))["vendor"]).alias("cloud_provider"),
-        F.when(public, F.get("c", F.lit(0))["service"]).alias("cloud_service"),
-    )
-    return j.select("ip", context.alias("context"))
+    return j.select("ip", _context(F.col("ip"), F.col("ip_type"), F.col("t"), F.col("c")).alias("context"))
 
 
 def enrich_ips(df: DataFrame, threat: DataFrame, cloud: DataFrame) -> DataFrame:
     """Sets the contexts of both addresses and threat_ip_detected; severity is not changed.
-    Distinct addresses are classified once and joined back."""
+
+    Lists of ``IN_PLACE`` networks at most are probed in each row, so that the events are
+    read once and not shuffled. For larger ones the distinct addresses are classified once
+    and joined back."""
     src, dst = F.col("network.src_ip"), F.col("network.dst_ip")
-    ips = df.select(F.explode(F.array_distinct(F.array(src, dst))).alias("ip"))
-    ctx = ip_context(ips, threat, cloud)
-    s, d = ctx.select(F.col("ip").alias("_s"), F.col("context").alias("_sc")), ctx.select(F.col("ip").alias("_d"), F.col("context").alias("_dc"))
-    j = df.join(s, src == F.col("_s"), "left").join(d, dst == F.col("_d"), "left")
+    lists = [x.limit(IN_PLACE + 1).collect() for x in (threat, cloud)]
+    if all(len(x) <= IN_PLACE for x in lists):
+        parts = lambda ip: F.struct(ip.alias("ip"), ip_class(ip).alias("kind"), matches_in(ip, lists[0]).alias("t"), matches_in(ip, lists[1]).alias("c"))
+        known = lambda ip: F.when(F.coalesce(ip != "", F.lit(False)), let(parts(ip), lambda x: _context(x["ip"], x["kind"], x["t"], x["c"])))
+        j = once(df, {"_sc": known(src), "_dc": known(dst)})
+    else:
+        ips = df.select(F.explode(F.array_distinct(F.array(src, dst))).alias("ip"))
+        ctx = ip_context(ips, threat, cloud)
+        s, d = ctx.select(F.col("ip").alias("_s"), F.col("context").alias("_sc")), ctx.select(F.col("ip").alias("_d"), F.col("context").alias("_dc"))
+        j = df.join(s, src == F.col("_s"), "left").join(d, dst == F.col("_d"), "left")
     hit = F.coalesce(F.col("_sc.is_threat"), F.lit(False)) | F.coalesce(F.col("_dc.is_threat"), F.lit(False))
     e = F.struct(F.col("_sc").alias("src_ip_context"), F.col("_dc").alias("dst_ip_context"), F.when(hit, True).alias("threat_ip_detected"), F.lit(None).cast("array<string>").alias("threat_intel_tags"))
     return j.withColumn("enrichment", e).select(*dict.fromkeys([*df.columns, "enrichment"]))

@@ -44,6 +44,18 @@ def group(s: Column, pattern: str, i: int) -> Column:
     return F.nullif(F.regexp_extract(s, pattern, i), F.lit(""))
 
 
+#: Stands between the groups of a match; a line that holds it loses it.
+SEP = "\x01\x02\x03"
+
+
+def groups(s: Column, pattern: str, n: int, body) -> Column:
+    """``body(g, ok)`` of the ``n`` groups of an anchored pattern and whether it matches: the
+    pattern runs once a line, not once for each group."""
+    text = SEP + SEP.join(f"${i}" for i in range(1, n + 1)) + SEP
+    parts = F.split(F.regexp_replace(F.replace(s, F.lit(SEP), F.lit("")), pattern, text), SEP, -1)
+    return let(parts, lambda p: body(lambda i: F.coalesce(F.get(p, F.lit(i)), F.lit("")), F.size(p) == n + 2))
+
+
 def lookup(table: dict, key: Column) -> Column:
     flat = [F.lit(x) for kv in table.items() for x in kv]
     return F.try_element_at(F.create_map(*flat), key)
@@ -72,10 +84,13 @@ def _first_ts(m: Column, keys: list[str]) -> Column:
 
 
 def cef(s: Column, unescape: bool = False) -> Column:
-    head = CEF_HEAD_ESCAPED if unescape else CEF_HEAD
-    g = lambda i: F.trim(F.regexp_extract(s, head, i))
+    return groups(s, CEF_HEAD_ESCAPED if unescape else CEF_HEAD, 8, lambda g, ok: _cef(g, ok, unescape))
+
+
+def _cef(group, ok: Column, unescape: bool) -> Column:
+    g = lambda i: F.trim(group(i))
     h = (lambda i: F.regexp_replace(g(i), r"\\([\\|])", "$1")) if unescape else g
-    tail = F.regexp_extract(s, head, 8)
+    tail = group(8)
     vals = F.transform(F.regexp_extract_all(tail, F.lit(CEF_PAIR), F.lit(2)), lambda v: F.trim(v))
     if unescape:
         vals = F.transform(vals, lambda v: F.regexp_replace(F.regexp_replace(v, r"\\n", "\n"), r"\\([\\=|])", "$1"))
@@ -94,7 +109,7 @@ def cef(s: Column, unescape: bool = False) -> Column:
             "severity_ues": (ues, "long"),
         }
     )
-    return let(pairs, lambda ext: Parsed(F.map_concat(base, strings(ext)), _first_ts(ext, CEF_TIMES), s.rlike(head)))
+    return let(pairs, lambda ext: Parsed(F.map_concat(base, strings(ext)), _first_ts(ext, CEF_TIMES), ok))
 
 
 # Names that LEEF attributes get.
@@ -106,7 +121,10 @@ LEEF_HEAD = r"(?s)^(?:<\d+>.*?\s)?LEEF:([12]\.0)\|([^|]*)\|([^|]*)\|([^|]*)\|([^
 
 
 def leef(s: Column) -> Column:
-    g = lambda i: F.regexp_extract(s, LEEF_HEAD, i)
+    return groups(s, LEEF_HEAD, 7, _leef)
+
+
+def _leef(g, ok: Column) -> Column:
     given = g(6)
     hexed = F.char(F.conv(F.substring(given, 2, 2), 16, 10).try_cast("int"))
     delim = F.when((g(1) != "2.0") | (given == ""), "\t").when(F.length(given) == 3, hexed).otherwise(given)
@@ -114,10 +132,10 @@ def leef(s: Column) -> Column:
     keys = F.transform(pairs, lambda p: F.trim(F.substring_index(p, "=", 1)))
     vals = F.transform(pairs, lambda p: F.trim(F.substr(p, F.instr(p, "=") + 1)))
     keys = F.transform(keys, lambda k: F.coalesce(lookup(LEEF_NAMES, k), k))
-    return let(F.map_from_arrays(keys, vals), lambda a: _leef(s, g, a))
+    return let(F.map_from_arrays(keys, vals), lambda a: _leef_fields(g, ok, a))
 
 
-def _leef(s: Column, g, a: Column) -> Column:
+def _leef_fields(g, ok: Column, a: Column) -> Column:
     at = lambda k: F.try_element_at(a, F.lit(k))
     raw = F.lower(F.trim(F.coalesce(at("severity_raw"), F.lit("5"))))
     n = safe_int(raw)
@@ -135,7 +153,7 @@ def _leef(s: Column, g, a: Column) -> Column:
         }
     )
     proto = F.when(at("protocol").isNotNull(), fields_of({"protocol": F.lower(at("protocol"))})).otherwise(F.create_map().cast(FIELDS))
-    return Parsed(F.map_concat(base, strings(a), typed, proto), parse_ts(at("timestamp_raw")), s.rlike(LEEF_HEAD))
+    return Parsed(F.map_concat(base, strings(a), typed, proto), parse_ts(at("timestamp_raw")), ok)
 
 
 MONTHS = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
@@ -150,7 +168,10 @@ def _when_map(cond: Column, m: Column) -> Column:
 
 
 def cisco_asa(s: Column, reference_year: int) -> Column:
-    g = lambda i: F.regexp_extract(s, ASA_HEAD, i)
+    return groups(s, ASA_HEAD, 6, lambda g, ok: _asa(g, ok, reference_year))
+
+
+def _asa(g, ok: Column, reference_year: int) -> Column:
     pri, sev, msg = safe_int(g(1)), safe_int(g(4)), F.trim(g(6))
     c = lambda i: group(msg, ASA_CONN, i)
     a = lambda i: F.regexp_extract(msg, ASA_ACL, i)
@@ -171,7 +192,7 @@ def cisco_asa(s: Column, reference_year: int) -> Column:
     )
     acl = fields_of({"acl_name": a(1), "acl_action": F.lower(a(2)), "proto": F.lower(a(3))})
     conn = fields_of({"src_ip": valid_ip(c(1)), "src_port": (safe_port(c(2)), "long"), "dst_ip": valid_ip(c(3)), "dst_port": (safe_port(c(4)), "long")})
-    return Parsed(F.map_concat(base, _when_map(msg.rlike(ASA_ACL), acl), _when_map(msg.rlike(ASA_CONN), conn)), bsd_ts(g(2), reference_year), s.rlike(ASA_HEAD))
+    return Parsed(F.map_concat(base, _when_map(msg.rlike(ASA_ACL), acl), _when_map(msg.rlike(ASA_CONN), conn)), bsd_ts(g(2), reference_year), ok)
 
 
 # The positions of a traffic record.
@@ -233,13 +254,19 @@ def _priority(pri: Column) -> dict:
 
 
 def rfc3164(s: Column, reference_year: int) -> Column:
-    g = lambda i: F.regexp_extract(s, RFC3164_HEAD, i)
+    return groups(s, RFC3164_HEAD, 6, lambda g, ok: _rfc3164(g, ok, reference_year))
+
+
+def _rfc3164(g, ok: Column, reference_year: int) -> Column:
     base = {"timestamp_raw": g(2), "hostname": g(3), "tag": g(4), "pid": F.nullif(g(5), F.lit("")), "message": F.trim(F.nullif(g(6), F.lit("")))}
-    return Parsed(fields_of(_priority(safe_int(g(1))) | base), bsd_ts(g(2), reference_year), s.rlike(RFC3164_HEAD))
+    return Parsed(fields_of(_priority(safe_int(g(1))) | base), bsd_ts(g(2), reference_year), ok)
 
 
 def rfc5424(s: Column) -> Column:
-    g = lambda i: F.regexp_extract(s, RFC5424_HEAD, i)
+    return groups(s, RFC5424_HEAD, 9, _rfc5424)
+
+
+def _rfc5424(g, ok: Column) -> Column:
     n = lambda i: F.when(g(i) != "-", g(i))
     ids = F.regexp_extract_all(g(8), F.lit(SD_ELEMENT), F.lit(1))
     params = F.regexp_extract_all(g(8), F.lit(SD_ELEMENT), F.lit(2))
@@ -254,7 +281,7 @@ def rfc5424(s: Column) -> Column:
     )
     sd = F.map_from_entries(F.flatten(each))
     base = {"version": (safe_int(g(2)), "long"), "timestamp_raw": n(3), "hostname": n(4), "appname": n(5), "procid": n(6), "msgid": n(7), "message": F.trim(F.nullif(g(9), F.lit("")))}
-    return Parsed(F.map_concat(fields_of(_priority(safe_int(g(1))) | base), strings(sd)), parse_ts(n(3)), s.rlike(RFC5424_HEAD))
+    return Parsed(F.map_concat(fields_of(_priority(safe_int(g(1))) | base), strings(sd)), parse_ts(n(3)), ok)
 
 
 def json_fields(s: Column) -> Column:

@@ -52,30 +52,30 @@ def frame_multiline(df: DataFrame, start_pattern: str, partition_by: str | list[
     return _flagged(out.withColumn("line", F.array_join(F.transform("_l", lambda x: x["l"]), "\n")).drop("_l"), max_bytes)
 
 
+#: Braces, and strings with what is escaped in them (an open one goes to the end).
+_TOKENS = re.compile(r'[{}]|"(?:[^"\\]|\\.)*+"?', re.S)
+
+
 def _json_objects(text: str) -> list[tuple[str, bool]]:
-    """Objects by depth of braces outside strings, and whether each one ends."""
-    out, depth, start, quoted, escaped = [], 0, 0, False, False
-    for i, c in enumerate(text):
-        if quoted:
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = True
-            elif c == '"':
-                quoted = False
-        elif c == '"' and depth:
-            quoted = True
-        elif c == "{":
-            if not depth:
-                start = i
+    """Objects by depth of braces outside strings, and whether each one ends. Quotes count
+    inside objects only."""
+    out, depth, start, at = [], 0, 0, 0
+    while True:
+        if not depth:  # what stands between objects is passed over
+            start = text.find("{", at)
+            if start < 0:
+                return out
+            depth, at = 1, start + 1
+        m = _TOKENS.search(text, at)
+        if not m:
+            return [*out, (text[start:], False)]
+        at = m.end()
+        if m[0] == "{":
             depth += 1
-        elif c == "}" and depth:
+        elif m[0] == "}":
             depth -= 1
             if not depth:
-                out.append((text[start : i + 1], True))
-    if depth:
-        out.append((text[start:], False))
-    return out
+                out.append((text[start:at], True))
 
 
 def _octet_messages(text: str) -> list[tuple[str, bool]]:
