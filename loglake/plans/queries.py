@@ -59,10 +59,10 @@ def i03_archive(spark, sf):
     return identity.raw_archive(r.unionByName(r)).select("event_id", "sha256", "length", "tenant_id", F.col("dt").cast("string").alias("dt"))
 
 
-@q(f"with {LIN}, {IDS} select event_id, length(line)::bigint as length from uid where tenant_id = 'tenant_alpha' and seq % 10 = 0")
+@q(f"with {LIN}, {IDS} select event_id, length(line)::bigint as length from uid where tenant_id = 'tenant_alpha'")
 def i04_lookup(spark, sf):
     r = identity.with_event_id(identity.with_raw_hash(raw(spark, sf)))
-    ids = r.filter("seq % 10 = 0").select("event_id").unionByName(spark.createDataFrame([("not-a-uuid",)], "event_id string"))
+    ids = r.select("event_id").unionByName(spark.createDataFrame([("not-a-uuid",)], "event_id string"))
     return identity.lookup_raw(identity.raw_archive(r), ids, "tenant_alpha").select("event_id", "length")
 
 
@@ -80,18 +80,20 @@ def i07_dedup_latest(spark, sf):
 # --- framing -------------------------------------------------------------------------------
 
 
-@q("""select conv_id, turn, length(text) > 200 as is_oversized, case when length(text) > 200 then left(text, 1024) || '...[TRUNCATED]' else text end as line
-    from conversations where trim(text) <> '' and text not like '%' || chr(10) || '%' and strlen(text) = length(text)""")
+@q("""select conv_id, turn, strlen(l) > 200 as is_oversized, case when strlen(l) > 200 then left(l, 1024) || '...[TRUNCATED]' else l end as line
+    from (select conv_id, turn, regexp_replace(unnest(string_split(text, chr(10))), '\\r+$', '') as l from conversations) where trim(l) <> ''""")
 def r01_frame_lines(spark, sf):
-    c = view(spark, sf, "select conv_id, turn, text as line from conversations", "conversations")
-    c = c.filter("octet_length(line) = length(line) and not contains(line, '\\n')")
+    c = view(spark, sf, "select conv_id, turn, explode(split(text, '\\n')) as line from conversations", "conversations")
     return framing.frame_lines(c, 200).select("conv_id", "turn", "is_oversized", "line")
 
 
-@q("select conv_id, turn, trim(x) as line from (select conv_id, turn, unnest(string_split(text, '. ')) as x from conversations) where trim(x) <> '' and x not like '%' || chr(10) || '%'")
+BLANKS = "' ' || chr(9) || chr(13) || chr(10)"
+
+
+@q(f"select conv_id, turn, trim(x, {BLANKS}) as line from (select conv_id, turn, unnest(string_split(text, '. ')) as x from conversations) where trim(x, {BLANKS}) <> ''")
 def r02_frame_delimited(spark, sf):
     c = view(spark, sf, "select conv_id, turn, text from conversations", "conversations")
-    return framing.frame_delimited(c, ". ", text_col="text").filter("not contains(line, '\\n')").select("conv_id", "turn", "line")
+    return framing.frame_delimited(c, ". ", text_col="text").select("conv_id", "turn", "line")
 
 
 @q("""with n as (select conv_id, turn, role || ': ' || text as l, sum((role = 'user')::int) over (partition by conv_id order by turn) as record from conversations)
@@ -194,9 +196,13 @@ def p18_types(spark, sf):
     return e.select("seq", declarative.convert(F.col("a"), "int").alias("n"), declarative.convert(F.col("b"), "port").alias("port"), declarative.convert(F.col("c"), "bool").alias("flag"))
 
 
-@q("select unnest(['srcip', 'spt', 'n']) as key, count(*) as n, 1.0::double as coverage, unnest(['network.src_ip', 'network.src_port', null]) as role from events where user_id % 9 = 7")
+KEY_VALUE = f"select *, concat('srcip=', src_ip, ' spt=', cast(src_port as varchar(20)), if(seq % 4 = 0, ' n=1', '')) as line from ({SEC_EVENTS}) s"
+
+
+@q("""with k as (select unnest(['srcip', 'spt', 'n']) as key, unnest(['network.src_ip', 'network.src_port', null]) as role)
+    select key, (case key when 'n' then (select count(*) from events where event_id % 4 = 0) else (select count(*) from events) end)::bigint as n, round(n / (select count(*) from events), 6)::double as coverage, role from k""")
 def p21_key_profile(spark, sf):
-    return declarative.key_profile(raw(spark, sf, MIXED).filter("user_id % 9 = 7"))
+    return declarative.key_profile(raw(spark, sf, KEY_VALUE))
 
 
 # --- normalisation and validation ----------------------------------------------------------
@@ -281,11 +287,11 @@ def j04_enrich(spark, sf):
     return e.select("seq", F.col(x + "src_ip_context.is_internal").alias("src_internal"), F.col(x + "threat_ip_detected").alias("threat"), F.col(x + "src_ip_context.cloud_provider").alias("cloud"), F.col(x + "dst_ip_context.ip_type").alias("dst_type"))
 
 
-@q(f"with {LIN}, {IDS} select event_id, line as payload from uid where seq % 7 = 0")
+@q(f"with {LIN}, {IDS} select event_id, line as payload from uid")
 def j06_event_detail(spark, sf):
     flat = _flat(spark, sf)
-    archive = identity.raw_archive(identity.with_event_id(identity.with_raw_hash(raw(spark, sf).filter("seq % 2 = 0"))))
-    return query.event_detail(flat, archive, flat.filter("seq % 7 = 0").select("event_id")).select("event_id", "payload")
+    archive = identity.raw_archive(identity.with_event_id(identity.with_raw_hash(raw(spark, sf))))
+    return query.event_detail(flat, archive, flat.select("event_id")).select("event_id", "payload")
 
 
 @q(f"""with {SEC}, c as (select {FORMAT_OF} as parser_name, count(*) as n from sec group by 1)

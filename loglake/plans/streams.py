@@ -16,8 +16,12 @@ from loglake.streaming import jobs
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see; a local one only where none is configured."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loglake-")
+    """A new folder that all executors see; a local one only where none is configured, in
+    local mode. On several machines that is an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    top = top or "file://" + tempfile.mkdtemp(prefix="loglake-")
     return f"{top.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
 
 

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from loglake.functions import scalars as S
 from loglake.operators import analytics as W
-from loglake.operators import crosswalk, declarative, detect, enrich, framing, identity, normalize, query, sinks, stats, validate
+from loglake.operators import crosswalk, declarative, detect, enrich, framing, identity, normalize, query, sinks, stats
+from loglake.operators.features import features
 from loglake.operators.extract import event_dim, extract, extract_generic_xml, join_event_dim
 from loglake.plans.ingest import ingest
-from loglake.plans.queries import BASE, CEF_SEV, IDS, LIN, MIX, MIX_FORMATS, SEC, _events, _flat, _sec, _telemetry, q
+from loglake.plans.queries import BLANKS, CEF_SEV, IDS, LIN, MIX, MIX_FORMATS, SEC, _events, _flat, _sec, _telemetry, q
 from loglake.plans.streams import _finished, _folder, _sec_stream
 from loglake.plans.tables import MIXED, SEC_EVENTS, raw, view
 from loglake.schema import CATEGORIES, OUTCOMES
-from loglake.operators.features import features
 from loglake.sources import readers
 from loglake.streaming import jobs
 
@@ -124,7 +124,7 @@ def i08_rebuild(spark, sf):
 # --- framing -------------------------------------------------------------------------------
 
 
-@q("select conv_id, turn, trim(x) as line from (select conv_id, turn, unnest(string_split(text, '. ')) as x from conversations) where trim(x) <> ''")
+@q(f"select conv_id, turn, trim(x, {BLANKS}) as line from (select conv_id, turn, unnest(string_split(text, '. ')) as x from conversations) where trim(x, {BLANKS}) <> ''")
 def r06_frame_source(spark, sf):
     c = view(spark, sf, "select conv_id, turn, text as line from conversations", "conversations")
     return framing.frame_source(c, {"framing": {"type": "delimiter", "delimiter": ". "}}).select("conv_id", "turn", "line")
