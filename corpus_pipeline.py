@@ -21,7 +21,7 @@ from loglake.session import prepare
 
 def classify(spark, docs, sf_dir):
     """Rejected documents go. A null or empty text is judged as a text without words; rows
-    that share an id go if one of them is rejected only, and stay if one is kept."""
+    that share an id stay if one of them is kept."""
     labels = prepare(spark).read.parquet(f"{sf_dir}/labels.parquet")
     verdict = quality_classifier(docs, labels).filter("kept").select(F.col("doc_id").alias("_id"))
     return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["_id"]), "left_semi")
