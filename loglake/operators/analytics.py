@@ -108,16 +108,30 @@ def rare_category(df: DataFrame, share: DataFrame, threshold: float = 0.01, min_
     return df.join(F.broadcast(s), F.col("category") == F.col("_c"), "left").withColumn("is_rare", F.coalesce("_rare", F.lit(False))).drop("_c", "_rare")
 
 
-def auth_failure_chain(df: DataFrame, threshold: int = 5) -> DataFrame:
+#: Numbers of events that a window of one address goes over at once.
+BLOCK = 1 << 16
+
+
+def auth_failure_chain(df: DataFrame, threshold: int = 5, block: int = BLOCK) -> DataFrame:
     """Adds chain and chain_fires: failures of an address since its last success. Only
-    authentication events count; other outcomes neither add nor reset."""
+    authentication events count; other outcomes neither add nor reset.
+
+    Windows go over blocks of ``block`` sequence numbers, so that an address with any share
+    of the events is many groups; what a block hands on to the next ones is one row."""
     auth = F.col("category") == "authentication"
-    by = Window.partitionBy("src_ip").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn("src_ip", source_key()).withColumn("_i", F.sum((auth & (F.col("outcome") == "success")).cast("int")).over(by))
-    within = Window.partitionBy("src_ip", "_i").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    failed = F.coalesce(auth & (F.col("outcome") == "failure"), F.lit(False))
-    d = d.withColumn("chain", F.when(failed, F.sum(failed.cast("int")).over(within)).otherwise(0))
-    return d.withColumn("chain_fires", F.col("chain") >= threshold).drop("_i")
+    is_ = lambda outcome: F.coalesce(auth & (F.col("outcome") == outcome), F.lit(False))
+    d = df.withColumn("src_ip", source_key()).withColumn("_b", F.coalesce(F.floor(F.col("seq") / block), F.lit(-1)))
+    d = d.withColumn("_i", F.sum(is_("success").cast("int")).over(Window.partitionBy("src_ip", "_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("_f", F.sum(is_("failure").cast("int")).over(Window.partitionBy("src_ip", "_b", "_i").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    # of each block: whether it has a success, and the failures after its last one
+    ends = d.groupBy("src_ip", "_b").agg(F.max(F.struct("_i", "_f")).alias("_e"))
+    by = Window.partitionBy("src_ip").orderBy("_b")
+    ends = ends.withColumn("_g", F.sum((F.col("_e._i") > 0).cast("int")).over(by))
+    ends = ends.withColumn("_open", F.sum("_e._f").over(Window.partitionBy("src_ip", "_g").orderBy("_b")))
+    carried = ends.select("src_ip", "_b", F.coalesce(F.lag("_open").over(by), F.lit(0)).alias("_c"))
+    d = d.join(carried, ["src_ip", "_b"])
+    d = d.withColumn("chain", F.when(is_("failure"), F.col("_f") + F.when(F.col("_i") == 0, F.col("_c")).otherwise(0)).otherwise(0))
+    return d.withColumn("chain_fires", F.col("chain") >= threshold).drop("_b", "_i", "_f", "_c")
 
 
 def score_anomalies(df: DataFrame, baseline: DataFrame, share: DataFrame, burst_args: dict | None = None) -> DataFrame:

@@ -200,7 +200,7 @@ KEY_VALUE = f"select *, concat('srcip=', src_ip, ' spt=', cast(src_port as varch
 
 
 @q("""with k as (select unnest(['srcip', 'spt', 'n']) as key, unnest(['network.src_ip', 'network.src_port', null]) as role)
-    select key, (case key when 'n' then (select count(*) from events where event_id % 4 = 0) else (select count(*) from events) end)::bigint as n, round(n / (select count(*) from events), 6)::double as coverage, role from k""")
+    select key, count(*) as n, round(count(*) / (select count(*) from events), 6)::double as coverage, role from k join events on key <> 'n' or event_id % 4 = 0 group by key, role""")
 def p21_key_profile(spark, sf):
     return declarative.key_profile(raw(spark, sf, KEY_VALUE))
 

@@ -56,9 +56,11 @@ _ORDER = "seq"
 
 
 def _keyed(stream: DataFrame, schema: str, state: str, step: Callable, timeout: str | None) -> DataFrame:
-    """Rows of each address in order of seq through ``step(row, state) -> (out, state)``; the
-    state of an address that stays away for ``timeout`` is dropped. With a timeout the query
-    goes on by itself to watch the clock, so a run to the end of its input takes None."""
+    """The rows of each address in a micro-batch, in order of seq, through ``step(rows, state)
+    -> (out, state)`` as whole columns; the state of an address that stays away for ``timeout``
+    is dropped. A source's option bounds a micro-batch, and with it the rows of an address.
+    With a timeout the query goes on by itself to watch the clock, so a run to the end of its
+    input takes None."""
     millis = timeout and int(timeout.split()[0]) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[timeout.split()[1].rstrip("s")] * 1000
 
     def run(key, batches: Iterator, group) -> Iterator:
@@ -67,16 +69,11 @@ def _keyed(stream: DataFrame, schema: str, state: str, step: Callable, timeout:
         if group.hasTimedOut:
             group.remove()
             return
-        s = group.get if group.exists else None
-        rows = pd.concat(list(batches)).sort_values(_ORDER, kind="stable")
-        out = []
-        for row in rows.to_dict("records"):
-            o, s = step(row, s)
-            out.append(o)
-        group.update(s)
+        out, new = step(pd.concat(list(batches)).sort_values(_ORDER, kind="stable"), group.get if group.exists else None)
+        group.update(new)
         if millis:
             group.setTimeoutDuration(millis)
-        yield pd.DataFrame(out)
+        yield out
 
     return stream.withColumn("src_ip", source_key()).groupBy("src_ip").applyInPandasWithState(run, schema, state, "append", "ProcessingTimeTimeout" if millis else "NoTimeout")
 
@@ -84,15 +81,15 @@ def _keyed(stream: DataFrame, schema: str, state: str, step: Callable, timeout:
 def stream_auth_chain(events: DataFrame, threshold: int = 5, timeout: str | None = "24 hours") -> DataFrame:
     """(src_ip, seq, chain, fires): failures since the last success, over all batches."""
 
-    def step(row, state):
-        n = state[0] if state else 0
-        chain = 0
-        if row["category"] == "authentication":
-            if row["outcome"] == "failure":
-                n = chain = n + 1
-            elif row["outcome"] == "success":
-                n = 0
-        return {"src_ip": row["src_ip"], "seq": row["seq"], "chain": chain, "fires": chain >= threshold}, (n,)
+    def step(rows, state):
+        import numpy as np
+
+        auth = (rows["category"] == "authentication").to_numpy()
+        failed, good = auth & (rows["outcome"] == "failure").to_numpy(), auth & (rows["outcome"] == "success").to_numpy()
+        total = np.cumsum(failed) + (state[0] if state else 0)
+        since = total - np.maximum.accumulate(np.where(good, total, 0))
+        chain = np.where(failed, since, 0).astype(np.int32)
+        return rows[["src_ip", "seq"]].assign(chain=chain, fires=chain >= threshold), (int(since[-1]),)
 
     cols = events.select("src_ip", "seq", "category", "outcome")
     return _keyed(cols, "src_ip string, seq long, chain int, fires boolean", "n int", step, timeout)
@@ -102,17 +99,21 @@ def stream_score(events: DataFrame, window: int = WINDOW, timeout: str | None =
     """(src_ip, seq, z): severity against the last ``window`` events before each one. The
     state is an array of at most ``window`` numbers an address."""
 
-    def step(row, state):
-        import math
-
-        values = list(state[0]) if state else []
-        n = len(values)
-        z, x = 0.0, float(row["severity"])
-        if n >= 5:
-            mean = sum(values) / n
-            std = math.sqrt(sum((v - mean) ** 2 for v in values) / n)
-            z = abs(x - mean) / std if std > 0 else 10.0 if abs(x - mean) > 1e-4 else 0.0
-        return {"src_ip": row["src_ip"], "seq": row["seq"], "z": z}, ((values + [x])[-window:],)
+    def step(rows, state):
+        import numpy as np
+
+        old = np.array(state[0] if state else [], float)
+        v = np.r_[old, rows["severity"].to_numpy(float)]
+        x = v - v[0]
+        one, two = (np.r_[0.0, np.cumsum(y)] for y in (x, x * x))
+        at = np.arange(len(old), len(v))
+        low = np.maximum(0, at - window)
+        n = np.maximum(1, at - low)
+        mean = (one[at] - one[low]) / n
+        std = np.sqrt(np.maximum(0.0, (two[at] - two[low]) / n - mean**2))
+        d = np.abs(x[at] - mean)
+        z = np.where(at - low < 5, 0.0, np.where(std > 1e-6, d / np.maximum(std, 1e-6), np.where(d > 1e-4, 10.0, 0.0)))
+        return rows[["src_ip", "seq"]].assign(z=z), (v[-window:].tolist(),)
 
     cols = events.select("src_ip", "seq", "severity")
     return _keyed(cols, "src_ip string, seq long, z double", "v array<double>", step, timeout)
