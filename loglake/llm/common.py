@@ -18,11 +18,15 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where it is unset, as in tests, a temporary folder is taken and set.
+    Only where it is unset in local mode, as in tests, a temporary folder is taken and set;
+    on several machines that would lose what others write, so it is an error there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="loglake-")
+        path = spark.sparkContext.getCheckpointDir()
+        if not path and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        path = path or "file://" + tempfile.mkdtemp(prefix="loglake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -78,9 +82,10 @@ SALTS = 16
 def join_salted(rows: DataFrame, groups: DataFrame, key: list[str], size_col: str, total: int) -> DataFrame:
     """As ``join_hot``, for rows that are dear to compute: they are evaluated once. Rows of
     keys with over a thousandth of ``total`` rows are dealt by their input partition to
-    ``SALTS`` parts, for each of which there is a copy of the key's group."""
+    ``SALTS`` parts, for each of which there is a copy of the key's group. The join is a
+    merge at every size, so that what is shuffled follows the input."""
     bound = max(1, total // 1000)
     hot = groups.filter(F.col(size_col) > bound).select(*key, F.lit(SALTS).alias("_salts"))
     rows = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.spark_partition_id() % SALTS)).drop("_salts")
     salts = F.when(F.col(size_col) > bound, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return rows.join(groups.withColumn("_salt", F.explode(salts)), [*key, "_salt"]).drop("_salt")
+    return rows.join(groups.withColumn("_salt", F.explode(salts)).hint("merge"), [*key, "_salt"]).drop("_salt")

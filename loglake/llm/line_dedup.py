@@ -27,7 +27,7 @@ from loglake.llm.components import components
 #: (least characters of the shorter line, edits of a link); 0: exact copies only.
 BANDS = ((0, 0), (16, 1), (128, 2))
 #: Keys of more lines than this are split further.
-CROWD = 64
+CROWD = 512
 #: Places of the filter that is broadcast before texts are moved.
 PLACES = 1 << 18
 
@@ -55,32 +55,36 @@ def _probes(t: int):
                 yield d, i, o, int(bool(d or o))
 
 
-def _arrays(bands, item) -> str:
-    """SQL: for every length that a line ``l`` of ``n`` characters may link to, the array of
-    ``item(length, i, start, segment length, start in the other line, role, t)``."""
-    parts = []
-    for d in range(max(t for _, t in bands) + 1):
-        cases = []
-        for least, t in sorted(bands, reverse=True):
-            items = [(i, o, role) for d_, i, o, role in _probes(t) if d_ == d and t]
-            m = f"(n - {d})"
-            made = [item(m, i, f"({_segment(m, i, t)[0]} + {o})", _segment(m, i, t)[1], _segment(m, i, t)[0], role, t) for i, o, role in items]
-            cases.append(f"when {m} >= {least} then " + (f"array({', '.join(made)})" if made else "null"))
-        parts.append(f"coalesce(case {' '.join(cases)} end, array())")
-    return f"concat({', '.join(parts)})"
+def _for_each_probe(bands, item: str) -> str:
+    """SQL: the array of ``item`` for every probe ``x`` of a line of ``n`` characters; in it,
+    {m} is the other length, {p} and {q} the segment's starts in both lines, {w} its length.
 
-
-def _key(m, i, p, w, q, role, t) -> str:
-    """A key with its role as the last bit. ``b`` is the line in UTF-32, where a substring
-    is found without counting characters."""
-    return f"((xxhash64({m}, {i}, substr(b, 4 * {p} - 3, 4 * {w})) & -2L) | {role}L)"
-
-
-def _part(m, i, p, w, q, role, t) -> str:
-    """A key with the side that may hold the most edits, its length in the other line, and edits."""
-    right = t + 1 - i >= i - 1
-    s, yl, e = (f"substr(l, {p} + {w})", f"({m} - {q} - {w} + 1)", t + 1 - i) if right else (f"substr(l, 1, {p} - 1)", f"({q} - 1)", i - 1)
-    return f"struct({_key(m, i, p, w, q, role, t)} as key, {s} as s, int({yl}) as yl, {e} as e)"
+    A lambda over a list of probes, as a spelled-out array of them all is too much code for
+    the compiler. Near the ends of a band, the list depends on the other line's length."""
+    most = max(t for _, t in bands)
+    list_of = lambda t: ", ".join(f"struct({d} as d, {t} as t, {i} as i, {o} as o, {role} as role)" for d, i, o, role in _probes(t)) if t else ""
+    every = ", ".join(x for x in (list_of(t) for _, t in bands) if x)
+    band = " ".join(f"when n - x.d >= {least} then {t}" for least, t in sorted(bands, reverse=True))
+    cases, above = [], 1 << 30
+    for least, t in sorted(bands, reverse=True):
+        if t:
+            cases.append(f"when n >= {least + most} AND n < {above} then array({list_of(t)})")
+        above = least
+    kind = "array<struct<d: int, t: int, i: int, o: int, role: int>>"
+    probes = f"case {' '.join(cases)} when n < {min(least for least, t in bands if t)} then cast(array() as {kind}) else filter(array({every}), x -> x.t = case {band} else 0 end) end"
+    base, extra = "((n - x.d) div (x.t + 1))", "((n - x.d) % (x.t + 1))"
+    q = f"int((x.i - 1) * {base} + greatest(0, x.i - 2 - x.t + {extra}) + 1)"
+    w = f"int({base} + if(x.i > x.t + 1 - {extra}, 1, 0))"
+    return f"transform({probes}, x -> {item.format(m='(n - x.d)', q=q, w=w, p=f'({q} + x.o)')})"
+
+
+#: A key with its role as the last bit. ``b`` is the line in UTF-32, where a substring is
+#: found without counting characters.
+_KEY = "((xxhash64({m}, x.i, substr(b, 4 * {p} - 3, 4 * {w})) & -2L) | x.role)"
+#: The same with the side that may hold the most edits, its length in the other line, edits.
+_PART = f"""if(2 * x.i <= x.t + 2,
+    struct({_KEY} as key, substr(l, {{p}} + {{w}}) as s, int({{m}} - {{q}} - {{w}} + 1) as yl, x.t + 1 - x.i as e),
+    struct({_KEY} as key, substr(l, 1, {{p}} - 1) as s, int({{q}} - 1) as yl, x.i - 1 as e))"""
 
 
 def _finer(e: int) -> str:
@@ -92,7 +96,7 @@ def _finer(e: int) -> str:
         for o in range(-(j - 1), j):
             fits = f"abs(length(s) - yl - {o}) <= {e + 1 - j} AND {q} + {o} >= 1"
             s, yl, e2 = (f"substr(s, {q} + {o} + {w})", f"(yl - {q} - {w} + 1)", e + 1 - j) if right else (f"substr(s, 1, {q} + {o} - 1)", f"({q} - 1)", j - 1)
-            key = f"((xxhash64(key, {j}, substr(s, {q} + {o}, {w})) & -2L) | {'key & 1' if o == 0 else '1L'})"
+            key = f"((xxhash64(key & -2L, {j}, substr(s, {q} + {o}, {w})) & -2L) | {'key & 1' if o == 0 else '1L'})"
             out.append(f"if({fits}, struct({key} as key, {s} as s, int({yl}) as yl, {e2} as e), null)")
     return f"filter(array({', '.join(out)}), x -> x is not null)"
 
@@ -118,14 +122,23 @@ def within(x: str, y: str, t: int) -> str:
         u -> struct(u.d0 as d0, (a.vn | ~(u.d0 | a.vp)) & {full}L as hp, u.d0 & a.vp as hn)),
         u -> struct((u.hn | ~(shiftright(u.d0, 1) | u.hp)) & {full}L as vp, shiftright(u.d0, 1) & u.hp as vn,
           a.d + if(j <= s.n - {t}, if((u.d0 & {top}L) = 0, 1, 0), if((u.hp & {row}) != 0, 1, 0) - if((u.hn & {row}) != 0, 1, 0)) as d))[0]"""
-    # the characters stay outside the state, which is copied in each step
-    return f"""(abs(length({x}) - length({y})) <= {t} AND transform(array(struct(split({x}, '') as x, split({y}, '') as y, length({x}) as n)), s ->
-      aggregate(sequence(1, size(s.y)), struct({start}L as vp, 0L as vn, {t} as d), (a, j) -> {step}, a -> a.d))[0] <= {t})"""
-
-
-def _pairs(parts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines that share a key. Rows: key with the role as its last bit, h, s,
-    yl, e. Crowded keys are split until they are small or nothing is left to split."""
+    # what both start or end with, but for t + 1 characters, changes nothing; found by halving
+    most = f"least(length({x}), length({y}))"
+    steps = "array(" + ", ".join(str(1 << k) for k in range(16, -1, -1)) + ")"
+    head = f"aggregate({steps}, 0, (p, k) -> if(p + k <= {most} AND substr({x}, p + 1, k) = substr({y}, p + 1, k), p + k, p), p -> greatest(0, p - {t + 1}))"
+    tail = f"aggregate({steps}, 0, (p, k) -> if(p + k <= {most} - h AND substr({x}, -p - k, k) = substr({y}, -p - k, k), p + k, p), p -> greatest(0, p - {t + 1}))"
+    middle = lambda c: f"split(substr({c}, c.h + 1, length({c}) - c.h - c.e), '')"
+    cut = f"transform(transform(array({head}), h -> struct(h as h, {tail} as e)), c -> struct({middle(x)} as x, {middle(y)} as y, length({x}) - c.h - c.e as n))"
+    # the characters stay outside the state, which is copied in each step; a value on the
+    # lowest diagonal never falls, and the last row takes 2t off it at most
+    return f"""(abs(length({x}) - length({y})) <= {t} AND transform({cut}, s ->
+      aggregate(sequence(1, size(s.y)), struct({start}L as vp, 0L as vn, {t} as d), (a, j) -> if(a.d > {3 * t}, a, {step}), a -> a.d))[0] <= {t})"""
+
+
+def _pairs(parts: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b) of lines that share a key and whose character parities allow ``most``
+    edits. Rows: key with the role as its last bit, h, odd, s, yl, e. Crowded keys are split
+    until they are small or nothing is left to split."""
     out = []
     while True:
         parts = materialize(parts.withColumn("role", F.col("key").bitwiseAND(1)).withColumn("key", F.col("key").bitwiseAND(-2)), "line-parts")
@@ -133,16 +146,15 @@ def _pairs(parts: DataFrame) -> DataFrame:
         met = join_salted(parts, sizes.filter("a <> b AND least = 0").select("key", "size"), ["key"], "size", parts.count())
         met = materialize(met, "line-met")
         few = met.filter(f"size <= {CROWD} OR yl <= e")
-        x, y = few.select("key", "h", "role").alias("x"), few.filter("role = 0").select("key", "h").alias("y")
-        join = x.join(y, F.expr("x.key = y.key AND x.h <> y.h AND (x.role = 1 OR x.h < y.h)"))
+        x, y = few.select("key", "h", "role", "odd").alias("x"), few.filter("role = 0").select("key", "h", "odd").alias("y")
+        join = x.join(y, F.expr(f"x.key = y.key AND x.h <> y.h AND (x.role = 1 OR x.h < y.h) AND bit_count(x.odd ^ y.odd) <= {2 * most}"))
         out.append(materialize(join.select(F.expr("least(x.h, y.h) as a"), F.expr("greatest(x.h, y.h) as b")).distinct(), "line-pairs"))
         many = met.filter(f"NOT (size <= {CROWD} OR yl <= e)")
         if many.isEmpty():
             return reduce(DataFrame.union, out).distinct()
-        most = many.agg(F.max("e")).first()[0]
-        many = many.select("h", F.col("key").bitwiseOR(F.col("role")).alias("key"), "s", "yl", "e")
+        many = many.select("h", "odd", F.col("key").bitwiseOR(F.col("role")).alias("key"), "s", "yl", "e")
         cases = " ".join(f"when e = {e} then {_finer(e)}" for e in range(1, most + 1))
-        parts = many.select("h", F.explode(F.expr(f"case {cases} end")).alias("p")).select("h", "p.*")
+        parts = many.select("h", "odd", F.explode(F.expr(f"case {cases} end")).alias("p")).select("h", "odd", "p.*")
 
 
 def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands=BANDS) -> DataFrame:
@@ -166,7 +178,7 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # keys that two different lines share, one of them by its index
     least = min([b for b, t in bands if t], default=1 << 30)
     joined = lines.filter(counted & (n >= least)).select(F.xxhash64("l").alias("h"), n.alias("n"), F.encode("l", "UTF-32").alias("b"))
-    keys = joined.select("h", F.explode(F.expr(_arrays(bands, _key))).alias("k")).select("h", F.col("k").bitwiseAND(-2).alias("key"), F.col("k").bitwiseAND(1).alias("role"))
+    keys = joined.select("h", F.explode(F.expr(_for_each_probe(bands, _KEY))).alias("k")).select("h", F.col("k").bitwiseAND(-2).alias("key"), F.col("k").bitwiseAND(1).alias("role"))
     shared = keys.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("role").alias("role"), F.count(F.lit(1)).alias("size")).filter("a <> b AND role = 0")
     shared = materialize(shared.select("key", "size"), "shared-keys")
     key_rows = shared.agg(F.sum("size")).first()[0] or 0
@@ -180,14 +192,13 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the characters that occur an odd number of times: an edit changes two of them at most
     texts = texts.withColumn("odd", F.expr("aggregate(split(l, ''), 0L, (a, c) -> a ^ shiftleft(1L, ascii(c) % 64))"))
     texts = materialize(texts, "line-texts")
-    parts = texts.withColumn("b", F.encode("l", "UTF-32")).select("h", F.explode(F.expr(_arrays(bands, _part))).alias("k")).select("h", "k.*")
-    pairs = _pairs(parts) if least < 1 << 30 else texts.select(F.col("h").alias("a"), F.col("h").alias("b")).limit(0)
-    most = max(t for _, t in bands)
-    j = pairs.join(texts.select(F.col("h").alias("a"), F.col("odd").alias("p")), "a").join(texts.select(F.col("h").alias("b"), F.col("odd").alias("q")), "b")
-    j = j.filter(F.expr(f"bit_count(p ^ q) <= {2 * most}")).select("a", "b")
-    j = j.join(texts.select(F.col("h").alias("a"), F.col("l").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("l").alias("y")), "b")
+    parts = texts.withColumn("b", F.encode("l", "UTF-32")).select("h", "odd", F.explode(F.expr(_for_each_probe(bands, _PART))).alias("k")).select("h", "odd", "k.*")
+    pairs = _pairs(parts, max(t for _, t in bands)) if least < 1 << 30 else texts.select(F.col("h").alias("a"), F.col("h").alias("b")).limit(0)
+    j = pairs.join(texts.select(F.col("h").alias("a"), F.col("l").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("l").alias("y")), "b")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    j = j.repartition(parts, "a", "b")  # few rows, but each one takes time: a filter would go ahead of this
     fits = " ".join(f"when least(length(x), length(y)) >= {b} then {within('x', 'y', t) if t else 'false'}" for b, t in sorted(bands, reverse=True))
-    links = materialize(j.filter(F.expr(f"case {fits} end")).select("a", "b"), "line-links")
+    links = materialize(j.select("a", "b", F.explode(F.expr(f"array(case {fits} end)")).alias("fit")).filter("fit").select("a", "b"), "line-links")
 
     comp = components(links).withColumnRenamed("node", "h")
     named = copies.join(comp, "h", "left").withColumn("component", F.coalesce("component", "h"))
