@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -213,27 +214,74 @@ class Transducer:
         return out + rest
 
 
+def _utf8_steps() -> list[list[int]]:
+    """The automaton: next state by state and byte; -1 where a byte cannot come.
+
+    State 0 is between characters; 1, 2 and 3 wait for so many bytes of any value from 80 to
+    BF; 4 to 7 wait for the second byte after E0, ED, F0 and F4, whose range is narrower, as
+    no character has two forms and none is a surrogate or above 10FFFF."""
+    steps = [[-1] * 256 for _ in range(8)]
+
+    def go(state: int, low: int, high: int, to: int) -> None:
+        steps[state][low : high + 1] = [to] * (high + 1 - low)
+
+    go(0, 0x00, 0x7F, 0)
+    for low, high, to in ((0xC2, 0xDF, 1), (0xE0, 0xE0, 4), (0xE1, 0xEC, 2), (0xED, 0xED, 5), (0xEE, 0xEF, 2), (0xF0, 0xF0, 6), (0xF1, 0xF3, 3), (0xF4, 0xF4, 7)):
+        go(0, low, high, to)
+    for state, low, high, to in ((1, 0x80, 0xBF, 0), (2, 0x80, 0xBF, 1), (3, 0x80, 0xBF, 2), (4, 0xA0, 0xBF, 1), (5, 0x80, 0x9F, 1), (6, 0x90, 0xBF, 2), (7, 0x80, 0x8F, 2)):
+        go(state, low, high, to)
+    return steps
+
+
+_STEPS = _utf8_steps()
+#: The bits of a first byte that belong to the character, by the state it leads to.
+_FIRST = [0x7F, 0x1F, 0x0F, 0x07, 0x0F, 0x0F, 0x07, 0x07]
+_BEYOND_ASCII = re.compile(rb"[\x80-\xff]+")
+
+
 class Utf8Stream:
-    """Incremental decoding of UTF-8 bytes: what an unfinished character has so far is
-    the state, and waits for the next chunk. Bytes that cannot go on become U+FFFD."""
+    """Incremental decoding of UTF-8 by an automaton. Its state is the number of the state and
+    the bits of the character so far; nothing is held back. What cannot go on becomes U+FFFD,
+    once for each longest part that could have. Runs of ASCII are passed on whole, as they
+    leave state 0 where it is."""
 
     def __init__(self):
-        self.held = b""
+        self.state = self.bits = 0
+
+    def _ascii(self, run: bytes, out: list[str]) -> None:
+        if run and self.state:
+            out.append("\ufffd")
+            self.state = 0
+        out.append(run.decode("ascii"))
 
     def feed(self, chunk: bytes, last: bool = False) -> str:
-        data = self.held + chunk
-        cut = len(data)
-        if not last:
-            for back in range(1, min(3, cut) + 1):  # an unfinished character has three bytes at most
-                lead = data[cut - back]
-                if lead >= 0xC0:
-                    if back < (2 if lead < 0xE0 else 3 if lead < 0xF0 else 4):
-                        cut -= back
-                    break
-                if lead < 0x80:
-                    break
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        out, at = [], 0
+        for m in _BEYOND_ASCII.finditer(chunk):
+            self._ascii(chunk[at : m.start()], out)
+            state, bits = self.state, self.bits
+            for b in m[0]:
+                to = _STEPS[state][b]
+                if to < 0:
+                    out.append("\ufffd")
+                    if state:  # the byte may begin a character
+                        to = _STEPS[0][b]
+                        if to < 0:
+                            out.append("\ufffd")
+                    state = max(to, 0)
+                    bits = b & _FIRST[state]
+                elif state:
+                    bits = bits << 6 | b & 0x3F
+                    state = to
+                    if not to:
+                        out.append(chr(bits))
+                else:
+                    state, bits = to, b & _FIRST[to]
+            self.state, self.bits, at = state, bits, m.end()
+        self._ascii(chunk[at:], out)
+        if last and self.state:
+            out.append("\ufffd")
+            self.state = 0
+        return "".join(out)
 
 
 class _Memo(dict):
@@ -326,23 +374,27 @@ def bpe_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
 
 
 def bpe_digest(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256: encodes, decodes the ids and hashes both.
-    Null and empty texts have no tokens."""
+    """id, n_tokens, ids_sha256, decoded_sha256, decoded_chars: encodes, decodes the ids as a
+    stream and hashes both; decoded_chars counts the characters that the automaton finds in
+    the bytes. A row for every row, repeated ones and null ids too; null and empty texts have
+    no tokens; other columns are not read; an empty table gives no rows."""
 
     def run(batches):
         c = codec(ranks_path, pattern)
         for b in batches:
-            n, a, z = [], [], []
+            n, a, z, k = [], [], [], []
             for t in b.column(1):
                 ids = c.encode(t.as_py() or "")
                 n.append(len(ids))
                 a.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                stream, h = Utf8Stream(), hashlib.sha256()
+                stream, h, size = Utf8Stream(), hashlib.sha256(), 0
                 for at in range(0, len(ids), 65536):
-                    h.update(stream.feed(c.decode_bytes(ids[at : at + 65536])).encode())
-                h.update(stream.feed(b"", last=True).encode())
+                    raw = c.decode_bytes(ids[at : at + 65536])
+                    h.update(raw)
+                    size += len(stream.feed(raw, last=at + 65536 >= len(ids)))
                 z.append(h.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(z, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                k.append(size)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(z, pa.string()), pa.array(k, pa.int64())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"])
 
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long").withColumnRenamed("id", id_col)

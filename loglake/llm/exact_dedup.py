@@ -25,9 +25,27 @@ def _positions(h: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(u + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(HASHES)], axis=1)
 
 
+def _added(parts: list[tuple]) -> tuple:
+    """Parts of (word, ones, twos) as one: a bit that is in two parts is set twice."""
+    word, ones, twos = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(word, kind="stable")
+    word, ones, twos = word[order], ones[order], twos[order]
+    start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    # bits of a word in its order: what is set again, having been set before
+    twos = np.bitwise_or.reduceat(twos, start)
+    seen, at = ones[start].copy(), start + 1
+    end = np.r_[start[1:], len(word)]
+    while (more := np.flatnonzero(at < end)).size:
+        twos[more] |= seen[more] & ones[at[more]]
+        seen[more] |= ones[at[more]]
+        at = at + 1
+    return word[start], seen, twos
+
+
 def _local_bits(bits: int):
     def run(batches):
-        once, twice = {}, {}
+        waiting, size = [], 0
+        held = None  # words that have bits set, ascending; bits set by one row, by two
         for b in batches:
             pos = _positions(b.column(0).to_numpy(zero_copy_only=False), bits)
             # a row may set one bit by two of its hashes: count it once
@@ -41,15 +59,15 @@ def _local_bits(bits: int):
             start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             ones = np.bitwise_or.reduceat(bit, start)
             twos = np.bitwise_or.reduceat(np.where(n > 1, bit, np.uint64(0)), start)
-            for w, a, c in zip(word[start].tolist(), ones.tolist(), twos.tolist()):
-                seen = once.get(w, 0)
-                twice[w] = twice.get(w, 0) | c | (seen & a)
-                once[w] = seen | a
-        if once:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(list(x), np.uint64).view(np.int64)) for x in (once.keys(), once.values(), [twice[w] for w in once])],
-                names=["word", "ones", "twos"],
-            )
+            new = (word[start], ones, twos)
+            waiting.append(new)
+            size += len(start)
+            if held is None or size > len(held[0]):  # merged when it is as much as what is held
+                held, waiting, size = _added([*([held] if held else []), *waiting]), [], 0
+        if waiting:
+            held = _added([*([held] if held else []), *waiting])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in held], names=["word", "ones", "twos"])
 
     return run
 
@@ -95,27 +113,35 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     stays if an equal text has an id; if all ids of a group are null, keep_id is null and
     its rows are kept. An empty table gives an empty result. Other columns are not read.
 
-    The broadcast filter has 16 bits a row, up to ``max_bits`` (128 MB). More rows are
-    taken in slices of the hash range, each with a filter of its own within that bound.
+    Ids may be of any type that has an order. The broadcast filter has 16 bits a row, up to
+    ``max_bits`` (128 MB). More rows are taken in slices of the hash range, each with a filter
+    of its own within that bound, which is freed when the slice is done.
     """
     spark = df.sparkSession
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
     hashed = df.select(F.col(id_col).alias("id"), sha.alias("sha")).withColumn("h", F.xxhash64("sha"))
-    hashed = materialize(hashed, "hashes")
-    total = hashed.count()
+    total = df.count()
     slices = max(1, -(-total * BITS_PER_ROW // max_bits))
+    # by slice, so that each one reads its own rows only
+    hashed = hashed.withColumn("slice", F.pmod(F.xxhash64(F.lit(7), "h"), F.lit(slices)).cast("int"))
+    hashed = materialize(hashed, "hashes", *(["slice"] if slices > 1 else []))
+    kind = dict(hashed.dtypes)["id"]
     want = min(max_bits, max(1024, total * BITS_PER_ROW // slices))
     bits = 1 << (want - 1).bit_length()  # at most max_bits, a power of two
     parts = []
     for k in range(slices):
-        own = hashed if slices == 1 else hashed.filter(F.pmod(F.xxhash64(F.lit(7), "h"), F.lit(slices)) == k)
+        own = hashed.filter(F.col("slice") == k).select("id", "sha", "h")
         local = own.select("h").mapInArrow(_local_bits(bits), "word long, ones long, twos long")
         merged = local.repartition("word").sortWithinPartitions("word").mapInArrow(_merge_bits, "word long, twos long")
         table = np.zeros(bits // 64, np.uint64)
         got = merged.toArrow()
         table[got.column("word").to_numpy()] = got.column("twos").to_numpy().view(np.uint64)
         words = spark.sparkContext.broadcast(table)
-        parts.append(own.mapInArrow(_probe(words, bits), "id long, sha string, h long, maybe boolean"))
+        part = own.mapInArrow(_probe(words, bits), f"id {kind}, sha string, h long, maybe boolean")
+        if slices > 1:
+            part = materialize(part, "probed")
+            words.destroy()
+        parts.append(part)
     probed = parts[0]
     for p in parts[1:]:
         probed = probed.unionByName(p)

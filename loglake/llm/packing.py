@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_TOKENS = 2048
-MAX_SEGMENTS = 512
+MAX_SEGMENTS = 64
 #: Remainders are packed in batches of this many; the last bin of a batch is split at
 #: powers of two, which need no padding.
 BATCH = 2048
@@ -88,7 +88,8 @@ def pack_partition(rows: Iterator[tuple[int | None, np.ndarray]], first_id: int)
     def flush():
         nonlocal seq
         sizes = [len(ids) - at for _, ids, at in held]
-        bins = dot_product_pack(sizes, sizes)
+        # a document's first token has nothing before it to be predicted from
+        bins = dot_product_pack(sizes, [n - (at == 0) for n, (_, _, at) in zip(sizes, held)])
         for b in bins:
             full = sum(x[2] for x in b) == MAX_TOKENS
             for s in [b] if full else _powers(b):
@@ -166,7 +167,7 @@ def _pack(json_path: str, ranks_path: str, pattern: str):
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document is its token ids and then the end id, all of them loss-bearing. Null and
+    A document is its token ids and then the end id, all but the first loss-bearing. Null and
     empty texts are the end id alone. A null id is kept as null; repeated rows are packed
     once each. An empty table gives no pieces. Other columns are not read.
 

@@ -144,14 +144,15 @@ def _order(id_col: str):
 def graded(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Labelled documents with a grade, ``sample`` at most: 0 toxic, 1 of low quality, 2 fine.
 
-    A toxic document is the worst whatever its quality; a null label makes no grade. The
+    A toxic document is the worst whatever its quality; a null label makes no grade; of
+    several labels of a document the worst holds; other columns are not read. The
     sample is taken from ids alone, so that only its texts are moved.
     """
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, F.when(F.col("toxic") == 0, 1)).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
-    known = labels.select(F.col("doc_id").alias("_label_id"), grade.alias("_grade")).filter("_grade IS NOT NULL AND _label_id IS NOT NULL").dropDuplicates(["_label_id"])
+    known = labels.select(F.col("doc_id").alias("_label_id"), grade.alias("_grade")).filter("_grade IS NOT NULL AND _label_id IS NOT NULL").groupBy("_label_id").agg(F.min("_grade").alias("_grade"))
     there = known.join(documents.select(F.col("doc_id").alias("_label_id")), "_label_id", "left_semi")
     chosen = there.orderBy(_order("_label_id"), "_label_id").limit(sample)
-    return documents.join(F.broadcast(chosen), F.col("doc_id") == F.col("_label_id")).select("doc_id", "text", F.col("_grade").alias("grade"))
+    return documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_label_id")).select("doc_id", "text", F.col("_grade").alias("grade"))
 
 
 #: A document is rejected where fine is less likely than this.
