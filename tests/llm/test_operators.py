@@ -57,6 +57,15 @@ def test_empty_tables(spark, empty):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "near_dedup", "pii", "packing"]
 
 
+def test_exact_dedup_in_slices_with_text_ids(spark):
+    rows = [(f"id{i:04d}", f"text {i % 700}") for i in range(1000)]
+    got = by_id(exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id string, text string").repartition(5), max_bits=1 << 11))  # eight slices
+    assert len(got) == 1000
+    for i, (k, _) in enumerate(rows):
+        twin = i + 700 if i < 300 else i
+        assert (got[k]["keep_id"], got[k]["group_size"], got[k]["kept"]) == (f"id{twin:04d}", 2 if i < 300 or i >= 700 else 1, twin == i)
+
+
 @pytest.mark.parametrize("max_bits", [1 << 30, 128])
 def test_exact_dedup(docs, max_bits):
     """The second bound takes the rows in several slices."""
@@ -201,6 +210,19 @@ def test_bpe_on_random_texts():
         assert c.split(s) == full(s)
 
 
+def test_utf8_automaton_equals_a_decoder():
+    import random
+
+    r = random.Random(1)
+    for _ in range(20000):
+        b = bytearray("".join(r.choices(["a", "é", "日", "😀", "߿", "\ud7ff", "\ue000", "\U0010ffff", " "], k=r.randint(0, 6))).encode())
+        for _ in range(r.randint(0, 3)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randint(0, 1)] = bytes([r.randrange(256)]) if r.random() < 0.5 else b""
+        k, s = r.randint(0, len(b)), bpe.Utf8Stream()
+        assert s.feed(bytes(b[:k])) + s.feed(bytes(b[k:]), last=True) == bytes(b).decode("utf-8", "replace")
+
+
 def test_broken_utf8_streams():
     s = bpe.Utf8Stream()
     assert s.feed(b"\xe6\x97") + s.feed(b"\xa5a\xff") + s.feed(b"\xf0\x9f", last=True) == "日a��"
@@ -263,8 +285,14 @@ def edits(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("threshold", [1, 2])
-def test_line_dedup(spark, threshold):
+def edits_allowed(a, b, bands):
+    n = min(len(a), len(b))
+    return max((x for x in bands if n >= x[0]), default=(0, 0))[1]
+
+
+@pytest.mark.parametrize("bands", [((0, 0), (40, 1)), ((0, 0), (20, 1), (45, 2)), ((0, 0), (40, 3))])
+def test_line_dedup(spark, bands, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWD", 5)  # keys are split again
     import random
 
     r = random.Random(2)
@@ -276,18 +304,18 @@ def test_line_dedup(spark, threshold):
             k = r.randrange(len(x))
             x[k : k + 1] = r.choice([[], ["z"], [x[k], "q"]])
         lines.append("".join(x))
-    texts = ["\n".join(lines[i : i + 7]) for i in range(0, len(lines), 7)] + ["", None, "short\nshort", base]
+    texts = ["\n".join(lines[i : i + 7]) for i in range(0, len(lines), 7)] + ["", None, "short\nshort\n  \n  ", base]
     rows = [(i, t) for i, t in enumerate(texts)]
     all_lines = {(i, k): x for i, t in rows for k, x in enumerate((t or "").split("\n"))}
-    counted = [k for k, x in all_lines.items() if len(x) >= 40]
-    want = {k: k for k in all_lines} | components_of(counted, lambda a, b: edits(all_lines[a], all_lines[b]) <= threshold)
+    counted = [k for k, x in all_lines.items() if x.strip()]
+    want = {k: k for k in all_lines} | components_of(counted, lambda a, b: edits(all_lines[a], all_lines[b]) <= edits_allowed(all_lines[a], all_lines[b], bands))
     size = collections.Counter(want.values())
-    got = line_dedup.line_classes(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold).collect()
+    got = line_dedup.line_classes(spark.createDataFrame(rows, "doc_id long, text string"), bands=bands).collect()
     assert len(got) == len(all_lines)
     for x in got:
         k = (x["doc_id"], x["line_no"])
         assert (x["class_id"], x["class_line_no"]) == want[k] and x["class_size"] == size[want[k]] and x["kept"] == (want[k] == k)
-    left = {x["doc_id"]: x["text"] for x in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold).collect()}
+    left = {x["doc_id"]: x["text"] for x in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), bands=bands).collect()}
     for i, t in rows:
         assert left[i] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if want[i, k] == (i, k)))
 
@@ -299,6 +327,40 @@ def test_line_dedup_keeps_every_row_of_a_large_class(spark):
     assert {(x["class_id"], x["class_size"]) for x in got} == {(0, 3000)} and [x["doc_id"] for x in got if x["kept"]] == [0]
 
 
+def test_banded_edit_distance(spark):
+    import random
+
+    r, rows = random.Random(1), []
+    for _ in range(1500):
+        a = "".join(r.choices("abcdefghij"[: r.choice([2, 3, 10])], k=r.randint(3, 40)))
+        b = list(a)
+        for _ in range(r.randint(0, 5)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randint(0, 1)] = r.choice([[], ["a"], ["b", "c"]])
+        if len(b) >= 3:
+            rows.append((a, "".join(b), edits(a, b)))
+    d = spark.createDataFrame(rows, "x string, y string, d int")
+    for t in (1, 2, 3):
+        assert d.filter(F.expr(f"{line_dedup.within('x', 'y', t)} <> (d <= {t})")).count() == 0 < d.filter(f"d <= {t}").count()
+
+
+def test_line_dedup_splits_crowded_keys(spark):
+    """Thousands of lines with one first half and a few links: found without meeting all."""
+    import random
+
+    r = random.Random(7)
+    head = "2024-05-01T10:00:00Z host-a service started with the following id: "
+    rows = [(i, head + "".join(r.choices("0123456789abcdef", k=72))) for i in range(4000)]
+    for i in range(50):
+        k = len(head) + r.randrange(70)
+        x = rows[i][1]
+        rows.append((4000 + i, x[:k] + "zz" + x[k + 2 :]))
+    got = by_id(line_dedup.line_classes(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert len(got) == 4050
+    for i, x in got.items():
+        assert (x["class_id"], x["class_size"]) == ((i - 4000, 2) if i >= 4000 else (i, 2 if i < 50 else 1))
+
+
 def test_line_dedup_follows_every_shared_key(spark):
     import random
 
@@ -341,6 +403,83 @@ def test_pii(spark):
     assert "[PHONE]" in out[1000] and "[SECRET]" in out[1000] and "555" not in out[1000] and out[0] == TEXTS[0] and out[None] is None
 
 
+def _luhn(digits):
+    return sum(v * (1 + i % 2) - 9 * (v * (1 + i % 2) > 9) for i, v in enumerate(int(c) for c in reversed(digits))) % 10 == 0
+
+
+def test_pii_adds_what_base_patterns_leave_out(spark):
+    """Other forms of each kind are selected, invalid and unlike things are not."""
+    r = __import__("random").Random(3)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def card():
+        while not _luhn(x := "4" + digits(15)):
+            pass
+        return x
+
+    forms = {
+        "email": [lambda: f"{r.choice('abcd')}{digits(2)}@mail{r.randint(1, 9)}.example.com"] * 4 + [lambda: f"{r.choice('abcd')}{digits(2)} (at) mail{r.randint(1, 9)}.example.com"],
+        "ip": [lambda: ".".join(str(r.randint(10, 250)) for _ in range(4))] * 4 + [lambda: "[.]".join(str(r.randint(10, 250)) for _ in range(4))],
+        "card": [card] * 4 + [lambda: ".".join(re.findall("....", card()))],
+        "phone": [lambda: f"+1 ({digits(3)}) 555-{digits(4)}"] * 12 + [lambda: f"({digits(3)}) 555-{digits(4)}"],
+    }
+    rows, planted = [], {}
+    for i in range(900):
+        kind = ["email", "ip", "card", "phone", None][i % 5]
+        if kind is None:
+            text = f"nothing here but {digits(5)} and 2024-0{r.randint(1, 9)}-1{r.randint(0, 9)} or v1.2.{r.randint(300, 900)}.4"
+        else:
+            x = r.choice(forms[kind])()
+            text = f"some words then {x} and more"
+            planted[i] = (kind, 16, 16 + len(x))
+        rows.append((i, text))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["spans"] for x in pii.pii_digest(d).collect()}
+    added = collections.Counter()
+    for i, text in rows:
+        if i in planted:
+            k, a, b = planted[i]
+            base = any(valid(n, m.group()) for n in BASE for m in re.finditer(BASE[n], text))
+            hit = f"{k}:{a}:{b}" in got[i].split(",")
+            assert hit or not base
+            added[k, base, hit] += 1
+        else:
+            assert got[i] == ""  # dates, versions and short numbers are left alone
+    for k in ("email", "ip", "card", "phone"):
+        assert added[k, False, True] >= 0.9 * (added[k, False, True] + added[k, False, False]) > 0, (k, added)
+
+
+def test_pii_spans_equal_a_loop(spark):
+    """Islands and gaps, over more spans than a block holds, as a loop finds them."""
+    r = __import__("random").Random(8)
+    rows = []
+    for i in range(12):
+        n = [0, 1, 5, 300, 700][i % 5]
+        make = lambda m: sorted((x := r.randint(0, 6000), r.randint(0, 4), x + r.randint(1, 30)) for _ in range(m))
+        rows.append((i, make(n), make(n // 2 + i % 2)))
+    d = spark.createDataFrame(rows, f"i int, base array<{pii.SPAN}>, picks array<{pii.SPAN}>")
+    got = d.select("i", F.expr(pii._islands("base")).alias("m"), F.expr(f"array_sort({pii._apart('picks')})").alias("p")).collect()
+    for (i, base, picks), g in zip(rows, sorted(got)):
+        m = []
+        for s, k, e in base:
+            if m and s < m[-1][2]:
+                m[-1] = (*m[-1][:2], max(m[-1][2], e))
+            else:
+                m.append((s, k, e))
+        assert [tuple(x) for x in g["m"]] == m
+        assert [tuple(x) for x in g["p"]] == sorted(x for x in picks if not any(b[0] < x[2] and x[0] < b[2] for b in base))
+
+
+def test_redact_with_many_spans_and_any_column_names(spark):
+    text = "ä " + " ".join(f"u{i}@h.example.org" for i in range(3000)) + " ö"
+    d = spark.createDataFrame([(1, text, 5, "b", 7, "x"), (1, None, 6, "c", 8, "y")], "doc_id long, text string, spans int, base string, id int, all string")
+    got = {x["spans"]: x for x in pii.redact(d).collect()}
+    assert got[5]["text"] == "ä " + " ".join(["[EMAIL]"] * 3000) + " ö" and got[6]["text"] is None
+    assert (got[5]["base"], got[5]["id"], got[5]["all"]) == ("b", 7, "x") and pii.redact(d).columns == d.columns
+    lines = line_dedup.drop_repeated_lines(d.withColumnRenamed("spans", "gone").withColumnRenamed("base", "t"))
+    assert sorted(x["gone"] for x in lines.collect()) == [5, 6]
+
+
 def test_classifier_learns_grades(spark):
     rows = [(i, ["idiot scum " * (1 + i % 3), "buy now !! || ## ", "a calm and useful text "][i % 3] + " ".join(f"w{(i * 7 + k) % 400}" for k in range(20))) for i in range(600)]
     d = spark.createDataFrame([*rows, (None, None), (700, None)], "doc_id long, text string")
@@ -439,3 +578,27 @@ def test_pipeline_runs(spark, tmp_path):
         d = corpus_pipeline.materialize(stage(spark, d, str(tmp_path)), name)
         assert d.columns == ["doc_id", "text", "lang", "source", "n_chars"] and d.count() > 0
     assert corpus_pipeline.run(spark, str(tmp_path)).select(F.sum("length")).first()[0] > 0
+
+
+def test_pipeline_stages_take_any_columns_nulls_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    extra = ["_id", "_label_id", "_grade", "gone", "all", "spans", "base", "t", "m", "h", "id", "kept", "component_id", "slice", "class_id"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    rows = [(i, t, None, None, None, *extra) for i, t in enumerate(["", None, " \t", "one\ntwo a@b.example.org\none", "word " * 30_000, "a line of some length here\n" * 3000, "x@y.example.org " * 2000])]
+    rows += [rows[3], (None, None, *rows[0][2:]), (None, "no id at all", *rows[0][2:])]
+    spark.createDataFrame([(3, 1, 0), (3, 0, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, empty = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, str(tmp_path)), stage(spark, empty, str(tmp_path))
+        assert none.count() == 0, name
+        if name == "packing":
+            continue
+        assert out.columns == docs.columns == none.columns, name
+        got = out.collect()
+        assert all([r[c] for c in extra] == extra for r in got), name
+        if name == "line_dedup":
+            assert [r["text"] for r in got if r["doc_id"] == 5] == ["a line of some length here"]
+        if name == "pii":
+            assert len(got) == len(rows) and [r["text"] for r in got if r["doc_id"] == 6] == ["[EMAIL] " * 2000]
+            assert sum(r["text"] is None for r in got) == 2
