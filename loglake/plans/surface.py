@@ -32,7 +32,7 @@ def s01_read_raw(spark, sf):
     top = _folder(spark, "raw")
     lines = raw(spark, sf).select("line", (F.col("seq") % 3).alias("part"))
     lines.write.partitionBy("part").text(f"{top}/a/b", compression="none")
-    lines.limit(5).select("line").write.option("compression", "gzip").text(f"{top}/other")
+    lines.select("line").write.option("compression", "gzip").text(f"{top}/other")
     r = readers.read_raw(spark, top, recursive=True, extensions=["txt"], tenant_id="acme", ingest_ts="2026-01-01 00:00:00")
     return r.select("line", F.octet_length("raw_bytes").cast("long").alias("n_bytes"), "tenant_id")
 
