@@ -8,8 +8,9 @@ is added up before.
 
 Levels are files in the shared folder, mapped into memory where it is mounted:
 
-* words: Elias-Fano sequence of 64-bit hashes, and their counts. A word's number is its
-  place in the shard, then the shard.
+* words: Elias-Fano sequence of 64-bit hashes, their counts and ranks by count. A word's
+  number is its rank in the shard, then the shard: small for frequent words, which then
+  take few bytes in all that moves.
 * pairs and triples: the contexts (numbers of a word, of a pair), the monotone pointers to
   their successors, and the successors (relative to the context, made monotone by the
   context's place) are Elias-Fano sequences; probabilities are 16-bit codes of logarithms.
@@ -181,11 +182,15 @@ class EliasFano:
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
-    """Arrays of whole numbers as compressed bytes: first bytes together, then second ones."""
+    """Arrays of whole numbers as compressed bytes: first bytes together, then second ones;
+    of ascending numbers the differences."""
     head, body = [], []
     for k, a in arrays.items():
         a = np.ascontiguousarray(a)
-        head.append([k, a.dtype.str, len(a)])
+        rises = a.dtype == np.uint64 and len(a) > 1 and bool((a[1:] >= a[:-1]).all())
+        if rises:
+            a = np.r_[a[:1], np.diff(a)]
+        head.append([k, a.dtype.str, len(a), rises])
         body.append(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
     raw = json.dumps(head).encode()
     return zstandard.ZstdCompressor(level=1).compress(len(raw).to_bytes(8, "little") + raw + b"".join(body))
@@ -195,10 +200,12 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int.from_bytes(raw[:8], "little")
     out, at = {}, 8 + n
-    for k, kind, size in json.loads(raw[8 : 8 + n]):
+    for k, kind, size, rises in json.loads(raw[8 : 8 + n]):
         width = np.dtype(kind).itemsize
         part = np.frombuffer(raw, np.uint8, width * size, at).reshape(width, size)
         out[k] = np.ascontiguousarray(part.T).view(kind).ravel()
+        if rises:
+            out[k] = np.cumsum(out[k], dtype=np.uint64)
         at += width * size
     return out
 
@@ -283,21 +290,25 @@ class Words:
     """The first level of a shard."""
 
     def __init__(self, arrays: dict[str, np.ndarray]):
-        self.hashes, self.counts = EliasFano(arrays, "hash"), arrays["count"]
+        self.hashes, self.counts, self.ranks = EliasFano(arrays, "hash"), arrays["count"], arrays["rank"]
 
     @staticmethod
     def build(parts: list[dict], low: int, width: int) -> dict[str, np.ndarray]:
         h, n = (np.concatenate([p[k] for p in parts]) for k in ("hash", "n"))
         h, n = _added(h[n > 0], n[n > 0].astype(np.int64))
         kind = np.min_scalar_type(int(n.max())) if len(n) else np.uint8
-        return EliasFano.build(h - _U(low), width, "hash") | {"count": n.astype(kind)}
+        rank = np.empty(len(n), np.min_scalar_type(len(n)))
+        rank[np.argsort(-n, kind="stable")] = np.arange(len(n))
+        return EliasFano.build(h - _U(low), width, "hash") | {"count": n.astype(kind), "rank": rank}
 
     def answer(self, part: dict, low: int) -> dict[str, np.ndarray]:
         at = self.hashes.find(part["hash"] - _U(low))
         known = at >= 0
         count = np.zeros(len(at), np.uint64)
         count[known] = self.counts[at[known]]
-        return {"number": np.where(known, at, 0).astype(np.uint64), "count": count}
+        number = np.zeros(len(at), np.uint64)
+        number[known] = self.ranks[at[known]]
+        return {"number": number, "count": count}
 
 
 class Successors:
@@ -341,6 +352,7 @@ class Successors:
             at = self.words.find((place[ok].astype(np.uint64) << self.bits) | part["word"][ok], first, last)
             ok, at = ok[at >= 0], at[at >= 0]
             number[ok], code[ok] = at, self.code[at]
+            number = np.maximum.accumulate(number)  # those of absent pairs are not read
         return {"number": number, "code": code}
 
 
@@ -582,7 +594,7 @@ def _score(model: Model):
 
 def _level_job(moved: DataFrame, model: Model, order: int, build: bool) -> DataFrame:
     by_shard = moved.repartition(model.shards, "shard").sortWithinPartitions("shard")
-    return materialize(by_shard.mapInArrow(_level(model, order, build), MOVED), f"lm-answers{order}")
+    return by_shard.mapInArrow(_level(model, order, build), MOVED)
 
 
 def _run(docs: DataFrame, model: Model | None) -> tuple[Model, DataFrame]:
@@ -598,11 +610,11 @@ def _run(docs: DataFrame, model: Model | None) -> tuple[Model, DataFrame]:
     parts = max(1, n)
     by_chunk = lambda df: df.filter("chunk IS NOT NULL").repartition(parts, "chunk").sortWithinPartitions("chunk")
     # the levels' own places are those of the model; chunks' files are this run's
-    answers = _level_job(chunks.repartition(parts, "chunk").mapInArrow(_send_words(at), MOVED), levels, 1, build)
+    answers = materialize(_level_job(chunks.repartition(parts, "chunk").mapInArrow(_send_words(at), MOVED), levels, 1, build), "lm-words")
     if build:
         at.tokens, at.vocabulary = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     answers = _level_job(by_chunk(answers).mapInArrow(_send_pairs(at), MOVED), levels, 2, build)
-    answers = _level_job(by_chunk(answers.union(chunks)).mapInArrow(_send_triples(at), MOVED), levels, 3, build)
+    answers = materialize(_level_job(by_chunk(answers.union(chunks)).mapInArrow(_send_triples(at), MOVED), levels, 3, build), "lm-answers")
     kind = dict(docs.dtypes)["id"]
     return at, by_chunk(answers.union(chunks)).mapInArrow(_score(at), f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
