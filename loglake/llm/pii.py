@@ -61,7 +61,7 @@ CELLS = math.prod(FEATURES.values())
 
 TREES = 24
 RATE = 0.3
-#: A kind's threshold is the least at which this share of its held-out picks is valid.
+#: A kind's threshold is the least above which this share of its held-out picks is valid.
 PRECISION = 0.97
 
 
@@ -148,7 +148,7 @@ def candidates(df: DataFrame) -> DataFrame:
     f = {
         "kind": "x.k",
         "digits": _bucket(f"length({d})", [1, 7, 9, 12, 16, 20]),
-        "separators": _bucket("length(regexp_replace(x.m, '[A-Za-z0-9]', ''))", [1, 3, 6]),
+        "separators": "case when x.m like '%(%' then 3 when x.m like '%.%' then 2 when x.m rlike '[^A-Za-z0-9]' then 1 else 0 end",
         "lead": f"case left({d}, 1) when '' then 0 when '3' then 1 when '4' then 2 when '5' then 3 else 4 end",
         "context": f"int(x.b rlike {_lit(CONTEXT)})",
         "before": char.format(c="right(x.b, 1)"),
@@ -170,7 +170,7 @@ class Trees:
 
     start: float
     trees: list[tuple]
-    #: By kind; a kind without one selects nothing.
+    #: By kind: scores above it are selected. A kind without one selects nothing.
     thresholds: dict[int, float]
 
     def sql(self, f: str) -> str:
@@ -183,8 +183,8 @@ class Trees:
         """SQL condition: the trees select the candidate with these features."""
         if not self.thresholds:
             return "false"
-        cases = " ".join(f"when {k} then {t - 1e-9}D" for k, t in sorted(self.thresholds.items()))
-        return f"coalesce(({self.sql(f)}) >= case {f}.kind {cases} end, false)"
+        cases = " ".join(f"when {k} then {t + 1e-9}D" for k, t in sorted(self.thresholds.items()))
+        return f"coalesce(({self.sql(f)}) > case {f}.kind {cases} end, false)"
 
     def score(self, x: dict) -> float:
         s = self.start
@@ -247,11 +247,13 @@ def train(df: DataFrame) -> Trees:
         return Trees(0.0, [], {})
     model = Trees(*fit_trees(fit), {})
     for kind in range(len(KINDS)):
+        cells = sorted(((model.score(c[0]), c[1], c[2]) for c in held if c[0]["kind"] == kind), reverse=True)
+        below = [x[0] for x in cells[1:]] + [0.0]
         right = picked = 0.0
-        for score, pos, neg in sorted(((model.score(c[0]), c[1], c[2]) for c in held if c[0]["kind"] == kind), reverse=True):
+        for (score, pos, neg), lower in zip(cells, below):
             right, picked = right + pos, picked + pos + neg
-            if right >= PRECISION * picked and score > 0:
-                model.thresholds[kind] = score
+            if score > max(lower, 0.0) + 1e-9 and right >= PRECISION * picked:
+                model.thresholds[kind] = max(lower, 0.0)  # down to what is known to be worse
     return model
 
 
