@@ -598,7 +598,7 @@ def test_pipeline_stages_take_any_columns_nulls_and_empty_tables(spark, tmp_path
         got = out.collect()
         assert all([r[c] for c in extra] == extra for r in got), name
         if name == "line_dedup":
-            assert [r["text"] for r in got if r["doc_id"] == 5] == ["a line of some length here"]
+            assert [r["text"] for r in got if r["doc_id"] == 5] == ["a line of some length here\n"]  # the empty last line stays
         if name == "pii":
             assert len(got) == len(rows) and [r["text"] for r in got if r["doc_id"] == 6] == ["[EMAIL] " * 2000]
             assert sum(r["text"] is None for r in got) == 2
