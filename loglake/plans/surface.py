@@ -224,11 +224,11 @@ def f10_resource_id(spark, sf):
 # --- escapes and specifications ------------------------------------------------------------
 
 
-@q("select doc_id from documents where contains(text, '50%') or contains(source, '50%') union select doc_id from documents where contains(lower(text), 'a_b')")
+@q("select doc_id from documents where contains(text, '%%') or contains(source, '%%') union select doc_id from documents where contains(lower(text), 'a_b')")
 def f06_search_escapes(spark, sf):
     """Signs of patterns in a search term stand for themselves."""
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    return query.search_events(d, "50%", ["text", "source"]).unionByName(query.search_events(d, "a_B", ["text"])).select("doc_id").distinct()
+    return query.search_events(d, "%%", ["text", "source"]).unionByName(query.search_events(d, "a_B", ["text"])).select("doc_id").distinct()
 
 
 @q("""with t as (select conv_id, turn, replace(text, '\\', '\\\\') as e from conversations), n as (select *, regexp_replace(replace(e, '=', '\\='), '\\r\\n|\\n|\\r', '\\\\n', 'g') as cef, regexp_replace(replace(e, chr(9), '\\t'), '\\r\\n|\\n|\\r', '\\\\n', 'g') as leef from t)
