@@ -121,3 +121,19 @@ def test_stream_ingest_and_dedup(spark, tmp_path):
     jobs.stream_index(_stream(spark, tmp_path, d, "ev"), str(tmp_path / "idx"), str(tmp_path / "cp2")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "idx")).count() == 10
     shutil.rmtree(tmp_path / "cp2")
+
+
+def test_networks_of_both_families_equal_a_loop(spark):
+    import ipaddress
+
+    from loglake.operators import enrich
+
+    nets = [("2001:db8::/33", "a"), ("2001:db8:8000::/35", "b"), ("10.0.0.0/9", "c"), ("::/0", "d"), ("fe80::1/128", "e")]
+    ips = ["2001:db8::1", "2001:DB8:9fff::2", "10.1.2.3", "10.200.0.1", "fe80::1", "::1", "1:2:3:4:5:6:7:8", "bad", None]
+    d, table = spark.createDataFrame([(i,) for i in ips], "ip string"), enrich.network_table(spark, nets)
+    want = {i: [k for k, (c, _) in enumerate(nets) if i != "bad" and ipaddress.ip_address(i) in ipaddress.ip_network(c)] for i in ips if i}
+    for small in (True, False):
+        got = {r["ip"]: [m["rank"] for m in r["matches"]] for r in enrich.match_cidr(d, table, small=small).collect()}
+        assert {i: got.get(i, []) for i in want} == want
+    rows = d.select("ip", enrich.matches_in(F.col("ip"), table.collect()).alias("m")).collect()
+    assert {r["ip"]: [m["rank"] for m in r["m"]] for r in rows if r["ip"]} == want
