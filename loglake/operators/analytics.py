@@ -2,8 +2,9 @@
 
 Columns used: seq (order), src_ip, severity, category, outcome, bytes_in, bytes_out, unix_ts,
 threat_ip_detected, threat_intel. Addresses that are null count as 'unknown'; that group
-may be very large, so windows over it are bounded in rows and ranks are cut before values
-are collected.
+may be very large, as any other address may. So ranks are cut before values are collected,
+chains go over blocks of sequence numbers, and windows over the rows of an address split
+the addresses of over ``HOT`` rows by ranks and times.
 """
 
 from __future__ import annotations
@@ -11,8 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loglake.operators.ordered import BLOCK, hot_keys, order_statistics, over_last, ranked
+
 WINDOW = 1000
 SAVED = 100
+#: Addresses of more rows are split; such an address is one in as many rows at most, so their
+#: list is sent to all tasks.
+HOT = 1 << 20
 
 # Weights of the signs, and the bounds of a score.
 WEIGHTS = {"z_high": 0.35, "z_medium": 0.20, "bytes": 0.25, "burst": 0.30, "rare": 0.15, "threat": 0.40, "auth_chain": 0.30}
@@ -36,9 +42,11 @@ def rolling_stats(df: DataFrame, key: str, value: str, order: list[str], window:
 
 
 def index_quartiles(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, n, q1, q3): the values at n div 4 and 3n div 4 of the sorted list, not interpolated."""
-    g = df.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("v")).withColumn("n", F.size("v"))
-    return g.select(key, F.col("n").cast("long").alias("n"), F.get("v", F.expr("int(n div 4)")).alias("q1"), F.get("v", F.expr("int(3 * n div 4)")).alias("q3"))
+    """(key, n, q1, q3): the values at n div 4 and 3n div 4 of the sorted list, not interpolated.
+    No list is made: values are sorted by range, and a rank is taken within one range."""
+    found = order_statistics(df, [key], value, {"q1": "n div 4", "q3": "3 * n div 4"})
+    none = df.groupBy(key).agg(F.count(value).alias("n")).filter("n = 0")
+    return found.unionByName(none, allowMissingColumns=True)
 
 
 def bytes_pool(df: DataFrame) -> DataFrame:
@@ -57,10 +65,28 @@ def build_baseline(df: DataFrame, window: int = WINDOW) -> DataFrame:
     return sev.join(b, "src_ip", "left")
 
 
-def online_baseline(df: DataFrame, window: int = WINDOW) -> DataFrame:
+def _split_hot(df: DataFrame, most: int, plain, split) -> DataFrame:
+    """``plain`` over the rows of all addresses but those of over ``most`` rows, which ``split``
+    takes. Most tables have none of these, and are read by ``plain`` alone."""
+    hot = hot_keys(df.select("src_ip"), "src_ip", most).select("src_ip")
+    if hot.isEmpty():
+        return plain(df)
+    hot = F.broadcast(hot)
+    return plain(df.join(hot, "src_ip", "left_anti")).unionByName(split(df.join(hot, "src_ip", "left_semi")))
+
+
+def online_baseline(df: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """Adds sev_n, sev_mean, sev_std of the ``window`` events before each one."""
-    w = Window.partitionBy("src_ip").orderBy("seq").rowsBetween(-window, -1)
-    return df.withColumn("src_ip", source_key()).withColumns({"sev_n": F.count("severity").over(w), "sev_mean": F.avg("severity").over(w), "sev_std": F.stddev_pop("severity").over(w)})
+
+    def over(d: DataFrame, w) -> DataFrame:
+        w = w.rowsBetween(-window, -1)
+        return d.withColumns({"sev_n": F.count("severity").over(w), "sev_mean": F.avg("severity").over(w), "sev_std": F.stddev_pop("severity").over(w)})
+
+    def split(d: DataFrame) -> DataFrame:
+        rows, w = over_last(ranked(d, "src_ip", ["seq"]), "src_ip", window)
+        return over(rows, w).filter("_home").drop("_rank", "_block", "_home")
+
+    return _split_hot(df.withColumn("src_ip", source_key()), hot, lambda d: over(d, Window.partitionBy("src_ip").orderBy("seq")), split)
 
 
 def z_of(severity: Column, n: Column, mean: Column, std: Column) -> Column:
@@ -89,17 +115,48 @@ def bytes_outlier(df: DataFrame, baseline: DataFrame) -> DataFrame:
     return df.withColumn("src_ip", source_key()).join(b, "src_ip", "left").withColumn("bytes_outlier", F.coalesce((x > 0) & ((x < F.col("_lo")) | (x > F.col("_hi"))), F.lit(False))).drop("_lo", "_hi")
 
 
-def burst(df: DataFrame, window_seconds: int = 60, mult: float = 3.0, min_total: int = 15, min_recent: int = 10, last: int = 500, min_span: int = 10) -> DataFrame:
+def _range_counts(rows: DataFrame, seconds: int) -> DataFrame:
+    """(src_ip, unix_ts, _near): the rows of an address within ``seconds`` up to each of its
+    times, from ``ranked`` rows in the order of time.
+
+    The last rank at a time is the number of rows up to it, so a range is a difference of two
+    of them. Times are grouped in blocks of ``seconds`` or more: the rank before a range is
+    found in the block or in the one before it, or else is what all earlier blocks hand on."""
+    width = max(seconds, 1 << 12)
+    cells = rows.groupBy("src_ip", "unix_ts").agg(F.max("_rank").alias("_up_to"))
+    # rows without a time stand before all others
+    cells = cells.withColumn("_b", F.coalesce(F.floor(F.col("unix_ts") / width), F.lit(-(1 << 50))))
+    older = Window.partitionBy("src_ip").orderBy("_b").rangeBetween(Window.unboundedPreceding, -2)
+    blocks = cells.groupBy("src_ip", "_b").agg(F.max("_up_to").alias("_end")).select("src_ip", "_b", F.max("_end").over(older).alias("_older"))
+    both = cells.withColumn("_at", F.explode(F.array(F.col("_b"), F.col("_b") + 1)))
+    inside = Window.partitionBy("src_ip", "_at").orderBy("unix_ts").rangeBetween(Window.unboundedPreceding, -(seconds + 1))
+    both = both.withColumn("_in", F.max("_up_to").over(inside)).filter(F.col("_at") == F.col("_b"))
+    out = both.join(blocks, ["src_ip", "_b"])
+    return out.select("src_ip", "unix_ts", (F.col("_up_to") - F.coalesce("_in", "_older", F.lit(0))).alias("_near"))
+
+
+def burst(df: DataFrame, window_seconds: int = 60, mult: float = 3.0, min_total: int = 15, min_recent: int = 10, last: int = 500, min_span: int = 10, hot: int = HOT) -> DataFrame:
     """Adds is_burst: the rate of the last ``window_seconds`` of event time is above ``mult``
     times the rate over the last ``last`` events of the address."""
-    w = Window.partitionBy("src_ip").orderBy("unix_ts")
-    # a range ends with all rows of one time, and so must the rows that it is compared with
-    near = F.count(F.lit(1)).over(w.rangeBetween(-window_seconds, 0))
-    rows = Window.partitionBy("src_ip").orderBy("unix_ts", "seq").rowsBetween(-(last - 1), 0)
-    n, first = F.count(F.lit(1)).over(rows), F.min("unix_ts").over(rows)
-    d = df.withColumn("src_ip", source_key()).withColumns({"_near": near, "_n": n, "_span": F.col("unix_ts") - first})
+
+    def plain(d: DataFrame) -> DataFrame:
+        w = Window.partitionBy("src_ip").orderBy("unix_ts")
+        # a range ends with all rows of one time, and so must the rows that it is compared with
+        near = F.count(F.lit(1)).over(w.rangeBetween(-window_seconds, 0))
+        rows = Window.partitionBy("src_ip").orderBy("unix_ts", "seq").rowsBetween(-(last - 1), 0)
+        return d.withColumns({"_near": near, "_n": F.count(F.lit(1)).over(rows), "_first": F.min("unix_ts").over(rows)})
+
+    def split(d: DataFrame) -> DataFrame:
+        rows = ranked(d, "src_ip", ["unix_ts", "seq"])
+        near = _range_counts(rows, window_seconds).select(F.col("src_ip").alias("_ip"), F.col("unix_ts").alias("_ts"), "_near")
+        blocks, w = over_last(rows, "src_ip", last - 1)
+        w = w.rowsBetween(-(last - 1), 0)
+        out = blocks.withColumns({"_n": F.count(F.lit(1)).over(w), "_first": F.min("unix_ts").over(w)}).filter("_home")
+        return out.join(near, (F.col("src_ip") == F.col("_ip")) & F.col("unix_ts").eqNullSafe(F.col("_ts"))).drop("_rank", "_block", "_home", "_ip", "_ts")
+
+    d = _split_hot(df.withColumn("src_ip", source_key()), hot, plain, split).withColumn("_span", F.col("unix_ts") - F.col("_first"))
     hit = (F.col("_n") >= min_total) & (F.col("_span") >= min_span) & (F.col("_near") >= min_recent) & (F.col("_near") / window_seconds > mult * F.col("_n") / F.greatest(F.col("_span"), F.lit(1)))
-    return d.withColumn("is_burst", hit).drop("_near", "_n", "_span")
+    return d.withColumn("is_burst", hit).drop("_near", "_n", "_span", "_first")
 
 
 def rare_category(df: DataFrame, share: DataFrame, threshold: float = 0.01, min_total: int = 100) -> DataFrame:
@@ -108,10 +165,6 @@ def rare_category(df: DataFrame, share: DataFrame, threshold: float = 0.01, min_
     return df.join(F.broadcast(s), F.col("category") == F.col("_c"), "left").withColumn("is_rare", F.coalesce("_rare", F.lit(False))).drop("_c", "_rare")
 
 
-#: Numbers of events that a window of one address goes over at once.
-BLOCK = 1 << 16
-
-
 def auth_failure_chain(df: DataFrame, threshold: int = 5, block: int = BLOCK) -> DataFrame:
     """Adds chain and chain_fires: failures of an address since its last success. Only
     authentication events count; other outcomes neither add nor reset.
@@ -134,6 +187,7 @@ def auth_failure_chain(df: DataFrame, threshold: int = 5, block: int = BLOCK) ->
     return d.withColumn("chain_fires", F.col("chain") >= threshold).drop("_b", "_i", "_f", "_c")
 
 
+# The texts of reasons are fixed values.
 def score_anomalies(df: DataFrame, baseline: DataFrame, share: DataFrame, burst_args: dict | None = None) -> DataFrame:
     """Adds anomaly_score, anomaly_reasons, is_anomalous, risk_score; null below 0.15."""
     d = severity_z(df, baseline)

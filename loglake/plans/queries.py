@@ -469,6 +469,17 @@ def w05_burst(spark, sf):
     return W.burst(_sec(spark, sf), **BURST_ARGS).select("seq", "is_burst")
 
 
+@q(f"with {SEC}, {BASE}, {BURST} select seq, is_burst from b2")
+def w05_burst_split(spark, sf):
+    """The same where all addresses of over fifty rows count as hot: ranks and range counts."""
+    return W.burst(_sec(spark, sf), **BURST_ARGS, hot=50).select("seq", "is_burst")
+
+
+@q(f"with {SEC} select seq, count(sev) over w as sev_n, round(avg(sev) over w, 6) as sev_mean, round(stddev_pop(sev) over w, 6) as sev_std from sec window w as (partition by src_ip order by seq rows between 20 preceding and 1 preceding)")
+def w01_online_baseline_split(spark, sf):
+    return W.online_baseline(_sec(spark, sf), 20, hot=50).select("seq", "sev_n", F.round("sev_mean", 6).alias("sev_mean"), F.round("sev_std", 6).alias("sev_std"))
+
+
 @q(f"with {SEC} select seq, category = 'database' as is_rare from sec")
 def w06_rare(spark, sf):
     d = _sec(spark, sf)
