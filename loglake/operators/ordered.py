@@ -10,9 +10,12 @@ only.
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,3 +107,63 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[st
     inside = inside.withColumn("_sofar", F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)))
     hit = inside.join(wanted, on).filter((F.col("_index") < F.col("_sofar")) & (F.col("_index") >= F.col("_sofar") - F.col("_c")))
     return hit.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("_name") == k, F.col(value))).alias(k) for k in places])
+
+
+# --- folds over blocks ---------------------------------------------------------------------
+
+
+def joined(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join by keys of which null ones meet too; the keys are those of ``a``."""
+    b = b.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(keys)], *[c for c in b.columns if c not in keys])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_j{i}"))
+    return a.join(b, on, how).drop(*[f"_j{i}" for i in range(len(keys))])
+
+
+def block_of(order: str, kind: str, size: int) -> Column:
+    """The block of a number or a time (by microseconds); other orders are one block."""
+    if kind.startswith("timestamp"):
+        return F.floor(F.unix_micros(F.col(order).cast("timestamp")) / size)
+    numeric = kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
+    return F.floor(F.col(order) / size).cast("long") if numeric else F.lit(0).cast("long")
+
+
+def fold_blocks(df: DataFrame, keys: list[str], order: str, start, summarise: Callable, advance: Callable, apply: Callable, schema: str) -> DataFrame:
+    """A sequential process over the rows of a key, of which blocks (column _block) are worked
+    on at the same time.
+
+    ``summarise(rows)`` tells what a block does to any state, ``advance(summary, state)`` is the
+    state behind it, and ``apply(rows, state, last)`` has the output rows of a block that is
+    entered with ``state``, and may be the key's last. Summaries are small; those of a key go by as a sorted stream, so that
+    nothing but one state is held. ``rows`` are in ``order``."""
+    by, ddl = [*keys, "_block"], ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
+    ddl = f"{ddl + ', ' if ddl else ''}_block long, _held binary"
+
+    def one(rows):
+        rows = rows.sort_values(order, kind="stable")
+        return rows[by].head(1).assign(_held=[pickle.dumps(summarise(rows))])
+
+    def stream(batches):
+        now, state, held = None, start, None  # held: the row before, of which it is open whether it is the key's last
+        for b in batches:
+            out = []
+            for row in zip(*[b[c].astype(object).where(b[c].notna(), None) for c in by], b["_held"]):
+                key = row[: len(keys)]
+                if held is not None:
+                    out.append((*held[0], pickle.dumps((held[1], key != now))))
+                if key != now:
+                    now, state = key, start
+                held = row[:-1], state
+                state = advance(pickle.loads(row[-1]), state)
+            yield pd.DataFrame(out, columns=[*by, "_held"], dtype=object)
+        if held is not None:
+            yield pd.DataFrame([(*held[0], pickle.dumps((held[1], True)))], columns=[*by, "_held"], dtype=object)
+
+    def out(rows, entry):
+        return apply(rows.sort_values(order, kind="stable"), *pickle.loads(entry["_held"].iloc[0]))
+
+    blocks = df.groupBy(*by).applyInPandas(one, ddl)
+    blocks = (blocks.repartition(*keys) if keys else blocks.repartition(1)).sortWithinPartitions(*by)
+    entries = blocks.mapInPandas(stream, ddl)
+    return df.groupBy(*by).cogroup(entries.groupBy(*by)).applyInPandas(out, schema)

@@ -103,10 +103,36 @@ def r03_frame_multiline(spark, sf):
     return framing.frame_multiline(c, "^user: ", "conv_id", "turn").select("conv_id", "record", "turn", "line")
 
 
+@q("""with n as (select conv_id * 1000 + turn as seq, role || ': ' || text as l, sum((role = 'user')::int) over (order by conv_id * 1000 + turn) as record from conversations)
+    select record::bigint as record, min(seq) as seq, string_agg(l, chr(10) order by seq) as line from n group by 1""")
+def r03_one_source(spark, sf):
+    """All turns as the lines of one source, in blocks of its numbers."""
+    c = view(spark, sf, "select conv_id * 1000 + turn as seq, concat(role, ': ', text) as line from conversations", "conversations")
+    return framing.frame_multiline(c, "^user: ", [], "seq").select("record", "seq", "line")
+
+
 @q("select user_id, count(*)::bigint as n_objects from events group by 1")
 def r04_json_stream(spark, sf):
-    b = view(spark, sf, "select user_id, array_join(collect_list(props), '') as line from events group by user_id")
-    return framing.frame_json_stream(b).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_objects"))
+    """The objects of a user are one body, of which each row is a chunk."""
+    b = view(spark, sf, "select user_id, event_id, props as line from events")
+    return framing.frame_json_stream(b, partition_by="user_id", order_by="event_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_objects"))
+
+
+#: Texts cut behind their fourth sign, as two rows in order.
+HALVES = "select user_id, event_id * 2 + h as seq, case h when 0 then substr(t, 1, 4) else substr(t, 5) end as line from (select *, explode(array(0, 1)) as h from ({}) x) y"
+
+
+@q("select user_id, event_id * 2 as seq, props as line, null::varchar as frame_error from events")
+def r04_json_chunks(spark, sf):
+    b = view(spark, sf, HALVES.format("select user_id, event_id, concat(' ', props) as t from events"))
+    return framing.frame_json_stream(b, partition_by="user_id").select("user_id", "seq", "line", "frame_error")
+
+
+@q("select user_id, event_id * 2 as seq, props as line, null::varchar as frame_error from events")
+def r05_octet_chunks(spark, sf):
+    """Octet-counted messages of a user as one body, cut within their heads and texts."""
+    b = view(spark, sf, HALVES.format("select user_id, event_id, concat(cast(octet_length(props) as string), ' ', props) as t from events"))
+    return framing.frame_octet_counted(b, partition_by="user_id").select("user_id", "seq", "line", "frame_error")
 
 
 @q("select event_id as seq, props as line from events")

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loglake.operators import analytics, ordered
+from loglake.operators import analytics, framing, ordered
 
 EVENTS = "seq long, src_ip string, unix_ts long, severity double, bytes_in long"
 
@@ -103,3 +103,90 @@ def test_quartiles_without_a_list(spark):
     top = ordered.order_statistics(d, [], "bytes_in", {"m": "n div 2", "z": "n - 1"}).first()
     v = sorted(b for *_, b in rows if b is not None)
     assert (top["n"], top["m"], top["z"]) == (len(v), v[len(v) // 2], v[-1])
+
+
+# --- framing over blocks -------------------------------------------------------------------
+
+
+def records_by_loop(lines, opening, most):
+    out, now, first = [], [], None
+    for order, line in lines:
+        if not line.strip():
+            continue
+        if line.startswith(opening):
+            if now:
+                out.append((first, "\n".join(now)))
+            now, first = [line], order
+        else:
+            first = order if not now else first
+            now.append(line)
+            if sum(map(len, now)) > most:
+                out.append((first, "\n".join(now)))
+                now = []
+    return out + ([(first, "\n".join(now))] if now else [])
+
+
+@pytest.mark.parametrize("most, block", [(100, 64), (400, 50), (10**6, 64), (3, 20), (60, 5000)])
+def test_multiline_records_of_one_huge_source(spark, most, block):
+    """Most lines are of one source; another one has no opening line at all."""
+    r, rows = random.Random(3), []
+    for i in range(1500):
+        k = r.choice(["x", "x", "x", "y", None])
+        rows.append((k, i, ("START " if r.random() < 0.02 and k != "y" else "") + "ab é" * r.randint(0, 12) if r.random() < 0.97 else " "))
+    d = spark.createDataFrame(rows, "src string, seq long, line string").repartition(5)
+    got = framing.frame_multiline(d, "^START", "src", "seq", most, block).collect()
+    by = collections.defaultdict(list)
+    for k, o, line in rows:
+        by[k].append((o, line))
+    assert sorted(((x.src, x.seq, bytes(x.raw_bytes).decode()) for x in got), key=str) == sorted(((k, o, t) for k, v in by.items() for o, t in records_by_loop(v, "START", most)), key=str)
+    assert all(x.is_oversized == (len(x.raw_bytes) > most) for x in got)
+
+
+def chunks(text, r, cut):
+    at = sorted(r.sample(range(1, len(text)), min(cut, len(text) - 1)))
+    return [text[a:z] for a, z in zip([0, *at], [*at, len(text)])]
+
+
+JSON = ['{"a": 1}', '{"b": {"c": "}{ \\" \\\\"}, "d": [{}]}', ' noise " here\n', '{"e": "x\\u00e9\\\\\\\\"}', '{}', '}', '{\n "k": "é日" \n}']
+
+
+@pytest.mark.parametrize("block", [1, 3, 10_000])
+def test_json_bodies_in_chunks_equal_the_whole(spark, block):
+    r, whole, parts = random.Random(8), [], []
+    for body in range(12):
+        text = "".join(r.choice(JSON) for _ in range(r.randint(1, 40))) + r.choice(["", '{"open": "', '{"open": {', '{"x": "\\'])
+        whole.append((body if body else None, text))
+        parts += [(body if body else None, i, c) for i, c in enumerate(chunks(text, r, r.choice([1, 9, 60])))]
+    a = framing.frame_json_stream(spark.createDataFrame(whole, "k int, line string")).collect()
+    b = framing.frame_json_stream(spark.createDataFrame(parts, "k int, seq long, line string").repartition(4), partition_by="k", block=block).collect()
+    order = lambda rows, *by: sorted(((x.k, *(x[c] for c in by), x.line, x.frame_error) for x in rows), key=str)
+    assert [(x[0], x[-2], x[-1]) for x in order(a)] == [(x[0], x[-2], x[-1]) for x in order(b)]
+    # in the order of the body too
+    one = [x.line for x in sorted((x for x in b if x.k == 5), key=lambda x: (x.seq, x.record))]
+    assert one == [x.line for x in sorted((x for x in a if x.k == 5), key=lambda x: x.record)]
+
+
+def test_an_object_without_end_is_cut(spark):
+    text = '{"a": 1}{"open": "' + "x" * 5000
+    rows = [(i, text[i * 100 : i * 100 + 100]) for i in range(len(text) // 100 + 1)]
+    got = framing.frame_json_stream(spark.createDataFrame(rows, "seq long, line string").repartition(3), max_bytes=1000, partition_by=[], block=7).collect()
+    assert sum(len(x.raw_bytes) for x in got) == len(text) and max(len(x.raw_bytes) for x in got) <= 1700
+    assert [x.line for x in got if not x.is_oversized and x.frame_error is None] == ['{"a": 1}']
+    assert all(x.frame_error for x in got if x.line != '{"a": 1}') and sum(x.is_oversized for x in got) >= 5
+
+
+@pytest.mark.parametrize("block", [1, 3, 10_000])
+def test_octet_counts_in_chunks_equal_the_whole(spark, block):
+    r, whole, parts = random.Random(2), [], []
+    for body in range(12):
+        text = b""
+        for _ in range(r.randint(1, 30)):
+            m = r.choice(["<34>1 hello", "x", "é日本 12 3", "5 abcde", "a\nb 7 c", "  ", "9" * 12]).encode()
+            text += r.choice([str(len(m)).encode() + b" " + m, m + b"\r\n", b"\n\n" + str(len(m)).encode() + b" " + m])
+        text += r.choice([b"", b"99 short", b"12", b"a line"])
+        whole.append((body, text))
+        parts += [(body, i, c) for i, c in enumerate(chunks(text, r, r.choice([1, 9, 80])))]
+    a = framing.frame_octet_counted(spark.createDataFrame([(k, t.decode()) for k, t in whole], "k int, line string")).collect()
+    b = framing.frame_octet_counted(spark.createDataFrame(parts, "k int, seq long, line binary").repartition(4), partition_by="k", block=block).collect()
+    key = lambda x: (x.k, x.line, x.frame_error)
+    assert sorted(map(key, a), key=str) == sorted(map(key, b), key=str)
