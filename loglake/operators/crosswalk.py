@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loglake.functions.scalars import safe_key
 from loglake.operators.extract import lookup
+from loglake.schema import EVENT_DDL
 
 # Class id and name, category id and name of each category.
 OCSF_CLASSES = {
@@ -104,5 +105,19 @@ def to_ecs(df: DataFrame) -> DataFrame:
 
 
 def crosswalk(df: DataFrame, target: str) -> DataFrame:
-    """Bulk translation; all parts are null-safe, so no row fails."""
+    """Translation of a table of events."""
     return {"ocsf": to_ocsf, "ecs": to_ecs}[target](df)
+
+
+def crosswalk_lines(lines: DataFrame, target: str, text_col: str = "value"):
+    """The bulk job over lines of JSON events: (converted lines, counts). Blank lines are passed
+    over; a line that is no JSON object of an event's types is not converted, but counted.
+    ``counts.get`` has converted and failed after the next action over the lines: the same pass."""
+    from pyspark.sql import Observation
+
+    o = Observation()
+    parsed = lines.filter(F.trim(text_col) != "").select(F.from_json(text_col, EVENT_DDL + ", _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("e"))
+    fine = F.col("e").isNotNull() & F.col("e._broken").isNull()
+    parsed = parsed.withColumn("_fine", fine).observe(o, F.count_if("_fine").alias("converted"), F.count_if(~F.col("_fine")).alias("failed"))
+    events = parsed.filter("_fine").select("e.*").drop("_broken")
+    return crosswalk(events, target).select(F.to_json(F.struct("*")).alias(text_col)), o

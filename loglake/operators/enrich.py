@@ -5,6 +5,7 @@ from __future__ import annotations
 import ipaddress
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,19 +182,85 @@ def enrich_ips(df: DataFrame, threat: DataFrame, cloud: DataFrame) -> DataFrame:
     return j.withColumn("enrichment", e).select(*dict.fromkeys([*df.columns, "enrichment"]))
 
 
+#: The names of the enrichers that failed on a row.
+ERRORS = "enrichment_errors"
+
+
+def _errors(df: DataFrame) -> Column:
+    return F.col(ERRORS) if ERRORS in df.columns else F.array().cast("array<string>")
+
+
+def row_enricher(name: str, column: str, ddl: str, fn: Callable, *inputs: str) -> Enricher:
+    """Adds ``column`` by ``fn(*inputs)`` of a row. Where it raises, the column is null and the
+    name is in ``enrichment_errors``; the row and all other enrichers go on."""
+    import pandas as pd
+
+    @F.pandas_udf(f"struct<value: {ddl}, failed: boolean>")
+    def run(rows):
+        out = []
+        for row in rows.itertuples(index=False, name=None):
+            try:
+                out.append((fn(*[None if v is pd.NA or v != v else v for v in row]), False))
+            except Exception:  # noqa: BLE001  an enricher's own error is its row's
+                out.append((None, True))
+        return pd.DataFrame(out, columns=["value", "failed"], dtype=object)
+
+    def enrich(df: DataFrame) -> DataFrame:
+        d = df.withColumn("_run", run(F.struct(*inputs)))
+        return d.withColumns({column: F.col("_run.value"), ERRORS: F.concat(_errors(df), F.when(F.col("_run.failed"), F.array(F.lit(name))).otherwise(F.array()))}).drop("_run")
+
+    return enrich
+
+
+def guarded(name: str, enricher: Enricher, columns: dict[str, str], key: str = "event_id") -> Enricher:
+    """An enricher over whole tables (joins with feeds, expressions that may raise) whose
+    failure is its own: its ``columns`` (with types) are written by a job of their own and
+    joined by ``key``. If the job fails they are null, or as they were, in all rows, and the
+    name is in ``enrichment_errors``. Costs a pass over the events and a join."""
+    from loglake.operators.ordered import written
+
+    def enrich(df: DataFrame) -> DataFrame:
+        try:
+            side = written(enricher(df).select(F.col(key).alias("_key"), *[F.col(c).cast(t).alias(f"_new_{c}") for c, t in columns.items()]).dropDuplicates(["_key"]), "enriched")
+        except Exception:  # noqa: BLE001  whatever a feed or an expression raises
+            have = {c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns}
+            return df.withColumns({**have, ERRORS: F.concat(_errors(df), F.array(F.lit(name)))})
+        d = df.join(side, F.col(key) == F.col("_key"), "left").withColumns({c: F.col(f"_new_{c}") for c in columns})
+        return d.withColumn(ERRORS, _errors(df)).drop("_key", *[f"_new_{c}" for c in columns])
+
+    return enrich
+
+
 def enrich_all(df: DataFrame, enrichers: list[Enricher]) -> DataFrame:
+    """One enricher after the other. What cannot even be planned (a column or a feed that is
+    not there) is left out and noted in ``enrichment_errors``; for failures at run time there
+    are ``row_enricher`` and ``guarded``."""
+    from pyspark.errors import PySparkException
+
     for e in enrichers:
-        df = df.transform(e)
+        try:
+            df = e(df)
+        except PySparkException:
+            df = df.withColumn(ERRORS, F.concat(_errors(df), F.array(F.lit(getattr(e, "__name__", "enricher")))))
     return df
 
 
+def observe_failures(df: DataFrame, names: list[str]):
+    """The table, and the number of rows on which each enricher failed, read off its next action."""
+    from pyspark.sql import Observation
+
+    o = Observation()
+    return df.observe(o, F.count(F.lit(1)).alias("rows"), *[F.count_if(F.array_contains(_errors(df), n)).alias(n) for n in names]), o
+
+
 def optional_feed(spark: SparkSession, path: str) -> DataFrame:
-    """A feed of networks; where it cannot be read, an empty one, so that the rest goes on."""
-    from pyspark.errors import AnalysisException
+    """A feed of networks; where it is missing or its files are broken, an empty one, so that
+    the rest goes on. The feed is read once and kept as a table."""
+    from pyspark.errors import PySparkException
+
+    from loglake.operators.ordered import written
 
     try:
-        return spark.read.schema(NETWORK_DDL).parquet(path)
-    except AnalysisException:
+        return written(spark.read.schema(NETWORK_DDL).parquet(path), "feed")
+    except (PySparkException, Py4JJavaError):
         return spark.createDataFrame([], NETWORK_DDL)
-
-

@@ -115,6 +115,17 @@ def write_dead_letter(dlq: DataFrame, path: str) -> None:
     dlq.write.mode("append").partitionBy("stage").json(path)
 
 
+def by_batch(path: str, fmt: str = "json", prepare: Callable[[DataFrame], DataFrame] | None = None, partition_by: tuple[str, ...] = ()) -> Callable[[DataFrame, int], None]:
+    """A sink for streams: each micro-batch is a folder by its number. A batch that runs again
+    replaces what its first run has left, so every record is there once."""
+
+    def write(df: DataFrame, number: int) -> None:
+        df = prepare(df) if prepare else df
+        df.write.mode("overwrite").format(fmt).partitionBy(*partition_by).save(f"{path}/batch={number}")
+
+    return write
+
+
 def fan_out(df: DataFrame, sinks: dict[str, Sink]) -> tuple[dict[str, str], DataFrame | None]:
     """Writes to every sink, whatever happens to the others. Returns the causes of failures
     by sink, and dead letters for them."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +22,12 @@ def parse(raw: DataFrame, declarative: list | None = None, formats: list[str] |
     return extract(detect_format(ids, overrides, declarative), reference_year, formats, declarative)
 
 
-def ingest(raw: DataFrame, enrichers: list[Enricher] | None = None, declarative: list | None = None, formats: list[str] | None = None, overrides=None, reference_year: int = 2026) -> tuple[DataFrame, DataFrame]:
-    """(events, dead letters). Every record ends up in one of the two."""
+def ingest(raw: DataFrame, enrichers: list[Enricher] | None = None, declarative: list | None = None, formats: list[str] | None = None, overrides=None, reference_year: int = 2026, hold: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, dead letters). Every record ends up in one of the two. Both come from the same
+    parsed records; ``hold`` may keep these, so that they are parsed once."""
     framed, bad_frames = split_oversized(frame_lines(raw))
     parsed = parse(framed, declarative, formats, overrides, reference_year)
+    parsed = hold(parsed) if hold else parsed
     failed = parsed.filter(F.col("parse_error").isNotNull())
     none = F.col("parse_error").startswith("no parser")
     missed = dead_letters(failed.filter(none), "detection", "ParserNotFound", F.col("parse_error"))

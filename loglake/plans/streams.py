@@ -32,16 +32,37 @@ def _sec_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SEC_EVENTS.replace("from events", "from _loglake_event_stream")).withColumn("severity", F.col("sev").cast("double")).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _finished(stream: DataFrame, name: str) -> DataFrame:
+#: Rows of one file of a sliced stream, at most; a table has six at least.
+SLICE_ROWS = 1 << 20
+
+
+def _sliced_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in slices by their order, of which each micro-batch takes one: state is
+    carried from one to the next. A file source takes files by their time, so the slices are
+    written one after the other."""
+    table = prepare(spark).read.parquet(f"{sf_dir}/events.parquet")
+    path, n = _folder(spark, "slices"), max(6, -(-table.count() // SLICE_ROWS))
+    cuts = table.approxQuantile("event_id", [k / n for k in range(1, n)], 0.001)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        rows = table if low is None else table.filter(F.col("event_id") > low)
+        (rows if high is None else rows.filter(F.col("event_id") <= high)).coalesce(1).write.mode("append").parquet(path)
+    spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path).createOrReplaceTempView("_loglake_slices")
+    return spark.sql(SEC_EVENTS.replace("from events", "from _loglake_slices")).withColumn("severity", F.col("sev").cast("double"))
+
+
+def _finished(stream: DataFrame, name: str, least: int = 1) -> DataFrame:
+    """What a stream writes up to the end of its input, in ``least`` micro-batches or more."""
     spark, out = stream.sparkSession, _folder(stream.sparkSession, name)
     w = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint")
-    w.trigger(availableNow=True).start().awaitTermination()
+    w = w.trigger(availableNow=True).start()
+    w.awaitTermination()
+    assert (w.lastProgress.batchId + 1 if w.lastProgress else 0) >= least, "fewer micro-batches than asked for"
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
 @q(f"with {SEC}, {CHAIN.format(t='sec')} select src_ip, seq, chain::int as chain, chain >= 5 as fires from cc")
 def m04_stream_auth_chain(spark, sf):
-    return _finished(jobs.stream_auth_chain(_sec_stream(spark, sf), timeout=None), "chain")
+    return _finished(jobs.stream_auth_chain(_sliced_stream(spark, sf), timeout=None), "chain", least=5)
 
 
 @q("select distinct user_id, event_type from events")

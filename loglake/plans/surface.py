@@ -6,16 +6,18 @@ from __future__ import annotations
 import pathlib
 import tempfile
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from loglake.functions import scalars as S
 from loglake.operators import analytics as W
 from loglake.operators import crosswalk, declarative, detect, enrich, framing, identity, normalize, query, sinks, stats
 from loglake.operators.features import features
+from loglake.operators.ordered import written
 from loglake.operators.extract import event_dim, extract, extract_generic_xml, join_event_dim
 from loglake.plans.ingest import ingest
 from loglake.plans.queries import BLANKS, CEF_SEV, IDS, LIN, MIX, MIX_FORMATS, SEC, _events, _flat, _sec, _telemetry, q
-from loglake.plans.streams import _finished, _folder, _sec_stream
+from loglake.plans.streams import _finished, _folder, _sec_stream, _sliced_stream
 from loglake.plans.tables import MIXED, SEC_EVENTS, raw, view
 from loglake.schema import CATEGORIES, OUTCOMES
 from loglake.sources import readers
@@ -400,6 +402,29 @@ def j05_enrichers(spark, sf):
     return enrich.enrich_all(_events(spark, sf), chain).select("seq", F.col("enrichment.threat_ip_detected").alias("threat"), "tag")
 
 
+@q(f"""with {SEC} select seq, case when user_id % 6 = 1 then true end as threat, case when user_id % 7 > 0 then 'user' || (1000 // (user_id % 7)) end as note, null::varchar as score, 'seen' as tag,
+    case when user_id % 7 = 0 then ['score', 'note'] else ['score'] end as errors, (select count(*) from events)::bigint as n_score, (select count_if(user_id % 7 = 0) from events)::bigint as n_note from sec""")
+def j05_best_effort(spark, sf):
+    """Enrichers that fail at run time, one on some rows and one as a whole: the columns of the
+    others stay, and failures are counted in the pass that writes the rows (J-05)."""
+
+    def note(name):  # no users without a remainder: a division by zero
+        return f"user{1000 // (int(name[4:]) % 7)}"
+
+    chain = [
+        enrich.guarded("score", lambda d: d.withColumn("score", F.when(F.col("seq") % 50 == 7, F.raise_error(F.lit("no score"))).otherwise("1")), {"score": "string"}),
+        lambda d: enrich.enrich_ips(d, enrich.threat_table(spark), enrich.cloud_table(spark)),
+        enrich.row_enricher("note", "note", "string", note, "identity.username"),
+        enrich.guarded("tag", lambda d: d.withColumn("tag", F.lit("seen")), {"tag": "string"}),
+    ]
+    events = written(_events(spark, sf).select("seq", "event_id", "network", "identity", "enrichment"), "events")
+    e, counts = enrich.observe_failures(enrich.enrich_all(events, chain), ["score", "note"])
+    path = _folder(spark, "best-effort")
+    e.select("seq", F.col("enrichment.threat_ip_detected").alias("threat"), "note", "score", "tag", F.col(enrich.ERRORS).alias("errors")).write.parquet(path)
+    n = counts.get
+    return spark.read.parquet(path).withColumns({"n_score": F.lit(n["score"]).cast("long"), "n_note": F.lit(n["note"]).cast("long")})
+
+
 @q(f"""with {SEC}, last as (select *, row_number() over (partition by src_ip order by seq desc) as k from sec), s as (select src_ip, k, sev from last where k <= 50),
     twice as (select src_ip, sev, k from s union all select src_ip, sev, k + 100 from s), cut as (select *, row_number() over (partition by src_ip order by k) as r from twice)
     select src_ip, count(*) as sev_n, round(avg(sev), 6) as sev_mean, round(stddev_pop(sev), 6) as sev_std from cut where r <= 70 group by 1""")
@@ -438,6 +463,31 @@ def x03_crosswalk(spark, sf):
     return out
 
 
+@q(f"""with {LIN}, {IDS}, r as (select event_id, src_ip, ({CEF_SEV}) as s, bytes_in, outcome, 'user' || user_id as username from uid), n as (select (select count(*) from events)::bigint as converted, (select count_if(event_id % 10 = 0) * 2 from events)::bigint as failed)
+    select 'ocsf' as target, event_id as uid, src_ip, (case when s >= 9 then 5 when s >= 7 then 4 when s >= 5 then 3 when s >= 3 then 2 else 1 end)::int as severity, (case outcome when 'success' then 1 when 'failure' then 2 else 0 end)::varchar as outcome, bytes_in as n_bytes, username, n.* from r, n
+    union all select 'ecs', event_id, src_ip, s * 10, outcome, nullif(bytes_in, 0), username, n.* from r, n""")
+def x03_crosswalk_lines(spark, sf):
+    """Lines of events, among which some are no events, in both vocabularies: all converted rows,
+    and the numbers of converted and failed lines from the same pass."""
+    path, out = _folder(spark, "lines"), None
+    sinks.write_ndjson(_events(spark, sf).drop("ingest_ts", "seq"), path)
+    bad = _sec(spark, sf).filter("seq % 10 = 0").select(F.explode(F.array(F.concat(F.lit('{"event_id": "'), F.col("seq").cast("string")), F.lit("[1, 2]"), F.lit("  "))).alias("value"))
+    bad.write.mode("append").text(path)
+    fields = {
+        "ocsf": ("metadata struct<uid: string>, src_endpoint struct<ip: string>, severity_id int, status_id int, traffic struct<bytes_in: long>, user struct<name: string>", ["metadata.uid", "src_endpoint.ip", "severity_id", "status_id", "traffic.bytes_in", "user.name"]),
+        "ecs": ("event struct<id: string, severity: int, outcome: string>, source struct<ip: string>, network struct<bytes: long>, user struct<name: string>", ["event.id", "source.ip", "event.severity", "event.outcome", "network.bytes", "user.name"]),
+    }
+    for target, (ddl, cols) in fields.items():
+        to = _folder(spark, target)
+        rows, counts = crosswalk.crosswalk_lines(spark.read.text(path), target)
+        rows.write.text(to)
+        n = counts.get
+        read = spark.read.schema(ddl).json(to).select(F.lit(target).alias("target"), *[F.col(c).cast("string" if k == "outcome" else t).alias(k) for c, k, t in zip(cols, ["uid", "src_ip", "severity", "outcome", "n_bytes", "username"], ["string", "string", "int", "string", "long", "string"])])
+        read = read.withColumns({k: F.lit(n[k]).cast("long") for k in ("converted", "failed")})
+        out = read if out is None else out.unionByName(read)
+    return out
+
+
 # --- streams -------------------------------------------------------------------------------
 
 
@@ -447,13 +497,55 @@ def m01_stream_ingest(spark, sf):
     top = _folder(spark, "ingest")
     raw(spark, sf, MIXED).select("line").repartition(4).write.text(f"{top}/in")
     stream = readers.stream_raw(spark, f"{top}/in", max_files=2)
-    sink = {"files": lambda d: sinks.write_ndjson(d.select("event_id"), f"{top}/events")}
-    w = jobs.stream_ingest(stream, lambda d: ingest(d, formats=MIX_FORMATS), sink, lambda d: sinks.write_dead_letter(d, f"{top}/dead"), f"{top}/ck", available_now=True)
+    sink = {"files": sinks.by_batch(f"{top}/events", prepare=lambda d: d.select("event_id"))}
+    w = jobs.stream_ingest(stream, lambda d, hold: ingest(d, formats=MIX_FORMATS, hold=hold), sink, sinks.by_batch(f"{top}/dead", partition_by=("stage",)), f"{top}/ck", available_now=True)
     w.awaitTermination()
     good = spark.read.schema("event_id string").json(f"{top}/events").select(F.lit("events").alias("stage"))
     return good.unionByName(readers.read_dead_letter(spark, f"{top}/dead").select("stage")).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
 
 
+@q(f"with {LIN}, {IDS} select event_id, 'written' as stage, null as failed_sink from uid union all select event_id, 'sink', 'broken' from uid")
+def m01_exactly_once(spark, sf):
+    """A batch fails behind its sinks, runs again after a restart, and is there once; one sink
+    fails in all runs, and its records are dead letters of the batch, once too."""
+    top = _folder(spark, "once")
+    raw(spark, sf).select("line", "tenant_id").repartition(4).write.partitionBy("tenant_id").text(f"{top}/in")
+    dead, failures = sinks.by_batch(f"{top}/dead", partition_by=("stage",)), [OSError("no room")]
+
+    def broken(df, number):
+        raise ValueError("no such index")
+
+    def dead_letter(df, number):
+        dead(df, number)
+        if failures:  # all of the batch is written, but Spark does not know of it yet
+            raise failures.pop()
+
+    def start():
+        stream = readers.stream_raw(spark, f"{top}/in/*", max_files=3).withColumn("tenant_id", F.regexp_extract("source_tag", "tenant_id=([^/]+)", 1)).withColumn("source_tag", F.lit("edge"))
+        parse = lambda d, hold: ingest(d, formats=["cef"], hold=hold)
+        return jobs.stream_ingest(stream, parse, {"broken": broken, "files": sinks.by_batch(f"{top}/events", prepare=lambda d: d.select("event_id"))}, dead_letter, f"{top}/ck", available_now=True)
+
+    try:
+        start().awaitTermination()
+    except StreamingQueryException:
+        start().awaitTermination()
+    good = spark.read.schema("event_id string").json(f"{top}/events").select("event_id", F.lit("written").alias("stage"), F.lit(None).cast("string").alias("failed_sink"))
+    return good.unionByName(readers.read_dead_letter(spark, f"{top}/dead").select("event_id", "stage", "failed_sink"))
+
+
+@q(f"with {LIN} select 'syslog.' || tenant_id as source_tag, seq, line, 'net' as tenant_id from lin")
+def s07_network(spark, sf):
+    """Records that a collector received from the network, through a stream that stops and goes
+    on: the collector writes some of them twice, and more while the stream is away."""
+    top = _folder(spark, "spool")
+    rows = raw(spark, sf).select(F.concat(F.lit("syslog."), "tenant_id").alias("topic"), (F.col("seq") % 3).alias("partition"), F.col("seq").alias("offset"), F.col("raw_bytes").alias("value"), F.col("ingest_ts").alias("timestamp"))
+    for part in ("offset % 5 < 3", "offset % 5 >= 2"):
+        readers.write_spool(rows.filter(part), f"{top}/in")
+        s = readers.stream_spool_raw(spark, f"{top}/in", "net", max_files=3, watermark="3650 days")
+        s.writeStream.format("parquet").option("path", f"{top}/rows").option("checkpointLocation", f"{top}/ck").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{top}/rows").select("source_tag", "seq", "line", "tenant_id")
+
+
 @q("select distinct event_type, user_id from events")
 def m02_stream_index(spark, sf):
     """Each id is appended once, though the stream has it many times."""
@@ -467,7 +559,7 @@ def m02_stream_index(spark, sf):
 @q(f"""with {SEC}, w as (select seq, src_ip, sev, count(*) over r as n, avg(sev) over r as m, stddev_pop(sev) over r as s from sec window r as (partition by src_ip order by seq rows between 20 preceding and 1 preceding))
     select seq, round(case when n < 5 then 0 when s > 1e-9 then abs(sev - m) / s when abs(sev - m) > 1e-4 then 10 else 0 end, 4)::double as z from w""")
 def m03_stream_score(spark, sf):
-    return _finished(jobs.stream_score(_sec_stream(spark, sf), 20, None), "score").select("seq", F.round("z", 4).alias("z"))
+    return _finished(jobs.stream_score(_sliced_stream(spark, sf), 20, None), "score", least=5).select("seq", F.round("z", 4).alias("z"))
 
 
 @q(f"""with {SEC}, r as (select src_ip, count(*) / 864000.0 as rate from sec group by 1), w as (select src_ip, time_bucket(interval 1 day, ts::timestamp, timestamp '1970-01-01') as s, count(*) as n from sec group by 1, 2)

@@ -73,10 +73,35 @@ def stream_events(spark: SparkSession, path: str, max_files: int | None = None)
     return r.json(path)
 
 
+def kafka_raw(rows: DataFrame, tenant_id: str = "default") -> DataFrame:
+    """Raw records from rows in the form of Kafka's: the topic is the source, the place in its
+    partition the order."""
+    return rows.select(F.lit(tenant_id).alias("tenant_id"), F.col("topic").alias("source_tag"), F.col("offset").alias("seq"), F.col("value").alias("raw_bytes"), F.col("value").cast("string").alias("line"), F.col("timestamp").alias("ingest_ts"))
+
+
 def stream_kafka_raw(spark: SparkSession, options: dict[str, str], tenant_id: str = "default") -> DataFrame:
-    """Raw records of Kafka topics; the topic is the source."""
-    s = spark.readStream.format("kafka").options(**options).load()
-    return s.select(F.lit(tenant_id).alias("tenant_id"), F.col("topic").alias("source_tag"), F.col("offset").alias("seq"), F.col("value").alias("raw_bytes"), F.col("value").cast("string").alias("line"), F.col("timestamp").alias("ingest_ts"))
+    """Raw records of Kafka topics."""
+    return kafka_raw(spark.readStream.format("kafka").options(**options).load(), tenant_id)
+
+
+#: What a collector of network records writes where there is no broker.
+SPOOL_DDL = "topic string, partition int, offset long, value binary, timestamp timestamp"
+
+
+def write_spool(rows: DataFrame, path: str) -> None:
+    """Rows of ``SPOOL_DDL`` as further files of a spool."""
+    rows.select("topic", F.col("partition").cast("int"), F.col("offset").cast("long"), F.col("value").cast("binary"), F.col("timestamp").cast("timestamp")).write.mode("append").parquet(path)
+
+
+def stream_spool_raw(spark: SparkSession, path: str, tenant_id: str = "default", max_files: int | None = None, watermark: str | None = "24 hours") -> DataFrame:
+    """Raw records that a collector received from the network and wrote to files. The stream's
+    checkpoint keeps the place, so a restart loses nothing; records that a collector wrote
+    again after its own restart (one topic, partition and offset within ``watermark``) count once."""
+    r = spark.readStream.schema(SPOOL_DDL)
+    rows = (r.option("maxFilesPerTrigger", max_files) if max_files else r).parquet(path)
+    if watermark:
+        rows = rows.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(["topic", "partition", "offset"])
+    return kafka_raw(rows, tenant_id)
 
 
 def stream_socket_raw(spark: SparkSession, host: str, port: int, tenant_id: str = "default") -> DataFrame:

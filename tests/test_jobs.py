@@ -114,7 +114,7 @@ def test_stream_ingest_and_dedup(spark, tmp_path):
     from loglake.sources.readers import stream_raw
 
     out = []
-    q = jobs.stream_ingest(stream_raw(spark, str(tmp_path / "raw")), lambda d: ingest(d, formats=["cef"]), {"nd": lambda d: out.append(d.count())}, lambda d: out.append(-d.count()), str(tmp_path / "cp"), available_now=True)
+    q = jobs.stream_ingest(stream_raw(spark, str(tmp_path / "raw")), lambda d, hold: ingest(d, formats=["cef"], hold=hold), {"nd": lambda d, n: out.append(d.count())}, lambda d, n: out.append(-d.count()), str(tmp_path / "cp"), available_now=True)
     q.awaitTermination(120)
     assert sorted(out) == [-1, 5]
     d = spark.sql("select cast(id % 10 as string) event_id, timestamp'2026-01-01' ingest_ts from range(30)")
@@ -137,3 +137,99 @@ def test_networks_of_both_families_equal_a_loop(spark):
         assert {i: got.get(i, []) for i in want} == want
     rows = d.select("ip", enrich.matches_in(F.col("ip"), table.collect()).alias("m")).collect()
     assert {r["ip"]: [m["rank"] for m in r["m"]] for r in rows if r["ip"]} == want
+
+
+def test_enrichers_fail_on_their_own(spark, tmp_path):
+    e = _events(spark)
+
+    def port(n):
+        return 1 // (n - 443)
+
+    def broken(d):
+        return d.withColumn("x", F.raise_error(F.lit("no")).cast("int"))
+
+    def absent(d):
+        return d.withColumn("y", F.col("no_such_column"))
+
+    chain = [enrich.row_enricher("port", "p", "int", port, "network.dst_port"), enrich.guarded("broken", broken, {"x": "int"}), absent, enrich.guarded("fine", lambda d: d.withColumn("z", F.lit(3)), {"z": "int"}), enrich.row_enricher("name", "u", "string", str.upper, "identity.username")]
+    d, counts = enrich.observe_failures(enrich.enrich_all(e, chain), ["port", "broken", "absent", "name"])
+    rows = d.collect()
+    assert [(r["p"], r["x"], r["z"], r["u"], r["enrichment_errors"]) for r in rows] == [(None, None, 3, "U", ["port", "broken", "absent"])] * 3
+    assert counts.get == {"rows": 3, "port": 3, "broken": 3, "absent": 3, "name": 0}
+    path = tmp_path / "feed"
+    path.mkdir()
+    (path / "x.parquet").write_text("no parquet")
+    assert enrich.optional_feed(spark, str(path)).count() == 0 and enrich.optional_feed(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_batch_that_runs_again_is_there_once(spark, tmp_path):
+    import pytest
+    from pyspark.errors import StreamingQueryException
+
+    from loglake.sources.readers import stream_raw
+
+    (tmp_path / "raw").mkdir()
+    for k in range(3):
+        (tmp_path / f"raw/{k}.log").write_text("\n".join(CEF.format(sev=3, ip=f"10.0.{k}.{i}") for i in range(4)) + f"\nplain {k}\n")
+    dead, calls = sinks.by_batch(f"{tmp_path}/dead", partition_by=("stage",)), []
+
+    def failing(d, n):
+        dead(d, n)
+        calls.append(n)
+        if len(calls) == 2:
+            raise OSError("disk")
+
+    def run():
+        q = jobs.stream_ingest(stream_raw(spark, str(tmp_path / "raw"), max_files=1), lambda d, hold: ingest(d, formats=["cef"], hold=hold), {"files": sinks.by_batch(f"{tmp_path}/good")}, failing, f"{tmp_path}/ck", available_now=True)
+        q.awaitTermination(120)
+
+    with pytest.raises(StreamingQueryException):
+        run()
+    run()
+    assert calls == [0, 1, 1, 2]
+    assert spark.read.json(f"{tmp_path}/good").count() == 12 and spark.read.json(f"{tmp_path}/dead").count() == 3
+
+
+def test_state_is_carried_over_micro_batches(spark, tmp_path):
+    rows = [(i, f"ip{i % 2}", "authentication", ["failure", "failure", "failure", "success", "unknown"][i * 7 % 5], float(i % 9)) for i in range(210)]
+    schema = "seq long, src_ip string, category string, outcome string, severity double"
+    d = spark.createDataFrame(rows, schema)
+    for k in range(7):  # in the order of time, as a file source takes them
+        spark.createDataFrame(sorted(rows[k * 30 : k * 30 + 30], key=lambda r: -r[0]), schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    for name, out in (("chains7", jobs.stream_auth_chain(s, timeout=None)), ("scores7", jobs.stream_score(s, 20, timeout=None))):
+        w = out.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+        w.awaitTermination(180)
+        assert w.lastProgress.batchId >= 6
+    assert {(r["seq"], r["chain"]) for r in spark.table("chains7").collect()} == {(r["seq"], r["chain"]) for r in analytics.auth_failure_chain(d).collect()}
+    o = analytics.online_baseline(d, 20)
+    o = o.withColumn("z", analytics.z_of(F.col("severity"), F.col("sev_n"), F.col("sev_mean"), F.col("sev_std")))
+    assert {r["seq"]: round(r["z"], 6) for r in spark.table("scores7").collect()} == {r["seq"]: round(r["z"], 6) for r in o.collect()}
+
+
+def test_spool_goes_on_after_a_restart(spark, tmp_path):
+    from loglake.sources import readers
+
+    def lot(a, z):
+        readers.write_spool(spark.range(a, z).selectExpr("'t' as topic", "id % 2 as partition", "id as offset", "concat('line ', id) as value", "timestamp'2026-01-01' as timestamp"), f"{tmp_path}/in")
+        s = readers.stream_spool_raw(spark, f"{tmp_path}/in", "a")
+        s.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(120)
+
+    lot(0, 10)
+    lot(6, 16)  # four of them again
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r["seq"], r["line"]) for r in got) == [(i, f"line {i}") for i in range(16)] and got[0]["tenant_id"] == "a" and got[0]["source_tag"] == "t"
+
+
+def test_crosswalk_counts_what_fails(spark, tmp_path):
+    from loglake.operators import crosswalk
+
+    sinks.write_ndjson(_events(spark).drop("seq", "ingest_ts", "event_ts", "source_tag"), f"{tmp_path}/nd")
+    for i, bad in enumerate(['{"event_id": ', "[1]", "", "  ", "null", '{"event": 5}']):
+        (tmp_path / f"nd/bad{i}.json").write_text(bad + "\n")
+    for target, path in (("ocsf", "metadata.uid"), ("ecs", "event.id")):
+        rows, counts = crosswalk.crosswalk_lines(spark.read.text(f"{tmp_path}/nd"), target)
+        got = [json.loads(r["value"]) for r in rows.collect()]
+        a, b = path.split(".")
+        assert len({x[a][b] for x in got if x.get(a, {}).get(b)}) == 3
+        assert counts.get == {"converted": 3, "failed": 4} and len(got) == 3
