@@ -4,9 +4,11 @@ Lines within edit distance t are linked; t follows the length of the shorter lin
 (``BANDS``). A line is split into t + 1 even segments; one of them must occur unchanged in
 a line within t edits, near its own place. So each line is indexed by (its length, segment
 number, segment), and probes the lengths it may link to with the substrings around each
-segment's place. Where very many lines share a key, the same split is done again on the
-side of the match that may hold the most edits, as often as it takes: lines then meet only
-if they share that piece too. Pairs that meet are compared by the parities of
+segment's place. Where many lines share a key and differ in a few characters only, as lines
+of one template do, these characters are matched by their variants, each a star around one
+line. Where they differ in more, the same split is done again on the side of the match that
+may hold the most edits, as often as it takes: lines then meet only if they share that piece
+too. Pairs that meet are compared by the parities of
 their characters and verified by a bit-parallel edit distance in a band of 2t + 2 rows. Linked lines and exact copies form classes, of which the first
 line stays.
 
@@ -26,8 +28,8 @@ from loglake.llm.components import components
 
 #: (least characters of the shorter line, edits of a link); 0: exact copies only.
 BANDS = ((0, 0), (16, 1), (128, 2))
-#: Keys of more lines than this are split further.
-CROWD = 512
+#: Keys of more lines than this are matched by what differs in them, or split further.
+CROWD = 64
 #: Places of the filter that is broadcast before texts are moved.
 PLACES = 1 << 18
 
@@ -83,8 +85,8 @@ def _for_each_probe(bands, item: str) -> str:
 _KEY = "((xxhash64({m}, x.i, substr(b, 4 * {p} - 3, 4 * {w})) & -2L) | x.role)"
 #: The same with the side that may hold the most edits, its length in the other line, edits.
 _PART = f"""if(2 * x.i <= x.t + 2,
-    struct({_KEY} as key, substr(l, {{p}} + {{w}}) as s, int({{m}} - {{q}} - {{w}} + 1) as yl, x.t + 1 - x.i as e),
-    struct({_KEY} as key, substr(l, 1, {{p}} - 1) as s, int({{q}} - 1) as yl, x.i - 1 as e))"""
+    struct({_KEY} as key, substr(l, {{p}} + {{w}}) as s, int({{m}} - {{q}} - {{w}} + 1) as yl, x.t + 1 - x.i as e, x.t as t),
+    struct({_KEY} as key, substr(l, 1, {{p}} - 1) as s, int({{q}} - 1) as yl, x.i - 1 as e, x.t as t))"""
 
 
 def _finer(e: int) -> str:
@@ -97,7 +99,7 @@ def _finer(e: int) -> str:
             fits = f"abs(length(s) - yl - {o}) <= {e + 1 - j} AND {q} + {o} >= 1"
             s, yl, e2 = (f"substr(s, {q} + {o} + {w})", f"(yl - {q} - {w} + 1)", e + 1 - j) if right else (f"substr(s, 1, {q} + {o} - 1)", f"({q} - 1)", j - 1)
             key = f"((xxhash64(key & -2L, {j}, substr(s, {q} + {o}, {w})) & -2L) | {'key & 1' if o == 0 else '1L'})"
-            out.append(f"if({fits}, struct({key} as key, {s} as s, int({yl}) as yl, {e2} as e), null)")
+            out.append(f"if({fits}, struct({key} as key, {s} as s, int({yl}) as yl, {e2} as e, t), null)")
     return f"filter(array({', '.join(out)}), x -> x is not null)"
 
 
@@ -135,24 +137,94 @@ def within(x: str, y: str, t: int) -> str:
       aggregate(sequence(1, size(s.y)), struct({start}L as vp, 0L as vn, {t} as d), (a, j) -> if(a.d > {3 * t}, a, {step}), a -> a.d))[0] <= {t})"""
 
 
-def _pairs(parts: DataFrame, most: int) -> DataFrame:
+def _common(x: str, y: str, most: str, back: bool) -> str:
+    """SQL: the number of characters, up to ``most``, that two texts begin (or end) with."""
+    steps = "array(" + ", ".join(str(1 << k) for k in range(16, -1, -1)) + ")"
+    part = (lambda c: f"substr({c}, -p - k, k)") if back else (lambda c: f"substr({c}, p + 1, k)")
+    return f"aggregate({steps}, 0, (p, k) -> if(p + k <= {most} AND {part(x)} = {part(y)}, p + k, p))"
+
+
+def _variants(t: int) -> str:
+    """SQL: the keys by which texts ``m`` (longer by ``d`` than the shortest of their group) of
+    ``t`` edits meet, as (kind and text, whether it is an index).
+
+    All holders of a key are within ``t`` edits of each of its index holders: texts of one
+    length with up to t signs masked (substitutions), or, for two edits, with one sign left
+    out (one more and one less); longer texts with their surplus left out, and the sign
+    masked that may be changed besides."""
+    n, mark = "length(m)", "char(1)"
+    masked = lambda c, i: f"concat(substr({c}, 1, {i} - 1), {mark}, substr({c}, {i} + 1))"
+    without = lambda c, i: f"concat(substr({c}, 1, {i} - 1), substr({c}, {i} + 1))"
+    places = lambda size: f"if({size} > 0, sequence(1, {size}), cast(array() as array<int>))"
+    each = lambda size, item, v: f"transform({places(size)}, {v} -> {item})"
+    row = lambda kind, text, index: f"struct(concat('{kind}', {text}) as v, {str(index).lower()} as index)"
+    none = "cast(array() as array<struct<v: string, index: boolean>>)"
+    if t == 1:
+        same = f"concat(array({row('D', 'm', True)}), {each(n, row('A', masked('m', 'i'), True), 'i')})"
+        return f"case d when 0 then {same} when 1 then {each(n, row('D', without('m', 'i'), False), 'i')} else {none} end"
+    pair = lambda item: f"flatten(transform({places(n)}, i -> transform({places(f'{n} - i')}, j -> {item})))"  # noqa: E731  i < i + j
+    same = f"concat(array({row('D', 'm', True)}, {row('C', 'm', True)}, {row('A', 'm', True)}), {each(n, row('C', masked('m', 'i'), True), 'i')}, {each(n, row('B', without('m', 'i'), True), 'i')}, if({n} = 1, array({row('A', mark, True)}), {pair(row('A', masked(masked('m', '(i + j)'), 'i'), True))}))"
+    one = f"flatten({each(n, f'concat(array({row("C", without("m", "i"), False)}), transform({places(f"{n} - 1")}, k -> {row("C", masked(without("m", "i"), "k"), False)}))', 'i')})"
+    two = pair(row("D", without(without("m", "(i + j)"), "i"), False))
+    return f"case d when 0 then {same} when 1 then {one} when 2 then {two} else {none} end"
+
+
+#: Most characters of what differs in a crowded key's lines for their variants to be listed.
+NARROW = 12
+
+
+def _narrow(many: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rest) of crowded keys. What all lines of a key begin and end with is cut off; it
+    does not change a distance. Where only ``NARROW`` characters or fewer are left, as in
+    lines of one template, the lines meet by variants of these. Each key of a variant is a
+    star around one line that is within the edits of all others, so there are as many pairs
+    as keys, however many lines there are. Other keys are the rest, to be split further."""
+    whole = materialize(many.select("key", "role", "h", "t", "size").join(texts.select("h", "n", "l"), "h"), "line-crowds")
+    total = whole.count()
+    pivots = whole.groupBy("key").agg(F.min_by("l", "h").alias("pivot"), F.max("size").alias("size"))
+    near = join_salted(whole.drop("size"), pivots, ["key"], "size", total)
+    short = "least(length(l), length(pivot))"
+    near = near.withColumn("head", F.expr(_common("l", "pivot", short, False))).withColumn("tail", F.expr(_common("l", "pivot", short, True)))
+    ends = near.groupBy("key").agg(F.min("head").alias("head"), F.min("tail").alias("tail"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("size").alias("size"))
+    ends = ends.withColumn("tail", F.least("tail", F.col("least") - F.col("head"))).filter(F.col("most") - F.col("head") - F.col("tail") <= NARROW)
+    ends = materialize(ends.select("key", "head", "tail", "least", "size"), "line-ends")
+    rest = many.join(ends.select("key"), "key", "left_anti")
+    middle = join_salted(whole.drop("size"), ends, ["key"], "size", total).withColumn("m", F.expr("substr(l, head + 1, n - head - tail)")).withColumn("d", F.expr("n - least"))
+    kinds = " ".join(f"when t = {t} then {_variants(t)}" for t in (1, 2))
+    rows = middle.select("key", "role", "h", F.explode(F.expr(f"case {kinds} end")).alias("v"))
+    rows = rows.select(F.xxhash64("key", "v.v").alias("key"), "h", (F.col("v.index") & (F.col("role") == 0)).alias("index"))
+    stars = rows.groupBy("key").agg(F.min(F.when(F.col("index"), F.col("h"))).alias("center"), F.min("h").alias("a"), F.max("h").alias("b"), F.count(F.lit(1)).alias("size"))
+    stars = materialize(stars.filter("center IS NOT NULL AND a <> b").select("key", "center", "size"), "line-stars")
+    met = join_salted(rows.select("key", "h"), stars, ["key"], "size", stars.agg(F.sum("size")).first()[0] or 0).filter("h <> center")
+    return met.select(F.least("h", "center").alias("a"), F.greatest("h", "center").alias("b")).distinct(), rest
+
+
+def _pairs(parts: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     """Pairs (a, b) of lines that share a key and whose character parities allow ``most``
-    edits. Rows: key with the role as its last bit, h, odd, s, yl, e. Crowded keys are split
-    until they are small or nothing is left to split."""
+    edits. Rows: key with the role as its last bit, h, odd, s, yl, e, t. Crowded keys whose
+    lines differ in few places meet there; others are split until they are small or nothing
+    is left to split."""
     out = []
     while True:
         parts = materialize(parts.withColumn("role", F.col("key").bitwiseAND(1)).withColumn("key", F.col("key").bitwiseAND(-2)), "line-parts")
         sizes = parts.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("role").alias("least"), F.min("h").alias("a"), F.max("h").alias("b"))
         met = join_salted(parts, sizes.filter("a <> b AND least = 0").select("key", "size"), ["key"], "size", parts.count())
         met = materialize(met, "line-met")
-        few = met.filter(f"size <= {CROWD} OR yl <= e")
+        many = met.filter(f"size > {CROWD}")
+        few = met.filter(f"size <= {CROWD}")
+        crowded = not many.isEmpty()
+        if crowded:
+            pairs, many = _narrow(many, texts)
+            out.append(materialize(pairs, "line-pairs"))
+            many = materialize(many, "line-many")
+            few = few.unionByName(many.filter("yl <= e"))
+            many = many.filter("yl > e")
         x, y = few.select("key", "h", "role", "odd").alias("x"), few.filter("role = 0").select("key", "h", "odd").alias("y")
         join = x.join(y, F.expr(f"x.key = y.key AND x.h <> y.h AND (x.role = 1 OR x.h < y.h) AND bit_count(x.odd ^ y.odd) <= {2 * most}"))
         out.append(materialize(join.select(F.expr("least(x.h, y.h) as a"), F.expr("greatest(x.h, y.h) as b")).distinct(), "line-pairs"))
-        many = met.filter(f"NOT (size <= {CROWD} OR yl <= e)")
-        if many.isEmpty():
+        if not crowded or many.isEmpty():
             return reduce(DataFrame.union, out).distinct()
-        many = many.select("h", "odd", F.col("key").bitwiseOR(F.col("role")).alias("key"), "s", "yl", "e")
+        many = many.select("h", "odd", F.col("key").bitwiseOR(F.col("role")).alias("key"), "s", "yl", "e", "t")
         cases = " ".join(f"when e = {e} then {_finer(e)}" for e in range(1, most + 1))
         parts = many.select("h", "odd", F.explode(F.expr(f"case {cases} end")).alias("p")).select("h", "odd", "p.*")
 
@@ -193,7 +265,7 @@ def line_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = texts.withColumn("odd", F.expr("aggregate(split(l, ''), 0L, (a, c) -> a ^ shiftleft(1L, ascii(c) % 64))"))
     texts = materialize(texts, "line-texts")
     parts = texts.withColumn("b", F.encode("l", "UTF-32")).select("h", "odd", F.explode(F.expr(_for_each_probe(bands, _PART))).alias("k")).select("h", "odd", "k.*")
-    pairs = _pairs(parts, max(t for _, t in bands)) if least < 1 << 30 else texts.select(F.col("h").alias("a"), F.col("h").alias("b")).limit(0)
+    pairs = _pairs(parts, texts, max(t for _, t in bands)) if least < 1 << 30 else texts.select(F.col("h").alias("a"), F.col("h").alias("b")).limit(0)
     j = pairs.join(texts.select(F.col("h").alias("a"), F.col("l").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("l").alias("y")), "b")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     j = j.repartition(parts, "a", "b")  # few rows, but each one takes time: a filter would go ahead of this
