@@ -29,7 +29,7 @@ from loglake.llm.components import components
 #: (least characters of the shorter line, edits of a link); 0: exact copies only.
 BANDS = ((0, 0), (16, 1), (128, 2))
 #: Keys of more lines than this are matched by what differs in them, or split further.
-CROWD = 64
+CROWD = 512
 #: Places of the filter that is broadcast before texts are moved.
 PLACES = 1 << 18
 
