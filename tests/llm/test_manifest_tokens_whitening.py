@@ -217,3 +217,42 @@ def test_whitening_of_hard_tables(spark):
     want = {i: sum((50 * x[i] - sum(x)) ** 2 for x in xs) for i in range(50)}
     assert {r["vec_id"]: int(r["deviation_wide"]) for r in wide} == want and all(r["deviation"] == (want[r["vec_id"]] if want[r["vec_id"]] < 1 << 63 else None) for r in wide)
     assert wide[0]["identity_error"] < 1e-4
+
+
+def test_fast_pieces_equal_the_library_for_every_common_character(merger):
+    common = [c for c in map(chr, range(0x3000)) if not merger.other(c)]
+    assert len(common) > 500
+    for at in range(0, len(common), 50):
+        text = "".join(f"a{c}1{c}!{c} {c}{c}  {c}" for c in common[at : at + 50])
+        assert merger.fast(text) == [text[a:z] for _, (a, z) in merger.full(text)]
+
+
+def test_templated_lines_meet_by_their_variants(spark, monkeypatch):
+    """Crowded keys of one template, with the classes of all pairs; numbers of four to six
+    digits, so that lengths differ too."""
+    from loglake.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "CROWD", 20)
+    r = random.Random(7)
+    short, long = "the serial of this part is ", "".join(r.choice("abcdefgh ") for _ in range(70))
+    numbers = [str(r.randint(1000, 1100)) for _ in range(15)] + [str(r.randint(10_000, 999_999)) for _ in range(30)]
+    lines = sorted({f"{short}{n} end of it" for n in numbers}) + sorted({f"{long}{n}{long}" for n in numbers})
+    got = line_dedup.line_classes(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)).collect()
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    of = list(range(len(lines)))
+    for i, x in enumerate(lines):
+        for j, y in enumerate(lines[:i]):
+            t = 2 if min(len(x), len(y)) >= 128 else 1
+            if abs(len(x) - len(y)) <= t and of[i] != of[j] and distance(x[20:60] if t == 1 else x[60:90], y[20:60] if t == 1 else y[60:90]) <= t and distance(x, y) <= t:
+                a, b = min(of[i], of[j]), max(of[i], of[j])
+                of = [a if k == b else k for k in of]
+    assert {x["doc_id"]: x["class_id"] for x in got} == dict(enumerate(of))
+    assert len(set(of)) < len(lines)
