@@ -14,7 +14,7 @@ from loglake.operators import analytics as W
 from loglake.operators import crosswalk, declarative, detect, enrich, framing, identity, normalize, query, sinks, stats
 from loglake.operators.features import features
 from loglake.operators.ordered import written
-from loglake.operators.extract import event_dim, extract, extract_generic_xml, join_event_dim
+from loglake.operators.extract import AZURE_CATEGORY, AZURE_OUTCOME, AZURE_VERBS, GCP_FAILED, GCP_METHODS, GCP_SEVERITY, WINDOWS_EVENTS, event_dim, extract, extract_generic_xml, join_event_dim
 from loglake.plans.ingest import ingest
 from loglake.plans.queries import BLANKS, CEF_SEV, IDS, LIN, MIX, MIX_FORMATS, SEC, _events, _flat, _sec, _telemetry, q
 from loglake.plans.streams import _finished, _folder, _sec_stream, _sliced_stream
@@ -24,6 +24,7 @@ from loglake.sources import readers
 from loglake.streaming import jobs
 
 TENANT = "tenant_beta"
+_CAT = "case when category in ('authentication', 'threat', 'policy') then category else 'network' end"
 
 # --- scans and sinks -----------------------------------------------------------------------
 
@@ -115,6 +116,17 @@ def k08_fan_out(spark, sf):
     return good.unionByName(dead.select("event_id", F.col("stage").alias("outcome"), "failed_sink"))
 
 
+@q(f"""with {LIN}, {IDS} select '1.2.0' as schema_version, tenant_id, event_id, line as raw_payload, 'cef' as raw_format, raw_hash, 'Acme' as vendor, 'Edge' as product, {_CAT} as category, outcome,
+    ({CEF_SEV})::double as severity_numeric, src_ip, src_port, '10.0.0.1' as dst_ip, 443 as dst_port, 'tcp' as protocol, bytes_in, 'user' || user_id as username, null as user_domain, null::double as anomaly_score, false as is_anomalous, 'cef' as parser_name,
+    strftime(ts, '%Y-%m-%d') as dt from uid""")
+def k02_lake_columns(spark, sf):
+    """The columns of the lake's flat table that lines of CEF have, written and read (K-02)."""
+    path = _folder(spark, "flat")
+    sinks.write_lake(_events(spark, sf), path)
+    cols = ["schema_version", "tenant_id", "event_id", "raw_payload", "raw_format", "raw_hash", "vendor", "product", "category", "outcome", "severity_numeric", "src_ip", "dst_ip", "protocol", "bytes_in", "username", "user_domain", "anomaly_score", "is_anomalous", "parser_name"]
+    return readers.read_lake(spark, path).select(*cols, F.col("src_port").cast("int").alias("src_port"), F.col("dst_port").cast("int").alias("dst_port"), F.col("dt").cast("string").alias("dt"))
+
+
 @q("select event_id as seq, event_type from events")
 def i08_rebuild(spark, sf):
     """The query table, written twice from the source: the second time replaces the first."""
@@ -196,6 +208,57 @@ def p10_windows_xml(spark, sf):
     return x.select("seq", f("windows_event_id").alias("event_id"), f("process_name").alias("process"), f("hostname").alias("hostname"), f("src_ip").alias("src_ip"))
 
 
+_IDS = [e[0] for e in WINDOWS_EVENTS] + [1, 99999]
+#: One event of the table after the other, and two that are not in it.
+WINDOWS = f"""select *, concat('<Event xmlns="http://x"><System><EventID>', cast(num as varchar(20)), '</EventID><Level>', cast(seq % 5 + 1 as varchar(20)), '</Level><Computer>pc', {_U}, '</Computer></System><EventData><Data Name="IpAddress">', src_ip, '</Data></EventData></Event>') as line
+    from (select *, case seq % {len(_IDS)} {" ".join(f"when {i} then {n}" for i, n in enumerate(_IDS))} end as num from ({SEC_EVENTS}) s) t"""
+_DIM = ", ".join("({}, '{}', {}, '{}')".format(e[0], e[1], e[2], e[3]) for e in WINDOWS_EVENTS)
+
+
+@q(f"""with w as ({WINDOWS}), d(num, category, severity, action) as (values {_DIM})
+    select seq, w.num::varchar as event_id, d.category, d.action, 'pc' || user_id as hostname, src_ip from w join d on d.num = w.num""")
+def p10_windows_events(spark, sf):
+    """All events of the table by their number: category and action (P-10)."""
+    x = extract(detect.detect_format(raw(spark, sf, WINDOWS)), 2026, ["xml_generic"])
+    f = lambda *ks: F.coalesce(*[F.try_element_at(F.col("extracted"), F.lit(k))["v"] for k in ks])
+    known = F.col("_n").isin([e[0] for e in WINDOWS_EVENTS])
+    x = x.withColumn("_n", f("windows_event_id").cast("int")).filter(known)
+    return x.select("seq", f("windows_event_id").alias("event_id"), f("category").alias("category"), f("action").alias("action"), f("hostname").alias("hostname"), f("src_ip").alias("src_ip"))
+
+
+_AZ = list(AZURE_CATEGORY.items())
+_RES = list(AZURE_OUTCOME.items())
+_VERBS = [*AZURE_VERBS, "restart"]
+_pick = lambda by, items: "case {} {} end".format(by, " ".join(f"when {i} then '{x}'" for i, x in enumerate(items)))
+AZURE = f"""select *, concat('{{"time":"2026-01-01T00:00:00.1234567Z","resourceId":"/subscriptions/s1/resourceGroups/g1/providers/p/t/n1","operationName":"vm/', verb, '","resultType":"', result, '","category":"', az, '","callerIpAddress":"', src_ip, ':55","correlationId":"c', {_N}, '"}}') as line
+    from (select *, {_pick(f"seq % {len(_AZ)}", [k for k, _ in _AZ])} as az, {_pick(f"user_id % {len(_RES)}", [k for k, _ in _RES])} as result, {_pick(f"(seq + user_id) % {len(_VERBS)}", _VERBS)} as verb from ({SEC_EVENTS}) s) t"""
+
+
+@q(f"""with a as ({AZURE}) select seq, 'azure_monitor' as format_id, case az {" ".join(f"when '{k}' then '{v}'" for k, v in _AZ)} end as category, case result {" ".join(f"when '{k}' then '{v}'" for k, v in _RES)} end as outcome,
+    (case when lower(result) in ('failed', 'failure') then 7 else case verb {" ".join(f"when '{k}' then {v}" for k, v in AZURE_VERBS.items())} else 4 end end)::varchar as severity, verb as action, 'Azure vm/' || verb || ' [' || result || ']' as message, 'c' || seq as correlation, src_ip from a""")
+def p08_azure_tables(spark, sf):
+    """All categories, results and verbs of the tables (P-08)."""
+    x = extract(detect.detect_format(raw(spark, sf, AZURE)), 2026, ["azure_monitor"])
+    f = lambda k: F.try_element_at(F.col("extracted"), F.lit(k))["v"]
+    return x.select("seq", "format_id", f("category").alias("category"), f("outcome").alias("outcome"), f("severity_numeric").alias("severity"), f("action").alias("action"), f("message").alias("message"), f("correlation_id").alias("correlation"), f("src_ip").alias("src_ip"))
+
+
+_METHODS = [*[(m + "thing.get", c) for m, c in GCP_METHODS.items()], ("x.login.do", "authentication"), ("other.get", "network")]
+_CODES = [0, 2, 4, *GCP_FAILED]
+_SEVS = list(GCP_SEVERITY.items())
+GCP = f"""select *, concat('{{"logName":"projects/p1/logs/a%2Factivity","severity":"', sv, '","insertId":"', {_N}, '","timestamp":"2026-01-01T00:00:00Z","protoPayload":{{"@type":"type.googleapis.com/google.cloud.audit.AuditLog","methodName":"', method, '","status":{{"code":', cast(code as varchar(20)), '}},"authenticationInfo":{{"principalEmail":"user', {_U}, '@x.org"}},"requestMetadata":{{"callerIp":"', src_ip, '"}}}}}}') as line
+    from (select *, {_pick(f"seq % {len(_METHODS)}", [k for k, _ in _METHODS])} as method, {_pick(f"user_id % {len(_SEVS)}", [k for k, _ in _SEVS])} as sv, case (seq + user_id) % {len(_CODES)} {" ".join(f"when {i} then {c}" for i, c in enumerate(_CODES))} end as code from ({SEC_EVENTS}) s) t"""
+
+
+@q(f"""with g as ({GCP}) select seq, method, case method {" ".join(f"when '{k}' then '{v}'" for k, v in _METHODS)} end as category, case when code = 0 then 'success' when code in ({", ".join(map(str, GCP_FAILED))}) then 'failure' else 'unknown' end as outcome,
+    case when method = 'x.login.do' then 'do' else 'get' end as action, code::varchar as status_code, 'user' || user_id || '@x.org' as username, src_ip from g""")
+def p09_gcp_tables(spark, sf):
+    """All method prefixes and failure codes of the tables (P-09)."""
+    x = extract(detect.detect_format(raw(spark, sf, GCP)), 2026, ["gcp_audit"])
+    f = lambda k: F.try_element_at(F.col("extracted"), F.lit(k))["v"]
+    return x.select("seq", f("method_name").alias("method"), f("category").alias("category"), f("outcome").alias("outcome"), f("action").alias("action"), f("status_code").alias("status_code"), f("username").alias("username"), f("src_ip").alias("src_ip"))
+
+
 @q(f"with {CLO} select seq, 'h' || user_id as host, seq::varchar as n from clo where user_id % 5 = 4")
 def p11_generic_xml(spark, sf):
     x = extract_generic_xml(raw(spark, sf, CLOUD).filter("line LIKE '<log>%'"))
@@ -437,7 +500,6 @@ def w10_saved_baseline(spark, sf):
     return m.select("src_ip", "sev_n", F.round("sev_mean", 6).alias("sev_mean"), F.round("sev_std", 6).alias("sev_std"))
 
 
-_CAT = "case when category in ('authentication', 'threat', 'policy') then category else 'network' end"
 _FEATURES = [
     "sin(2 * pi() * hour(ts) / 24)", "cos(2 * pi() * hour(ts) / 24)", "sin(2 * pi() * (isodow(ts) - 1) / 7)", "cos(2 * pi() * (isodow(ts) - 1) / 7)", f"({CEF_SEV}) / 10", "0",
     "least(1, log10(1 + bytes_in) / 9)", "0", "1", "0", "0", *[f"(outcome = '{o}')::int" for o in OUTCOMES], "(user_id % 6 = 1)::int", "(user_id % 6 in (2, 4))::int", *[f"({_CAT} = '{c}')::int" for c in CATEGORIES],
