@@ -3,7 +3,9 @@
 Counts per document are plain column expressions. Their distribution per (language,
 source) goes into KLL quantile sketches, which merge: small groups take the sketch of
 their language, small languages that of the corpus. A document fails where a ratio lies
-beyond the upper fence of its group.
+beyond the upper fence of its group. Most documents have nothing of what a ratio counts,
+so its spread alone says little: a second sketch holds what a few occurrences amount to in
+documents as long as the group's.
 """
 
 from __future__ import annotations
@@ -16,10 +18,19 @@ from loglake.llm.common import SPACES, materialize, words_of
 WINDOW = 8
 #: Groups with fewer documents take the thresholds of the level above.
 LEAST_GROUP = 200
-#: The fence is q75 + FENCE * (q75 - q50) + the slack of the ratio. Junk in less than a
-#: quarter of a group cannot lift it; on a normal distribution it is q90 + 4 * (q90 - q50).
+#: The fence is q75 + FENCE * (q75 - q50) + EVENTS * q75 of the step, all of the group itself;
+#: in a shorter document, whose own step is larger, EVENTS times that. Junk in less than a quarter of a group cannot lift it; on a normal distribution the first
+#: part is q90 + 4 * (q90 - q50).
 FENCE = 8.5
-RATIOS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.34, "repeat_ratio": 0.20, "word_length": 2.0}
+EVENTS = 2
+#: The step of a ratio: what the least occurrence adds to it in a document (one symbol, one
+#: line, two windows), for the mean length of words its error. Null where none can occur.
+STEPS = {
+    "symbol_ratio": "1 / n_words",
+    "dup_line_ratio": "if(n_lines > 1, 1 / n_lines, null)",
+    "repeat_ratio": f"if(n_words > {WINDOW}, {2 * WINDOW} / n_words, null)",
+    "word_length": "word_length / sqrt(n_words)",
+}
 
 
 def rule_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:
@@ -61,16 +72,19 @@ def rule_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 def _fences(sketched: DataFrame, keys: list[str], level: str) -> DataFrame:
     q = lambda r, p: F.kll_sketch_get_quantile_double(F.col(r), F.lit(p))
-    fence = lambda r: q(r, 0.75) + FENCE * (q(r, 0.75) - q(r, 0.5)) + F.lit(RATIOS[r])
-    ok = F.col("n") >= (LEAST_GROUP if keys else 0)
-    return sketched.filter(ok).select(*keys, *[fence(r).alias(f"{level}_{r}") for r in RATIOS])
+    step = lambda r: F.when(F.kll_sketch_get_n_double(f"{r}_step") > 0, q(f"{r}_step", 0.75))
+    spread = lambda r: q(r, 0.75) + FENCE * (q(r, 0.75) - q(r, 0.5))
+    fence = lambda r: F.when(step(r).isNotNull(), F.struct(spread(r).alias("spread"), step(r).alias("step")))
+    ok = F.col("n") >= (LEAST_GROUP if keys else 1)
+    return sketched.filter(ok).select(*keys, *[fence(r).alias(f"{level}_{r}") for r in STEPS])
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per document: id, the counts of ``rule_counts``, base_failed, kept.
 
     base_failed: under 20 words, or over 30 % of words in repeated windows. kept is false
-    if base_failed or if a ratio is beyond its group's fence. Null text: no words, so it
+    if base_failed or if a ratio is beyond its group's fence; a ratio for which neither the
+    group nor any above it has a step (say, only texts of one line) fails nobody. Null text: no words, so it
     fails. Null language or source: a group of its own. Empty tables give no rows. Other
     columns are not read; their names may clash.
     """
@@ -86,12 +100,17 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
     )
     c = materialize(c, "rule-counts")
-    fine = c.filter(~F.col("base_failed")).groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(r).alias(r) for r in RATIOS])
+    learned = [*STEPS, *[f"{r}_step" for r in STEPS]]
+    c = c.select("*", *[F.when(F.col("n_words") > 0, F.expr(e)).cast("double").alias(f"{r}_step") for r, e in STEPS.items()])
+    fine = c.filter(~F.col("base_failed")).groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(r).alias(r) for r in learned])
     fine = materialize(fine, "rule-sketches")
-    up = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(r).alias(r) for r in RATIOS]]
+    up = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(r).alias(r) for r in learned]]
     by_lang, corpus = fine.groupBy("g_lang").agg(*up), _fences(fine.agg(*up), [], "c").first()
     j = c.join(_fences(fine, ["g_lang", "g_source"], "s"), ["g_lang", "g_source"], "left").join(_fences(by_lang, ["g_lang"], "l"), ["g_lang"], "left")
     beyond = F.lit(False)
-    for r in RATIOS:
-        beyond = beyond | F.coalesce(F.col(r) > F.coalesce(f"s_{r}", f"l_{r}", F.lit(corpus and corpus[f"c_{r}"])), F.lit(False))
+    for r in STEPS:
+        known = corpus and corpus[f"c_{r}"]
+        top = F.struct(F.lit(known and known.spread).cast("double").alias("spread"), F.lit(known and known.step).cast("double").alias("step"))
+        fence = F.coalesce(f"s_{r}", f"l_{r}", top)
+        beyond = beyond | F.coalesce(F.col(r) > fence["spread"] + EVENTS * F.greatest(fence["step"], F.col(f"{r}_step")), F.lit(False))
     return j.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~beyond).alias("kept"))

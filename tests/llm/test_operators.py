@@ -112,6 +112,51 @@ def test_quality_fence_is_not_lifted_by_junk(spark, junk):
     assert {i for i, r in got.items() if not r["kept"]} == {i + d for i in range(junk) for d in (0, 1000)}
 
 
+def test_quality_verdicts_equal_exact_quantiles(spark, monkeypatch):
+    """Fences by brute force: a source of its own, one that takes its language's, a language
+    that takes the corpus's, and texts of one line, which no rule of lines can fail."""
+    monkeypatch.setattr(quality_rules, "LEAST_GROUP", 40)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(140):
+        lang, source = ("en", "a") if i < 60 else ("en", "b") if i < 85 else ("de", "c") if i < 110 else ("fr", "one line")
+        words = ["".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 7)))) + str(k) for k in range(int(rng.integers(150, 300)))]
+        if i % 7 == 0:
+            words = [w + "#" * (i % 3) for w in words]
+        if i % 9 == 0:
+            words += words[: 9 * (1 + i % 4)]
+        if i % 11 == 0:
+            words = [w * 3 for w in words]
+        lines = [" ".join(words[k : k + 6]) for k in range(0, len(words), 6)]
+        rows.append((i, (" " if source == "one line" else "\n").join(x for line in lines for x in [line, "foot"][: 1 + (i % 13 == 3)]), lang, source))
+    got = by_id(quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)))
+
+    def values(i, text):
+        r, n, lines = got[i], len(text.split()), len(text.split("\n"))
+        ratios = [r["n_symbols"] / n, r["n_dup_lines"] / lines, r["n_repeat_words"] / n, r["word_chars"] / n]
+        return ratios, [1 / n, 1 / lines if lines > 1 else None, 16 / n, ratios[3] / math.sqrt(n)]
+
+    known = {i: (values(i, t), lang, source) for i, t, lang, source in rows if not got[i]["base_failed"]}
+    quantile = lambda v, p: sorted(v)[math.ceil(p * len(v)) - 1]
+
+    def fence(k, *group):
+        v = [x for x, *g in known.values() if tuple(g[: len(group)]) == group]
+        steps = [s[k] for _, s in v if s[k] is not None]
+        if len(v) < (40 if group else 1) or not steps:
+            return None
+        q = [x[k] for x, _ in v]
+        return quantile(q, 0.75) + 8.5 * (quantile(q, 0.75) - quantile(q, 0.5)), quantile(steps, 0.75)
+
+    failed = [0] * 4
+    for i, ((ratios, own), lang, source) in known.items():
+        fences = [next(f for g in ((lang, source), (lang,), ()) if (f := fence(k, *g)) is not None) for k in range(4)]
+        fences = [spread + 2 * max(step, mine or 0) for (spread, step), mine in zip(fences, own)]
+        over = [x > f for x, f in zip(ratios, fences)]
+        failed = [a + b for a, b in zip(failed, over)]
+        assert got[i]["kept"] == (not any(over)), (i, ratios, fences)
+    assert all(failed) and len(known) > 100
+
+
 def test_language_id(docs):
     got = by_id(language_id.language_id(docs))
     assert len(got) == len(TEXTS) + 1
