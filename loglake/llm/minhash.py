@@ -5,9 +5,9 @@ Documents with one shingle set form a class, and only its smallest id goes on. A
 bucket never emits its pairs: first its members are tested against centers of their
 buckets, the closest ones only; once these links are verified and joined into
 components, only the members outside a bucket's largest component are compared with its
-other members. Before texts are moved, a pair must pass two sketches: two bits of every
-minimum, and a bit array that every shingle flips, in which two sets differ in no more
-bits than they differ in shingles.
+other members. Before texts are moved, a pair must pass a sketch that loses no link: a bit
+array that every shingle flips, in which two sets differ in no more bits than they differ
+in shingles.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 from dataclasses import dataclass
-from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +39,6 @@ class Shape:
     bands: int = 44
     rows: int = 6
 
-    def most_different(self) -> int:
-        """Sketch symbols in which a pair at the threshold may differ: mean + 4.5 sigma."""
-        n, p = self.bands * self.rows, (1 - self.percent / 100) * 0.75
-        return int(n * p + 4.5 * sqrt(n * p * (1 - p)))
-
 
 CONTRACT = Shape(3, 85, 36, 7)
 _U = np.uint64
@@ -52,6 +46,8 @@ _U = np.uint64
 ODD = 1024
 #: Centers that a member is compared with by sketch, and those it is verified against.
 CENTERS, CLOSEST = 8, 3
+#: Of a mixed bucket, so many members outside its largest component meet the others in a task.
+BLOCK = 1024
 
 
 class _Words(dict):
@@ -101,13 +97,7 @@ class Shingler:
         h = (h ^ (h >> _U(31))) * _U(0x94D049BB133111EB)
         return (h ^ (h >> _U(29))).view(np.int64)
 
-    def sketch(self, m: np.ndarray) -> np.ndarray:
-        mixed = (m * np.uint32(0x9E3779B1)) >> np.uint32(30)
-        two = np.zeros(-(-len(m) // 32) * 32, np.uint64)
-        two[: len(m)] = mixed
-        return np.bitwise_or.reduce(two.reshape(-1, 32) << np.arange(0, 64, 2, dtype=np.uint64), axis=1).view(np.int64)
-
-    def odd(self, s: np.ndarray) -> np.ndarray:
+    def sketch(self, s: np.ndarray) -> np.ndarray:
         bits = (np.bincount((s & _U(ODD - 1)).astype(np.int64), minlength=ODD) & 1).astype(np.uint8)
         return np.packbits(bits).view(np.int64)
 
@@ -123,9 +113,8 @@ def _prepare(shape: Shape):
                     x = s.shingles(t.as_py())
                     n.append(len(x))
                     key.append(hashlib.blake2b(x.tobytes(), digest_size=12).hexdigest() if len(x) else None)
-                    m = s.minima(x) if len(x) else None
-                    bands.append(s.keys(m) if len(x) else None)
-                    sketch.append(np.concatenate([s.sketch(m), s.odd(x)]) if len(x) else None)
+                    bands.append(s.keys(s.minima(x)) if len(x) else None)
+                    sketch.append(s.sketch(x) if len(x) else None)
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.string()), pa.array(bands, longs), pa.array(sketch, longs)], names=["id", "n", "k", "bands", "sketch"])
 
@@ -160,18 +149,15 @@ def _verify(shape: Shape):
     return run
 
 
-def _apart(x: str, y: str, shape: Shape) -> str:
+def _apart(x: str, y: str) -> str:
     """SQL: bits in which the flipped arrays of two sets differ; at most |x - y| + |y - x|."""
-    first = -(-shape.bands * shape.rows // 32)
-    return "(" + " + ".join(f"bit_count({x}.sketch[{i}] ^ {y}.sketch[{i}])" for i in range(first, first + ODD // 64)) + ")"
+    return "(" + " + ".join(f"bit_count({x}.sketch[{i}] ^ {y}.sketch[{i}])" for i in range(ODD // 64)) + ")"
 
 
 def _close(x: str, y: str, shape: Shape) -> str:
-    """SQL condition: sizes and sketches of ``x`` and ``y`` allow the threshold."""
-    words = -(-shape.bands * shape.rows // 32)
-    diff = " + ".join(f"bit_count((({x}.sketch[{i}] ^ {y}.sketch[{i}]) | shiftrightunsigned({x}.sketch[{i}] ^ {y}.sketch[{i}], 1)) & 6148914691236517205L)" for i in range(words))
+    """SQL condition, true for every pair at the threshold: sizes and sketches allow it."""
     sizes = f"100 * least({x}.n, {y}.n) >= {shape.percent} * greatest({x}.n, {y}.n)"
-    return f"{sizes} AND {_apart(x, y, shape)} * {100 + shape.percent} <= ({x}.n + {y}.n) * {100 - shape.percent} AND {diff} <= {shape.most_different()}"
+    return f"{sizes} AND {_apart(x, y)} * {100 + shape.percent} <= ({x}.n + {y}.n) * {100 - shape.percent}"
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shape: Shape) -> DataFrame:
@@ -210,7 +196,7 @@ def near_dedup(df: DataFrame, shape: Shape = Shape(), id_col: str = "doc_id", te
     star = members.select("id", F.explode(F.array("c1", "c2")).alias("c")).filter("id <> c").groupBy("id", "c").count()
     star = star.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("count"), "c"))).filter(F.col("r") <= CENTERS)
     star = star.join(light.select("id", F.struct("n", "sketch").alias("x")), "id").join(light.select(F.col("id").alias("c"), F.struct("n", "sketch").alias("y")), "c")
-    star = star.filter(_close("x", "y", shape)).select("id", "c", F.expr(_apart("x", "y", shape)).alias("d"))
+    star = star.filter(_close("x", "y", shape)).select("id", "c", F.expr(_apart("x", "y")).alias("d"))
     star = star.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "c"))).filter(F.col("r") <= CLOSEST)
     tested = materialize(star.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct(), "star")
     links = verified(tested, texts, shape)
@@ -222,11 +208,12 @@ def near_dedup(df: DataFrame, shape: Shape = Shape(), id_col: str = "doc_id", te
     per = m.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size")).filter("parts > 1")
     m = join_hot(m, mixed, "key", "size", total * shape.bands).join(reps.select("id", "n", "sketch", "bands"), "id")
-    m = materialize(m.select("key", "id", "n", "sketch", "bands", "component", "main"), "mixed")
-    rest, x, y = m.filter("component <> main"), "x", "y"
+    m = materialize(m.select("key", "id", "n", "sketch", "bands", "component", "main", F.expr(f"1 + size div {BLOCK}").alias("blocks")), "mixed")
+    rest, x, y = m.filter("component <> main").withColumn("block", F.expr("pmod(xxhash64(id), blocks)")), "x", "y"
+    m = m.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
     once = "(y.component = y.main OR x.id < y.id)"  # two outsiders meet once
     first = "element_at(filter(zip_with(x.bands, y.bands, (p, q) -> if(p = q, p, null)), p -> p is not null), 1) = x.key"  # in the first band they share
-    cross = rest.alias(x).join(m.alias(y), F.expr(f"x.key = y.key AND x.component <> y.component AND {once} AND {_close(x, y, shape)} AND {first}"))
+    cross = rest.alias(x).join(m.alias(y), F.expr(f"x.key = y.key AND x.block = y.block AND x.component <> y.component AND {once} AND {_close(x, y, shape)} AND {first}"))
     cross = cross.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
     cross = materialize(cross.join(tested, ["a", "b"], "left_anti"), "cross")
     more = verified(cross, texts, shape)
