@@ -25,7 +25,7 @@ MAX_SEGMENTS = 64
 BATCH = 2048
 END = 1
 
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def dot_product_pack(tokens, loss, max_tokens=MAX_TOKENS, max_segments=MAX_SEGMENTS, max_loss=None, cut=True) -> list[list[tuple[int, int, int]]]:
@@ -146,46 +146,63 @@ def _pack(json_path: str, ranks_path: str, pattern: str):
     def run(batches):
         tokens = Tokens(json_path, ranks_path, pattern)
 
+        kind = pa.int64()
+
         def rows():
+            nonlocal kind
             for b in batches:
+                kind = b.schema.field(0).type
                 for doc, text in zip(b.column(0), b.column(1)):
                     yield doc.as_py(), tokens(text.as_py())
 
-        schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECE.split(", ")])
-        out = []
+        def batch():
+            ids, *numbers = zip(*out)
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), *[pa.array(c, pa.int64()) for c in numbers]], names=names)
+
+        names, out = ["doc_id", *[c.split()[0] for c in PIECE.split(", ")]], []
         for p in pack_partition(rows(), TaskContext.get().partitionId() << 32):
             out.append(p)
             if len(out) == 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+                yield batch()
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+            yield batch()
 
     return run
 
 
+def _id(df: DataFrame, id_col: str):
+    """The id: numbers as longs, all else of its own type."""
+    c = F.col(id_col)
+    kind = dict(df.select(c.alias("id")).dtypes)["id"]
+    return (c.cast("long"), "long") if kind in ("tinyint", "smallint", "int", "bigint") else (c, kind)
+
+
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its token ids and then the end id, all but the first loss-bearing. Null and
-    empty texts are the end id alone. A null id is kept as null; repeated rows are packed
-    once each. An empty table gives no pieces. Other columns are not read.
+    empty texts are the end id alone. Ids of any type; a null id is kept as null; repeated rows are
+    packed once each. An empty table gives no pieces. Other columns are not read.
 
     A sequence id is the partition's number in the upper bits and a count in the lower
     ones, so that a task that runs again gives the same ids.
     """
     import public_tokenizers as P
 
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(_pack(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN), PIECE)
+    doc_id, kind = _id(df, id_col)
+    docs = df.select(doc_id.alias("doc_id"), F.col(text_col).alias("text"))
+    return docs.mapInArrow(_pack(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN), f"doc_id {kind}, {PIECE}")
 
 
 def pack_examples(df: DataFrame, id_col: str, tokens_col: str, loss_col: str, max_tokens: int = MAX_TOKENS, max_segments: int = 64, max_loss: int | None = None) -> DataFrame:
     """Instruction data with given sizes, packed whole under all three limits.
 
-    Returns id, sequence_id, position. A null size counts as 0; examples without tokens
-    are left out; one that exceeds an empty sequence raises ValueError.
+    Returns id, sequence_id, position. Ids of any type, null too; repeated rows are packed once
+    each. A null size counts as 0; examples without tokens are left out; one that exceeds an
+    empty sequence raises ValueError. An empty table gives no rows; other columns are not read.
     """
+    example, kind = _id(df, id_col)
 
     def run(batches):
         seq = TaskContext.get().partitionId() << 32
@@ -198,8 +215,9 @@ def pack_examples(df: DataFrame, id_col: str, tokens_col: str, loss_col: str, ma
                     out += [(ids[k], seq, i) for i, (k, _, _) in enumerate(bin_)]
                     seq += 1
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["id", "sequence_id", "position"])
+                    names, at_seq, position = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(names, b.schema.field(0).type), pa.array(at_seq, pa.int64()), pa.array(position, pa.int64())], names=["id", "sequence_id", "position"])
 
     size = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), size(tokens_col).alias("t"), size(loss_col).alias("l"))
-    return rows.mapInArrow(run, "id long, sequence_id long, position long").withColumnRenamed("id", id_col)
+    rows = df.select(example.alias("id"), size(tokens_col).alias("t"), size(loss_col).alias("l"))
+    return rows.mapInArrow(run, f"id {kind}, sequence_id long, position long").withColumnRenamed("id", id_col)

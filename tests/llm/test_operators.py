@@ -218,6 +218,28 @@ def test_vector_packing_respects_all_limits(spark):
         packing.dot_product_pack([600], [1], 512, cut=False)
 
 
+def test_packing_with_text_ids(spark):
+    rows = [(f"d{i}", "some words " * (i % 40), i % 60, i % 7) for i in range(120)] + [(None, None, 3, 1)]
+    d = spark.createDataFrame(rows, "doc_id string, text string, t int, l int")
+    ends = collections.Counter()
+    for r in packing.pack(d).collect():
+        ends[r["doc_id"]] += r["length"] / r["doc_tokens"]
+    assert set(ends) == {r[0] for r in rows} and all(abs(v - 1) < 1e-9 for v in ends.values())
+    got = packing.pack_examples(d, "doc_id", "t", "l", max_tokens=128, max_loss=20).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows if r[2])
+
+
+def test_near_dedup_of_unlinked_crowds(spark, monkeypatch):
+    """Texts with a long common part, too different to be linked, but for some pairs; crowds
+    meet in blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    common = " ".join(f"shared{i}" for i in range(120))
+    own = lambda i, n: " ".join(f"own{i}x{k}" for k in range(n))
+    texts = [f"{common} {own(i // 2 if i < 20 else i, 40 if i < 20 else 34)} tail{i}" for i in range(90)]
+    got = by_id(minhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), minhash.CONTRACT))
+    assert [got[i]["component_id"] for i in range(90)] == [i - i % 2 if i < 20 else i for i in range(90)]
+
+
 def test_bpe(docs):
     import tiktoken
 
