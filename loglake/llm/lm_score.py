@@ -41,7 +41,7 @@ from loglake.llm.common import fold, materialize, shared_path
 #: Weight of the shorter context, as a count: for pairs, for triples.
 WEIGHTS = (300.0, 3.0)
 #: Tokens of a chunk, and tokens for each shard.
-CHUNK, SHARD = 2_000_000, 1_000_000
+CHUNK, SHARD = 2_000_000, 2_000_000
 #: A context's successors are dealt to shards in blocks of this many word numbers (a power of 2).
 BLOCK_BITS = 8
 #: Quantised probabilities: code q stands for 2 ** (-q / STEPS).
@@ -106,19 +106,40 @@ _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 _PLACE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint8)
 
 
+def bits_packed(values: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers below 2 ** bits, bit by bit in 64-bit words."""
+    at = np.arange(len(values)) * bits
+    w, shift = at >> 6, (at & 63).astype(np.uint64)
+    out = np.zeros((len(values) * bits >> 6) + 2, np.uint64)
+    if len(values):
+        start = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        out[w[start]] = np.bitwise_or.reduceat(values << shift, start)
+        over = np.flatnonzero((at & 63) + bits > 64)  # at most one number runs over the end of a word
+        out[w[over] + 1] |= values[over] >> (_U(64) - shift[over])
+    return out
+
+
+def bits_at(words: np.ndarray, bits: int, i: np.ndarray) -> np.ndarray:
+    """The numbers at places ``i`` of packed bits."""
+    at = i * bits
+    w, shift = at >> 6, (at & 63).astype(np.uint64)
+    return ((words[w] >> shift) | ((words[w + 1] << _U(1)) << (_U(63) - shift))) & _U((1 << bits) - 1)
+
+
 class EliasFano:
-    """A sequence of ascending numbers: low bits in the next whole type, high bits in
-    unary, with the counts of ones and of zeros before every 64-bit word for selection."""
+    """A sequence of ascending numbers: low bits packed, high bits in unary, with the count
+    of ones before every 64-bit word for selection."""
 
     def __init__(self, arrays: dict[str, np.ndarray], name: str):
         self.n, self.low_bits = (int(x) for x in arrays[f"{name}.shape"])
-        self.low, self.high, self.ones, self.zeros = (arrays[f"{name}.{k}"] for k in ("low", "high", "ones", "zeros"))
+        self.low, self.high, ones = (arrays[f"{name}.{k}"] for k in ("low", "high", "ones"))
+        self.ones = ones.astype(np.int64)
+        self.zeros = np.arange(len(ones)) * 64 - self.ones
 
     @staticmethod
     def build(values: np.ndarray, universe: int, name: str) -> dict[str, np.ndarray]:
         n = len(values)
         low_bits = min(63, max(1, (universe // max(1, n)).bit_length() - 1))
-        kind = next(k for b, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if low_bits <= b)
         high = (values >> _U(low_bits)).astype(np.int64)
         size = n + (universe >> low_bits) + 2
         bits = np.zeros(-(-size // 64) * 64, np.uint8)
@@ -127,10 +148,9 @@ class EliasFano:
         ones = np.r_[0, np.cumsum(bits.reshape(-1, 64).sum(axis=1, dtype=np.int64))[:-1]]
         return {
             f"{name}.shape": np.array([n, low_bits], np.int64),
-            f"{name}.low": (values & _U((1 << low_bits) - 1)).astype(kind),
+            f"{name}.low": bits_packed(values & _U((1 << low_bits) - 1), low_bits),
             f"{name}.high": words,
             f"{name}.ones": ones.astype(np.uint32),
-            f"{name}.zeros": (np.arange(len(words)) * 64 - ones).astype(np.uint32),
         }
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
@@ -151,7 +171,7 @@ class EliasFano:
 
     def access(self, i: np.ndarray) -> np.ndarray:
         high = self._select(i, True) - i
-        return (high.astype(np.uint64) << _U(self.low_bits)) | self.low[i].astype(np.uint64)
+        return (high.astype(np.uint64) << _U(self.low_bits)) | bits_at(self.low, self.low_bits, i)
 
     def find(self, x: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
         """The index of each ``x`` (-1: absent), looked for within [first, last) if given."""
@@ -160,7 +180,7 @@ class EliasFano:
             return out
         high = (x >> _U(self.low_bits)).astype(np.int64)
         ok = np.flatnonzero(high < len(self.high) * 64 - self.n)  # as many zeros as there are
-        high, low = high[ok], (x[ok] & _U((1 << self.low_bits) - 1)).astype(self.low.dtype)
+        high, low = high[ok], x[ok] & _U((1 << self.low_bits) - 1)
         end = self._select(high, False) - high
         start = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - np.maximum(high - 1, 0), 0)
         if first is not None:
@@ -168,12 +188,12 @@ class EliasFano:
         stop = end
         while (open_ := np.flatnonzero(start < end)).size:  # the successor of each low part in its bucket
             middle = (start[open_] + end[open_]) >> 1
-            less = self.low[middle] < low[open_]
+            less = bits_at(self.low, self.low_bits, middle) < low[open_]
             start[open_[less]] = middle[less] + 1
             end = end.copy() if end is stop else end
             end[open_[~less]] = middle[~less]
         hit = np.flatnonzero(start < stop)
-        hit = hit[self.low[start[hit]] == low[hit]]
+        hit = hit[bits_at(self.low, self.low_bits, start[hit]) == low[hit]]
         out[ok[hit]] = start[hit]
         return out
 
@@ -273,7 +293,7 @@ def _chunks(batches) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndar
 
 
 def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     return keys[start], np.add.reduceat(counts, start) if len(keys) else counts
@@ -420,32 +440,69 @@ def _level(model: Model, order: int, build: bool):
 # --- chunks --------------------------------------------------------------------------------
 
 
-def _send(chunk: str, context, total, word, n, shards: int) -> tuple[np.ndarray, list[tuple]]:
-    """The distinct (context, word) pairs of a chunk for the shards; which one each token is."""
-    bits = _U(max(1, int(word.max(initial=0)).bit_length()))
-    if int(context.max(initial=0)).bit_length() + int(bits) <= 64:
-        places = None
-        key = (context << bits) | word
-    else:
-        places, dense = np.unique(context, return_inverse=True)
-        key = (dense.astype(np.uint64) << bits) | word
-    keys, first, which = np.unique(key, return_index=True, return_inverse=True)
-    count = np.bincount(which, weights=n, minlength=len(keys)).astype(np.uint32)
-    c, w, t = context[first], word[first], total[first]
-    shard = (_mix(c, w) % _U(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    c, w, t, count = c[order], w[order], t[order], count[order]
-    rows = []
-    for s in range(shards):
-        own = slice(cuts[s], cuts[s + 1])
-        if cuts[s] < cuts[s + 1]:
-            start = np.flatnonzero(np.r_[True, c[own][1:] != c[own][:-1]])
-            runs = np.diff(np.r_[start, cuts[s + 1] - cuts[s]]).astype(np.uint32)
-            rows.append((s, chunk, pack({"context": c[own][start], "total": t[own][start], "runs": runs, "word": w[own], "n": count[own]}), 0, 0))
-    back = np.empty(len(order), np.int32)
-    back[order] = np.arange(len(order), dtype=np.int32)
-    return back[which], rows
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the distinct keys in ascending order a place of each, and which one each key is."""
+    order = np.argsort(key)
+    rising = key[order]
+    new = np.r_[True, rising[1:] != rising[:-1]][: len(key)]
+    which = np.empty(len(key), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+class Asked:
+    """What a chunk asks of a level: its distinct (context, word) pairs by shard, and which
+    of them each token is (-1: none). It follows from the chunk and from earlier answers, so
+    it is computed again where it is needed and takes no room in the shared folder.
+
+    ok: the tokens that ask; context and word: theirs.
+    """
+
+    def __init__(self, tokens: int, ok: np.ndarray, context: np.ndarray, word: np.ndarray, shards: int):
+        bits = _U(max(1, int(word.max(initial=0)).bit_length()))
+        dense = context
+        if int(context.max(initial=0)).bit_length() + int(bits) > 64:
+            dense = np.unique(context, return_inverse=True)[1].astype(np.uint64)
+        first, which = _distinct((dense << bits) | word)
+        shard = (_mix(context[first], word[first]) % _U(shards)).astype(np.min_scalar_type(shards))
+        order = np.argsort(shard, kind="stable")
+        self.cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        self.ok, self.at, self.context, self.word = ok, ok[first[order]], context[first[order]], word[first[order]]
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
+        self.index = np.full(tokens, -1, np.int32)
+        self.index[ok] = back[which]
+
+    def rows(self, chunk: str, total: np.ndarray, n: np.ndarray) -> Iterator[tuple]:
+        """The rows for the shards. total: each token's count of its context; n: what it counts."""
+        count = np.bincount(self.index[self.ok], weights=n[self.ok], minlength=len(self.at)).astype(np.uint32)
+        total = total[self.at]
+        for s, (a, z) in enumerate(zip(self.cuts, self.cuts[1:])):
+            if a < z:
+                c = self.context[a:z]
+                start = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+                runs = np.diff(np.r_[start, z - a]).astype(np.uint32)
+                yield s, chunk, pack({"context": c[start], "total": total[a:z][start], "runs": runs, "word": self.word[a:z], "n": count[a:z]}), 0, 0
+
+
+def _before(text: dict) -> np.ndarray:
+    """The word before each token; before the first one of a text is an end."""
+    out = np.r_[np.searchsorted(text["kinds"], _U(END)), text["which"][:-1]]
+    out[np.cumsum(text["sizes"]) - text["sizes"]] = np.searchsorted(text["kinds"], _U(END))
+    return out
+
+
+def _pairs_asked(text: dict, words: dict, shards: int) -> Asked:
+    which, before = text["which"], _before(text)
+    ok = np.flatnonzero((words["count"][which] > 0) & (words["count"][before] > 0))
+    return Asked(len(which), ok, words["number"][before[ok]], words["number"][which[ok]], shards)
+
+
+def _triples_asked(text: dict, words: dict, pair: np.ndarray, number: np.ndarray, total: np.ndarray, shards: int) -> Asked:
+    """``total``: how often the pair before each token was seen; ``number``: of the pairs."""
+    which = text["which"]
+    ok = np.flatnonzero((total > 0) & (words["count"][which] > 0))
+    return Asked(len(which), ok, number[pair[ok - 1]], words["number"][which[ok]], shards)
 
 
 def _joined(rows: list[tuple], key: str) -> np.ndarray:
@@ -458,7 +515,7 @@ def _answers(rows: list[tuple]) -> list[dict]:
 
 
 class Chunk:
-    """One chunk's files in the shared folder: what it has sent and been told."""
+    """One chunk's files in the shared folder: its tokens and what it has been told."""
 
     def __init__(self, uri: str, name: str):
         self.at = f"{uri}/chunk-{name}"
@@ -503,18 +560,10 @@ def _send_pairs(model: Model):
     def run(batches):
         for name, rows in _groups(batches, 1):
             chunk, got = Chunk(model.uri, name), _answers(rows)
-            text = chunk.load("text")
-            number, count = _joined(got, "number"), _joined(got, "count")
-            chunk.save("words", number=number, count=count)
-            which, first = text["which"], np.cumsum(text["sizes"]) - text["sizes"]
-            end = int(np.searchsorted(text["kinds"], _U(END)))
-            before = np.r_[end, which[:-1]]
-            before[first] = end
-            ok = np.flatnonzero((count[which] > 0) & (count[before] > 0))
-            pair = np.full(len(which), -1, np.int32)
-            train = np.repeat(text["train"], text["sizes"])
-            pair[ok], out = _send(name, number[before[ok]], count[before[ok]], number[which[ok]], train[ok], model.shards)
-            chunk.save("pairs", pair=pair)
+            text, words = chunk.load("text"), {k: _joined(got, k) for k in ("number", "count")}
+            chunk.save("words", **words)
+            asked = _pairs_asked(text, words, model.shards)
+            out = asked.rows(name, words["count"][_before(text)], np.repeat(text["train"], text["sizes"]))
             yield from (_rows([r]) for r in out)
 
     return run
@@ -522,12 +571,8 @@ def _send_pairs(model: Model):
 
 def _pair_counts(text, words, pair, code) -> np.ndarray:
     """How often the pair of each token was seen in training, from the level's code."""
-    which, first = text["which"], np.cumsum(text["sizes"]) - text["sizes"]
-    end = int(np.searchsorted(text["kinds"], _U(END)))
-    before = np.r_[end, which[:-1]]
-    before[first] = end
     q = np.where(pair >= 0, code[np.maximum(pair, 0)] if len(code) else ABSENT, ABSENT)
-    n = 2.0 ** (-q.astype(np.float64) / STEPS) * (words["count"][before] + WEIGHTS[0])
+    n = 2.0 ** (-q.astype(np.float64) / STEPS) * (words["count"][_before(text)] + WEIGHTS[0])
     return np.where(q < ABSENT, np.maximum(1, np.rint(n)), 0).astype(np.uint64)
 
 
@@ -542,18 +587,13 @@ def _send_triples(model: Model):
     def run(batches):
         for name, rows in _groups(batches, 1):
             chunk, got = Chunk(model.uri, name), _answers(rows)
-            text, words, pair = chunk.load("text"), chunk.load("words"), chunk.load("pairs")["pair"]
-            number, code = _joined(got, "number"), _joined(got, "code")
-            chunk.save("codes", code=code)
+            text, words, code = chunk.load("text"), chunk.load("words"), _joined(got, "code")
+            # shard by shard, as numbers ascend there and so take little room
+            chunk.save("pairs", code=code, **{f"number{i}": a["number"] for i, a in enumerate(got)})
+            pair = _pairs_asked(text, words, model.shards).index
             total = _context_counts(text, _pair_counts(text, words, pair, code))
-            before = np.r_[np.int32(-1), pair[:-1]]
-            ok = np.flatnonzero((total > 0) & (words["count"][text["which"]] > 0))
-            triple = np.full(len(pair), -1, np.int32)
-            train = np.repeat(text["train"], text["sizes"])
-            if len(ok):
-                triple[ok], out = _send(name, number[before[ok]], total[ok], words["number"][text["which"][ok]], train[ok], model.shards)
-                yield from (_rows([r]) for r in out)
-            chunk.save("triples", triple=triple)
+            asked = _triples_asked(text, words, pair, _joined(got, "number"), total, model.shards)
+            yield from (_rows([r]) for r in asked.rows(name, total, np.repeat(text["train"], text["sizes"])))
 
     return run
 
@@ -566,17 +606,16 @@ def _kept(index: np.ndarray, code: np.ndarray) -> np.ndarray:
 def _score(model: Model):
     def run(batches):
         for name, rows in _groups(batches, 1):
-            chunk, got = Chunk(model.uri, name), _answers(rows)
-            text, words, pair, code = chunk.load("text"), chunk.load("words"), chunk.load("pairs")["pair"], chunk.load("codes")["code"]
-            triple, code3 = chunk.load("triples")["triple"], _joined(got, "code")
+            chunk, code3 = Chunk(model.uri, name), _joined(_answers(rows), "code")
+            text, words, pairs = chunk.load("text"), chunk.load("words"), chunk.load("pairs")
+            code, number = pairs.pop("code"), np.concatenate([np.zeros(0, np.uint64), *pairs.values()])
             which, sizes = text["which"], text["sizes"]
+            pair = _pairs_asked(text, words, model.shards).index
+            total = _context_counts(text, _pair_counts(text, words, pair, code))
+            triple = _triples_asked(text, words, pair, number, total, model.shards).index
             single = ((words["count"] + 1) / (model.tokens + model.vocabulary + 1))[which]
             first = np.cumsum(sizes) - sizes
-            end = int(np.searchsorted(text["kinds"], _U(END)))
-            before = np.r_[end, which[:-1]]
-            before[first] = end
-            p = _kept(pair, code) + WEIGHTS[0] / (words["count"][before] + WEIGHTS[0]) * single
-            total = _context_counts(text, _pair_counts(text, words, pair, code))
+            p = _kept(pair, code) + WEIGHTS[0] / (words["count"][_before(text)] + WEIGHTS[0]) * single
             p = _kept(triple, code3) + WEIGHTS[1] / (total + WEIGHTS[1]) * p
             sums = lambda x: np.add.reduceat(x, first)
             with pa.ipc.open_stream(_read(f"{chunk.at}-ids")) as f:
