@@ -101,9 +101,20 @@ def _exists(uri: str) -> bool:
 # --- Elias-Fano ----------------------------------------------------------------------------
 
 
-#: Ones in a byte, and the place of its k-th one, from the lowest bit.
-_ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
-_PLACE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint8)
+#: The place of the k-th one in a byte, from the lowest bit, at 8 * byte + k.
+_PLACE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint64).ravel()
+#: A one in every byte, and the highest bit of every byte.
+_EACH, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
+
+
+def _in_word(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of the k-th one (from 0) of each 64-bit word."""
+    s = x - ((x >> _U(1)) & _U(0x5555555555555555))
+    s = (s & _U(0x3333333333333333)) + ((s >> _U(2)) & _U(0x3333333333333333))
+    s = ((s + (s >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _EACH  # ones up to each byte
+    at = ((((((k * _EACH) | _TOPS) - s) & _TOPS) >> _U(7)) * _EACH >> _U(56)) << _U(3)  # bits of the bytes before
+    inner = k - (((s << _U(8)) >> at) & _U(255))
+    return at + _PLACE[((((x >> at) & _U(255)) << _U(3)) + inner).astype(np.int64)]
 
 
 def bits_packed(values: np.ndarray, bits: int) -> np.ndarray:
@@ -160,13 +171,8 @@ class EliasFano:
         for at in range(0, len(k), 1 << 16):
             q = k[at : at + (1 << 16)]
             w = np.searchsorted(before, q, "right") - 1
-            by_byte = (self.high[w] if one else ~self.high[w]).view(np.uint8).reshape(-1, 8)
-            upto = np.cumsum(_ONES[by_byte], axis=1, dtype=np.uint8)
-            rank = (q - before[w]).astype(np.uint8)
-            byte = (upto <= rank[:, None]).sum(axis=1)
-            row = np.arange(len(q))
-            inner = rank - np.where(byte > 0, upto[row, byte - 1], 0)
-            out[at : at + len(q)] = w * 64 + byte * 8 + _PLACE[by_byte[row, byte], inner]
+            word = self.high[w] if one else ~self.high[w]
+            out[at : at + len(q)] = w * 64 + _in_word(word, (q - before[w]).astype(np.uint64)).astype(np.int64)
         return out
 
     def access(self, i: np.ndarray) -> np.ndarray:
@@ -202,15 +208,18 @@ class EliasFano:
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
-    """Arrays of whole numbers as compressed bytes: first bytes together, then second ones;
-    of ascending numbers the differences."""
+    """Arrays of whole numbers as compressed bytes: first bytes together, then second ones,
+    as many as the largest number takes; of ascending numbers the differences."""
     head, body = [], []
     for k, a in arrays.items():
         a = np.ascontiguousarray(a)
         rises = a.dtype == np.uint64 and len(a) > 1 and bool((a[1:] >= a[:-1]).all())
         if rises:
             a = np.r_[a[:1], np.diff(a)]
-        head.append([k, a.dtype.str, len(a), rises])
+        kind = a.dtype
+        if kind.kind == "u" and len(a):
+            a = a.astype(np.min_scalar_type(int(a.max())))
+        head.append([k, kind.str, a.dtype.str, len(a), rises])
         body.append(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
     raw = json.dumps(head).encode()
     return zstandard.ZstdCompressor(level=1).compress(len(raw).to_bytes(8, "little") + raw + b"".join(body))
@@ -220,10 +229,10 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int.from_bytes(raw[:8], "little")
     out, at = {}, 8 + n
-    for k, kind, size, rises in json.loads(raw[8 : 8 + n]):
-        width = np.dtype(kind).itemsize
+    for k, kind, moved, size, rises in json.loads(raw[8 : 8 + n]):
+        width = np.dtype(moved).itemsize
         part = np.frombuffer(raw, np.uint8, width * size, at).reshape(width, size)
-        out[k] = np.ascontiguousarray(part.T).view(kind).ravel()
+        out[k] = np.ascontiguousarray(part.T).view(moved).ravel().astype(kind, copy=False)
         if rises:
             out[k] = np.cumsum(out[k], dtype=np.uint64)
         at += width * size
@@ -385,6 +394,15 @@ class Model:
     tokens: int = 0
     vocabulary: int = 0
 
+    def free(self, order: int) -> None:
+        """Deletes a level that nobody will ask again."""
+        from pyarrow.fs import FileSelector
+
+        fs, path = _fs(self.uri)
+        for f in fs.get_file_info(FileSelector(path)):
+            if f.base_name.startswith(f"level{order}-"):
+                fs.delete_file(f.path)
+
 
 MOVED = "shard int, chunk string, blob binary, tokens long, words long"
 
@@ -445,7 +463,7 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key)
     rising = key[order]
     new = np.r_[True, rising[1:] != rising[:-1]][: len(key)]
-    which = np.empty(len(key), np.int64)
+    which = np.empty(len(key), np.int32)
     which[order] = np.cumsum(new) - 1
     return order[new], which
 
@@ -531,7 +549,8 @@ def _tokenise(uri: str):
     def run(batches):
         for ids, train, sizes, h in _chunks(batches):
             name = uuid.uuid4().hex
-            kinds, which = np.unique(h, return_inverse=True)
+            first, which = _distinct(h)
+            kinds = h[first]
             n = np.bincount(which, weights=np.repeat(train, sizes), minlength=len(kinds)).astype(np.uint32)
             Chunk(uri, name).save("text", train=train, sizes=sizes, kinds=kinds, n=n, which=which.astype(np.int32))
             sink = pa.BufferOutputStream()
@@ -636,8 +655,9 @@ def _level_job(moved: DataFrame, model: Model, order: int, build: bool) -> DataF
     return by_shard.mapInArrow(_level(model, order, build), MOVED)
 
 
-def _run(docs: DataFrame, model: Model | None) -> tuple[Model, DataFrame]:
-    """Rows (id, train, text) through all levels, built from them or, with a model, opened."""
+def _run(docs: DataFrame, model: Model | None, keep: bool = True) -> tuple[Model, DataFrame]:
+    """Rows (id, train, text) through all levels, built from them or, with a model, opened.
+    Where the model is not to be kept, a level is deleted when its answers are written."""
     spark, build = docs.sparkSession, model is None
     uri = shared_path(spark, "lm")
     if "://" not in uri:
@@ -649,11 +669,18 @@ def _run(docs: DataFrame, model: Model | None) -> tuple[Model, DataFrame]:
     parts = max(1, n)
     by_chunk = lambda df: df.filter("chunk IS NOT NULL").repartition(parts, "chunk").sortWithinPartitions("chunk")
     # the levels' own places are those of the model; chunks' files are this run's
-    answers = materialize(_level_job(chunks.repartition(parts, "chunk").mapInArrow(_send_words(at), MOVED), levels, 1, build), "lm-words")
+
+    def level(order, sent):
+        out = materialize(_level_job(sent, levels, order, build), f"lm-answers{order}")
+        if not keep:
+            at.free(order)
+        return out
+
+    answers = level(1, chunks.repartition(parts, "chunk").mapInArrow(_send_words(at), MOVED))
     if build:
         at.tokens, at.vocabulary = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    answers = _level_job(by_chunk(answers).mapInArrow(_send_pairs(at), MOVED), levels, 2, build)
-    answers = materialize(_level_job(by_chunk(answers.union(chunks)).mapInArrow(_send_triples(at), MOVED), levels, 3, build), "lm-answers")
+    answers = level(2, by_chunk(answers).mapInArrow(_send_pairs(at), MOVED))
+    answers = level(3, by_chunk(answers.union(chunks)).mapInArrow(_send_triples(at), MOVED))
     kind = dict(docs.dtypes)["id"]
     return at, by_chunk(answers.union(chunks)).mapInArrow(_score(at), f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
@@ -681,5 +708,5 @@ def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     train_row = F.coalesce(fold(F.col(id_col), 7) != 2, F.lit(False)).cast("byte")
     docs = df.select(F.col(id_col).alias("id"), train_row.alias("train"), F.col(text_col).alias("text"))
-    out = _run(docs, None)[1].withColumnRenamed("id", id_col)
+    out = _run(docs, None, keep=False)[1].withColumnRenamed("id", id_col)
     return out.select(id_col, (fold(F.col(id_col), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -570,6 +570,21 @@ def test_elias_fano():
         assert e.find(x).tolist() == [place.get(i, -1) for i in x.tolist()]
 
 
+def test_packed_bits_and_places_in_words():
+    rng = np.random.default_rng(2)
+    for bits in (1, 7, 20, 32, 33, 63):
+        v = rng.integers(0, 1 << bits, 1000, dtype=np.uint64)
+        assert (lm_score.bits_at(lm_score.bits_packed(v, bits), bits, np.arange(1000)) == v).all()
+    x = np.r_[rng.integers(1, 1 << 64, 500, dtype=np.uint64), np.uint64((1 << 64) - 1), np.uint64(1 << 63)]
+    for word in x:
+        places = [i for i in range(64) if int(word) >> i & 1]
+        k = np.arange(len(places), dtype=np.uint64)
+        assert lm_score._in_word(np.full(len(k), word), k).tolist() == places
+    for a in (np.array([3, 2**40, 1], np.uint64), np.array([5, 5, 2**63], np.uint64), np.zeros(4, np.uint32), np.zeros(0, np.uint64), np.array([-1, 7], np.int32)):
+        got = lm_score.unpack(lm_score.pack({"a": a}))["a"]
+        assert got.dtype == a.dtype and (got == a).all()
+
+
 def tokens_of(t):
     return (t or "").encode().lower().split() + [b"\n"]
 
@@ -610,6 +625,16 @@ def test_lm_score(docs, monkeypatch):
         assert abs(r["base_score"] - base) < 1e-6 and abs(r["score"] - full) < 1e-3 * len(w)
 
 
+def test_lm_keeps_no_level_but_a_model_does(spark, tmp_path, monkeypatch):
+    import glob
+
+    d = spark.createDataFrame([(i, "a b c a b") for i in range(20)], "doc_id long, text string")
+    monkeypatch.setattr(lm_score, "shared_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    assert len(by_id(lm_score.lm_score(d))) == 20 and not glob.glob(f"{tmp_path}/lm/level*")
+    lm_score.train(d)
+    assert {p.rsplit("/", 1)[1].split("-")[0] for p in glob.glob(f"{tmp_path}/lm/level*")} == {"level1", "level2", "level3"}
+
+
 def test_lm_model_is_used_again(spark):
     train = ["a b c", "c a", "a b c d", None, ""]
     model = lm_score.train(spark.createDataFrame([(t,) for t in train], "text string"))
