@@ -31,8 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
         top = spark.sparkContext.getCheckpointDir()
         if not top and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        top = top or "file://" + tempfile.mkdtemp(prefix="loglake-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        if not top:  # the session's setting cannot be changed while it runs
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loglake-"))
+            top = spark.sparkContext.getCheckpointDir()
     return top.rstrip("/")
 
 
