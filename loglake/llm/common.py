@@ -26,8 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
         path = spark.sparkContext.getCheckpointDir()
         if not path and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        path = path or "file://" + tempfile.mkdtemp(prefix="loglake-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not path:  # the session's setting cannot be changed while it runs
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loglake-"))
+            path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
