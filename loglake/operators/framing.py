@@ -7,15 +7,17 @@ A source or body may be of any size. What its records need to know of the lines
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglake.operators.ordered import BLOCK, block_of, fold_blocks, joined
+from loglake.operators.ordered import BLOCK, block_of, fold_blocks, joined, ranked, written
 
 MAX_BYTES = 2 * 1024 * 1024
 KEPT = 1024
@@ -176,26 +178,67 @@ class _Chunks:
     """A body in chunks: rows of text in order, of which a block's are taken as one text. A
     record is named by the row in which it begins and the place there."""
 
+    START: tuple
+    EMPTY: str | bytes = ""
+
     def __init__(self, keys: list[str], order: str, text: str):
         self.keys, self.order, self.text = keys, order, text
 
-    def _block(self, rows: pd.DataFrame, empty):
-        parts = [x if x is not None else empty for x in rows[self.text]]
-        ends, labels = np.cumsum([0, *map(len, parts)]), rows[self.order].tolist()
+    def _joined(self, parts: list, labels: list):
+        """The text of rows, and a function that names the row of a place and the place there."""
+        parts = [x if x is not None else self.EMPTY for x in parts]
+        starts = [0, *itertools.accumulate(map(len, parts))][:-1]
 
         def label(at: int):
-            i = int(np.searchsorted(ends[:-1], at, "right")) - 1
-            return labels[i], at - int(ends[i])
+            i = bisect.bisect_right(starts, at) - 1
+            return labels[i], at - starts[i]
+
+        return self.EMPTY.join(parts), label
+
+    def _block(self, rows: pd.DataFrame):
+        return self._joined(rows[self.text].tolist(), rows[self.order].tolist())
 
-        return empty.join(parts), label
+    def cut(self, text, label: Callable, state, last: bool) -> list:
+        """(label, characters or bytes of the record before, text, whether it ends) of the
+        records in a text that is entered with a state."""
+        raise NotImplementedError
 
-    def _rows(self, rows: pd.DataFrame, found: list) -> pd.DataFrame:
-        """found: (label, characters or bytes of the record before, text, whether it ends)."""
+    def apply(self, rows: pd.DataFrame, state, last: bool) -> pd.DataFrame:
+        found = self.cut(*self._block(rows), state, last)
         out = pd.DataFrame({self.order: [f[0][0] for f in found], "record": [f[0][1] for f in found], "_before": [f[1] for f in found], "_text": [f[2] for f in found], "_ends": [f[3] for f in found]}, dtype=object)
         for k in self.keys:
             out[k] = rows[k].iloc[0]
         return out
 
+    def whole(self, batches):
+        """Bodies that come one after the other, each in order and whole: their records."""
+        n, key, parts, labels, out = len(self.keys), None, [], [], []
+
+        def close():
+            out.extend((*key, label[0], label[1], before, text, ends) for label, before, text, ends in self.cut(*self._joined(parts, labels), self.START, True))
+
+        for b in batches:
+            out = []
+            columns = [c.to_pylist() for c in b.columns]
+            for now, rows in itertools.groupby(zip(*columns), key=lambda r: r[:n]):
+                if now != key:
+                    if key is not None:
+                        close()
+                    key, parts, labels = now, [], []
+                for r in rows:
+                    labels.append(r[n])
+                    parts.append(r[n + 1])
+            types = [*b.schema.types[: n + 1], pa.int64(), pa.int64(), b.schema.types[n + 1], pa.bool_()]
+            yield self._batch(out, types)
+        if key is not None:
+            out = []
+            close()
+            yield self._batch(out, types)
+
+    def _batch(self, rows: list[tuple], types: list) -> pa.RecordBatch:
+        names = [*self.keys, self.order, "record", "_before", "_text", "_ends"]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
 
 class _Braces(_Chunks):
     """State: (mode, depth, label, size so far); mode is outside, inside, string or escape."""
@@ -217,7 +260,7 @@ class _Braces(_Chunks):
         return found
 
     def summarise(self, rows: pd.DataFrame):
-        text, label = self._block(rows, "")
+        text, label = self._block(rows)
         known: dict = {}
         out = {"outside": self._outside(text, label, 0, known), "size": len(text)}
         for mode in ("inside", "string", "escape"):
@@ -245,8 +288,7 @@ class _Braces(_Chunks):
         last, change, ends = summary[mode]
         return ends[depth - 1] if depth <= len(ends) else (last, depth + change, label, size + summary["size"])
 
-    def apply(self, rows: pd.DataFrame, state, last: bool) -> pd.DataFrame:
-        text, label = self._block(rows, "")
+    def cut(self, text: str, label: Callable, state, last: bool) -> list:
         mode, depth, name, size = state
         found, at = [], 0
         if mode != "outside":
@@ -259,7 +301,7 @@ class _Braces(_Chunks):
             end, _ = _inside(text, start + 1, 1)
             found.append((label(start), 0, text[start:end], end is not None))
             start = text.find("{", end) if end else -1
-        return self._rows(rows, found)
+        return found
 
 
 _HEAD = re.compile(rb"\s*(\d{1,10}) ")
@@ -295,9 +337,10 @@ class _Octets(_Chunks):
     the state behind the block for every place to begin at, with equal neighbours as one."""
 
     START = ("start", None, None, 0)
+    EMPTY = b""
 
     def summarise(self, rows: pd.DataFrame):
-        data, label = self._block(rows, b"")
+        data, label = self._block(rows)
         size = len(data)
         b = np.frombuffer(data, np.uint8)
         digit, space = (b >= 48) & (b <= 57), np.isin(b, [9, 10, 11, 12, 13, 32])
@@ -361,8 +404,7 @@ class _Octets(_Chunks):
             return self._behind(summary, held) if held <= size else ("message", held - size, label, done + size)
         return self._behind(summary, summary["line"] + 1) if summary["line"] < size else ("line", None, label, done + size)
 
-    def apply(self, rows: pd.DataFrame, state, last: bool) -> pd.DataFrame:
-        data, label = self._block(rows, b"")
+    def cut(self, data: bytes, label: Callable, state, last: bool) -> list:
         kind, held, name, done = state
         found, at, shift = [], 0, 0
         if kind == "message":
@@ -379,28 +421,41 @@ class _Octets(_Chunks):
             if what != "head" or last:
                 found.append((name if at < shift else label(at - shift), 0, data[first:end], what != "message" or end <= len(data)))
             at = len(data) if end is None else end if what == "message" else end + 1
-        return self._rows(rows, found)
+        return found
 
 
 def _in_chunks(df: DataFrame, text_col: str, keys: list[str], order: str, max_bytes: int, block: int, kind: type) -> DataFrame:
     octets, types = kind is _Octets, dict(df.dtypes)
-    text = F.col(text_col).cast("binary" if octets else "string").alias("_text")
-    d = df.select(*keys, order, text, block_of(order, types[order], block).alias("_block"))
+    d = df.select(*keys, order, F.col(text_col).cast("binary" if octets else "string").alias("_text"))
     ddl = ", ".join(f"`{c}` {types[c]}" for c in [*keys, order]) + f", record long, _before long, _text {'binary' if octets else 'string'}, _ends boolean"
     fold = kind(keys, order, "_text")
-    pieces = fold_blocks(d, keys, order, fold.START, fold.summarise, fold.advance, fold.apply, ddl)
-    # a record of more than max_bytes is several rows, each of bounded length
-    pieces = pieces.withColumn("_part", F.floor(F.col("_before") / max_bytes))
-    part = F.array_sort(F.collect_list(F.struct("_before", (F.hex("_text") if octets else F.col("_text")).alias("t"))))
     size = F.octet_length("_text") if octets else F.length("_text")
-    d = pieces.groupBy(*keys, order, "record", "_part").agg(part.alias("_p"), F.bool_or("_ends").alias("_ends"), F.max(F.col("_before") + size).alias("_size"))
-    d = d.withColumn("line", F.array_join(F.transform("_p", lambda x: x["t"]), ""))
+    out = [*keys, order, "record", "_part", "_text", "_ends", "_size"]
+    long = written(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block).withColumn("_long", F.lit(True)).drop("_n"), "long")
+    some = not long.isEmpty()
+    d = joined(d, F.broadcast(long), keys, "left") if some else d
+    # most bodies are short: a task has many of them, one after the other and whole
+    short = d.filter("_long IS NULL").drop("_long") if some else d
+    short = (short.repartition(*keys) if keys else short.repartition(1)).sortWithinPartitions(*keys, order)
+    found = short.mapInArrow(fold.whole, ddl).withColumns({"_part": F.lit(0).cast("long"), "_size": size}).select(*out)
+    if some:
+        key = F.struct(*keys) if keys else F.lit(0)
+        rows = ranked(d.filter("_long").select(key.alias("_body"), *keys, order, "_text"), "_body", [order])
+        rows = rows.withColumn("_block", F.floor((F.col("_rank") - 1) / block)).drop("_body")
+        pieces = fold_blocks(rows, keys, "_rank", fold.START, fold.summarise, fold.advance, fold.apply, ddl)
+        # a record of more than max_bytes is several rows, each of bounded length
+        pieces = pieces.withColumn("_part", F.floor(F.col("_before") / max_bytes))
+        part = F.array_sort(F.collect_list(F.struct("_before", (F.hex("_text") if octets else F.col("_text")).alias("t"))))
+        pieces = pieces.groupBy(*keys, order, "record", "_part").agg(part.alias("_p"), F.bool_or("_ends").alias("_ends"), F.max(F.col("_before") + size).alias("_size"))
+        text = F.array_join(F.transform("_p", lambda x: x["t"]), "")
+        found = found.unionByName(pieces.withColumn("_text", F.unhex(text) if octets else text).select(*out))
     if octets:
-        d = d.withColumn("raw_bytes", F.unhex("line")).withColumn("line", F.rtrim(F.make_valid_utf8(F.col("raw_bytes").cast("string")), F.lit("\r"))).filter(F.trim("line") != "")
+        found = found.withColumnRenamed("_text", "raw_bytes").withColumn("line", F.rtrim(F.make_valid_utf8(F.col("raw_bytes").cast("string")), F.lit("\r"))).filter(F.trim("line") != "")
+    else:
+        found = found.withColumnRenamed("_text", "line")
     over = (F.col("_part") > 0) | (~F.col("_ends") & (F.col("_size") >= max_bytes))
     cause = F.when(over, F.lit(f"record exceeds {max_bytes} bytes")).when(~F.col("_ends"), F.lit("unterminated record"))
-    out = _flagged(d, max_bytes, cause)
-    return out.withColumn("is_oversized", F.col("is_oversized") | over).drop("_p", "_ends", "_size", "_part")
+    return _flagged(found, max_bytes, cause).withColumn("is_oversized", F.col("is_oversized") | over).drop("_ends", "_size", "_part")
 
 
 def _by_function(df: DataFrame, text_col: str, cut, max_bytes: int) -> DataFrame:
@@ -415,7 +470,7 @@ def _by_function(df: DataFrame, text_col: str, cut, max_bytes: int) -> DataFrame
     return out.drop("_r")
 
 
-#: Numbers of the order of chunks that are one block.
+#: Rows of a long body that are one block; a body of so many rows at most is not divided.
 CHUNKS = 4096
 
 
@@ -423,7 +478,8 @@ def frame_json_stream(df: DataFrame, text_col: str = "line", max_bytes: int = MA
     """Concatenated or pretty-printed JSON objects, one row each.
 
     Every row is a body of its own. With ``partition_by``, the rows of a key in ``order_by``
-    are chunks of one body of any size, cut anywhere: blocks of them are scanned at the same
+    are chunks of one body of any size, cut anywhere. Bodies of ``block`` rows at most are read
+    whole, many in a task. Of longer ones blocks of so many rows are scanned at the same
     time, and the depth, string and escape that each is entered with follow from what the
     blocks before do to any state. Rows then have the key, the order of the row in which an
     object begins and its place there (record). An object of more than ``max_bytes`` is cut

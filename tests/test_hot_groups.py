@@ -190,3 +190,18 @@ def test_octet_counts_in_chunks_equal_the_whole(spark, block):
     b = framing.frame_octet_counted(spark.createDataFrame(parts, "k int, seq long, line binary").repartition(4), partition_by="k", block=block).collect()
     key = lambda x: (x.k, x.line, x.frame_error)
     assert sorted(map(key, a), key=str) == sorted(map(key, b), key=str)
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("frame, text", [(framing.frame_json_stream, ' {"a": %d}'), (framing.frame_octet_counted, "8 {'a': %d}")])
+def test_short_bodies_are_no_groups_of_their_own(spark, frame, text):
+    """Numbers far apart: a body's rows are read together, not each as a block."""
+    rows = [(k, 10_000 * (7 * i + k) + h, t) for k in range(7) for i in range(30) for h, t in enumerate([(text % (i % 10))[:4], (text % (i % 10))[4:]])]
+    d = spark.createDataFrame(rows, "k int, seq long, line string").repartition(5)
+    one, many = frame(d, partition_by="k"), frame(d, partition_by="k", block=20)
+    assert "InPandas" not in plan(one) and "InPandas" in plan(many)
+    got = [sorted((x.k, x.seq, x.line, x.frame_error) for x in a.collect()) for a in (one, many)]
+    assert got[0] == got[1] == sorted((k, 10_000 * (7 * i + k), (text % (i % 10)).lstrip(" 8") if "8" in text else (text % (i % 10)).strip(), None) for k in range(7) for i in range(30))
