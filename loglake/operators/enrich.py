@@ -9,7 +9,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.functions.scalars import IPV6, ip_hex, ip_num, let, once, valid_ip
+from loglake.functions.scalars import IPV6, ip_hex, ip_num, once, valid_ip
 
 Enricher = Callable[[DataFrame], DataFrame]
 
@@ -76,9 +76,10 @@ def cloud_table(spark: SparkSession) -> DataFrame:
     return network_table(spark, CLOUD_NETWORKS)
 
 
-def ip_class(c: Column) -> Column:
-    """loopback, link_local, multicast, private, public or invalid; null for null."""
-    n, ok = ip_num(c), valid_ip(c)
+def ip_class(c: Column, number: Column | None = None) -> Column:
+    """loopback, link_local, multicast, private, public or invalid; null for null. The
+    address's ``ip_num`` may be given, which is used for every network."""
+    n, ok = ip_num(c) if number is None else number, valid_ip(c)
     inside = lambda cidr: n.between(int(ipaddress.ip_network(cidr)[0]), int(ipaddress.ip_network(cidr)[-1]))
     six, low = c.rlike(IPV6), F.lower(c)
     private = F.lit(False)
@@ -125,15 +126,20 @@ def match_cidr(ips: DataFrame, networks: DataFrame, mode: str = "all", small: bo
     return j.groupBy("ip").agg(F.array_sort(F.collect_list(hit)).alias("matches"))
 
 
-def matches_in(ip: Column, networks: list) -> Column:
-    """The same for one address and a short list of rows, as a column: no join."""
+def matches_of(n: Column, h: Column, networks: list) -> Column:
+    """The same for one address (ip_num and ip_hex) and a short list of rows, as a column: no
+    join. Each network is a condition of its own, as these are compiled and lambdas are not."""
     if not networks:
         return F.array().cast("array<struct<rank: int, cidr: string, service: string, vendor: string>>")
-    rows = sorted(networks, key=lambda r: r["rank"])
-    cast = {"rank": "int", "lo": "bigint", "hi": "bigint"}
-    table = F.array(*[F.struct(*[F.lit(r[k]).cast(cast.get(k, "string")).alias(k) for k in ("rank", "cidr", "service", "vendor", "lo", "hi", "lo6", "hi6")]) for r in rows])
-    hits = let(F.struct(ip_num(ip).alias("n"), ip_hex(ip).alias("h")), lambda a: F.filter(table, lambda x: _inside(a["n"], a["h"], x)))
-    return F.transform(hits, lambda x: F.struct(*[x[k].alias(k) for k in ("rank", "cidr", "service", "vendor")]))
+    hits = []
+    for r in sorted(networks, key=lambda r: r["rank"]):
+        inside = n.between(F.lit(r["lo"]).cast("bigint"), F.lit(r["hi"]).cast("bigint")) if r["lo6"] is None else h.between(F.lit(r["lo6"]), F.lit(r["hi6"]))
+        hits.append(F.when(inside, F.struct(F.lit(r["rank"]).cast("int").alias("rank"), *[F.lit(r[k]).cast("string").alias(k) for k in ("cidr", "service", "vendor")])))
+    return F.array_compact(F.array(*hits))
+
+
+def matches_in(ip: Column, networks: list) -> Column:
+    return matches_of(ip_num(ip), ip_hex(ip), networks)
 
 
 def _context(ip: Column, kind: Column, threats: Column, cloud: Column) -> Column:
@@ -169,9 +175,10 @@ def enrich_ips(df: DataFrame, threat: DataFrame, cloud: DataFrame) -> DataFrame:
     src, dst = F.col("network.src_ip"), F.col("network.dst_ip")
     lists = [x.limit(IN_PLACE + 1).collect() for x in (threat, cloud)]
     if all(len(x) <= IN_PLACE for x in lists):
-        parts = lambda ip: F.struct(ip.alias("ip"), ip_class(ip).alias("kind"), matches_in(ip, lists[0]).alias("t"), matches_in(ip, lists[1]).alias("c"))
-        known = lambda ip: F.when(F.coalesce(ip != "", F.lit(False)), let(parts(ip), lambda x: _context(x["ip"], x["kind"], x["t"], x["c"])))
-        j = once(df, {"_sc": known(src), "_dc": known(dst)})
+        ends, n, h = {"_s": src, "_d": dst}, lambda k: F.col(k + "n"), lambda k: F.col(k + "h")
+        j = once(df, {k + x: f(ip) for k, ip in ends.items() for x, f in (("n", ip_num), ("h", ip_hex))})
+        j = once(j, {k + x: c for k, ip in ends.items() for x, c in (("k", ip_class(ip, n(k))), *((x, matches_of(n(k), h(k), rows)) for x, rows in zip("tl", lists)))})
+        j = once(j, {k + "c": F.when(F.coalesce(ip != "", F.lit(False)), _context(ip, F.col(k + "k"), F.col(k + "t"), F.col(k + "l"))) for k, ip in ends.items()})
     else:
         ips = df.select(F.explode(F.array_distinct(F.array(src, dst))).alias("ip"))
         ctx = ip_context(ips, threat, cloud)

@@ -233,3 +233,38 @@ def test_crosswalk_counts_what_fails(spark, tmp_path):
         a, b = path.split(".")
         assert len({x[a][b] for x in got if x.get(a, {}).get(b)}) == 3
         assert counts.get == {"converted": 3, "failed": 4} and len(got) == 3
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path, monkeypatch):
+    """A file of one row group in many splits: one of them has all rows, the others none."""
+    from loglake.plans import tables
+
+    spark.range(20_000).selectExpr("id as event_id", "timestamp_micros(id) as ts", "id % 50 as user_id", "'view' as event_type", "double(id % 99) as value", "uuid() as props").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(tables, "TASK_ROWS", 2000, raising=False)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = tables.raw(spark, str(tmp_path))
+        sizes = [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sum(sizes) == 20_000 and len(sizes) >= 10 and max(sizes) <= 3000
+
+
+def test_what_is_evaluated_once_is_no_generator(spark):
+    """Expressions in a generator are interpreted; they belong into the projection before it."""
+    from loglake.functions.scalars import let, once
+
+    d = once(spark.range(3), {"x": let(F.col("id") + 1, lambda v: v * v), "id": F.col("id") * 2})
+    made = next(line for line in d._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line)
+    assert "transform" not in made and sorted(map(tuple, d.select("id", "x").collect())) == [(0, 1), (2, 4), (4, 9)]
+
+
+def test_short_lists_of_networks_are_no_lambdas(spark):
+    from loglake.operators import enrich
+
+    d = spark.createDataFrame([("185.220.101.7",), ("2001:db8::5",), ("1.2.3.4",), (None,), ("x",)], "ip string")
+    nets = enrich.network_table(spark, [("185.220.100.0/22", "b"), ("185.220.101.0/24", "a"), ("2001:db8::/32", "six")]).collect()
+    m = d.select("ip", enrich.matches_in(F.col("ip"), nets).alias("m"))
+    assert {r["ip"]: [x["service"] for x in r["m"]] for r in m.collect()} == {"185.220.101.7": ["b", "a"], "2001:db8::5": ["six"], "1.2.3.4": [], None: [], "x": []}
+    assert "lo6" not in m._jdf.queryExecution().optimizedPlan().toString()
