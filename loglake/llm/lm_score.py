@@ -399,7 +399,7 @@ class Model:
         from pyarrow.fs import FileSelector
 
         fs, path = _fs(self.uri)
-        for f in fs.get_file_info(FileSelector(path)):
+        for f in fs.get_file_info(FileSelector(path, allow_not_found=True)):  # no rows: no folder
             if f.base_name.startswith(f"level{order}-"):
                 fs.delete_file(f.path)
 
