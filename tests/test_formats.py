@@ -110,3 +110,24 @@ def test_registered_format(spark):
         assert r["format_id"] == "mine" and r["extracted"]["rest"]["v"] == "abc"
     finally:
         detect.unregister_format("mine")
+
+
+def test_times_of_no_layout_are_null_and_weekdays_are_read(spark):
+    """A layout that Spark refuses made such rows raise, and the expressions around it interpreted."""
+    from loglake.functions.scalars import parse_ts
+
+    texts = ["Wed, 5 Aug 2026 10:20:30 +0000", "08/05/2026 10:20:30", "20260805T102030Z", "nonsense", "5 Aug 2026 10:20:30 +0000"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.unix_timestamp(parse_ts(F.col("t"))).alias("s")).collect()
+    assert [r["s"] for r in rows] == [1785925230, 1785925230, 1785925230, None, None]
+
+
+def test_projections_of_parsing_are_compiled(spark):
+    """With the fallback to interpretation off, an expression without code fails the job."""
+    spark.conf.set("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
+    try:
+        line = "CEF:0|A|B|1|9|login|3|src=10.0.0.1 rt=Wed, 5 Aug 2026 10:20:30 +0000 msg=a b"
+        d = spark.createDataFrame([(line, "cef")], "line string, format_id string").repartition(1)
+        row = extract(d, formats=["cef"]).select(F.unix_timestamp("event_ts").alias("s"), F.try_element_at("extracted", F.lit("msg"))["v"].alias("msg")).first()
+    finally:
+        spark.conf.unset("spark.sql.codegen.factoryMode")
+    assert (row["s"], row["msg"]) == (1785925230, "a b")
