@@ -9,7 +9,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglake.functions.scalars import IPV6, ip_hex, ip_num, once, valid_ip
+from loglake.functions.scalars import ip_hex, ip_num, is_ipv6, once, valid_ip
 
 Enricher = Callable[[DataFrame], DataFrame]
 
@@ -81,7 +81,7 @@ def ip_class(c: Column, number: Column | None = None) -> Column:
     address's ``ip_num`` may be given, which is used for every network."""
     n, ok = ip_num(c) if number is None else number, valid_ip(c)
     inside = lambda cidr: n.between(int(ipaddress.ip_network(cidr)[0]), int(ipaddress.ip_network(cidr)[-1]))
-    six, low = c.rlike(IPV6), F.lower(c)
+    six, low = is_ipv6(c), F.lower(c)
     private = F.lit(False)
     for p in PRIVATE_NETWORKS:
         private = private | F.coalesce(inside(p), F.lit(False))
@@ -128,14 +128,15 @@ def match_cidr(ips: DataFrame, networks: DataFrame, mode: str = "all", small: bo
 
 def matches_of(n: Column, h: Column, networks: list) -> Column:
     """The same for one address (ip_num and ip_hex) and a short list of rows, as a column: no
-    join. Each network is a condition of its own, as these are compiled and lambdas are not."""
-    if not networks:
-        return F.array().cast("array<struct<rank: int, cidr: string, service: string, vendor: string>>")
-    hits = []
+    join. Each network is a condition of its own, as these are compiled and lambdas are not; the
+    array is made for addresses that are in one of them."""
+    none = F.array().cast("array<struct<rank: int, cidr: string, service: string, vendor: string>>")
+    hits, some = [], F.lit(False)
     for r in sorted(networks, key=lambda r: r["rank"]):
         inside = n.between(F.lit(r["lo"]).cast("bigint"), F.lit(r["hi"]).cast("bigint")) if r["lo6"] is None else h.between(F.lit(r["lo6"]), F.lit(r["hi6"]))
+        some = some | F.coalesce(inside, F.lit(False))
         hits.append(F.when(inside, F.struct(F.lit(r["rank"]).cast("int").alias("rank"), *[F.lit(r[k]).cast("string").alias(k) for k in ("cidr", "service", "vendor")])))
-    return F.array_compact(F.array(*hits))
+    return F.when(some, F.array_compact(F.array(*hits))).otherwise(none) if hits else none
 
 
 def matches_in(ip: Column, networks: list) -> Column:
