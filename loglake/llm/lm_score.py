@@ -93,6 +93,13 @@ def read_arrays(uri: str) -> dict[str, np.ndarray]:
     return {k: raw[start + at : start + at + np.dtype(t).itemsize * m].view(t) for k, (t, m, at) in head.items()}
 
 
+def _uri(path: str) -> str:
+    """A place in the shared folder as pyarrow takes it."""
+    if "://" in path:
+        return path
+    return "file://" + path if path.startswith("/") else path.replace("file:/", "file:///")
+
+
 def _exists(uri: str) -> bool:
     fs, path = _fs(uri)
     return bool(fs.get_file_info(path).is_file)
@@ -394,14 +401,15 @@ class Model:
     tokens: int = 0
     vocabulary: int = 0
 
-    def free(self, order: int) -> None:
-        """Deletes a level that nobody will ask again."""
-        from pyarrow.fs import FileSelector
 
-        fs, path = _fs(self.uri)
-        for f in fs.get_file_info(FileSelector(path, allow_not_found=True)):  # no rows: no folder
-            if f.base_name.startswith(f"level{order}-"):
-                fs.delete_file(f.path)
+def _free(uri: str) -> None:
+    """Deletes a file or a folder, if it is there."""
+    fs, path = _fs(uri)
+    kind = fs.get_file_info(path)
+    if kind.is_file:
+        fs.delete_file(path)
+    elif kind.type.name == "Directory":
+        fs.delete_dir(path)
 
 
 MOVED = "shard int, chunk string, blob binary, tokens long, words long"
@@ -427,21 +435,24 @@ def _groups(batches, key: int) -> Iterator[tuple]:
         yield now, held
 
 
-def _level(model: Model, order: int, build: bool):
-    """The task of one shard of a level: builds it or opens it, and answers every chunk."""
+def _level(model: Model, order: int, build: bool, keep: bool):
+    """The task of one shard of a level: builds it or opens it, and answers every chunk. A
+    level that is not to be kept is the task's own file, which it deletes when it has answered."""
     width = (1 << 64) // model.shards + 1
 
     def run(batches):
         for s, rows in _groups(batches, 0):
             parts = [unpack(r[2]) for r in rows]
             uri, low = f"{model.uri}/level{order}-{s}", s * width
-            if build or not _exists(uri):  # a shard without training rows has no file
-                seen = parts if build else [{k: v[:0] for k, v in p.items()} for p in parts]
-                arrays = Words.build(seen, low, width) if order == 1 else Successors.build(seen, WEIGHTS[order - 2])
-                if build:
-                    write_arrays(uri, arrays)
-            else:
+            if build and not keep:
+                uri += f"-{uuid.uuid4().hex}"
+            if build:
+                write_arrays(uri, Words.build(parts, low, width) if order == 1 else Successors.build(parts, WEIGHTS[order - 2]))
+            if _exists(uri):
                 arrays = read_arrays(uri)
+            else:  # a shard without training rows has no file
+                none = [{k: v[:0] for k, v in p.items()} for p in parts]
+                arrays = Words.build(none, low, width) if order == 1 else Successors.build(none, WEIGHTS[order - 2])
             level = Words(arrays) if order == 1 else Successors(arrays)
             if order == 1:
                 yield _rows([(s, None, None, int(arrays["count"].sum(dtype=np.int64)), len(arrays["count"]))])
@@ -451,6 +462,8 @@ def _level(model: Model, order: int, build: bool):
                 if order == 3:
                     del got["number"]
                 yield _rows([(s, r[1], pack(got), 0, 0)])
+            if build and not keep:
+                _free(uri)
 
     return run
 
@@ -527,9 +540,9 @@ def _joined(rows: list[tuple], key: str) -> np.ndarray:
     return np.concatenate([a[key] for a in rows]) if rows else np.zeros(0, np.uint16)
 
 
-def _answers(rows: list[tuple]) -> list[dict]:
+def _answers(rows: list[tuple]) -> list[bytes]:
     """The answers to a chunk in the order in which it asked; a chunk's own row has none."""
-    return [unpack(r[2]) for r in sorted((r for r in rows if r[2] is not None), key=lambda r: r[0])]
+    return [r[2] for r in sorted((r for r in rows if r[2] is not None), key=lambda r: r[0])]
 
 
 class Chunk:
@@ -544,6 +557,21 @@ class Chunk:
     def load(self, part: str) -> dict[str, np.ndarray]:
         return unpack(_read(f"{self.at}-{part}"))
 
+    def save_answers(self, part: str, blobs: list[bytes]) -> None:
+        """Answers as they came; shard by shard, as numbers ascend there and so take little room."""
+        sizes = np.array([len(blobs), *map(len, blobs)], np.int64)
+        _write(f"{self.at}-{part}", sizes.tobytes() + b"".join(blobs))
+
+    def load_answers(self, part: str) -> list[dict]:
+        raw = _read(f"{self.at}-{part}")
+        n = int.from_bytes(raw[:8], "little")
+        cuts = np.cumsum(np.frombuffer(raw, np.int64, n + 1)) - n + 8 * (n + 1)
+        return [unpack(raw[a:z]) for a, z in zip(cuts, cuts[1:])]
+
+    def words(self) -> dict[str, np.ndarray]:
+        got = self.load_answers("words")
+        return {k: _joined(got, k) for k in ("number", "count")}
+
 
 def _tokenise(uri: str):
     def run(batches):
@@ -575,15 +603,26 @@ def _send_words(model: Model):
     return run
 
 
-def _send_pairs(model: Model):
+def _told(model: Model, part: str):
+    """Keeps the answers to a chunk among its files, so that what moved them can go."""
+
     def run(batches):
         for name, rows in _groups(batches, 1):
-            chunk, got = Chunk(model.uri, name), _answers(rows)
-            text, words = chunk.load("text"), {k: _joined(got, k) for k in ("number", "count")}
-            chunk.save("words", **words)
-            asked = _pairs_asked(text, words, model.shards)
-            out = asked.rows(name, words["count"][_before(text)], np.repeat(text["train"], text["sizes"]))
-            yield from (_rows([r]) for r in out)
+            Chunk(model.uri, name).save_answers(part, _answers(rows))
+            yield _rows([(None, name, None, 0, 0)])
+
+    return run
+
+
+def _send_pairs(model: Model):
+    def run(batches):
+        for b in batches:
+            for name in b.column(1).to_pylist():
+                chunk = Chunk(model.uri, name)
+                text, words = chunk.load("text"), chunk.words()
+                asked = _pairs_asked(text, words, model.shards)
+                out = asked.rows(name, words["count"][_before(text)], np.repeat(text["train"], text["sizes"]))
+                yield from (_rows([r]) for r in out)
 
     return run
 
@@ -604,15 +643,14 @@ def _context_counts(text, counts) -> np.ndarray:
 
 def _send_triples(model: Model):
     def run(batches):
-        for name, rows in _groups(batches, 1):
-            chunk, got = Chunk(model.uri, name), _answers(rows)
-            text, words, code = chunk.load("text"), chunk.load("words"), _joined(got, "code")
-            # shard by shard, as numbers ascend there and so take little room
-            chunk.save("pairs", code=code, **{f"number{i}": a["number"] for i, a in enumerate(got)})
-            pair = _pairs_asked(text, words, model.shards).index
-            total = _context_counts(text, _pair_counts(text, words, pair, code))
-            asked = _triples_asked(text, words, pair, _joined(got, "number"), total, model.shards)
-            yield from (_rows([r]) for r in asked.rows(name, total, np.repeat(text["train"], text["sizes"])))
+        for b in batches:
+            for name in b.column(1).to_pylist():
+                chunk = Chunk(model.uri, name)
+                text, words, got = chunk.load("text"), chunk.words(), chunk.load_answers("pairs")
+                pair = _pairs_asked(text, words, model.shards).index
+                total = _context_counts(text, _pair_counts(text, words, pair, _joined(got, "code")))
+                asked = _triples_asked(text, words, pair, _joined(got, "number"), total, model.shards)
+                yield from (_rows([r]) for r in asked.rows(name, total, np.repeat(text["train"], text["sizes"])))
 
     return run
 
@@ -625,9 +663,9 @@ def _kept(index: np.ndarray, code: np.ndarray) -> np.ndarray:
 def _score(model: Model):
     def run(batches):
         for name, rows in _groups(batches, 1):
-            chunk, code3 = Chunk(model.uri, name), _joined(_answers(rows), "code")
-            text, words, pairs = chunk.load("text"), chunk.load("words"), chunk.load("pairs")
-            code, number = pairs.pop("code"), np.concatenate([np.zeros(0, np.uint64), *pairs.values()])
+            chunk, code3 = Chunk(model.uri, name), _joined([unpack(a) for a in _answers(rows)], "code")
+            text, words, got = chunk.load("text"), chunk.words(), chunk.load_answers("pairs")
+            code, number = _joined(got, "code"), _joined(got, "number")
             which, sizes = text["which"], text["sizes"]
             pair = _pairs_asked(text, words, model.shards).index
             total = _context_counts(text, _pair_counts(text, words, pair, code))
@@ -650,18 +688,17 @@ def _score(model: Model):
 # --- jobs ----------------------------------------------------------------------------------
 
 
-def _level_job(moved: DataFrame, model: Model, order: int, build: bool) -> DataFrame:
+def _level_job(moved: DataFrame, model: Model, order: int, build: bool, keep: bool) -> DataFrame:
     by_shard = moved.repartition(model.shards, "shard").sortWithinPartitions("shard")
-    return by_shard.mapInArrow(_level(model, order, build), MOVED)
+    return by_shard.mapInArrow(_level(model, order, build, keep), MOVED)
 
 
 def _run(docs: DataFrame, model: Model | None, keep: bool = True) -> tuple[Model, DataFrame]:
     """Rows (id, train, text) through all levels, built from them or, with a model, opened.
-    Where the model is not to be kept, a level is deleted when its answers are written."""
+    Levels are deleted by their tasks unless the model is to be kept; answers are, when the
+    chunks have them."""
     spark, build = docs.sparkSession, model is None
-    uri = shared_path(spark, "lm")
-    if "://" not in uri:
-        uri = "file://" + uri if uri.startswith("/") else uri.replace("file:/", "file:///")
+    uri = _uri(shared_path(spark, "lm"))
     chunks = materialize(docs.mapInArrow(_tokenise(uri), MOVED), "lm-chunks")
     tokens, n = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count(F.lit(1))).first()
     at = Model(uri, max(1, -(-tokens // SHARD))) if build else Model(uri, model.shards, model.tokens, model.vocabulary)
@@ -670,17 +707,21 @@ def _run(docs: DataFrame, model: Model | None, keep: bool = True) -> tuple[Model
     by_chunk = lambda df: df.filter("chunk IS NOT NULL").repartition(parts, "chunk").sortWithinPartitions("chunk")
     # the levels' own places are those of the model; chunks' files are this run's
 
-    def level(order, sent):
-        out = materialize(_level_job(sent, levels, order, build), f"lm-answers{order}")
-        if not keep:
-            at.free(order)
-        return out
+    def level(order, send, path=None):
+        sent = chunks.repartition(parts, "chunk").mapInArrow(send(at), MOVED)
+        return materialize(_level_job(sent, levels, order, build, keep), f"lm-answers{order}", path=path)
+
+    def told(part, answers, path):
+        materialize(by_chunk(answers.union(chunks)).mapInArrow(_told(at, part), MOVED), f"lm-{part}")
+        _free(_uri(path))
 
-    answers = level(1, chunks.repartition(parts, "chunk").mapInArrow(_send_words(at), MOVED))
+    places = [shared_path(spark, f"lm-answers{order}") for order in (1, 2)]
+    answers = level(1, _send_words, places[0])
     if build:
         at.tokens, at.vocabulary = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    answers = level(2, by_chunk(answers).mapInArrow(_send_pairs(at), MOVED))
-    answers = level(3, by_chunk(answers.union(chunks)).mapInArrow(_send_triples(at), MOVED))
+    told("words", answers, places[0])
+    told("pairs", level(2, _send_pairs, places[1]), places[1])
+    answers = level(3, _send_triples)
     kind = dict(docs.dtypes)["id"]
     return at, by_chunk(answers.union(chunks)).mapInArrow(_score(at), f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

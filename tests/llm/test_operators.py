@@ -694,3 +694,22 @@ def test_pipeline_stages_take_any_columns_nulls_and_empty_tables(spark, tmp_path
         if name == "pii":
             assert len(got) == len(rows) and [r["text"] for r in got if r["doc_id"] == 6] == ["[EMAIL] " * 2000]
             assert sum(r["text"] is None for r in got) == 2
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark, tmp_path):
+    from loglake.llm.common import materialize
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())}
+    before = files()
+    out = materialize(spark.range(100).repartition(3, "id"), "x", path=str(tmp_path / "x"))
+    assert not {f for f in files() - before if f.startswith("shuffle_")} and out.count() == 100
+
+
+def test_lm_keeps_no_answers_that_chunks_have(spark, tmp_path, monkeypatch):
+    import glob
+
+    d = spark.createDataFrame([(i, "a b c a b") for i in range(20)], "doc_id long, text string")
+    monkeypatch.setattr(lm_score, "shared_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    monkeypatch.setattr("loglake.llm.common.shared_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    assert len(by_id(lm_score.lm_score(d))) == 20
+    assert [p.rsplit("-", 1)[1] for p in glob.glob(f"{tmp_path}/lm-answers*")] == ["answers3"]
