@@ -322,6 +322,19 @@ def _mix(c: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
+def _count_of(code: np.ndarray, total: np.ndarray, weight: float) -> np.ndarray:
+    """The count of an n-gram whose context has been seen ``total`` times, from its code."""
+    n = 2.0 ** (-code.astype(np.float64) / STEPS) * (total + weight)
+    return np.where(code < ABSENT, np.maximum(1, np.rint(n)), 0).astype(np.uint64)
+
+
+def _code_of(n: np.ndarray, total: np.ndarray, weight: float) -> np.ndarray:
+    """The code of an n-gram that was seen ``n`` times; ``_count_of`` gives back ``n`` below a
+    thousand, and what has the same code above."""
+    p = np.maximum(n, 1) / (total + weight)
+    return np.where(n > 0, np.clip(np.rint(-np.log2(p) * STEPS), 0, ABSENT - 1), ABSENT).astype(np.uint16)
+
+
 class Words:
     """The first level of a shard."""
 
@@ -368,16 +381,16 @@ class Successors:
         start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(keys) else np.zeros(0, np.int64)
         kept = place[start]
         relative = (np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(keys)])).astype(np.uint64) << bits) | (keys & ((_U(1) << bits) - _U(1)))
-        p = n / (totals[place] + weight)
         return (
             EliasFano.build(contexts[kept], int(contexts[kept][-1]) + 1 if len(kept) else 1, "contexts")
             | EliasFano.build(np.r_[start, len(keys)].astype(np.uint64), len(keys) + 1, "pointers")
             | EliasFano.build(relative, max(1, len(start)) << int(bits), "words")
-            | {"code": np.clip(np.rint(-np.log2(p) * STEPS), 0, ABSENT - 1).astype(np.uint16), "bits": np.array([bits], np.int64)}
+            | {"code": _code_of(n, totals[place], weight), "bits": np.array([bits], np.int64)}
         )
 
-    def answer(self, part: dict) -> dict[str, np.ndarray]:
-        """Places and codes of the pairs of a part, in their order."""
+    def answer(self, part: dict, weight: float) -> dict[str, np.ndarray]:
+        """Places of the pairs of a part, in their order, and the counts that their codes stand
+        for: most are 1, which takes less room than a code."""
         number, code = np.zeros(len(part["word"]), np.uint64), np.full(len(part["word"]), ABSENT, np.uint16)
         found = self.contexts.find(part["context"])
         place = np.repeat(found, part["runs"])
@@ -389,7 +402,8 @@ class Successors:
             ok, at = ok[at >= 0], at[at >= 0]
             number[ok], code[ok] = at, self.code[at]
             number = np.maximum.accumulate(number)  # those of absent pairs are not read
-        return {"number": number, "code": code}
+        total = np.repeat(part["total"], part["runs"])
+        return {"number": number, "n": _count_of(code, total, weight)}
 
 
 @dataclass
@@ -457,8 +471,8 @@ def _level(model: Model, order: int, build: bool, keep: bool):
             if order == 1:
                 yield _rows([(s, None, None, int(arrays["count"].sum(dtype=np.int64)), len(arrays["count"]))])
             for part, r in zip(parts, rows):
-                got = level.answer(part, low) if order == 1 else level.answer(part)
-                got["number"] = got["number"] * _U(model.shards) + _U(s)
+                got = level.answer(part, low) if order == 1 else level.answer(part, WEIGHTS[order - 2])
+                got["shard"] = np.array([s], np.uint32)
                 if order == 3:
                     del got["number"]
                 yield _rows([(s, r[1], pack(got), 0, 0)])
@@ -568,8 +582,12 @@ class Chunk:
         cuts = np.cumsum(np.frombuffer(raw, np.int64, n + 1)) - n + 8 * (n + 1)
         return [unpack(raw[a:z]) for a, z in zip(cuts, cuts[1:])]
 
-    def words(self) -> dict[str, np.ndarray]:
-        got = self.load_answers("words")
+    def numbered(self, part: str, shards: int) -> list[dict]:
+        """Answers with numbers of the whole level: a place in a shard, then the shard."""
+        return [a | {"number": a["number"] * _U(shards) + a["shard"].astype(np.uint64)} for a in self.load_answers(part)]
+
+    def words(self, shards: int) -> dict[str, np.ndarray]:
+        got = self.numbered("words", shards)
         return {k: _joined(got, k) for k in ("number", "count")}
 
 
@@ -619,7 +637,7 @@ def _send_pairs(model: Model):
         for b in batches:
             for name in b.column(1).to_pylist():
                 chunk = Chunk(model.uri, name)
-                text, words = chunk.load("text"), chunk.words()
+                text, words = chunk.load("text"), chunk.words(model.shards)
                 asked = _pairs_asked(text, words, model.shards)
                 out = asked.rows(name, words["count"][_before(text)], np.repeat(text["train"], text["sizes"]))
                 yield from (_rows([r]) for r in out)
@@ -627,11 +645,9 @@ def _send_pairs(model: Model):
     return run
 
 
-def _pair_counts(text, words, pair, code) -> np.ndarray:
-    """How often the pair of each token was seen in training, from the level's code."""
-    q = np.where(pair >= 0, code[np.maximum(pair, 0)] if len(code) else ABSENT, ABSENT)
-    n = 2.0 ** (-q.astype(np.float64) / STEPS) * (words["count"][_before(text)] + WEIGHTS[0])
-    return np.where(q < ABSENT, np.maximum(1, np.rint(n)), 0).astype(np.uint64)
+def _of_tokens(asked: Asked, n: np.ndarray) -> np.ndarray:
+    """For each token the count that its n-gram was answered; 0 where it did not ask."""
+    return np.where(asked.index >= 0, n[np.maximum(asked.index, 0)] if len(n) else 0, 0).astype(np.uint64)
 
 
 def _context_counts(text, counts) -> np.ndarray:
@@ -646,34 +662,35 @@ def _send_triples(model: Model):
         for b in batches:
             for name in b.column(1).to_pylist():
                 chunk = Chunk(model.uri, name)
-                text, words, got = chunk.load("text"), chunk.words(), chunk.load_answers("pairs")
-                pair = _pairs_asked(text, words, model.shards).index
-                total = _context_counts(text, _pair_counts(text, words, pair, _joined(got, "code")))
-                asked = _triples_asked(text, words, pair, _joined(got, "number"), total, model.shards)
+                text, words, got = chunk.load("text"), chunk.words(model.shards), chunk.numbered("pairs", model.shards)
+                pairs = _pairs_asked(text, words, model.shards)
+                total = _context_counts(text, _of_tokens(pairs, _joined(got, "n")))
+                asked = _triples_asked(text, words, pairs.index, _joined(got, "number"), total, model.shards)
                 yield from (_rows([r]) for r in asked.rows(name, total, np.repeat(text["train"], text["sizes"])))
 
     return run
 
 
-def _kept(index: np.ndarray, code: np.ndarray) -> np.ndarray:
-    q = np.where(index >= 0, code[np.maximum(index, 0)] if len(code) else ABSENT, ABSENT)
-    return np.where(q < ABSENT, 2.0 ** (-q.astype(np.float64) / STEPS), 0.0)
+def _kept(asked: Asked, n: np.ndarray, total: np.ndarray, weight: float) -> np.ndarray:
+    """The share of each token's n-gram, as its code has it."""
+    code = _code_of(n, total[asked.at], weight) if len(n) else np.zeros(0, np.uint16)
+    p = np.where(code < ABSENT, 2.0 ** (-code.astype(np.float64) / STEPS), 0.0)
+    return np.where(asked.index >= 0, p[np.maximum(asked.index, 0)] if len(p) else 0.0, 0.0)
 
 
 def _score(model: Model):
     def run(batches):
         for name, rows in _groups(batches, 1):
-            chunk, code3 = Chunk(model.uri, name), _joined([unpack(a) for a in _answers(rows)], "code")
-            text, words, got = chunk.load("text"), chunk.words(), chunk.load_answers("pairs")
-            code, number = _joined(got, "code"), _joined(got, "number")
-            which, sizes = text["which"], text["sizes"]
-            pair = _pairs_asked(text, words, model.shards).index
-            total = _context_counts(text, _pair_counts(text, words, pair, code))
-            triple = _triples_asked(text, words, pair, number, total, model.shards).index
+            chunk, n3 = Chunk(model.uri, name), _joined([unpack(a) for a in _answers(rows)], "n")
+            text, words, got = chunk.load("text"), chunk.words(model.shards), chunk.numbered("pairs", model.shards)
+            n2, which, sizes = _joined(got, "n"), text["which"], text["sizes"]
+            pairs, before = _pairs_asked(text, words, model.shards), words["count"][_before(text)]
+            total = _context_counts(text, _of_tokens(pairs, n2))
+            triples = _triples_asked(text, words, pairs.index, _joined(got, "number"), total, model.shards)
             single = ((words["count"] + 1) / (model.tokens + model.vocabulary + 1))[which]
             first = np.cumsum(sizes) - sizes
-            p = _kept(pair, code) + WEIGHTS[0] / (words["count"][_before(text)] + WEIGHTS[0]) * single
-            p = _kept(triple, code3) + WEIGHTS[1] / (total + WEIGHTS[1]) * p
+            p = _kept(pairs, n2, before, WEIGHTS[0]) + WEIGHTS[0] / (before + WEIGHTS[0]) * single
+            p = _kept(triples, n3, total, WEIGHTS[1]) + WEIGHTS[1] / (total + WEIGHTS[1]) * p
             sums = lambda x: np.add.reduceat(x, first)
             with pa.ipc.open_stream(_read(f"{chunk.at}-ids")) as f:
                 ids = f.read_all().column(0).combine_chunks()

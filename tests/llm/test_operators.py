@@ -713,3 +713,15 @@ def test_lm_keeps_no_answers_that_chunks_have(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("loglake.llm.common.shared_path", lambda spark, name: f"file://{tmp_path}/{name}")
     assert len(by_id(lm_score.lm_score(d))) == 20
     assert [p.rsplit("-", 1)[1] for p in glob.glob(f"{tmp_path}/lm-answers*")] == ["answers3"]
+
+
+def test_lm_counts_and_codes():
+    """A count takes the place of a code without a change of any code."""
+    r = np.random.default_rng(1)
+    for weight in lm_score.WEIGHTS:
+        n = np.r_[np.arange(0, 3000), r.integers(3000, 1 << 40, 20_000)].astype(np.uint64)
+        total = n + r.integers(0, 5000, len(n)).astype(np.uint64)
+        code = lm_score._code_of(n, total, weight)
+        back = lm_score._count_of(code, total, weight)
+        assert (back[n < 1000] == n[n < 1000]).all()
+        assert (lm_score._code_of(back, total, weight) == code).all()
