@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loglake.functions.scalars import safe_key
 from loglake.operators.extract import lookup
+from loglake.operators.sinks import COMPACT
 from loglake.schema import EVENT_DDL
 
 # Class id and name, category id and name of each category.
@@ -109,6 +110,11 @@ def crosswalk(df: DataFrame, target: str) -> DataFrame:
     return {"ocsf": to_ocsf, "ecs": to_ecs}[target](df)
 
 
+def write_crosswalk(df: DataFrame, target: str, path: str) -> None:
+    """The bulk job over a table: every event as a line of JSON, in compressed files."""
+    crosswalk(df, target).write.options(**COMPACT).json(path)
+
+
 def crosswalk_lines(lines: DataFrame, target: str, text_col: str = "value"):
     """The bulk job over lines of JSON events: (converted lines, counts). Blank lines are passed
     over; a line that is no JSON object of an event's types is not converted, but counted.

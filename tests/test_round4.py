@@ -24,3 +24,25 @@ def test_state_of_a_spool_is_on_disk_and_goes_on(spark, tmp_path):
         assert w.awaitTermination(120)
     assert sorted(r["seq"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(50))
     assert "RocksDBStateStoreProvider" in "".join(open(x).read() for x in glob.glob(f"{tmp_path}/ck/offsets/[0-9]*"))
+
+
+def test_bulk_crosswalk_leaves_its_output_only_and_that_compressed(spark, tmp_path):
+    import json
+
+    from loglake.operators.ordered import shared_dir
+    from loglake.plans import surface
+
+    spark.sql("select id as event_id, timestamp_micros(id) as ts, id % 50 as user_id, 'view' as event_type, double(id % 99) as value, '{}' as props from range(2000)").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    top = shared_dir(spark).removeprefix("file:")
+    before, made = set(glob.glob(f"{top}/*")), []
+    old, surface._folder = surface._folder, lambda s, name: made.append(f"{tmp_path}/{name}") or made[-1]
+    try:
+        rows = surface.x03_crosswalk(spark, str(tmp_path)).collect()
+    finally:
+        surface._folder = old
+    assert sorted(map(tuple, rows)) == [("ecs", 2000), ("ocsf", 2000)] and set(glob.glob(f"{top}/*")) == before
+    for path in made:
+        lines = spark.read.text(path)
+        size = sum(len(open(x, "rb").read()) for x in glob.glob(f"{path}/part-*"))
+        assert size * 4 < lines.selectExpr("sum(length(value)) as n").first()["n"]
+        assert json.loads(lines.first()["value"])
