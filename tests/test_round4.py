@@ -46,3 +46,20 @@ def test_bulk_crosswalk_leaves_its_output_only_and_that_compressed(spark, tmp_pa
         size = sum(len(open(x, "rb").read()) for x in glob.glob(f"{path}/part-*"))
         assert size * 4 < lines.selectExpr("sum(length(value)) as n").first()["n"]
         assert json.loads(lines.first()["value"])
+
+
+def test_lines_and_their_crosswalks_are_compressed(spark, tmp_path):
+    from loglake.plans import surface
+
+    spark.sql("select id as event_id, timestamp_micros(id) as ts, id % 50 as user_id, 'view' as event_type, double(id % 99) as value, '{}' as props from range(2000)").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    made, old = [], surface._folder
+    surface._folder = lambda s, name: made.append(f"{tmp_path}/{name}") or made[-1]
+    try:
+        rows = surface.x03_crosswalk_lines(spark, str(tmp_path))
+        assert {tuple(r) for r in rows.groupBy("target", "converted", "failed").count().collect()} == {(t, 2000, 400, 2000) for t in ("ocsf", "ecs")}
+    finally:
+        surface._folder = old
+    assert len(made) == 3
+    for path in made:
+        size = sum(len(open(x, "rb").read()) for x in glob.glob(f"{path}/part-*"))
+        assert size * 4 < spark.read.text(path).selectExpr("sum(length(value)) as n").first()["n"]
