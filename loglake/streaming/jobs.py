@@ -9,32 +9,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglake.operators.analytics import WINDOW, source_key
+from loglake.operators.ordered import dealt, held
 
 
 def stream_ingest(raw: DataFrame, transform: Callable[[DataFrame, Callable], tuple[DataFrame, DataFrame]], sinks: dict, dead_letter: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False):
     """Raw records to events and dead letters: each micro-batch goes through the batch job.
 
     ``transform(batch, hold)`` gives both; what it passes through ``hold`` is evaluated once
-    for all of them. Sinks and ``dead_letter`` are called with the rows and the number of the
+    for all of them, and is on disk until the batch ends, so a batch may be larger than memory.
+    Its records are dealt out before, as files cut them into tasks by bytes and not by the work
+    they make. Events should come from what was held, as several sinks read them. Sinks and
+    ``dead_letter`` are called with the rows and the number of the
     batch. After a failure Spark runs the batch again under its number, so a sink that keys
     what it writes by it, as ``sinks.by_batch`` does, has every record once. A sink that fails
     is not run again: its records are dead letters of the same batch."""
     from loglake.operators.sinks import fan_out
 
     def batch(df: DataFrame, number: int) -> None:
-        held: list[DataFrame] = []
-
-        def hold(x: DataFrame) -> DataFrame:
-            held.append(x.persist())
-            return held[-1]
-
-        try:
-            good, bad = transform(df, hold)
-            _, failed = fan_out(good, {name: partial(_numbered, sink, number) for name, sink in sinks.items()})
+        with held(df.sparkSession, "batch") as hold:
+            good, bad = transform(dealt(df), hold)
+            _, failed = fan_out(good, {name: partial(_numbered, sink, number) for name, sink in sinks.items()}, kept=True)
             dead_letter(bad if failed is None else bad.unionByName(failed, allowMissingColumns=True), number)
-        finally:
-            for x in held:
-                x.unpersist()
 
     w = raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="2 seconds")).start()

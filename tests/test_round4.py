@@ -63,3 +63,27 @@ def test_lines_and_their_crosswalks_are_compressed(spark, tmp_path):
     for path in made:
         size = sum(len(open(x, "rb").read()) for x in glob.glob(f"{path}/part-*"))
         assert size * 4 < spark.read.text(path).selectExpr("sum(length(value)) as n").first()["n"]
+
+
+def test_a_micro_batch_is_held_on_disk_until_it_ends(spark, tmp_path):
+    from loglake.operators.ordered import shared_dir
+    from loglake.plans.ingest import ingest
+    from loglake.streaming import jobs
+
+    (tmp_path / "raw").mkdir()
+    lines = [f"CEF:0|V|P|1|7|login|3|src=10.0.0.{i} spt={port}" for i, port in enumerate([22, 70000, 443, 25])]
+    (tmp_path / "raw/a.log").write_text("\n".join([*lines, "plain"]) + "\n")
+    top, seen = shared_dir(spark).removeprefix("file:"), []
+    before = set(glob.glob(f"{top}/*"))
+
+    def look(d, number):
+        tables = [x for x in glob.glob(f"{top}/batch-*/*") if x.rsplit("/", 1)[0] not in before]
+        seen.append((spark.sparkContext._jsc.getPersistentRDDs().size(), len(tables), d.count()))
+
+    def transform(d, hold):
+        assert d.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism  # one small file is one split
+        return ingest(d, formats=["cef"], hold=hold)
+
+    jobs.stream_ingest(readers.stream_raw(spark, f"{tmp_path}/raw"), transform, {"a": look, "b": look}, look, f"{tmp_path}/ck", available_now=True).awaitTermination(120)
+    assert seen == [(0, 2, 3), (0, 2, 3), (0, 2, 2)]  # what is parsed and what is checked; nothing in memory
+    assert set(glob.glob(f"{top}/*")) == before
