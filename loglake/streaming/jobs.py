@@ -19,10 +19,10 @@ def stream_ingest(raw: DataFrame, transform: Callable[[DataFrame, Callable], tup
     for all of them, and is on disk until the batch ends, so a batch may be larger than memory.
     Its records are dealt out before, as files cut them into tasks by bytes and not by the work
     they make. Events should come from what was held, as several sinks read them. Sinks and
-    ``dead_letter`` are called with the rows and the number of the
-    batch. After a failure Spark runs the batch again under its number, so a sink that keys
-    what it writes by it, as ``sinks.by_batch`` does, has every record once. A sink that fails
-    is not run again: its records are dead letters of the same batch."""
+    ``dead_letter`` are called with the rows and the number of the batch. After a failure Spark
+    runs the batch again under its number, so a sink that keys what it writes by it, as
+    ``sinks.by_batch`` does, has every record once. A sink that fails is not run again: its
+    records are dead letters of the same batch."""
     from loglake.operators.sinks import fan_out
 
     def batch(df: DataFrame, number: int) -> None:
